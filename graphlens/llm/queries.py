@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, lines, warc
+from . import decontam, lines, packing, pieces, warc
 
 QUERIES = {
+    "op3_sentencepiece": pieces.op3_sentencepiece,
+    "op4_pack": packing.op4_pack,
     "op5_decontaminate": decontam.op5_decontaminate,
     "op9_warc": warc.op9_warc,
     "op10_line_dedup": lines.op10_line_dedup,
