@@ -21,9 +21,10 @@ from . import common
 
 #: Words in a shingle, sketches, shingles kept by each, and the least similarity.
 WORDS, SKETCHES, KEPT, SIMILARITY = 5, 40, 6, 0.8
+#: Documents of fewer shingles than SHORT keep FEW in a sketch.
+SHORT, FEW = 40, 2
 #: A round tests the members of a bucket that are left against so many of them.
 CENTRES = 64
-MASK = (1 << 64) - 1
 
 
 class WordHashes(dict):
@@ -67,15 +68,13 @@ def labelled(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(s: np.ndarray, m: int = SKETCHES, kept: int = KEPT) -> np.ndarray:
-    """m keys: the hash of the `kept` smallest labelled shingles in text order, anew for each key."""
-    x = labelled(s)
-    odd = np.array([2 * (0x5851F42D4C957F2D * (r + 1) & MASK >> 1) + 1 & MASK for r in range(m)], np.uint64)
-    key = np.arange(1, m + 1, dtype=np.uint64)
+def _sketch(x: np.ndarray, m: int, kept: int) -> np.ndarray:
+    odd = _mix(np.arange(1, m + 1, dtype=np.uint64)) | np.uint64(1)
+    key = np.arange(1, m + 1, dtype=np.uint64) + np.uint64(kept << 32)
     step = max(1, 200_000 // len(x))
     for a in range(0, m, step):
-        h = x[None, :] * odd[a:a + step, None]
-        h ^= h >> np.uint64(32)
+        h = (x[None, :] ^ (odd[a:a + step, None] >> np.uint64(1))) * odd[a:a + step, None]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
         n = h.shape[1]
         at = np.argpartition(h, kept - 1, axis=1)[:, :kept] if n > kept else np.tile(np.arange(n), (len(h), 1))
         v = x[np.sort(at, axis=1)]
@@ -86,6 +85,22 @@ def sketch(s: np.ndarray, m: int = SKETCHES, kept: int = KEPT) -> np.ndarray:
     return _mix(key)
 
 
+def sketch(s: np.ndarray, m: int = SKETCHES, kept: int = KEPT) -> np.ndarray:
+    """m keys: the hash of the `kept` smallest labelled shingles in text order, anew for each key.
+
+    Of few shingles all `kept` smallest are seldom shared, so documents of under
+    SHORT shingles keep FEW; those whose similar ones may lie on the other side
+    of SHORT have the keys of both kinds.
+    """
+    x = labelled(s)
+    parts = []
+    if len(x) < SHORT / SIMILARITY:
+        parts.append(_sketch(x, m, FEW))
+    if len(x) >= SHORT * SIMILARITY:
+        parts.append(_sketch(x, m, kept))
+    return np.concatenate(parts)
+
+
 def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edit distance of two sequences if at most `most`, else most + 1.
 
@@ -159,7 +174,8 @@ def _sketch_table(rows: DataFrame, m: int, kept: int) -> DataFrame:
                 part = b.slice(at, 500)
                 keys = [sketch(shingles(t, hashes), m, kept).view(np.int64) for t in part.column(3).to_pylist()]
                 flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-                offsets = np.arange(len(keys) + 1, dtype=np.int32) * m
+                offsets = np.zeros(len(keys) + 1, np.int32)
+                np.cumsum([len(k) for k in keys], out=offsets[1:])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), part.column(2),
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
