@@ -61,7 +61,7 @@ def labelled(s: np.ndarray) -> np.ndarray:
     t = s[order]
     new = np.r_[True, t[1:] != t[:-1]]
     if new.all():
-        return s
+        return _mix(s)
     start = np.maximum.accumulate(np.where(new, np.arange(len(t)), 0))
     out = np.empty_like(s)
     out[order] = _mix(t + (np.arange(len(t)) - start).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
