@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, lines, neardup, packing, pieces, warc
+from . import decontam, lines, neardup, packing, pieces, pivots, warc
 
 QUERIES = {
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_pack": packing.op4_pack,
     "op5_decontaminate": decontam.op5_decontaminate,
     "op6_near_duplicates": neardup.op6_near_duplicates,
+    "op7_pivot_index": pivots.op7_pivot_index,
     "op9_warc": warc.op9_warc,
     "op10_line_dedup": lines.op10_line_dedup,
 }
