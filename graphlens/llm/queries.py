@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, lines, neardup, packing, pieces, pivots, warc
+from . import decontam, lines, neardup, packing, pieces, pivots, quality, warc
 
 QUERIES = {
     "op3_sentencepiece": pieces.op3_sentencepiece,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_decontaminate": decontam.op5_decontaminate,
     "op6_near_duplicates": neardup.op6_near_duplicates,
     "op7_pivot_index": pivots.op7_pivot_index,
+    "op8_quality": quality.op8_quality,
     "op9_warc": warc.op9_warc,
     "op10_line_dedup": lines.op10_line_dedup,
 }
