@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -23,8 +23,8 @@ from . import common
 WORDS, SKETCHES, KEPT, SIMILARITY = 5, 40, 6, 0.8
 #: Documents of fewer shingles than SHORT keep FEW in a sketch.
 SHORT, FEW = 40, 2
-#: A round tests the members of a bucket that are left against so many of them.
-CENTRES = 64
+#: Documents of a block, where the members of a bucket are compared among each other.
+BLOCK = 256
 
 
 class WordHashes(dict):
@@ -198,11 +198,11 @@ def _sequences(rows: DataFrame) -> DataFrame:
     return rows.select("id", "text").mapInArrow(run, "id bigint, s binary")
 
 
-def _verify(pairs: DataFrame, sequences: DataFrame, wide: bool, similarity: float) -> DataFrame:
+def _verify(pairs: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
     """(a, b, state, d, n) of each pair: n is the length of a, d the distance up to what was looked for;
     state is 2 near, 1 not near but within reach of b's near ones, 0 farther.
 
-    wide: look as far as anything can be from b and yet be near to what is near
+    It looks as far as anything can be from b and yet be near to what is near
     to b: whatever is farther needs no test against those.
     """
     a = sequences.select(F.col("id").alias("a"), F.col("s").alias("sa"))
@@ -216,9 +216,8 @@ def _verify(pairs: DataFrame, sequences: DataFrame, wide: bool, similarity: floa
             for x, y in zip(batch.column(2), batch.column(3)):
                 p, q = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
                 n, m = len(p), len(q)
-                most = int(share * max(n, m) + 1e-9)
-                if wide:  # twice over, lengths grow by at most 1 / similarity each time
-                    most = max(most, int(share * m / similarity * (1 + 1 / similarity)) + 1)
+                # twice over, lengths grow by at most 1 / similarity each time
+                most = max(int(share * max(n, m) + 1e-9), int(share * m / similarity * (1 + 1 / similarity)) + 1)
                 d = distance(p, q, most)
                 states.append(2 if near(d, n, m, similarity) and d <= most else 1 if d <= most else 0)
                 dists.append(d)
@@ -243,11 +242,13 @@ def near_duplicates(
     texts differ, the class joins both texts' copies. A null doc_id is its own class (null)
     and never stands for others.
 
-    Within a bucket every member is aligned with the smallest one. By the
-    triangle inequality those far from it can't be near to what is near to it;
-    those within reach are aligned with those, and the far ones among each
-    other, CENTRES of them at a time until none is left, so no link that a
-    bucket holds is lost and no step lists all pairs of a large group.
+    Every member of a bucket is aligned with the bucket's smallest one, its
+    centre. By the triangle inequality those far from it can't be near to what
+    is near to it; those within reach are aligned with those, and all that the
+    centre doesn't link among each other, if they share a bucket. This is done
+    for a centre at a time, in pairs of blocks of BLOCK documents, and only
+    links come out; so no link that a bucket holds is lost, and neither a
+    task nor a table grows with the square of a group.
     """
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("id"),
@@ -260,39 +261,14 @@ def near_duplicates(
     # one row per distinct text and key; an id with two texts has both
     first = table.join(reps.select("id", "h1", "h2"), ["id", "h1", "h2"]).select("id", F.explode("keys").alias("key"))
     shared = first.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("top")).where("c < top")
-    member = common.settle(first.join(shared.select("key", "c"), "key").where("id <> c").select("key", "c", "id"))
-    pairs = common.settle(member.select(F.col("id").alias("a"), F.col("c").alias("b")).distinct())
+    pairs = common.settle(
+        first.join(shared.select("key", "c"), "key").where("id <> c")
+        .groupBy(F.col("id").alias("a"), F.col("c").alias("b")).agg(F.collect_list("key").alias("keys")))
     involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sequences = common.settle(_sequences(rows.join(involved, "id", "left_semi")))
-    tested = common.settle(_verify(pairs, sequences, True, similarity))
+    tested = common.settle(_verify(pairs.select("a", "b"), sequences, similarity))
     links = tested.where("state = 2").select("a", "b")
-
-    # members that their bucket's centre doesn't link
-    state = member.join(tested.select(F.col("a").alias("id"), F.col("b").alias("c"), "state", "d", "n"), ["id", "c"])
-    left = common.settle(state.where("state < 2").select("key", "id", "state", "d", "n"))
-    if not left.isEmpty():
-        groups = common.connected(involved, links)
-        reach = left.where("state = 1").select("key", F.col("id").alias("a"), F.col("d").alias("far"), "n")
-        linked = state.where("state = 2").select("key", F.col("id").alias("b"), "d", F.col("n").alias("m"))
-        # d(a, b) is at least the difference of their distances from the centre
-        extra = (
-            reach.join(linked, "key").where(F.expr(f"far - d <= {1 - similarity} * greatest(n, m) + 1e-6"))
-            .select("a", "b").distinct()
-        )
-        more = [_verify(_apart(extra, groups), sequences, False, similarity)]
-        rest = left.select("key", "id").distinct()
-        while True:
-            w = Window.partitionBy("key").orderBy("id")
-            ranked = rest.withColumn("k", F.row_number().over(w))
-            heads = ranked.where(F.col("k") <= CENTRES).select("key", F.col("id").alias("b"))
-            step = _apart(
-                rest.withColumnRenamed("id", "a").join(heads, "key").where("b < a").select("a", "b").distinct(), groups)
-            more.append(_verify(step, sequences, False, similarity))
-            rest = common.settle(ranked.where(F.col("k") > CENTRES).select("key", "id"))
-            if rest.isEmpty():
-                break
-        for found in more:
-            links = links.unionByName(found.where("state = 2").select("a", "b"))
+    links = links.unionByName(common.settle(_rest(tested, pairs, sequences, similarity)))
     groups = common.connected(reps.select("id").distinct(), links)
     classes = reps.join(groups, "id").select("h1", "h2", F.col("component").alias("class_id"))
     named = copies.join(classes, ["h1", "h2"]).withColumnRenamed("id", "doc_id")
@@ -303,11 +279,73 @@ def near_duplicates(
     )
 
 
-def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs whose ends aren't in one component yet."""
-    ga = groups.select(F.col("id").alias("a"), F.col("component").alias("ga"))
-    gb = groups.select(F.col("id").alias("b"), F.col("component").alias("gb"))
-    return pairs.join(ga, "a").join(gb, "b").where("ga <> gb").select("a", "b")
+def _rest(tested: DataFrame, pairs: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between members that share a bucket whose centre doesn't link them both."""
+    open_centres = (
+        tested.groupBy("b").agg(F.count_if(F.col("state") < 2).alias("left"), F.count_if(F.col("state") == 1).alias("reach"),
+                                F.count(F.lit(1)).alias("n"))
+        .where("reach > 0 OR left > 1")
+        .select("b", "reach", F.when(F.col("reach") > 0, F.col("n")).otherwise(F.col("left")).alias("size"))
+    )
+    members = (
+        tested.join(open_centres, "b").where("state < 2 OR reach > 0")
+        .withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64(F.lit(3), "a"), F.col("parts")).cast("int"))
+        .join(pairs, ["a", "b"]).join(sequences.withColumnRenamed("id", "a"), "a")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select(F.col("b").alias("c"), F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"),
+                "own", "a", "state", "d", "keys", "s")
+    )
+    dealt = members.repartition("c", "bi", "bj").sortWithinPartitions("c", "bi", "bj", "a")
+
+    def compare(rows: list[tuple], bi: int, bj: int) -> list[tuple[int, int]]:
+        ids, states, dists = [r[4] for r in rows], [r[5] for r in rows], [r[6] for r in rows]
+        seqs = [np.frombuffer(r[8], np.uint32) for r in rows]
+        tree = {i: i for i in ids}
+
+        def root(x):
+            while tree[x] != x:
+                tree[x] = x = tree[tree[x]]
+            return x
+
+        near_ones = [i for i, state in zip(ids, states) if state == 2]
+        for i in near_ones:  # the centre joins them
+            tree[root(i)] = root(near_ones[0])
+        found, holders = [], {}
+        for k, r in enumerate(rows):
+            if r[3] == bj:
+                for key in r[7]:
+                    holders.setdefault(key, []).append(k)
+        for x, r in enumerate(rows):
+            if r[3] != bi:
+                continue
+            for y in {k for key in r[7] for k in holders.get(key, ())}:
+                if bi == bj and y <= x or ids[x] == ids[y] or 2 in (states[x], states[y]) and states[x] + states[y] != 3:
+                    continue
+                n, m = len(seqs[x]), len(seqs[y])
+                most = int((1 - similarity) * max(n, m) + 1e-9)
+                if states[x] and states[y] and abs(dists[x] - dists[y]) > most or root(ids[x]) == root(ids[y]):
+                    continue
+                if distance(seqs[x], seqs[y], most) <= most:
+                    found.append((ids[x], ids[y]))
+                    tree[root(ids[x])] = root(ids[y])
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for b in batches:
+            found = []
+            for r in zip(*(c.to_pylist() for c in b.columns)):
+                if last is not None and r[:3] != last:
+                    found += compare(held, *last[1:])
+                    held = []
+                held.append(r)
+                last = r[:3]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        found = compare(held, *last[1:]) if held else []
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
