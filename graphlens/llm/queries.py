@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, lines, neardup, packing, pieces, pivots, quality, warc
+from . import decontam, lines, neardup, packing, pieces, pivots, quality, toxicity, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_pack": packing.op4_pack,
     "op5_decontaminate": decontam.op5_decontaminate,
