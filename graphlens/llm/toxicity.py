@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common, labelled
 
 #: Length of subsequences, characters they may span, factor for each one skipped.
-ORDER, SPAN, DECAY = 3, 5, 0.5
+ORDER, SPAN, DECAY = 4, 6, 0.75
 #: Labelled documents used, landmarks, rounds of choosing.
 LABELLED, LANDMARKS, ROUNDS = 4096, 256, 4
 THRESHOLD = 0.7
@@ -26,7 +26,7 @@ THRESHOLD = 0.7
 LONGEST = 24
 CACHE_WORDS = 200_000
 #: Symbols: 0 none, 1 start, 2 end, then letters by code.
-SYMBOLS = 64
+SYMBOLS = 40
 
 _LETTERS = re.compile(r"[^\W\d_]")
 _APART = re.compile(r"(?<!\w)(?:\w[^\w\s]*[ \t]+){3,}\w(?!\w)")
@@ -175,7 +175,13 @@ class StringKernelMachine:
                                    for a in range(0, len(r), 256)]), owner
 
         chosen = {w: float(toxic[w]) for w in positive if toxic[w] > 1}
+        # what many toxic documents have and no clean one stays in, whatever else those documents have
+        steady = {w: n for w, n in chosen.items() if n >= max(3, 0.05 * y.sum())}
         for step in range(rounds):
+            for w, n in list(chosen.items()):
+                if w in steady and w.isalpha():  # the same with a letter put in
+                    at, letters = range(1, len(w)), rng.integers(0, 26, len(w))
+                    chosen |= {w[:k] + chr(97 + letters[k]) + w[k:]: 0.1 * n / len(w) for k in at}
             px, pown = phi(list(chosen))
             nx, _ = phi(negative)
             pw = np.array(list(chosen.values()))[pown]
@@ -193,7 +199,8 @@ class StringKernelMachine:
             for (value, word), label in zip(best, y):
                 if label and word is not None:
                     witness[word] = witness.get(word, 0.0) + 1.0
-            chosen = witness or chosen
+            chosen = steady | witness or chosen
+            chosen |= {w: max(n, chosen[w]) for w, n in steady.items()}
             hard = sorted({(v, w) for (v, w), label in zip(best, y) if not label and w is not None}, reverse=True)
             known = set(negative)
             negative += [w for _, w in hard[:2000] if w not in known]
