@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, lines, neardup, packing, pieces, pivots, quality, toxicity, warc
+from . import decontam, lines, neardup, packing, pieces, pivots, quality, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_pack": packing.op4_pack,
     "op5_decontaminate": decontam.op5_decontaminate,
