@@ -6,6 +6,9 @@ import gc
 import tempfile
 import uuid
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,9 +47,18 @@ def settle(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def own_columns(df: DataFrame, *wanted: str) -> DataFrame:
-    """Only the named columns, so that extra or clashing ones can't interfere."""
-    return df.select(*[F.col(f"`{c}`") for c in wanted])
+def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list[str | None]], list[bool]]], step: int = 512) -> DataFrame:
+    """The rows whose text passes, with all columns as they are and no shuffle; make gives a task its test of texts."""
+    at_text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = make()
+        for b in batches:
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
+                yield part.filter(pa.array(test(part.column(at_text).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def connected(ids: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:

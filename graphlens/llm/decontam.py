@@ -108,6 +108,38 @@ def find(text: str, items: list[tuple[int, str]], auto, error_rate: float) -> di
     return found
 
 
+def item_blocks(benchmark: DataFrame, min_chars: int) -> list[list[tuple[int, str]]]:
+    """The normalised items of at least min_chars characters, in blocks of about BLOCK_CHARS at most; one block at least."""
+    items = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("text IS NOT NULL")
+    blocks: list[list[tuple[int, str]]] = [[]]
+    held = 0
+    for item_id, text in items.toLocalIterator():
+        text = normal(text)
+        if len(text) < max(1, min_chars):
+            continue
+        if held + len(text) > BLOCK_CHARS and blocks[-1]:
+            blocks.append([])
+            held = 0
+        blocks[-1].append((item_id, text))
+        held += len(text)
+    return blocks
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, min_chars: int = 40) -> DataFrame:
+    """The rows of docs that contain no benchmark item (see match_items), with their columns."""
+    out = docs
+    for block in item_blocks(benchmark, min_chars):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def make(sent=sent):
+            own = sent.value
+            auto = automaton(own, error_rate)
+            return lambda texts: [not find(normal(t), own, auto, error_rate) for t in texts]
+
+        out = common.filter_texts(out, make)
+    return out
+
+
 def match_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, min_chars: int = 40) -> DataFrame:
     """(doc_id, item_id, distance, end): each benchmark item that each document contains.
 
@@ -120,7 +152,6 @@ def match_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05,
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("text IS NOT NULL")
     schema = "doc_id bigint, item_id bigint, distance int, end int"
 
     def one_pass(block: list[tuple[int, str]]) -> DataFrame:
@@ -139,17 +170,7 @@ def match_items(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05,
 
         return texts.mapInArrow(scan, schema)
 
-    blocks: list[list[tuple[int, str]]] = [[]]
-    held = 0
-    for item_id, text in items.toLocalIterator():
-        text = normal(text)
-        if len(text) < max(1, min_chars):
-            continue
-        if held + len(text) > BLOCK_CHARS and blocks[-1]:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((item_id, text))
-        held += len(text)
+    blocks = item_blocks(benchmark, min_chars)
     out = one_pass(blocks[0])
     for block in blocks[1:]:
         out = out.unionByName(one_pass(block))

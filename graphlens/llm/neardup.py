@@ -348,5 +348,20 @@ def _rest(tested: DataFrame, pairs: DataFrame, sequences: DataFrame, similarity:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stand for their class, with their columns.
+
+    Rows without an id stay. Of rows that repeat an id one stays, the least by
+    its columns.
+    """
+    classes = near_duplicates(docs)
+    ids = common.settle(classes.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+    known = docs.join(ids.select(F.col("doc_id").alias("__id")), F.col("doc_id") == F.col("__id"), "left_semi")
+    if not ids.where("n > 1").isEmpty():
+        least = F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")
+        known = known.groupBy(F.col("doc_id").alias("__id")).agg(least).select("row.*")
+    return known.unionByName(docs.where("doc_id IS NULL"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))

@@ -104,5 +104,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> D
     return labelled.scored(docs, lambda: sent.value.score, THRESHOLD)
 
 
+def drop_rejected(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
+    """The rows of docs that score at least THRESHOLD, with their columns."""
+    rows = labelled.sample(docs, labels, "quality", most)
+    model = LatentVotes([t for _, t, _ in rows], [y for _, _, y in rows])
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return common.filter_texts(
+        docs, lambda: lambda texts: (sent.value.score([t or "" for t in texts]) >= THRESHOLD).tolist())
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))

@@ -326,6 +326,58 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return both.mapInArrow(run, "doc_id bigint, kept binary, spans array<struct<start:int,end:int>>, n_bytes bigint")
 
 
+def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> str:
+    """What is left of UTF-8 bytes without spans, which shrink to whole characters."""
+    kept, last = [], 0
+    for s, e in spans:
+        while s < e and text[s] & 0xC0 == 0x80:
+            s += 1
+        while e > s and e < len(text) and text[e] & 0xC0 == 0x80:
+            e -= 1
+        kept.append(text[last:s])
+        last = e
+    kept.append(text[last:])
+    return b"".join(kept).decode("utf-8", "replace")
+
+
+def dedup_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with repeats taken out of `text` (whole characters only) and n_chars, if there, set anew.
+
+    Repeats are as in remove_repeats; all rows stay, with their columns, and a
+    null text stays null.
+    """
+    rows = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))).withColumn(
+        "__bytes", F.coalesce(F.encode(F.col("text").cast("string"), "UTF-8"), F.lit(b""))).withColumn("__th", F.hash("__bytes"))
+    inner = rows.select(F.col("__doc").alias("doc"), F.col("__th").alias("th"), F.col("__bytes").alias("bytes"))
+    spans = repeated_spans(inner, length).select(F.col("doc").alias("__d"), F.col("th").alias("__t"), F.col("spans").alias("__spans"))
+    both = rows.drop("__bytes").join(spans, (F.col("__doc") == F.col("__d")) & (F.col("__th") == F.col("__t")), "left")
+    both = both.select(*[F.col(f"`{c}`") for c in docs.columns], "__spans")
+    at_text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                texts = []
+                for text, found in zip(part.column(at_text).to_pylist(), part.column(part.num_columns - 1).to_pylist()):
+                    joined: list[list[int]] = []
+                    for s in found or ():
+                        if joined and s["start"] <= joined[-1][1]:
+                            joined[-1][1] = max(joined[-1][1], s["end"])
+                        else:
+                            joined.append([s["start"], s["end"]])
+                    texts.append(whole_characters(text.encode(), joined) if joined else text)
+                cols = part.columns[:-1]
+                cols[at_text] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(cols, names=part.schema.names[:-1])
+
+    out = both.mapInArrow(run, docs.schema)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
+    return out
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = remove_repeats(common.table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
