@@ -26,7 +26,7 @@ LENGTH, GRAM = 100, 32
 #: An anchor with more distinct blocks than this is taken string by string.
 GROUP = 512
 #: Bytes sorted into one array, and bytes of a text hashed at a time.
-CHUNK, STRETCH = 1 << 20, 1 << 22
+CHUNK, STRETCH = 1 << 19, 1 << 22
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -94,84 +94,94 @@ def blocks(b: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     return tuple(np.concatenate(x) for x in zip(*outs))
 
 
-def suffix_array(text: np.ndarray, stop: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions in order, common prefix with the one before) of suffixes that end at stop[i].
+def suffix_array(text: np.ndarray, places: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common prefix with the one before) of the suffixes of text from places[i] to stop[i].
 
-    Doubling of sorted prefixes, no further than depth bytes; equal suffixes
-    keep the order of their positions.
+    Suffixes are no longer than a block, so they are sorted as padded rows;
+    equal ones keep the order of their places.
     """
-    n = len(text)
-    at = np.arange(n)
-    rank = np.where(at < stop, text.astype(np.int64) + 1, 0)
-    width = 1
-    while width < depth:
-        there = at + width < stop
-        second = np.where(there, rank[np.minimum(at + width, n - 1)], 0)
-        key = rank * (rank.max() + second.max() + 2) + second
-        _, rank = np.unique(key, return_inverse=True)
-        rank = rank.astype(np.int64) + 1
-        width *= 2
-        if rank.max() == n:
-            break
-    order = np.argsort(rank, kind="stable")
-    lcp = np.zeros(n, np.int64)
-    a, b = order[:-1], order[1:]
-    live, got = np.arange(n - 1), 0
-    while len(live):
-        p, q = a[live] + got, b[live] + got
-        ok = (p < stop[a[live]]) & (q < stop[b[live]])
-        ok[ok] = text[p[ok]] == text[q[ok]]
-        live = live[ok]
-        lcp[live + 1] += 1
-        got += 1
+    width = int((stop - places).max())
+    padded = np.concatenate([text, np.zeros(width, np.uint8)])
+    rows = np.lib.stride_tricks.sliding_window_view(padded, width)[places]
+    left = stop - places
+    short = np.flatnonzero(left < width)
+    rows[short] = np.where(np.arange(width) < left[short, None], rows[short], 0)
+    order = np.argsort(rows.view(f"S{width}").ravel(), kind="stable")
+    lcp = np.zeros(len(places), np.int64)
+    for at in range(1, len(places), 1 << 15):
+        i = np.arange(at, min(len(places), at + (1 << 15)))
+        differ = rows[order[i]] != rows[order[i - 1]]
+        first = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+        lcp[i] = np.minimum(first, np.minimum(left[order[i]], left[order[i - 1]]))
     return order, lcp
 
 
-def maximal_repeats(text: np.ndarray, stop: np.ndarray, first: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(bytes, places) of each maximal repeat of at least `length` bytes.
+def maximal_repeats(
+    text: np.ndarray, places: np.ndarray, stop: np.ndarray, first: np.ndarray, length: int,
+) -> Iterator[tuple[int, np.ndarray]]:
+    """(bytes, numbers of the places) of each maximal repeat of at least `length` bytes.
 
-    stop and first tell for each place where its block ends and whether it
-    starts one. A repeat is maximal if its places differ in the byte before
-    them; a block's start differs from all else.
+    places are where such strings start, stop where their blocks end, and first
+    tells which start a block. A repeat is maximal if its places differ in the
+    byte before them; a block's start differs from all else.
     """
-    order, lcp = suffix_array(text, stop, int((stop - np.arange(len(text))).max()))
-    before = np.where(first, -1 - np.arange(len(text)), np.r_[0, text[:-1]].astype(np.int64))[order]
-    deep = np.flatnonzero(lcp >= length)
-    for run in np.split(deep, np.flatnonzero(np.diff(deep) > 1) + 1) if len(deep) else []:
-        lo, hi = int(run[0]) - 1, int(run[-1])
+    order, lcp = suffix_array(text, places, stop)
+    before = np.where(first, -1 - np.arange(len(places)), text[places - 1].astype(np.int64))[order]
+    deep = lcp >= length
+    opens = np.flatnonzero(~deep & np.r_[deep[1:], False])
+    if not len(opens):
+        return
+    closes = np.flatnonzero(deep & ~np.r_[deep[1:], False])
+    # where all of a run have one byte before them, so have its intervals
+    edges = np.column_stack([opens, closes + 1]).ravel()
+    if edges[-1] == len(before):
+        before = np.r_[before, 0]
+    low, high = np.minimum.reduceat(before, edges)[::2], np.maximum.reduceat(before, edges)[::2]
+    for lo, hi in zip(opens[low != high].tolist(), closes[low != high].tolist()):
         # stack of open intervals: (common prefix, left end)
         stack: list[tuple[int, int]] = []
-        for i in range(lo + 1, hi + 2):
-            here = int(lcp[i]) if i <= hi else 0
+        for i, here in enumerate([*lcp[lo + 1:hi + 1].tolist(), 0], lo + 1):
             left = i - 1
             while stack and stack[-1][0] > here:
                 size, left = stack.pop()
                 if (before[left:i] != before[left]).any():
                     yield size, order[left:i]
-            if here >= length and (not stack or stack[-1][0] < here):
+            if here and (not stack or stack[-1][0] < here):
                 stack.append((here, left))
 
 
 def repeats_in(parts: list[tuple], length: int) -> list[tuple]:
     """(doc, th, start, end) spans of parts (doc, th, start, bytes) that occur before, by (doc, th, start)."""
+    parts = sorted((p for p in parts if len(p[3]) >= length), key=lambda p: p[:3])
+    if not parts:
+        return []
     text = np.frombuffer(b"".join(p[3] for p in parts), np.uint8)
     sizes = np.array([len(p[3]) for p in parts])
     ends = np.cumsum(sizes)
-    owner = np.repeat(np.arange(len(parts)), sizes)
     begin = ends - sizes
-    first = np.zeros(len(text), bool)
-    first[begin] = True
-    rank = np.empty(len(parts), np.int64)
-    rank[sorted(range(len(parts)), key=lambda k: parts[k][:3])] = np.arange(len(parts))
-    # among equal strings the earlier start wins; within a document blocks are in order of start
+    strings = sizes - length + 1
+    owner = np.repeat(np.arange(len(parts)), strings)
+    inner = np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings)
+    places = begin[owner] + inner
+    # blocks are in rank, but those of one document may overlap: rank their strings by start
+    starts = np.array([p[2] for p in parts])[owner] + inner
+    same = np.array([0, *np.cumsum([p[:2] != q[:2] for p, q in zip(parts[1:], parts)])])[owner]
+    mark = np.zeros(len(text) + 1, np.int64)
+    for size, which in maximal_repeats(text, places, ends[owner], inner == 0, length):
+        order = np.lexsort((starts[which], same[which]))
+        rest = places[which[order[1:]]]
+        np.add.at(mark, rest, 1)
+        np.add.at(mark, rest + size, -1)
+    covered = np.cumsum(mark[:-1]) > 0
+    turn = np.flatnonzero(np.diff(np.r_[False, covered].astype(np.int8)) != 0)
     out = []
-    for size, places in maximal_repeats(text, ends[owner], first, length):
-        k = owner[places]
-        keep = min(range(len(places)), key=lambda j: (parts[k[j]][0], parts[k[j]][1], parts[k[j]][2] + int(places[j] - begin[k[j]])))
-        for j, (place, part) in enumerate(zip(places.tolist(), k.tolist())):
-            if j != keep:
-                d, th, s, _ = parts[part]
-                out.append((d, th, s + place - int(begin[part]), s + place - int(begin[part]) + size))
+    for s, e in zip(turn[::2].tolist(), [*turn[1::2].tolist(), len(text)]):
+        k = int(np.searchsorted(ends, s, side="right"))
+        while s < e:  # a run may go on in the next part
+            cut = min(e, int(ends[k]))
+            d, th, at, _ = parts[k]
+            out.append((d, th, at + s - int(begin[k]), at + cut - int(begin[k])))
+            s, k = cut, k + 1
     return out
 
 
@@ -279,8 +289,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         (F.col("k") > GROUP).alias("big"))
     pieces = common.settle(_pieces(rows, wanted))
     spans = again.unionByName(_by_array(pieces, length)).unionByName(_by_string(pieces, length))
-    # neighbours within a text are joined in the end; equal rows merge before they move
-    return spans.distinct().groupBy("doc", "th").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    return common.settle(spans).groupBy("doc", "th").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
