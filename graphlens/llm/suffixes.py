@@ -23,8 +23,9 @@ from . import common
 
 #: Bytes a repeat has at least, and bytes of an anchor.
 LENGTH, GRAM = 100, 32
-#: An anchor with more distinct blocks than this is taken string by string.
-GROUP = 512
+#: An anchor with more distinct blocks than this is cut into parts of so many strings, then fewer; parts of
+#: one string are equal or share no anchor.
+GROUP, WIDTHS = 1024, (17, 4, 1)
 #: Bytes sorted into one array, and bytes of a text hashed at a time.
 CHUNK, STRETCH = 1 << 19, 1 << 22
 
@@ -67,7 +68,7 @@ def _least(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def blocks(b: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """(anchor hash, block hash, start, strings) of each block of a text's bytes.
+    """(anchor hash, block hash, start, strings, bytes from the start to the anchor) of each block of a text's bytes.
 
     A block starts at its first string and has `strings` of them, so it covers
     strings + length - 1 bytes.
@@ -87,10 +88,10 @@ def blocks(b: np.ndarray, length: int = LENGTH, gram: int = GRAM):
         count = np.diff(np.r_[starts, n])
         ends = starts + count + length - 1
         whole = _mix((sums[ends] - sums[starts]) * down[starts] + count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        outs.append((grams[at[starts]], whole, starts + a, count))
+        outs.append((grams[at[starts]], whole, starts + a, count, at[starts] - starts))
     if not outs:
         e = np.empty(0, np.uint64)
-        return e, e, np.empty(0, np.int64), np.empty(0, np.int64)
+        return e, e, *[np.empty(0, np.int64)] * 3
     return tuple(np.concatenate(x) for x in zip(*outs))
 
 
@@ -194,41 +195,41 @@ def _anchors(rows: DataFrame, length: int) -> DataFrame:
                 sizes = [len(f[0]) for f in found]
                 ids = np.repeat(part.column(0).to_numpy(), sizes)
                 th = np.repeat(part.column(1).to_numpy(), sizes)
-                cols = [np.concatenate([f[i] for f in found]) for i in range(4)]
+                cols = [np.concatenate([f[i] for f in found]) for i in range(5)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cols[0].view(np.int64)), pa.array(cols[1].view(np.int64)), pa.array(ids), pa.array(th),
-                     pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int16))],
-                    names=["akey", "bkey", "doc", "th", "start", "strings"])
+                     pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int16)), pa.array(cols[4].astype(np.int16))],
+                    names=["akey", "bkey", "doc", "th", "start", "strings", "off"])
 
     return rows.select("doc", "th", "bytes").mapInArrow(
-        run, "akey bigint, bkey bigint, doc bigint, th int, start int, strings smallint")
+        run, "akey bigint, bkey bigint, doc bigint, th int, start int, strings smallint, off smallint")
 
 
 def _pieces(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of wanted blocks (akey, doc, th, start, strings, big)."""
-    lists = wanted.groupBy("doc", "th").agg(F.collect_list(F.struct("akey", "start", "size", "big")).alias("want"))
+    """The bytes of wanted blocks, in PIECE's columns."""
+    lists = wanted.groupBy("doc", "th").agg(F.collect_list(F.struct("akey", "start", "size", "off", "big")).alias("want"))
     both = rows.join(lists, ["doc", "th"]).select("doc", "th", "bytes", "want")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                out = [(w["akey"], doc, th, w["start"], text[w["start"]:w["start"] + w["size"]], w["big"])
+                out = [(w["akey"], doc, th, w["start"], w["off"], text[w["start"]:w["start"] + w["size"]], w["big"])
                        for doc, th, text, want in zip(*(c.to_pylist() for c in b.slice(at, 256).columns)) for w in want]
-                kinds = [("akey", pa.int64()), ("doc", pa.int64()), ("th", pa.int32()), ("start", pa.int32()),
-                         ("piece", pa.binary()), ("big", pa.bool_())]
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, (_, t) in enumerate(kinds)],
-                                                 names=[n for n, _ in kinds])
+                yield _batch(out, PIECE)
 
-    return both.mapInArrow(run, "akey bigint, doc bigint, th int, start int, piece binary, big boolean")
+    return both.mapInArrow(run, PIECE)
 
 
-SPANS = "doc bigint, th int, start int, end int"
+PIECE = "akey bigint, doc bigint, th int, start int, off int, piece binary, big boolean"
+_KINDS = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
 
 
-def _spans(found: list[tuple]) -> pa.RecordBatch:
-    kinds = [("doc", pa.int64()), ("th", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]
-    return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, (_, t) in enumerate(kinds)],
-                                      names=[n for n, _ in kinds])
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(c.split() for c in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _KINDS[k]) for i, k in enumerate(kinds)], names=names)
+
+
+SPANS = "doc bigint, th int, start int, end int"
 
 
 def _by_array(pieces: DataFrame, length: int) -> DataFrame:
@@ -240,35 +241,69 @@ def _by_array(pieces: DataFrame, length: int) -> DataFrame:
         for b in batches:
             for akey, *part in zip(*(c.to_pylist() for c in b.columns)):
                 if size > CHUNK and akey != last:
-                    yield _spans(repeats_in(held, length))
+                    yield _batch(repeats_in(held, length), SPANS)
                     held, size = [], 0
                 held.append(tuple(part))
                 size += len(part[3])
                 last = akey
-        yield _spans(repeats_in(held, length) if held else [])
+        yield _batch(repeats_in(held, length) if held else [], SPANS)
 
     return dealt.mapInArrow(run, SPANS)
 
 
-def _by_string(pieces: DataFrame, length: int) -> DataFrame:
-    """Spans of repeats in anchors of many blocks: each string by itself, merged before it moves."""
+def _narrowed(pieces: DataFrame, width: int, length: int) -> DataFrame:
+    """Blocks of crowded anchors cut by how far before the anchor a string starts, `width` distances to a part.
+
+    All strings of such a part share the bytes between the latest start and the
+    earliest end; these make its new anchor, so equal strings stay together,
+    while neighbours of one common line or passage part.
+    """
+    schema = "akey bigint, same bigint, doc bigint, th int, start int, off int, piece binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = lambda *xs: int.from_bytes(hashlib.blake2b(b"".join(xs), digest_size=8).digest(), "little", signed=True)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
-                out = [(*np.frombuffer(hashlib.blake2b(piece[k:k + length], digest_size=16).digest(), np.int64).tolist(), doc, th, start + k)
-                       for doc, th, start, piece in zip(*(c.to_pylist() for c in b.slice(at, 1000).columns))
-                       for k in range(len(piece) - length + 1)]
-                kinds = [("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("th", pa.int32()), ("start", pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, (_, t) in enumerate(kinds)],
-                                                 names=[n for n, _ in kinds])
-
-    strings = pieces.where("big").select("doc", "th", "start", "piece").mapInArrow(
-        run, "h1 bigint, h2 bigint, doc bigint, th int, start int")
+                out = []
+                for akey, doc, th, start, off, piece in zip(*(c.to_pylist() for c in b.slice(at, 1000).columns)):
+                    i, n = 0, len(piece) - length + 1
+                    while i < n:
+                        part = (off - i) // width
+                        j = min(n, off - part * width + 1)
+                        # strings i to j - 1 start off - i to off - j + 1 before the anchor
+                        low, high = part * width, part * width + width - 1
+                        core = piece[max(0, off - low):max(0, off - high + length)]
+                        cut = piece[i:j + length - 1]
+                        key = digest(akey.to_bytes(8, "little", signed=True), part.to_bytes(4, "little", signed=True), core)
+                        out.append((key, digest(cut), doc, th, start + i, off - i, cut))
+                        i = j
+                yield _batch(out, schema)
+
+    return pieces.select("akey", "doc", "th", "start", "off", "piece").mapInArrow(run, schema)
+
+
+def _crowded(pieces: DataFrame, length: int) -> DataFrame:
+    """Spans of repeats in anchors of more than GROUP blocks, which are cut into ever narrower parts."""
+    spans = None
     place = F.struct("doc", "th", "start")
-    firsts = strings.groupBy("h1", "h2").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f < l").drop("l")
-    return (strings.join(firsts, ["h1", "h2"]).where(place != F.col("f"))
-            .select("doc", "th", "start", (F.col("start") + length).cast("int").alias("end")))
+    for width in WIDTHS:
+        parts = common.settle(_narrowed(pieces, width, length))
+        firsts = parts.groupBy("akey", "same").agg(
+            F.min(F.struct("doc", "th", "start", "off", "piece")).alias("f"), F.count(F.lit(1)).alias("n"))
+        firsts = common.settle(firsts)
+        again = (
+            parts.drop("piece", "off").join(firsts.where("n > 1").select("akey", "same", F.struct("f.doc", "f.th", "f.start").alias("first"),
+                                               F.octet_length("f.piece").alias("bytes")), ["akey", "same"])
+            .where(place != F.col("first")).select("doc", "th", "start", (F.col("start") + F.col("bytes")).cast("int").alias("end"))
+        )
+        several = firsts.groupBy("akey").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+        rest = firsts.join(several, "akey").select("akey", "f.*", (F.col("k") > GROUP).alias("big"))
+        found = common.settle(again.unionByName(_by_array(rest, length)))
+        spans = found if spans is None else spans.unionByName(found)
+        pieces = common.settle(rest.where("big").select("akey", "doc", "th", "start", "off", "piece"))
+        if pieces.isEmpty():
+            break
+    return spans
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -278,17 +313,22 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     shared = common.settle(anchors.join(common_ones, "akey", "left_semi"))
     place = F.struct("doc", "th", "start")
     firsts = common.settle(
-        shared.groupBy("akey", "bkey").agg(F.min(place).alias("f"), F.first("strings").alias("strings"), F.count(F.lit(1)).alias("n")))
+        shared.groupBy("akey", "bkey").agg(F.min(F.struct("doc", "th", "start", "off")).alias("f"), F.first("strings").alias("strings"),
+            F.count(F.lit(1)).alias("n")))
     again = (
-        shared.join(firsts.where("n > 1").select("akey", "bkey", "f"), ["akey", "bkey"]).where(place != F.col("f"))
+        shared.join(firsts.where("n > 1").select("akey", "bkey", F.struct("f.doc", "f.th", "f.start").alias("first")), ["akey", "bkey"])
+        .where(place != F.col("first"))
         .select("doc", "th", "start", (F.col("start") + F.col("strings") + (length - 1)).cast("int").alias("end"))
     )
     several = firsts.groupBy("akey").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     wanted = firsts.join(several, "akey").select(
-        "akey", "f.doc", "f.th", "f.start", (F.col("strings") + (length - 1)).cast("int").alias("size"),
+        "akey", "f.doc", "f.th", "f.start", F.col("f.off").cast("int").alias("off"), (F.col("strings") + (length - 1)).cast("int").alias("size"),
         (F.col("k") > GROUP).alias("big"))
     pieces = common.settle(_pieces(rows, wanted))
-    spans = again.unionByName(_by_array(pieces, length)).unionByName(_by_string(pieces, length))
+    spans = again.unionByName(_by_array(pieces, length))
+    crowded = pieces.where("big")
+    if not crowded.isEmpty():
+        spans = spans.unionByName(_crowded(crowded, length))
     return common.settle(spans).groupBy("doc", "th").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
