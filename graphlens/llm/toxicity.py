@@ -156,6 +156,9 @@ class StringKernelMachine:
         positive = only[:max(landmarks, 4 * sum(y))]
         rare = some_clean[2000:]
         negative = some_clean[:2000] + [rare[i] for i in sorted(rng.permutation(len(rare))[:4000])]
+        if not positive or not negative:
+            self.slope, self.offset = 0.0, float(np.log(self.prior / (1 - self.prior)))
+            return
         base = only[:landmarks // 2] + some_clean[:landmarks // 4] + [
             rare[i] for i in sorted(rng.permutation(len(rare))[:landmarks - landmarks // 2 - landmarks // 4])]
         rows, _ = encode(base)
@@ -175,6 +178,7 @@ class StringKernelMachine:
                                    for a in range(0, len(r), 256)]), owner
 
         chosen = {w: float(toxic[w]) for w in positive if toxic[w] > 1}
+        chosen = chosen or {w: float(toxic[w]) for w in positive}
         # what many toxic documents have and no clean one stays in, whatever else those documents have
         steady = {w: n for w, n in chosen.items() if n >= max(3, 0.05 * y.sum())}
         for step in range(rounds):
