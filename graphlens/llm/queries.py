@@ -17,4 +17,9 @@ QUERIES = {
     "op10_line_dedup": lines.op10_line_dedup,
 }
 
-ORACLES = {"op10_line_dedup": lines.OP10_SQL}
+ORACLES = {
+    "op2_suffix_dedup": suffixes.OP2_SQL,
+    "op7_pivot_index": pivots.OP7_SQL,
+    "op9_warc": warc.OP9_SQL,
+    "op10_line_dedup": lines.OP10_SQL,
+}

@@ -432,3 +432,20 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
     return got.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every string of 100 bytes is ranked among its equals; runs of later ones make the spans. Bytes are pairs of hexadecimal digits.
+OP2_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, b, substr(h, CAST(1000 * b + 1 AS INT), 1198) AS x FROM (SELECT doc_id, h, unnest(range((length(h) + 999) // 1000)) AS b FROM d)),
+p AS (SELECT doc_id, 500 * b + q AS p, substr(x, CAST(2 * q + 1 AS INT), 200) AS y FROM (SELECT *, unnest(range(least(500, length(x) // 2 - 99))) AS q FROM c)),
+w AS (SELECT doc_id, p, row_number() OVER (PARTITION BY md5_number(y) ORDER BY doc_id, p) > 1 AS later FROM p),
+g AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, true) AS opens FROM w WHERE later),
+s AS (SELECT doc_id, min(p) AS s, max(p) + 100 AS e FROM (SELECT doc_id, p, count(*) FILTER (opens) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM g) GROUP BY doc_id, k),
+k AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM s),
+t AS (SELECT doc_id, count(*) AS n_spans, sum(e - s) AS n_removed, max(e) AS last,
+        string_agg(substr(h, CAST(2 * before + 1 AS INT), CAST(2 * (s - before) AS INT)), '' ORDER BY s) AS head FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS INT)))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
