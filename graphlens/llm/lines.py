@@ -1,8 +1,7 @@
-"""Substring dedup by hashing lines or paragraphs."""
+"""Substring dedup by hashing lines or paragraphs, and the sentences of lines."""
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SEPARATORS = {"line": "\n", "paragraph": r"\n[ \t\r]*\n\s*"}
+#: Sentences of a line: together they are the line, character by character.
+SENTENCE = r"[^.!?]+[.!?]*[ \t]*|[.!?]+[ \t]*"
 
 
 def normal(unit: Column) -> Column:
@@ -20,57 +21,84 @@ def normal(unit: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(unit), r"\s+", " "))
 
 
-def _units(docs: DataFrame, unit: str, min_words: int) -> DataFrame:
+def _units(docs: DataFrame, unit: str, min_words: int, min_sentence: int) -> DataFrame:
     u = docs.select("doc_id", "th", F.posexplode(F.split("text", SEPARATORS[unit])).alias("pos", "unit"))
-    u = u.withColumn("unit", normal(F.col("unit"))).where(F.size(F.split("unit", " ")) >= min_words)
-    return u.select("doc_id", "th", "pos", F.xxhash64("unit").alias("h1"),
+    whole = F.array(F.struct(F.lit(-1).alias("sub"), F.col("unit").alias("unit"), F.lit(min_words).alias("least")))
+    if unit == "line":
+        u = u.withColumn("cut", F.regexp_extract_all("unit", F.lit(SENTENCE), F.lit(0)))
+        many = F.size("cut") > 1
+        parts = F.transform("cut", lambda x, i: F.struct(i.alias("sub"), x.alias("unit"), F.when(many, min_sentence).otherwise(min_words).alias("least")))
+        u = u.select("doc_id", "th", "pos", F.explode(F.when(many, F.concat(whole, parts)).otherwise(parts)).alias("u"))
+    else:
+        u = u.select("doc_id", "th", "pos", F.explode(whole).alias("u"))
+    u = u.select("doc_id", "th", "pos", "u.sub", normal(F.col("u.unit")).alias("unit"), "u.least").where(F.size(F.split("unit", " ")) >= F.col("least"))
+    return u.select("doc_id", "th", "pos", "sub", F.xxhash64("unit").alias("h1"),
                     F.xxhash64(F.lit(77), F.reverse("unit")).alias("h2"))
 
 
-def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = 5) -> DataFrame:
+def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = 5, min_sentence: int = 8) -> DataFrame:
     """Remove each line (or paragraph) that occurs before, in any document.
 
-    Occurrences rank by (doc_id, position), a null id first; the earliest
-    stays. Units of fewer than min_words words after normalising always stay.
-    Rows that repeat both id and text rank alike and are treated alike: what
-    is new in them stays in each. Returns per row doc_id, text (what is left),
-    spans (array of the removed (start, end) character offsets in the given
-    text, runs of adjacent units joined), n_units, n_removed. A null text is
-    an empty one and has one unit.
+    A line of several sentences counts whole and by its sentences, so passages
+    that were put into longer lines are found too. Occurrences rank by
+    (doc_id, position), a null id first; the earliest stays. Units of fewer
+    than min_words words after normalising, and sentences among others of
+    fewer than min_sentence, take no part. Rows that repeat both id and text
+    rank alike and are treated alike: what is new in them stays in each.
+    Returns per row doc_id, text (what is left), spans (array of the removed
+    (start, end) character offsets in the given text, adjacent ones joined),
+    n_units (lines or paragraphs) and n_removed (of those, and sentences of
+    lines that stay). A line whose sentences all go goes with its line end. A
+    null text is an empty one and has one unit.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("th", F.xxhash64("text"))
-    units = _units(rows, unit, min_words)
-    where = F.struct(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("pos").alias("p"))
+    units = _units(rows, unit, min_words, min_sentence)
+    where = F.struct(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("pos").alias("p"), F.col("sub").alias("s"))
     firsts = (units.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.max(where).alias("last"))
               .where("NOT first <=> last").drop("last"))
     gone = (units.join(firsts, ["h1", "h2"])
             .where(~where.eqNullSafe(F.col("first")))
-            .groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
+            .groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "sub")).alias("gone"))
             .select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th"), "gone"))
     joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("th") == F.col("g_th")), "left")
     cut = re.compile(SEPARATORS[unit])
+    sentences = re.compile(SENTENCE)
+
+    def removed(text: str, gone_at: set) -> tuple[list[tuple[int, int]], int, int]:
+        """(pieces to remove, units, units removed)."""
+        ends = [(m.start(), m.end()) for m in cut.finditer(text)] + [(len(text), len(text))]
+        out, n, start = [], 0, 0
+        touched = {p for p, _ in gone_at}
+        for k, (stop, after) in enumerate(ends):
+            if k in touched:
+                if (k, -1) in gone_at:
+                    out.append((start, after))
+                    n += 1
+                else:
+                    parts = [m.span() for m in sentences.finditer(text, start, stop)]
+                    went = [(a, b) for i, (a, b) in enumerate(parts) if (k, i) in gone_at]
+                    n += len(went)
+                    out += [(start, after)] if len(went) == len(parts) else went
+            start = after
+        return out, len(ends), n
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for doc_id, text, gone_at in zip(*(c.to_pylist() for c in b.columns)):
-                gone_at = set(gone_at or ())
-                if not gone_at:
-                    out.append((doc_id, text, [], sum(1 for _ in cut.finditer(text)) + 1, 0))
-                    continue
-                # a unit and the separator after it go together
-                starts = [0, *(m.end() for m in cut.finditer(text)), len(text)]
-                spans, kept = [], []
-                for k in range(len(starts) - 1):
-                    if k not in gone_at:
-                        kept.append(text[starts[k]:starts[k + 1]])
-                    elif spans and spans[-1][1] == starts[k]:
-                        spans[-1][1] = starts[k + 1]
+                found, units, n = removed(text, {(g["pos"], g["sub"]) for g in gone_at or ()})
+                spans, kept, last = [], [], 0
+                for s, e in found:
+                    if spans and spans[-1]["end"] == s:
+                        spans[-1]["end"] = e
                     else:
-                        spans.append([starts[k], starts[k + 1]])
-                out.append((doc_id, "".join(kept), [{"start": s, "end": e} for s, e in spans], len(starts) - 1, len(gone_at)))
+                        spans.append({"start": s, "end": e})
+                for x in spans:
+                    kept.append(text[last:x["start"]])
+                    last = x["end"]
+                out.append((doc_id, "".join(kept) + text[last:], spans, units, n))
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             kinds = [pa.int64(), pa.string(), span, pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays(
@@ -90,19 +118,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: The kept text is the concatenation of the kept units, each with the newline after it.
+#: Lines are cut into sentences and a line end; a piece goes with its line, by itself, or as the end of a line whose sentences all go.
 OP10_SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-s AS (SELECT doc_id, text, string_split(text, chr(10)) AS us FROM d),
-u AS (SELECT doc_id, unnest(us) AS unit, unnest(range(len(us))) AS pos, len(us) AS n FROM s),
-v AS (SELECT *, unit || CASE WHEN pos < n - 1 THEN chr(10) ELSE '' END AS piece,
-             trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS norm FROM u),
-r AS (SELECT *, CASE WHEN len(string_split(norm, ' ')) >= 5
-                THEN row_number() OVER (PARTITION BY norm ORDER BY doc_id, pos) > 1 ELSE false END AS gone FROM v),
-g AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM r)
-SELECT doc_id, CAST(count(*) AS INT) AS n_units, CAST(count(*) FILTER (gone) AS INT) AS n_removed,
-       CAST(count(*) FILTER (opens) AS INT) AS n_spans,
-       CAST(coalesce(sum(length(piece)) FILTER (gone), 0) AS INT) AS removed_chars,
-       sha256(coalesce(string_agg(piece, '' ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
-FROM g GROUP BY doc_id
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS us FROM documents),
+l AS (SELECT doc_id, unnest(us) AS line, unnest(range(len(us))) AS pos, len(us) AS n FROM d),
+c AS (SELECT *, regexp_extract_all(line, '[^.!?]+[.!?]*[ \t]*|[.!?]+[ \t]*', 0) AS parts FROM l),
+u AS (SELECT doc_id, pos, -1 AS sub, line AS piece, 5 AS least FROM c WHERE len(parts) > 1
+      UNION ALL SELECT doc_id, pos, unnest(range(len(parts))), unnest(parts), CASE WHEN len(parts) > 1 THEN 8 ELSE 5 END FROM c),
+v AS (SELECT *, trim(regexp_replace(lower(piece), '\s+', ' ', 'g')) AS norm FROM u),
+g AS (SELECT doc_id, pos, sub, row_number() OVER (PARTITION BY norm ORDER BY doc_id, pos, sub) > 1 AS gone FROM v WHERE len(string_split(norm, ' ')) >= least),
+w AS (SELECT v.*, coalesce(gone, false) AS gone FROM v LEFT JOIN g USING (doc_id, pos, sub)),
+k AS (SELECT doc_id, pos, bool_or(gone AND sub = -1) AS line_gone, coalesce(bool_and(gone) FILTER (sub >= 0), false) AS all_gone FROM w GROUP BY doc_id, pos),
+x AS (SELECT w.doc_id, w.pos, w.sub, w.piece, gone OR line_gone AS gone, gone AND NOT line_gone AS counts FROM w JOIN k USING (doc_id, pos) WHERE sub >= 0
+      UNION ALL SELECT c.doc_id, c.pos, 1000000000, CASE WHEN c.pos < n - 1 THEN chr(10) ELSE '' END, coalesce(line_gone OR all_gone, false), coalesce(line_gone, false)
+      FROM c LEFT JOIN k ON k.doc_id = c.doc_id AND k.pos = c.pos),
+y AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos, sub), false) AS opens FROM x WHERE piece <> '' OR counts OR sub = 1000000000)
+SELECT doc_id, CAST(count(*) FILTER (sub = 1000000000) AS INT) AS n_units, CAST(count(*) FILTER (counts) AS INT) AS n_removed,
+       CAST(count(*) FILTER (opens) AS INT) AS n_spans, CAST(coalesce(sum(length(piece)) FILTER (gone), 0) AS INT) AS removed_chars,
+       sha256(coalesce(string_agg(piece, '' ORDER BY pos, sub) FILTER (NOT gone), '')) AS kept_sha256
+FROM y GROUP BY doc_id
 """

@@ -121,6 +121,16 @@ def test_lines(spark):
         assert left + whole[at:] == x.text
 
 
+def test_passages_inside_lines(spark):
+    r = random.Random(12)
+    said = [text(r, 12).capitalize() + "." for _ in range(5)]
+    passage = " ".join(said)
+    rows = [(1, f"{text(r, 30)}. {passage} {text(r, 30)}."), (2, f"{text(r, 20)}. {passage} {text(r, 20)}.\nmore"), (3, passage), (4, f"{said[0]}\n{said[1]} {said[2]}")]
+    got = {x.doc_id: x for x in lines.dedup_units(make(spark, rows)).collect()}
+    assert got[1].text == rows[0][1] and got[3].text == "" and got[4].text == ""
+    assert got[2].text == rows[1][1].replace(passage + " ", "") and got[2].n_removed == 5 and len(got[2].spans) == 1
+
+
 def test_paragraphs(spark):
     r = random.Random(9)
     a, b = text(r, 9), text(r, 9)
