@@ -124,7 +124,7 @@ def divergence(features: DataFrame, sources: DataFrame) -> DataFrame:
         "constraints", F.flatten(F.transform("decisions", lambda d: d["constraints"])))).alias("constraint"))
     c = c.where(F.lower("constraint").contains("must not"))
     banned = F.trim(F.element_at(F.split(F.lower("constraint"), "must not"), -1))
-    return sources.join(F.broadcast(c), "feature").where(
+    return sources.join(c, "feature").where(
         (F.length(banned) > 0) & F.contains(F.lower("code"), banned)).select("id", "feature", "constraint")
 
 

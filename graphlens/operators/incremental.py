@@ -68,3 +68,33 @@ def without_files(g: Graph, paths: DataFrame) -> Graph:
     edges = g.edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(
         ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
     return Graph(files, nodes, edges)
+
+
+def replace_owned(edges: DataFrame, prefix: str, wanted: DataFrame) -> DataFrame:
+    """edges with those whose metadata starts with prefix replaced by wanted, except pairs that a confident edge has already."""
+    owned = F.coalesce(F.startswith("metadata", F.lit(prefix)), F.lit(False))
+    rest = edges.where(~owned)
+    sure = rest.where("confidence <> 'ambiguous'").select("source_id", "target_id", "relation").distinct()
+    return rest.unionByName(wanted.select(*rest.columns).dropDuplicates(list(KEY)).join(sure, ["source_id", "target_id", "relation"], "left_anti"))
+
+
+def legacy_js_edges(g: Graph) -> DataFrame:
+    """Calls without metadata, extracted, that leave a .js file: what an older release wrote."""
+    path = g.symbols.select("id", "path")
+    e = g.edges.where("relation = 'calls' AND metadata IS NULL AND confidence = 'extracted'")
+    e = e.join(path.select(F.col("id").alias("source_id"), F.col("path").alias("s_path")), "source_id").join(
+        path.select(F.col("id").alias("target_id"), F.col("path").alias("t_path")), "target_id")
+    return e.where("s_path LIKE '%.js' AND s_path <> t_path").select("source_id", "target_id")
+
+
+#: Seconds for which a kind of edges that failed to relink is left alone.
+BACK_OFF = 60
+
+
+def relink_due(stored: DataFrame, now: DataFrame, failures: DataFrame, at) -> DataFrame:
+    """(language) whose digest (language, digest) isn't the stored one, and that hasn't failed (language, failed_at) in the last BACK_OFF seconds."""
+    s = stored.select("language", F.col("digest").alias("old"))
+    changed = now.join(s, "language", "left").where("NOT digest <=> old").select("language")
+    last = failures.groupBy("language").agg(F.max("failed_at").alias("failed_at"))
+    wait = F.unix_timestamp(at) - F.unix_timestamp("failed_at") < BACK_OFF
+    return changed.join(last, "language", "left").where(~F.coalesce(wait, F.lit(False))).select("language")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.stages import small
 from ..schema import FUNCTIONS, SYMBOLS, Graph
 
 
@@ -44,8 +45,8 @@ def diff_overlap(g: Graph, changed: DataFrame) -> DataFrame:
     % and _ as wildcards and without regard to case.
     """
     paths = changed.select(F.col("path").alias("c_path")).distinct()
-    # changed paths are those of one diff, so few
-    files = g.files.join(F.broadcast(paths), F.expr("path ILIKE concat('%', c_path, '%')")).select(F.col("id").alias("file_id"), "c_path")
+    # wildcards leave no key to join on, so the diff's paths must be few
+    files = g.files.join(F.broadcast(small(paths)), F.expr("path ILIKE concat('%', c_path, '%')")).select(F.col("id").alias("file_id"), "c_path")
     s = g.symbols.where(F.col("type").isin(*SYMBOLS)).join(files, "file_id")
     lines = changed.distinct().select(F.col("path").alias("c_path"), "line")
     return (s.join(lines, "c_path").where("line BETWEEN start_line AND end_line")

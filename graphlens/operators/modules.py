@@ -22,6 +22,22 @@ def list_modules(g: Graph) -> DataFrame:
     return out.withColumn("symbols", F.col("functions") + F.col("classes") + F.col("other"))
 
 
+def module_entries(g: Graph) -> DataFrame:
+    """list_modules with each module's languages, by file extension, as one text."""
+    lang = g.files.select(expr.folder(F.col("path")).alias("module"), F.substring_index("path", ".", -1).alias("language"))
+    lang = lang.groupBy("module").agg(F.array_join(F.sort_array(F.collect_set("language")), ", ").alias("languages"))
+    return list_modules(g).join(lang, "module")
+
+
+def used_modules(g: Graph) -> tuple[DataFrame, DataFrame]:
+    """Modules that have symbols, import or are imported; and how many were left out."""
+    b = boundary_map(g, 1 << 30)
+    linked = b.select(F.col("from_module").alias("module")).union(b.select("to_module")).distinct().withColumn("linked", F.lit(True))
+    all_of = list_modules(g).join(linked, "module", "left")
+    empty = (F.col("symbols") == 0) & F.col("linked").isNull()
+    return all_of.where(~empty).drop("linked"), all_of.agg(F.count_if(empty).alias("skipped"))
+
+
 def boundary_map(g: Graph, most: int = 150) -> DataFrame:
     """(from_module, to_module, imports) between different top folders, most first."""
     e = g.linked(("imports",), ("path",), ("path",)).select(

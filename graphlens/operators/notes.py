@@ -77,6 +77,15 @@ def unresolved(notes: DataFrame, symbols: DataFrame) -> DataFrame:
     return gone.unionByName(lost)
 
 
+def stats(notes: DataFrame, symbols: DataFrame) -> DataFrame:
+    """One row: notes, links and mentions that lead somewhere, and the lists of those that don't."""
+    e = edges(notes, symbols).groupBy().agg(F.count_if(F.col("relation") == "links_to").alias("links"), F.count_if(F.col("relation") == "mentions").alias("mentions"))
+    gone = unresolved(notes, symbols)
+    pick = lambda kind: F.sort_array(F.collect_set(F.when(F.col("kind") == kind, F.col("target"))))
+    lost = gone.groupBy().agg(pick("link").alias("unresolved_links"), pick("mention").alias("unresolved_mentions"))
+    return notes.groupBy().agg(F.count(F.lit(1)).alias("notes")).crossJoin(e).crossJoin(lost)  # one row each
+
+
 def backlinks(notes: DataFrame) -> DataFrame:
     """(id, source): notes that link to each."""
     return resolved(notes).where("note IS NOT NULL AND note <> id").select(F.col("note").alias("id"), F.col("id").alias("source")).distinct()

@@ -18,3 +18,11 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df as a local table that may be broadcast; an error if it has more than `most` rows."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows where a few are meant")
+    return df.sparkSession.createDataFrame(rows, df.schema)

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import expr
-from .operators import algo, callers, diff, features, incremental, intervals, modules, notes, search, traverse, usage
+from .operators import algo, callers, diff, features, incremental, intervals, modules, notes, reports, routes, search, traverse, usage
 from .plans.binding import CTES, bind, table
 from .schema import Graph
+from .sources import js_code, python_code, readers
+from .streaming import telemetry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -417,3 +419,91 @@ _add("slugs", lambda s, d: table(s, d, "customer").select("c_custkey", expr.slug
 _add("within_budget", lambda s, d: table(s, d, "part").select("p_partkey", expr.within_budget(F.to_json(F.struct("p_name", "p_brand")), 45).alias("response")), """
 SELECT p_partkey, CASE WHEN length(j) > 45 THEN '{"error":"response_too_large","chars":' || CAST(length(j) AS STRING) || ',"limit":45}' ELSE j END AS response
 FROM (SELECT p_partkey, '{"p_name":"' || p_name || '","p_brand":"' || p_brand || '"}' AS j FROM part)""")
+
+# composed answers
+_graph("analyze_impact", lambda g: reports.analyze_impact(g, _spec(g), _roots(g)), """
+SELECT r.root, (SELECT count(*) FROM split WHERE t_id = r.root AND bucket = 'callers') AS callers, (SELECT count(*) FROM split WHERE t_id = r.root AND bucket = 'test_callers') AS test_callers,
+  (SELECT count(*) FROM split WHERE t_id = r.root AND bucket = 'ambiguous') AS ambiguous, (SELECT count(*) FROM best WHERE best.root = r.root AND depth > 1) AS indirect, risk FROM risks r""",
+       PAIRS + WALK_UP + FEATURES + RISKS)
+_graph("get_function", reports.function_info, f"""
+, ce AS (SELECT DISTINCT s.id AS s, t.qname FROM cg_edges e JOIN sym s ON s.id = e.source_id JOIN sym t ON t.id = e.target_id
+  WHERE relation = 'calls' AND confidence <> 'ambiguous' AND s.id <> t.id AND t.type IN {SYM} AND (s.is_test OR NOT t.is_test))
+SELECT f.id, coalesce((SELECT array_to_string(list_sort(list(DISTINCT s_qname))[1:15], ';') FROM split WHERE t_id = f.id AND bucket = 'callers'), '') AS callers,
+  coalesce((SELECT array_to_string(list_sort(list(DISTINCT qname))[1:30], ';') FROM ce WHERE ce.s = f.id), '') AS callees,
+  (SELECT count(*) - 1 FROM cg_nodes o WHERE o.name = f.name AND o.type IN {SYM}) AS others FROM cg_nodes f WHERE f.type IN {FUNC}""", PAIRS)
+_graph("feature_info", lambda g: reports.feature_info(g, _spec(g)), f"""
+, sp(feature, decisions, affected) AS (VALUES ('Promotions', 1, 1), ('Small', 1, 0), ('Economy tests', 0, 0), ('Standard', 2, 1), ('Everything odd', 0, 0), ('No patterns', 0, 0), ('Nowhere', 0, 0))
+SELECT feature, (SELECT count(*) FROM ff WHERE ff.feature = sp.feature) AS files,
+  (SELECT count(*) FROM ff JOIN cg_nodes n ON n.file_id = ff.id WHERE ff.feature = sp.feature AND type IN {FUNC} AND {VISIBLE}) AS functions,
+  CAST(decisions AS INT) AS decisions, CAST(affected AS BIGINT) AS affected FROM sp""", FEATURES)
+_graph("project_health", reports.project_health)
+_graph("analyze_diff", lambda g: reports.analyze_diff(g, _spec(g), diff.changed_lines(g.files.sparkSession.createDataFrame([(1, DIFF)], "diff_id int, diff string"))))
+_graph("module_entries", modules.module_entries, f"""
+SELECT split_part(f.path, '/', 1) AS module, count(DISTINCT f.id) AS files, count(*) FILTER (n.type IN {FUNC}) AS functions, count(*) FILTER (n.type = 'class') AS classes,
+  count(*) FILTER (n.type NOT IN {SYM}) AS other, count(n.id) AS symbols, array_to_string(list_sort(list(DISTINCT split_part(f.path, '.', -1))), ', ') AS languages
+FROM cg_files f LEFT JOIN cg_nodes n ON n.file_id = f.id GROUP BY 1""")
+_graph("used_modules", lambda g: modules.used_modules(g)[0].select("module"), "SELECT DISTINCT split_part(f.path, '/', 1) AS module FROM cg_files f JOIN cg_nodes n ON n.file_id = f.id")
+_graph("legacy_js_edges", incremental.legacy_js_edges, """
+SELECT source_id, target_id FROM cg_edges JOIN sym s ON s.id = source_id JOIN sym t ON t.id = target_id
+WHERE relation = 'calls' AND confidence = 'extracted' AND s.path LIKE '%.js' AND s.path <> t.path""")
+_add("note_stats", lambda s, d: notes.stats(_notes(s, d), _note_symbols(s, d)).select("notes", "links"), NOTE_LINKS + """
+SELECT (SELECT count(*) FROM nt) AS notes, (SELECT count(*) FROM (SELECT DISTINCT id, note FROM res WHERE note IS NOT NULL AND note <> id)) AS links""")
+_add("feature_notes", lambda s, d: notes.feature_notes(features.example_features(s), s.createDataFrame(
+    [("feature-small", "by hand"), ("feature-standard", "x <!-- generated -->")], "id string, content string")), """
+SELECT * FROM (VALUES ('feature-promotions', 'created'), ('feature-small', 'skipped'), ('feature-economy-tests', 'created'), ('feature-standard', 'refreshed'),
+  ('feature-everything-odd', 'created'), ('feature-no-patterns', 'created'), ('feature-nowhere', 'created')) t(id, outcome)""")
+
+# event time (an addition to the operators above)
+_add("event_windows", lambda s, d: telemetry.tumbling(_calls(s, d), "1 day").select("start", "tool", "calls"),
+     "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type AS tool, count(*) AS calls FROM events GROUP BY 1, 2")
+_add("event_sessions", lambda s, d: telemetry.sessions(_calls(s, d), "6 hours").select("project_id", "start", "calls"), """
+SELECT user_id AS project_id, min(ts) AS start, count(*) AS calls FROM (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (
+  SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS opens FROM events)) GROUP BY user_id, k""")
+
+# sources in small
+PYTHON = (
+    ("app/pay.py", "def pay(x):\n    return x\n"),
+    ("app/pack/__init__.py", "from pack.impl import shown\n"),
+    ("app/pack/impl.py", "def shown():\n    return 1\n\nclass Root:\n    def keep(self):\n        return shown()\n"),
+    ("app/main.py", "from pay import pay as settle\nfrom pack import shown\nimport pack.impl\n\nclass Leaf(pack.impl.Root):\n    def go(self):\n        settle(1)\n"
+                    "        return self.keep()\n\ndef top(pay):\n    pay(2)\n    shown()\n    Leaf.go()\n"),
+)
+_add("python_calls", lambda s, d: python_code.call_edges(s.createDataFrame(list(PYTHON), "path string, text string"), ("", "app/")), """
+SELECT * FROM (VALUES ('app/pack/impl.py', 5, 'app/pack/impl.py', 1), ('app/main.py', 6, 'app/pay.py', 1), ('app/main.py', 6, 'app/pack/impl.py', 5),
+  ('app/main.py', 10, 'app/pack/impl.py', 1), ('app/main.py', 10, 'app/main.py', 6)) t(s_path, s_line, t_path, t_line)""")
+URLS = (
+    ("web/urls.py", "from django.urls import include, path\nfrom web import views\nurlpatterns = [path('api/', include('web.api')), path('u/<int:pk>/', views.User.as_view())]\n"),
+    ("web/api.py", "from web import views\nfrom rest_framework.routers import DefaultRouter\nr = DefaultRouter()\nr.register('orders', views.Orders)\n"
+                   "urlpatterns = [path('ping/', views.ping)] + r.urls\nurlpatterns += [path('', include(r.urls))]\n"),
+    ("web/views.py", "from rest_framework import viewsets\n\ndef ping(request):\n    return 1\n\nclass User:\n    def get(self):\n        pass\n\n"
+                     "class Orders(viewsets.ReadOnlyModelViewSet):\n    def retrieve(self):\n        pass\n"),
+)
+
+
+def _served(s: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    src = s.createDataFrame(list(URLS), "path string, text string")
+    mods = python_code.module_index(src)
+    found = routes.patterns(src)
+    return routes.expand(found, mods, routes.root_files(src, found, mods)), python_code.parse(src), mods
+
+
+_add("route_match", lambda s, d: routes.match(_served(s)[0], s.createDataFrame(
+    [("GET /api/ping/",), ("PUT api/orders/7/",), ("/u/12/",), ("/u/abc/",), ("/none",)], "request string")).select("request", "display", "method", "loose"), """
+SELECT * FROM (VALUES ('GET /api/ping/', 'api/ping/', 'ANY', false), ('PUT api/orders/7/', 'api/orders/<pk>/', 'PUT', false), ('/u/12/', 'u/<pk>/', 'ANY', false),
+  ('/u/abc/', 'u/<pk>/', 'ANY', true)) t(request, display, method, loose)""")
+_add("route_handlers", lambda s, d: routes.handlers(*_served(s)).select("display", "method", "handler", "line", "inherited"), """
+SELECT * FROM (VALUES ('api/ping/', 'ANY', 'ping', 3, false), ('u/<pk>/', 'GET', 'User.get', 7, false), ('api/orders/<pk>/', 'GET', 'Orders.retrieve', 11, false),
+  ('api/orders/', 'GET', 'Orders.list', 10, true)) t(display, method, handler, line, inherited)""")
+JS = (("src/a.js", "import Loader from './lib/loader';\nthis.x = new Loader();\nthis.x.run();\nbus.execute('load');\n"), ("src/lib/loader.js", "export class Loader {}\nbus.register('load', onLoad);\n"),
+      ("old/loader.js", "class Loader {}\n"))
+_add("js_classes", lambda s, d: js_code.created_classes(js_code.facts(s.createDataFrame(list(JS), "path string, text string"))),
+     "SELECT 'src/a.js' AS path, 2 AS line, 'Loader' AS name, 'src/lib/loader.js' AS class_path")
+_add("js_commands", lambda s, d: js_code.command_edges(js_code.facts(s.createDataFrame(list(JS), "path string, text string"))),
+     "SELECT 'src/a.js' AS path, 4 AS line, 'load' AS command, 'onLoad' AS handler, 'src/lib/loader.js' AS handler_path")
+_add("js_property_calls", lambda s, d: js_code.property_calls(js_code.facts(s.createDataFrame(list(JS), "path string, text string"))),
+     "SELECT 'src/a.js' AS path, 3 AS line, 'Loader' AS class_name, 'run' AS method")
+_add("spec_decisions", lambda s, d: readers.spec(s.createDataFrame([("## Feature: A\nText\n### Decisions\n- DEC-1: x (because: y)\n- z\n## Other\n## Feature: B\n- **Decisions**: w\n",)], "text string")).selectExpr(
+    "name", "explode(decisions) AS d").selectExpr("name", "d.id", "d.description", "d.rationale"), """
+SELECT * FROM (VALUES ('A', 'DEC-1', 'x', 'y'), ('A', 'GEN-001', 'z', ''), ('B', 'GEN-002', 'w', '')) t(name, id, description, rationale)""")
+_add("report_references", lambda s, d: readers.report_lines(s.createDataFrame([(1, "References:\n  calls C.m (a/b.py:12)\n  imports x (c.py:3-9)\nend")], "report_id int, text string"), "reference").drop("report_id"), """
+SELECT * FROM (VALUES (1, 'calls', 'C.m', 'a/b.py:12'), (2, 'imports', 'x', 'c.py:3-9')) t(pos, relation, name, location)""")

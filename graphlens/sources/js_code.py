@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import expr
+
 #: Fact kinds and the patterns whose groups are name and value.
 FORMS = {
     "import": r"""import\s+(?:\{?\s*([\w$]+)[^'"]*\}?\s+from\s+)?['"]([^'"]+)['"]""",
@@ -50,13 +52,55 @@ def import_edges(found: DataFrame, files: DataFrame) -> DataFrame:
     return i.join(stem, "stem").select("path", "target").distinct()
 
 
-def created_classes(found: DataFrame) -> DataFrame:
-    """(path, line, class_path): each `new X`, led to the class by the same file, else a unique name, whatever its case."""
-    classes = found.where("kind = 'class'").select(F.lower("name").alias("low"), F.col("path").alias("class_path"))
-    made = found.where("kind = 'create'").select("path", "line", F.lower("name").alias("low")).distinct()
-    hits = made.join(classes, "low").groupBy("path", "line", "low").agg(
-        F.min(F.struct((F.col("class_path") != F.col("path")).alias("away"), "class_path")).alias("best"), F.countDistinct("class_path").alias("n"))
-    return hits.where("n = 1 OR NOT best.away").select("path", "line", "best.class_path")
+def created_classes(found: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """(path, line, name, class_path): each `new X`, led to its class, whatever the name's case.
+
+    The same file comes first, then a file it imports, then code that isn't a
+    test, the file that shares most folders, and the path.
+    """
+    classes = found.where("kind = 'class'").select(F.lower("name").alias("low"), F.col("path").alias("class_path")).distinct()
+    made = found.where("kind = 'create'").select("path", "line", "name", F.lower("name").alias("low")).distinct()
+    imported = import_edges(found, files if files is not None else found.select("path").distinct())
+    c = made.join(classes, "low").join(imported.select("path", F.col("target").alias("class_path"), F.lit(True).alias("imported")), ["path", "class_path"], "left")
+    folders = lambda p: F.slice(F.split(p, "/"), 1, F.size(F.split(p, "/")) - 1)
+    same = F.arrays_zip(folders("path").alias("a"), folders("class_path").alias("b"))
+    shared = F.coalesce(F.array_position(F.transform(same, lambda z: ~z["a"].eqNullSafe(z["b"])), True) - 1, F.lit(-1))
+    near = F.when(shared < 0, F.size(same)).otherwise(shared)
+    tier = F.when(F.col("path") == F.col("class_path"), 0).when(F.col("imported"), 1).otherwise(2)
+    order = F.struct(tier.alias("tier"), expr.is_test_path(F.col("class_path")).alias("test"), (-near).alias("near"), "class_path")
+    return c.groupBy("path", "line", "name").agg(F.min(order).alias("o")).select("path", "line", "name", "o.class_path")
+
+
+def callers_of_command(found: DataFrame, command: str) -> DataFrame:
+    return found.where(F.col("kind") == "execute").where(F.col("name") == command).select("path", "line").distinct()
+
+
+def component_class(found: DataFrame) -> DataFrame:
+    """(path, line, key, class_name): component keys as class names (IMAGE_LOADER as ImageLoader)."""
+    return found.where("kind = 'component'").select("path", "line", F.col("name").alias("key"), expr.camel_key(F.substring_index("name", ".", -1)).alias("class_name"))
+
+
+def property_calls(found: DataFrame) -> DataFrame:
+    """(path, line, class_name, method): this.x.method() where this.x = new X."""
+    kinds = found.where("kind = 'property'").select("path", F.col("name").alias("property"), F.col("value").alias("class_name")).distinct()
+    return found.where("kind = 'this_call'").select("path", "line", F.col("name").alias("property"), F.col("value").alias("method")).join(
+        kinds, ["path", "property"]).select("path", "line", "class_name", "method").distinct()
+
+
+def live_names(found: DataFrame) -> DataFrame:
+    """Names that anything creates, runs, registers or extends."""
+    return found.where("kind IN ('create', 'execute', 'component')").select("name").union(
+        found.where("kind IN ('register', 'class', 'property') AND value <> ''").select("value")).distinct()
+
+
+def enclosing(found: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """Facts with the id of the innermost definition around their line, the module where there is none."""
+    from ..operators.intervals import innermost
+    from ..schema import Graph
+
+    g = Graph(files, nodes, nodes.sparkSession.createDataFrame([], "source_id bigint, target_id bigint, relation string"))
+    at = found.join(files.select(F.col("id").alias("file_id"), "path"), "path")
+    return at.join(innermost(g, at.select("file_id", "line").distinct()), ["file_id", "line"])
 
 
 def command_edges(found: DataFrame) -> DataFrame:

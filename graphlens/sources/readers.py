@@ -154,6 +154,30 @@ def usage_document(docs: DataFrame) -> DataFrame:
         F.coalesce("d.errors", F.create_map().cast("map<string,bigint>")).alias("errors"), "d.first_call_at", "d.last_call_at")
 
 
+def source_roots(spark: SparkSession, path: str) -> list[str]:
+    """Roots that a source-roots.json declares (bounded by the file's array); without any, the repository itself."""
+    rows = spark.read.schema("roots array<string>").option("multiLine", True).json(path).select(F.explode("roots").alias("r")).limit(1000).collect()
+    return [r.r.rstrip("/") + "/" if r.r else "" for r in rows] or [""]
+
+
+#: Shapes of report lines and what their groups hold.
+LINES = {
+    "reference": (r"^\s*(\w+)\s+([\w.$<>]+)\s+\(?([^\s():]+:\d+(?:-\d+)?)\)?\s*$", ("relation", "name", "location")),
+    "dead_code": (r"^\s*[-*]?\s*(\w+)\s+([\w.$<>]+)\s+([^\s():]+:\d+(?:-\d+)?)\s+\((\d+) lines\)\s*$", ("kind", "name", "location", "lines")),
+    "module": (r"^\s*([\w./<>-]+)/?: (\d+) files?, (\d+) symbols?\s*$", ("module", "files", "symbols")),
+    "dependency": (r"^\s*([\w./-]+) -> ([\w./-]+)(?: \((\d+)\))?\s*$", ("from", "to", "count")),
+    "call": (r"^\s*([^\s():]+:[\w.$<>]+) (->|<-) ([^\s():]+:[\w.$<>]+)\s*$", ("left", "direction", "right")),
+    "overview": (r"^\s*(\d+) (function|method|class) ([\w.$<>]+)\s*$", ("line", "kind", "name")),
+}
+
+
+def report_lines(reports: DataFrame, shape: str) -> DataFrame:
+    """(report_id, pos, ...) of the lines of reports (report_id, text) that have a known shape; others are left out."""
+    rx, names = LINES[shape]
+    rows = reports.select("report_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike(rx))
+    return rows.select("report_id", "pos", *[F.regexp_extract("line", rx, k + 1).alias(n) for k, n in enumerate(names)])
+
+
 def impact_tree(reports: DataFrame) -> DataFrame:
     """(report_id, pos, depth, name, location, parent) of indented caller lines 'name (file:line)', two blanks a level."""
     from pyspark.sql import Window
