@@ -263,7 +263,7 @@ def near_duplicates(
     shared = first.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("top")).where("c < top")
     pairs = common.settle(
         first.join(shared.select("key", "c"), "key").where("id <> c")
-        .groupBy(F.col("id").alias("a"), F.col("c").alias("b")).agg(F.collect_list("key").alias("keys")))
+        .groupBy(F.col("id").alias("a"), F.col("c").alias("b")).agg(F.collect_set("key").alias("keys")))
     involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sequences = common.settle(_sequences(rows.join(involved, "id", "left_semi")))
     tested = common.settle(_verify(pairs.select("a", "b"), sequences, similarity))
@@ -281,26 +281,34 @@ def near_duplicates(
 
 def _rest(tested: DataFrame, pairs: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between members that share a bucket whose centre doesn't link them both."""
-    open_centres = (
+    centres = (
         tested.groupBy("b").agg(F.count_if(F.col("state") < 2).alias("left"), F.count_if(F.col("state") == 1).alias("reach"),
-                                F.count(F.lit(1)).alias("n"))
-        .where("reach > 0 OR left > 1")
-        .select("b", "reach", F.when(F.col("reach") > 0, F.col("n")).otherwise(F.col("left")).alias("size"))
+                                F.count_if(F.col("state") == 2).alias("near"))
+        .where("(reach > 0 AND near > 0) OR left > 1")
+        .select("b", "reach", F.ceil(F.col("left") / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("near") / BLOCK).cast("int").alias("nears"))
     )
+    is_near = F.col("state") == 2
+    blocks = F.when(is_near, F.col("nears")).otherwise(F.col("lefts"))
+    # what is left meets each other (kind 0); what is within reach also meets what the centre links (kind 1)
+    own = F.col("own")
+    to = lambda n, kind, i, j: F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(
+        F.lit(kind).alias("kind"), i(k).alias("bi"), j(k).alias("bj")))
+    meets = F.when(is_near, to(F.col("lefts"), 1, lambda k: k, lambda k: own)).otherwise(F.concat(
+        to(F.col("lefts"), 0, lambda k: F.least(own, k), lambda k: F.greatest(own, k)),
+        F.when((F.col("state") == 1) & (F.col("nears") > 0), to(F.col("nears"), 1, lambda k: own, lambda k: k)).otherwise(
+            F.array().cast("array<struct<kind:int,bi:int,bj:int>>"))))
     members = (
-        tested.join(open_centres, "b").where("state < 2 OR reach > 0")
-        .withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64(F.lit(3), "a"), F.col("parts")).cast("int"))
+        tested.join(centres, "b").where("state < 2 OR reach > 0")
+        .withColumn("own", F.pmod(F.xxhash64(F.lit(3), "a"), blocks).cast("int"))
         .join(pairs, ["a", "b"]).join(sequences.withColumnRenamed("id", "a"), "a")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select(F.col("b").alias("c"), F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"),
-                "own", "a", "state", "d", "keys", "s")
+        .withColumn("m", F.explode(meets))
+        .select(F.col("b").alias("c"), "m.kind", "m.bi", "m.bj", "own", "a", "state", "d", "keys", "s")
     )
-    dealt = members.repartition("c", "bi", "bj").sortWithinPartitions("c", "bi", "bj", "a")
+    dealt = members.repartition("c", "kind", "bi", "bj").sortWithinPartitions("c", "kind", "bi", "bj", "a")
 
-    def compare(rows: list[tuple], bi: int, bj: int) -> list[tuple[int, int]]:
-        ids, states, dists = [r[4] for r in rows], [r[5] for r in rows], [r[6] for r in rows]
-        seqs = [np.frombuffer(r[8], np.uint32) for r in rows]
+    def compare(rows: list[tuple], kind: int, bi: int, bj: int) -> list[tuple[int, int]]:
+        ids, states, dists = [r[5] for r in rows], [r[6] for r in rows], [r[7] for r in rows]
+        seqs = [np.frombuffer(r[9], np.uint32) for r in rows]
         tree = {i: i for i in ids}
 
         def root(x):
@@ -313,14 +321,14 @@ def _rest(tested: DataFrame, pairs: DataFrame, sequences: DataFrame, similarity:
             tree[root(i)] = root(near_ones[0])
         found, holders = [], {}
         for k, r in enumerate(rows):
-            if r[3] == bj:
-                for key in r[7]:
+            if states[k] == 2 if kind else r[4] == bj:
+                for key in r[8]:
                     holders.setdefault(key, []).append(k)
         for x, r in enumerate(rows):
-            if r[3] != bi:
+            if states[x] == 2 if kind else r[4] != bi:
                 continue
-            for y in {k for key in r[7] for k in holders.get(key, ())}:
-                if bi == bj and y <= x or ids[x] == ids[y] or 2 in (states[x], states[y]) and states[x] + states[y] != 3:
+            for y in {k for key in r[8] for k in holders.get(key, ())}:
+                if not kind and bi == bj and y <= x or ids[x] == ids[y]:
                     continue
                 n, m = len(seqs[x]), len(seqs[y])
                 most = int((1 - similarity) * max(n, m) + 1e-9)
@@ -336,11 +344,11 @@ def _rest(tested: DataFrame, pairs: DataFrame, sequences: DataFrame, similarity:
         for b in batches:
             found = []
             for r in zip(*(c.to_pylist() for c in b.columns)):
-                if last is not None and r[:3] != last:
+                if last is not None and r[:4] != last:
                     found += compare(held, *last[1:])
                     held = []
                 held.append(r)
-                last = r[:3]
+                last = r[:4]
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
         found = compare(held, *last[1:]) if held else []
         yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
