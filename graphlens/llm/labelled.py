@@ -31,11 +31,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> list[tu
     chosen = []
     for y in (1, 0):
         chosen.append(known.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").limit(most).collect())
-    few = min(len(c) for c in chosen)
-    room = most - min(few, half)
-    take = [c[:room] if len(c) > few or few > half else c for c in chosen]
-    if few > half:
-        take = [c[:half] for c in chosen]
+    take = [c[:max(half, most - len(other))] for c, other in zip(chosen, chosen[::-1])]
     ids = docs.sparkSession.createDataFrame([(r[0], r[1]) for c in take for r in c], "doc_id bigint, y int")
     # at most `most` rows, so the broadcast is bounded
     rows = (
