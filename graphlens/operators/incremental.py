@@ -25,10 +25,11 @@ def snapshot(g: Graph) -> DataFrame:
 
 
 def digests(g: Graph) -> DataFrame:
-    """(language, files, digest) over files by extension; the digest doesn't depend on order and merges by parts."""
+    """(language, files, digest) over files by extension; the digest is a sum, so it doesn't depend on order and merges by parts."""
     s = snapshot(g).withColumn("language", F.substring_index("path", ".", -1))
-    row = F.xxhash64("path", F.coalesce("last_node", F.lit(0))).cast("decimal(38,0)")
-    return s.groupBy("language").agg(F.count(F.lit(1)).alias("files"), F.sum(row).alias("digest"))
+    row = F.md5(F.concat_ws("|", "path", F.coalesce("last_node", F.lit(0)).cast("string")))
+    part = F.conv(F.left(row, F.lit(12)), 16, 10).cast("decimal(38,0)")
+    return s.groupBy("language").agg(F.count(F.lit(1)).alias("files"), F.sum(part).cast("string").alias("digest"))
 
 
 def _keyed(edges: DataFrame) -> DataFrame:

@@ -25,8 +25,8 @@ SELECT p.p_partkey AS id, f.id AS file_id,
             WHEN p_size % 10 <= 5 THEN 'method' ELSE 'function' END AS type,
        replace(p_name, ' ', '_') AS name,
        concat('C', CAST(p_size AS STRING), '.', replace(p_name, ' ', '_')) AS qualified_name,
-       10 * row_number() OVER (PARTITION BY f.id ORDER BY p_partkey) AS start_line,
-       10 * row_number() OVER (PARTITION BY f.id ORDER BY p_partkey) + p_size AS end_line
+       CAST(10 * row_number() OVER (PARTITION BY f.id ORDER BY p_partkey) AS INT) AS start_line,
+       CAST(10 * row_number() OVER (PARTITION BY f.id ORDER BY p_partkey) + p_size AS INT) AS end_line
 FROM {part} p JOIN {cg_files} f ON f.p_type = p.p_type AND f.p_brand = p.p_brand"""
 
 EDGES_SQL = """

@@ -251,27 +251,29 @@ _graph("tour_levels", lambda g: algo.reading_order(algo.node_imports(g)), """
 ce AS (SELECT DISTINCT a.c AS a, b.c AS b FROM im JOIN ids a ON a.id = im.s JOIN ids b ON b.id = im.t WHERE a.c <> b.c),
 lv AS (SELECT DISTINCT c, 0 AS level FROM ids UNION SELECT ce.a, level + 1 FROM lv JOIN ce ON ce.b = lv.c)
 SELECT id, max(level) AS level, in_cycle FROM ids JOIN lv USING (c) GROUP BY id, in_cycle""", SCC)
-_graph("betweenness", lambda g: algo.betweenness(traverse.call_edges(g).select(F.col("s_id").alias("s"), F.col("t_id").alias("t"))).select(
-    "id", F.round("betweenness", 4).alias("betweenness")), f"""
+BETWEEN = f"""
 , ce AS (SELECT DISTINCT s.id AS s, t.id AS t FROM cg_edges e JOIN sym s ON s.id = e.source_id JOIN sym t ON t.id = e.target_id
   WHERE relation = 'calls' AND confidence <> 'ambiguous' AND s.type IN {FUNC} AND t.type IN {FUNC} AND s.id <> t.id),
 n AS (SELECT s AS id FROM ce UNION SELECT t FROM ce),
 w AS (SELECT id AS s, id AS t, 0 AS d, [id] AS p FROM n UNION ALL SELECT w.s, ce.t, d + 1, list_append(p, ce.t) FROM w JOIN ce ON ce.s = w.t WHERE NOT list_contains(p, ce.t)),
 dist AS (SELECT s, t, min(d) AS d FROM w GROUP BY s, t),
 paths AS (SELECT w.s, w.t, p, count(*) OVER (PARTITION BY w.s, w.t) AS sigma FROM w JOIN dist USING (s, t, d) WHERE w.d > 1),
-inner_nodes AS (SELECT unnest(p[2:-2]) AS id, 1.0 / sigma AS share FROM paths)
-SELECT n.id, round(coalesce(sum(share), 0), 4) AS betweenness FROM n LEFT JOIN inner_nodes USING (id) GROUP BY n.id""")
+inner_nodes AS (SELECT unnest(p[2:-2]) AS id, 1.0 / sigma AS share FROM paths),
+bt AS (SELECT n.id, round(coalesce(sum(share), 0), 4) AS betweenness FROM n LEFT JOIN inner_nodes USING (id) GROUP BY n.id)"""
+_graph("betweenness", lambda g: algo.betweenness(traverse.call_edges(g).select(F.col("s_id").alias("s"), F.col("t_id").alias("t"))).select(
+    "id", F.round("betweenness", 4).alias("betweenness")), "SELECT * FROM bt", BETWEEN)
 _graph("dead_code", algo.dead_code, f"""
 SELECT CASE WHEN EXISTS (SELECT 1 FROM cg_edges e WHERE e.source_id = s.id AND e.target_id <> s.id) THEN 'unused' ELSE 'orphan' END AS kind, id, qname, path,
   CAST(end_line - start_line + 1 AS INT) AS lines FROM sym s WHERE type IN {FUNC} AND NOT is_test
   AND NOT EXISTS (SELECT 1 FROM cg_edges e WHERE e.target_id = s.id AND e.source_id <> s.id)""")
-_graph("surprising", algo.surprising, """
+SURPRISING = """
 SELECT s_id, t_id, CAST(doubt + CAST(across AS INT) + CAST(bridge AS INT) AS INT) AS score,
   concat_ws(',', CASE doubt WHEN 2 THEN 'ambiguous' WHEN 1 THEN 'inferred' END, CASE WHEN across THEN 'crosses_modules' END, CASE WHEN bridge THEN 'sole_bridge' END) AS why
 FROM (SELECT *, split_part(s_path, '/', 1) <> split_part(t_path, '/', 1) AS across, s_path <> t_path AND count(*) OVER (PARTITION BY s_path, t_path) = 1 AS bridge FROM (
   SELECT s.id AS s_id, t.id AS t_id, s.path AS s_path, t.path AS t_path, max(CASE confidence WHEN 'ambiguous' THEN 2 WHEN 'inferred' THEN 1 ELSE 0 END) AS doubt
   FROM cg_edges e JOIN sym s ON s.id = e.source_id JOIN sym t ON t.id = e.target_id
-  WHERE relation IN ('calls', 'references') AND s.id <> t.id AND NOT s.is_test AND NOT t.is_test GROUP BY ALL)) ORDER BY score DESC, s_id, t_id LIMIT 20""")
+  WHERE relation IN ('calls', 'references') AND s.id <> t.id AND NOT s.is_test AND NOT t.is_test GROUP BY ALL)) ORDER BY score DESC, s_id, t_id LIMIT 20"""
+_graph("surprising", algo.surprising, SURPRISING)
 
 # features
 FEATURES = """, fp(feature, ordinal, regex) AS (VALUES ('Promotions', 0, '(^|/)promo/.*(/.*)?$'), ('Small', 1, '(^|/)small/b1[^/][.]py(/.*)?$'),
@@ -385,7 +387,10 @@ _graph("index_fingerprint", incremental.fingerprint, """
 SELECT (SELECT count(*) FROM cg_files) AS files, (SELECT max(id) FROM cg_files) AS last_file, (SELECT count(*) FROM cg_nodes) AS nodes,
   (SELECT max(id) FROM cg_nodes) AS last_node, (SELECT count(*) FROM cg_edges) AS edges""")
 _graph("index_snapshot", incremental.snapshot, "SELECT path, (SELECT max(id) FROM cg_nodes n WHERE n.file_id = f.id) AS last_node FROM cg_files f")
-_graph("index_digests", incremental.digests)
+_graph("index_digests", incremental.digests, """
+SELECT split_part(path, '.', -1) AS language, count(*) AS files,
+  CAST(sum(CAST('0x' || substr(md5(path || '|' || CAST(coalesce((SELECT max(id) FROM cg_nodes n WHERE n.file_id = f.id), 0) AS STRING)), 1, 12) AS BIGINT)) AS STRING) AS digest
+FROM cg_files f GROUP BY 1""")
 
 
 def _diff(g: Graph) -> tuple[DataFrame, DataFrame]:
@@ -436,8 +441,17 @@ _graph("feature_info", lambda g: reports.feature_info(g, _spec(g)), f"""
 SELECT feature, (SELECT count(*) FROM ff WHERE ff.feature = sp.feature) AS files,
   (SELECT count(*) FROM ff JOIN cg_nodes n ON n.file_id = ff.id WHERE ff.feature = sp.feature AND type IN {FUNC} AND {VISIBLE}) AS functions,
   CAST(decisions AS INT) AS decisions, CAST(affected AS BIGINT) AS affected FROM sp""", FEATURES)
-_graph("project_health", reports.project_health)
-_graph("analyze_diff", lambda g: reports.analyze_diff(g, _spec(g), diff.changed_lines(g.files.sparkSession.createDataFrame([(1, DIFF)], "diff_id int, diff string"))))
+_graph("project_health", reports.project_health, f"""
+SELECT 'chokepoint' AS kind, CAST(id AS STRING) AS subject, betweenness AS value FROM (SELECT * FROM bt WHERE betweenness > 0 ORDER BY betweenness DESC, id LIMIT 10)
+UNION ALL SELECT DISTINCT 'import_cycle', CAST(component AS STRING), CAST(size AS DOUBLE) FROM scc
+UNION ALL SELECT 'surprising', CAST(s_id AS STRING) || '->' || CAST(t_id AS STRING), CAST(score AS DOUBLE) FROM ({SURPRISING})""",
+       BETWEEN.replace("AND s.id <> t.id)", "AND s.id <> t.id AND NOT s.is_test AND NOT t.is_test)", 1) + SCC)
+TOUCHED = f"""hit AS (SELECT s.id, qname, count(DISTINCT (ch.path, line)) AS changed_lines FROM sym s
+  JOIN (VALUES ('promo/b11.js', 13), ('promo/b11.js', 14), ('promo/b11.js', 15), ('small/b', 40), ('small/b', 42), ('ECONOMY/B2', 43), ('ECONOMY/B2', 33)) ch(path, line)
+  ON s.path ILIKE '%' || ch.path || '%' AND line BETWEEN start_line AND end_line WHERE type IN {SYM} GROUP BY s.id, qname ORDER BY changed_lines DESC, s.id LIMIT 25),
+roots AS (SELECT id FROM hit)"""
+_graph("analyze_diff", lambda g: reports.analyze_diff(g, _spec(g), diff.changed_lines(g.files.sparkSession.createDataFrame([(1, DIFF)], "diff_id int, diff string"))),
+       "SELECT hit.id, qname, changed_lines, callers, risk FROM hit JOIN risks ON root = hit.id", PAIRS + WALK_UP.replace(ROOTS, TOUCHED) + FEATURES + RISKS)
 _graph("module_entries", modules.module_entries, f"""
 SELECT split_part(f.path, '/', 1) AS module, count(DISTINCT f.id) AS files, count(*) FILTER (n.type IN {FUNC}) AS functions, count(*) FILTER (n.type = 'class') AS classes,
   count(*) FILTER (n.type NOT IN {SYM}) AS other, count(n.id) AS symbols, array_to_string(list_sort(list(DISTINCT split_part(f.path, '.', -1))), ', ') AS languages
