@@ -33,7 +33,7 @@ def _graph(name: str, fn: Callable[[Graph], DataFrame], sql: str | None = None,
 
 
 def _roots(g: Graph) -> DataFrame:
-    return g.nodes.where(F.col("type").isin("function", "method") & (F.col("id") % 20 == 5)).select("id")
+    return g.nodes.where(F.col("type").isin("function", "method")).select("id")
 
 
 ROOTS = f"roots AS (SELECT id FROM sym WHERE type IN {FUNC} AND id % 20 = 5)"
@@ -182,7 +182,7 @@ FILE_EDGES = """, fe AS (SELECT s.file_id AS from_file, t.file_id AS to_file, co
 FROM cg_edges e JOIN cg_nodes s ON s.id = e.source_id JOIN cg_nodes t ON t.id = e.target_id
 WHERE relation IN ('calls', 'imports') AND confidence <> 'ambiguous' AND s.file_id <> t.file_id GROUP BY ALL)"""
 _graph("file_dependencies", traverse.file_edges, "SELECT * FROM fe", FILE_EDGES)
-_graph("file_dependents", lambda g: traverse.file_dependents(g, g.files.where("id % 25 = 3").select("id")), """
+_graph("file_dependents", lambda g: traverse.file_dependents(g, g.files.select("id")), """
 , wf AS (SELECT id AS root, id, 0 AS depth FROM cg_files WHERE id % 25 = 3 UNION SELECT root, from_file, depth + 1 FROM wf JOIN fe ON to_file = wf.id WHERE depth < 2)
 SELECT root, id, min(depth) AS depth FROM wf GROUP BY root, id HAVING min(depth) > 0""", FILE_EDGES)
 
