@@ -37,7 +37,10 @@ FROM (SELECT l_partkey AS source_id,
              lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
                 l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS target_id,
              l_linestatus, l_discount, l_returnflag, l_quantity FROM {lineitem}) q
-WHERE target_id IS NOT NULL AND l_quantity <= 5"""
+WHERE target_id IS NOT NULL"""
+
+#: The oracle statements still take only these of the edges.
+THIN = " AND l_quantity <= 5"
 
 #: Test code by path, as functions.expr.is_test_path has it.
 IS_TEST_SQL = (
@@ -49,7 +52,7 @@ IS_TEST_SQL = (
 #: What every oracle statement starts with.
 CTES = (
     "WITH RECURSIVE cg_files AS (" + FILES_SQL.format(part="part") + "),\ncg_nodes AS ("
-    + NODES_SQL.format(part="part", cg_files="cg_files") + "),\ncg_edges AS (" + EDGES_SQL.format(lineitem="lineitem")
+    + NODES_SQL.format(part="part", cg_files="cg_files") + "),\ncg_edges AS (" + EDGES_SQL.format(lineitem="lineitem") + THIN
     + "),\nsym AS (SELECT n.id, n.file_id, n.type, n.name, coalesce(n.qualified_name, n.name) AS qname, f.path, n.start_line, n.end_line, "
     + IS_TEST_SQL + " AS is_test FROM cg_nodes n JOIN cg_files f ON n.file_id = f.id)"
 )

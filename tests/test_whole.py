@@ -1,8 +1,8 @@
 """Registered graph queries over all of their input: each root, each file, each edge."""
 
-import duckdb
 import os
 
+import duckdb
 import pytest
 
 from graphlens import queries as q
@@ -11,7 +11,7 @@ from graphlens.plans import binding
 from test_queries import rows
 
 #: What the registered SQL leaves out; here it is asked for the whole.
-CUTS = (" AND id % 20 = 5", " WHERE id % 25 = 3")
+CUTS = (" AND id % 20 = 5", " WHERE id % 25 = 3", binding.THIN)
 ROOTED = ("indirect_callers", "deep_callers", "caller_tree", "downstream_edges", "call_graph_both", "impact_graph", "impact_by_feature", "risk_level",
           "overall_risk", "analyze_impact", "file_dependents")
 
@@ -54,3 +54,44 @@ def test_roots_by_hand(spark, sf):
             seen |= front
             want |= {(root, b, depth) for b in front}
     assert {tuple(r) for r in q.QUERIES["deep_callers"](spark, sf).select("root", "id", "depth").collect()} == want
+
+
+@pytest.mark.parametrize("name", ["hotspots", "callers_split", "callees", "import_cycles", "shortest_loops", "boundary_map", "surprising"])
+def test_all_edges(spark, sf, duck, name):
+    sql = whole(q.ORACLES[name])
+    assert "l_quantity <=" not in sql
+    assert rows(q.QUERIES[name](spark, sf).toPandas()) == rows(duck.sql(sql).df())
+
+
+def test_edges_by_hand(spark, sf):
+    """A line item leads to the next one of its order, so an order has one edge less than lines."""
+    lines, orders = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("count(*)", "count(DISTINCT l_orderkey)").first()
+    assert binding.bind(spark, sf).edges.count() == lines - orders
+
+
+def test_betweenness_by_hand(spark, sf):
+    """Brandes' sums over all edges, one source at a time."""
+    g = binding.bind(spark, sf)
+    functions = {r.id for r in g.symbols.where("type IN ('function', 'method')").collect()}
+    out = {}
+    for e in g.edges.where("relation = 'calls' AND confidence <> 'ambiguous' AND source_id <> target_id").collect():
+        if e.source_id in functions and e.target_id in functions:
+            out.setdefault(e.source_id, set()).add(e.target_id)
+            out.setdefault(e.target_id, set())
+    want = dict.fromkeys(out, 0.0)
+    for s in out:
+        depth, sigma, order = {s: 0}, {s: 1}, [s]
+        for a in order:
+            for b in out[a]:
+                if b not in depth:
+                    depth[b], sigma[b] = depth[a] + 1, 0
+                    order.append(b)
+                if depth[b] == depth[a] + 1:
+                    sigma[b] += sigma[a]
+        delta = dict.fromkeys(order, 0.0)
+        for a in reversed(order):
+            delta[a] = sum(sigma[a] / sigma[b] * (1 + delta[b]) for b in out[a] if depth[b] == depth[a] + 1)
+            if a != s:
+                want[a] += delta[a]
+    got = {r.id: r.betweenness for r in q.QUERIES["betweenness"](spark, sf).collect()}
+    assert got == pytest.approx(want, abs=1e-4)
