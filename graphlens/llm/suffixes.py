@@ -306,8 +306,21 @@ def _crowded(pieces: DataFrame, length: int) -> DataFrame:
     return spans
 
 
+def _one_each(rows: DataFrame) -> DataFrame:
+    """rows (doc, th, bytes) without repeats; only texts whose doc and th come again are compared."""
+    again = common.settle(rows.groupBy("doc", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc", "th"))
+    if again.isEmpty():
+        return rows
+    return rows.join(again, ["doc", "th"], "left_anti").unionByName(
+        common.settle(rows.join(again, ["doc", "th"], "left_semi").distinct()))
+
+
 def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc, th, spans) of the texts in rows (doc, th, bytes) that have strings which also start earlier."""
+    """(doc, th, spans) of the texts in rows (doc, th, bytes) that have strings which also start earlier.
+
+    Equal rows are one text, so neither holds the other's strings first.
+    """
+    rows = _one_each(rows.select("doc", "th", "bytes"))
     anchors = _anchors(rows, length)
     common_ones = common.settle(anchors.groupBy("akey").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("akey"))
     shared = common.settle(anchors.join(common_ones, "akey", "left_semi"))

@@ -97,6 +97,20 @@ def test_suffix_stage_keeps_columns(spark):
     assert by[1].text is None and by[40].text == "" and by[40].n_chars == 0 and by[2].text == ""
 
 
+def test_repeated_row_holds_a_string_first(spark):
+    """A later document shares a passage with a row that is there twice: it goes from that document alone."""
+    r = random.Random(21)
+    passage = text(r, 60)
+    first, later = f"{text(r, 40)} {passage} {text(r, 40)}", f"{text(r, 30)} {passage} {text(r, 50)}"
+    rows = [(1, first), (1, first), (2, later), (None, "n"), (None, "n")]
+    want = covered([rows[0], rows[2]], 100)
+    for got in suffixes.remove_repeats(make(spark, rows)).where("doc_id > 0").collect():
+        b, cov = want[got.doc_id]
+        assert bytes(got.kept) == bytes(x for x, c in zip(b, cov) if not c)
+    texts = sorted((x.doc_id, x.text) for x in suffixes.dedup_documents(make(spark, rows)).where("doc_id > 0").collect())
+    assert texts[:2] == [(1, first)] * 2 and len(texts[2][1]) < len(later) - 100
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffixes.remove_repeats(make(spark, []).limit(0)).count() == 0
 
