@@ -132,8 +132,8 @@ class Tokenizer:
         usable = {p.encode(): i for i, (p, _, t) in enumerate(vocab) if t in (NORMAL, USER)}
         scores = [s for _, s, t in vocab if t == NORMAL]
         low, high = min(scores, default=0.0), max(scores, default=0.0)
-        self.unk_score = np.float32(low - UNK_PENALTY)
-        self.score = np.array([len(p) * high - 0.1 if t == USER else s for p, s, t in vocab], np.float32)
+        self.unk_score = np.float64(low - UNK_PENALTY)
+        self.score = np.array([len(p) * high - 0.1 if t == USER else s for p, s, t in vocab], np.float64)
         self.trie = trie or Trie(usable)
         self.longest = max(map(len, usable), default=1)
         self.unk = next((i for i, (_, _, t) in enumerate(vocab) if t == UNKNOWN), 0)
@@ -155,7 +155,7 @@ class Tokenizer:
         codes = np.zeros((width + 4, n), np.int32)
         flat = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
         codes[:width] = np.where(np.arange(width)[:, None] < length, flat.T.astype(np.int32) + 1, 0)
-        best = np.full((width + 1, n), -np.inf, np.float32)
+        best = np.full((width + 1, n), -np.inf, np.float64)
         best[0] = 0
         back = np.zeros((width + 1, n), np.int32)
         piece = np.full((width + 1, n), -1, np.int32)

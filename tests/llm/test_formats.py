@@ -125,6 +125,18 @@ def test_pieces(spark):
     assert pieces.encode_documents(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@needs_vocab
+def test_pieces_beside_very_low_scores():
+    """The model's lowest score is -1e9, as an unknown character's is; what follows one is still told apart."""
+    tok = pieces.load()
+    r = random.Random(8)
+    words = ["ñramique", "☃tionables", "▁ramique", "☃☃☃ramique" * 3, "日本語の文章がつづく" * 40, "ñ" * 3000 + "ramique"]
+    words += [r.choice(["ñ", "☃", "▁", "日本", "😀"]) * r.randint(1, 3) + "".join(r.choice(["ram", "ique", "tion", "es", "ab", "le", "wh", "or"]) for _ in range(r.randint(1, 5)))
+              for _ in range(400)]
+    for w, ids in zip(words, tok.encode_batch(words)):
+        assert ids == best_path(tok, w), w[:40]
+
+
 @needs_vocab
 def test_pieces_as_the_library_scores_them():
     """On single words the library, told that the model is a Unigram one, agrees."""
