@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,29 +23,60 @@ def normal(unit: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(unit), r"\s+", " "))
 
 
+def runs(words: list[int], least: int) -> set[tuple[int, int]]:
+    """(start, end) of the shortest runs of at least `least` words from each sentence on and up to each, given each one's words.
+
+    Any repeated run of so many words is covered by such runs. The whole line
+    isn't among them, nor do sentences without words start or end one.
+    """
+    total = [0, *accumulate(words)]
+    found = {(i, bisect_left(total, total[i] + least)) for i in range(len(words)) if total[i] + least <= total[-1]}
+    found |= {(bisect_right(total, total[j] - least) - 1, j) for j in range(1, len(total)) if total[j] >= least}
+    return {(i, j) for i, j in found if words[i] and words[j - 1] and total[j] - total[i] < total[-1]}
+
+
+def _sentences(docs: DataFrame, least: int) -> DataFrame:
+    """Lines, and runs of sentences of lines that have several."""
+    cut = re.compile(SENTENCE)
+    kinds = [("doc_id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("sub", pa.int32()), ("size", pa.int32()), ("unit", pa.string())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                out = []
+                for doc_id, th, text in zip(*(c.to_pylist() for c in b.slice(at, 256).columns)):
+                    for pos, line in enumerate(text.split("\n")):
+                        if not line:
+                            continue
+                        out.append((doc_id, th, pos, -1, 1, line))
+                        parts = cut.findall(line)
+                        if len(parts) > 1:
+                            out += [(doc_id, th, pos, i, j - i, "".join(parts[i:j])) for i, j in runs([len(p.split()) for p in parts], least)]
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, (_, k) in enumerate(kinds)], names=[n for n, _ in kinds])
+
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id bigint, th bigint, pos int, sub int, size int, unit string")
+
+
 def _units(docs: DataFrame, unit: str, min_words: int, min_sentence: int) -> DataFrame:
-    u = docs.select("doc_id", "th", F.posexplode(F.split("text", SEPARATORS[unit])).alias("pos", "unit"))
-    whole = F.array(F.struct(F.lit(-1).alias("sub"), F.col("unit").alias("unit"), F.lit(min_words).alias("least")))
     if unit == "line":
-        u = u.withColumn("cut", F.regexp_extract_all("unit", F.lit(SENTENCE), F.lit(0)))
-        many = F.size("cut") > 1
-        parts = F.transform("cut", lambda x, i: F.struct(i.alias("sub"), x.alias("unit"), F.when(many, min_sentence).otherwise(min_words).alias("least")))
-        u = u.select("doc_id", "th", "pos", F.explode(F.when(many, F.concat(whole, parts)).otherwise(parts)).alias("u"))
+        u = _sentences(docs, min_sentence)
     else:
-        u = u.select("doc_id", "th", "pos", F.explode(whole).alias("u"))
-    u = u.select("doc_id", "th", "pos", "u.sub", normal(F.col("u.unit")).alias("unit"), "u.least").where(F.size(F.split("unit", " ")) >= F.col("least"))
-    return u.select("doc_id", "th", "pos", "sub", F.xxhash64("unit").alias("h1"),
+        u = docs.select("doc_id", "th", F.posexplode(F.split("text", SEPARATORS[unit])).alias("pos", "unit")).select(
+            "doc_id", "th", "pos", F.lit(-1).alias("sub"), F.lit(1).alias("size"), "unit")
+    u = u.withColumn("unit", normal(F.col("unit"))).where((F.col("unit") != "") & ((F.col("sub") >= 0) | (F.size(F.split("unit", " ")) >= min_words)))
+    return u.select("doc_id", "th", "pos", "sub", "size", F.xxhash64("unit").alias("h1"),
                     F.xxhash64(F.lit(77), F.reverse("unit")).alias("h2"))
 
 
 def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = 5, min_sentence: int = 8) -> DataFrame:
     """Remove each line (or paragraph) that occurs before, in any document.
 
-    A line of several sentences counts whole and by its sentences, so passages
-    that were put into longer lines are found too. Occurrences rank by
-    (doc_id, position), a null id first; the earliest stays. Units of fewer
-    than min_words words after normalising, and sentences among others of
-    fewer than min_sentence, take no part. Rows that repeat both id and text
+    A line of several sentences counts whole and by runs of its sentences, each
+    just long enough for min_sentence words, so passages that were put into
+    longer lines are found too, however short their sentences. Occurrences rank
+    by (doc_id, position), a null id first; the earliest stays, but runs that
+    overlap an equal one are later. Units without words or of fewer than
+    min_words words after normalising take no part. Rows that repeat both id and text
     rank alike and are treated alike: what is new in them stays in each.
     Returns per row doc_id, text (what is left), spans (array of the removed
     (start, end) character offsets in the given text, adjacent ones joined),
@@ -55,12 +88,12 @@ def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = 5, min_sen
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("th", F.xxhash64("text"))
     units = _units(rows, unit, min_words, min_sentence)
-    where = F.struct(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("pos").alias("p"), F.col("sub").alias("s"))
+    where = F.struct(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("pos").alias("p"), F.col("sub").alias("s"), F.col("size").alias("n"))
     firsts = (units.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.max(where).alias("last"))
               .where("NOT first <=> last").drop("last"))
     gone = (units.join(firsts, ["h1", "h2"])
             .where(~where.eqNullSafe(F.col("first")))
-            .groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "sub")).alias("gone"))
+            .groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "sub", "size")).alias("gone"))
             .select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th"), "gone"))
     joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("th") == F.col("g_th")), "left")
     cut = re.compile(SEPARATORS[unit])
@@ -88,7 +121,7 @@ def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = 5, min_sen
         for b in batches:
             out = []
             for doc_id, text, gone_at in zip(*(c.to_pylist() for c in b.columns)):
-                found, units, n = removed(text, {(g["pos"], g["sub"]) for g in gone_at or ()})
+                found, units, n = removed(text, {(g["pos"], g["sub"] + i) for g in gone_at or () for i in range(g["size"])})
                 spans, kept, last = [], [], 0
                 for s, e in found:
                     if spans and spans[-1]["end"] == s:
@@ -110,7 +143,7 @@ def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = 5, min_sen
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = dedup_units(common.table(spark, sf_dir, "documents"))
+    got = dedup_units(common.table(spark, sf_dir, "documents"), min_words=1)
     return got.select(
         "doc_id", "n_units", "n_removed", F.size("spans").alias("n_spans"),
         F.aggregate("spans", F.lit(0), lambda a, s: a + s["end"] - s["start"]).alias("removed_chars"),

@@ -145,6 +145,29 @@ def test_passages_inside_lines(spark):
     assert got[2].text == rows[1][1].replace(passage + " ", "") and got[2].n_removed == 5 and len(got[2].spans) == 1
 
 
+def test_passages_of_short_sentences(spark, tmp_path):
+    """Short sentences go as a run; short lines go, empty ones stay."""
+    r = random.Random(13)
+    passage = " ".join(text(r, n).capitalize() + "." for n in (3, 5, 2, 7, 1, 4, 6, 5, 9, 7, 4))
+    rows = [(1, f"{text(r, 30)}. {passage} {text(r, 30)}.\n\nno\n"), (2, f"{text(r, 20)}. {passage} {text(r, 20)}.\n\nNO \nmore\n")]
+    docs = make(spark, rows)
+    got = {x.doc_id: x.text for x in lines.dedup_units(docs, min_words=1).collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1].replace(passage + " ", "").replace("NO \n", "")}
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {x.doc_id: x.n_removed for x in lines.op10_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 12}
+
+
+def test_runs_cover_repeats():
+    r = random.Random(14)
+    for _ in range(300):
+        words = [r.randint(0, 5) for _ in range(r.randint(2, 14))]
+        i, j = sorted(r.sample(range(len(words) + 1), 2))
+        if sum(words[i:j]) >= 8 and sum(words[i:j]) < sum(words):
+            own = [(a, b) for a, b in lines.runs(words, 8) if i <= a and b <= j]
+            assert all(sum(words[a:b]) >= 8 for a, b in own)
+            assert {k for k in range(i, j) if words[k]} <= {k for a, b in own for k in range(a, b)}
+
+
 def test_paragraphs(spark):
     r = random.Random(9)
     a, b = text(r, 9), text(r, 9)
