@@ -36,7 +36,7 @@ def _roots(g: Graph) -> DataFrame:
     return g.nodes.where(F.col("type").isin("function", "method")).select("id")
 
 
-ROOTS = f"roots AS (SELECT id FROM sym WHERE type IN {FUNC} AND id % 20 = 5)"
+ROOTS = f"roots AS (SELECT id FROM sym WHERE type IN {FUNC})"
 
 # callers and callees
 PAIRS = f""",
@@ -183,7 +183,7 @@ FROM cg_edges e JOIN cg_nodes s ON s.id = e.source_id JOIN cg_nodes t ON t.id =
 WHERE relation IN ('calls', 'imports') AND confidence <> 'ambiguous' AND s.file_id <> t.file_id GROUP BY ALL)"""
 _graph("file_dependencies", traverse.file_edges, "SELECT * FROM fe", FILE_EDGES)
 _graph("file_dependents", lambda g: traverse.file_dependents(g, g.files.select("id")), """
-, wf AS (SELECT id AS root, id, 0 AS depth FROM cg_files WHERE id % 25 = 3 UNION SELECT root, from_file, depth + 1 FROM wf JOIN fe ON to_file = wf.id WHERE depth < 2)
+, wf AS (SELECT id AS root, id, 0 AS depth FROM cg_files UNION SELECT root, from_file, depth + 1 FROM wf JOIN fe ON to_file = wf.id WHERE depth < 2)
 SELECT root, id, min(depth) AS depth FROM wf GROUP BY root, id HAVING min(depth) > 0""", FILE_EDGES)
 
 # modules
@@ -251,15 +251,19 @@ _graph("tour_levels", lambda g: algo.reading_order(algo.node_imports(g)), """
 ce AS (SELECT DISTINCT a.c AS a, b.c AS b FROM im JOIN ids a ON a.id = im.s JOIN ids b ON b.id = im.t WHERE a.c <> b.c),
 lv AS (SELECT DISTINCT c, 0 AS level FROM ids UNION SELECT ce.a, level + 1 FROM lv JOIN ce ON ce.b = lv.c)
 SELECT id, max(level) AS level, in_cycle FROM ids JOIN lv USING (c) GROUP BY id, in_cycle""", SCC)
+#: Paths are counted forward a level at a time, shares flow back the same way.
 BETWEEN = f"""
-, ce AS (SELECT DISTINCT s.id AS s, t.id AS t FROM cg_edges e JOIN sym s ON s.id = e.source_id JOIN sym t ON t.id = e.target_id
+, ce AS MATERIALIZED (SELECT DISTINCT s.id AS s, t.id AS t FROM cg_edges e JOIN sym s ON s.id = e.source_id JOIN sym t ON t.id = e.target_id
   WHERE relation = 'calls' AND confidence <> 'ambiguous' AND s.type IN {FUNC} AND t.type IN {FUNC} AND s.id <> t.id),
 n AS (SELECT s AS id FROM ce UNION SELECT t FROM ce),
-w AS (SELECT id AS s, id AS t, 0 AS d, [id] AS p FROM n UNION ALL SELECT w.s, ce.t, d + 1, list_append(p, ce.t) FROM w JOIN ce ON ce.s = w.t WHERE NOT list_contains(p, ce.t)),
-dist AS (SELECT s, t, min(d) AS d FROM w GROUP BY s, t),
-paths AS (SELECT w.s, w.t, p, count(*) OVER (PARTITION BY w.s, w.t) AS sigma FROM w JOIN dist USING (s, t, d) WHERE w.d > 1),
-inner_nodes AS (SELECT unnest(p[2:-2]) AS id, 1.0 / sigma AS share FROM paths),
-bt AS (SELECT n.id, round(coalesce(sum(share), 0), 4) AS betweenness FROM n LEFT JOIN inner_nodes USING (id) GROUP BY n.id)"""
+w(s, t, d, sigma) USING KEY (s, t) AS (SELECT id, id, 0, CAST(1 AS DOUBLE) FROM n
+  UNION SELECT w.s, ce.t, w.d + 1, sum(w.sigma) FROM w JOIN ce ON ce.s = w.t WHERE NOT EXISTS (SELECT 1 FROM recurring.w x WHERE x.s = w.s AND x.t = ce.t) GROUP BY w.s, ce.t, w.d),
+m AS MATERIALIZED (SELECT * FROM w),
+bk(s, t, d, sigma, delta) AS (SELECT s, t, d, sigma, CAST(0 AS DOUBLE) FROM m WHERE d = (SELECT max(d) FROM m)
+  UNION ALL SELECT m.s, m.t, m.d, m.sigma, coalesce(g.gain, 0) FROM m LEFT JOIN (SELECT y.s, y.t, sum(y.sigma / b.sigma * (1 + b.delta)) AS gain
+     FROM bk b JOIN ce ON ce.t = b.t JOIN m y ON y.s = b.s AND y.t = ce.s AND y.d = b.d - 1 GROUP BY y.s, y.t) g ON g.s = m.s AND g.t = m.t
+   WHERE m.d = (SELECT max(d) FROM bk) - 1),
+bt AS (SELECT n.id, round(coalesce(sum(delta) FILTER (bk.s <> bk.t), 0), 4) AS betweenness FROM n LEFT JOIN bk ON bk.t = n.id GROUP BY n.id)"""
 _graph("betweenness", lambda g: algo.betweenness(traverse.call_edges(g).select(F.col("s_id").alias("s"), F.col("t_id").alias("t"))).select(
     "id", F.round("betweenness", 4).alias("betweenness")), "SELECT * FROM bt", BETWEEN)
 _graph("dead_code", algo.dead_code, f"""
