@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,11 @@ from . import common
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that splits text before its bytes are merged; a fixed value of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Longer blank runs go round the pattern's engine, whose backtracking has a bound; they are one piece each.
+LONGEST_BLANKS = 50_000
+RANKS_BYTES = 64 << 20
+#: White space as the pattern has it (Unicode's property).
+_BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PACKED = (
     "pack_id string, n_tokens int, n_segments int, ids binary, positions binary, cu_seqlens array<int>, "
     "seg_doc_ids array<bigint>, seg_keys array<string>, seg_starts array<int>, seg_doc_tokens array<int>"
@@ -71,6 +77,30 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+def token_ids(enc, text: str, longest: int = LONGEST_BLANKS) -> list[int]:
+    """The ids of enc.encode_ordinary, also for texts with blank runs that its pattern can't take.
+
+    Of a run between words the pattern makes one piece of all but the last
+    character, and one of the whole at the text's end; such a run's piece is
+    merged by itself, what is around it is encoded as ever.
+    """
+    out, at = [], 0
+    for m in re.finditer(f"[{_BLANK}]{{{longest},}}", text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        out += enc.encode_ordinary(text[at:m.start()])
+        out += enc._encode_single_piece(text[m.start():end])
+        at = end
+    return out + enc.encode_ordinary(text[at:]) if at else enc.encode_ordinary(text)
+
+
+def read_ranks(path: str) -> bytes:
+    with open(path, "rb") as f:
+        raw = f.read(RANKS_BYTES + 1)
+    if len(raw) > RANKS_BYTES:
+        raise ValueError(f"the vocabulary is larger than {RANKS_BYTES} bytes")
+    return raw
+
+
 def pack_documents(
     docs: DataFrame, capacity: int = 2048, ranks_path: str = RANKS, pad_id: int = 50256, window_tokens: int = 1 << 21,
 ) -> DataFrame:
@@ -84,12 +114,13 @@ def pack_documents(
     restarts at 0 with each segment and in the padding, cu_seqlens the
     cumulative segment lengths from 0. Each task packs its own documents,
     window_tokens at a time, so memory is bounded; windows are whole input,
-    nothing is left out. A null or empty text has no tokens and so no segment.
+    nothing is left out. Which documents share a row follows from how rows are
+    dealt to tasks; the rows of a table read alike are the same each time. A
+    null or empty text has no tokens and so no segment, blank runs of any length
+    are encoded whole, and a vocabulary of over RANKS_BYTES is an error.
     seg_keys tells rows of equal doc_id apart (a digest of the text).
     """
-    with open(ranks_path, "rb") as f:
-        raw = f.read(64 << 20)
-    sent = docs.sparkSession.sparkContext.broadcast(raw)
+    sent = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.hex(F.xxhash64("text")).alias("key"))
     rows = rows.where("text <> ''")
@@ -128,7 +159,7 @@ def pack_documents(
 
         for b in batches:
             for doc_id, text, key in zip(*(c.to_pylist() for c in b.columns)):
-                ids = np.asarray(enc.encode_ordinary(text), kind)
+                ids = np.asarray(token_ids(enc, text), kind)
                 for start in range(0, len(ids), capacity):
                     segs.append((doc_id, key, start, len(ids), ids[start:start + capacity]))
                 held += len(ids)
