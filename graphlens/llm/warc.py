@@ -214,9 +214,12 @@ def parse_record(content: bytes) -> tuple:
             digest, None, told in ("", digest))
 
 
-def read_archives(files: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
+def read_archives(files: DataFrame, split_bytes: int = 8 << 20, task_bytes: int = 64 << 20) -> DataFrame:
     """The records of the archives in files (file, n_bytes), in RECORDS' columns.
 
+    Ranges of split_bytes are dealt evenly to a task for each task_bytes, or to
+    as many tasks as there are cores, a range each, where that is more; their
+    number is set, so that ranges, tiny as rows, aren't merged into one task.
     Payloads of responses are checked against their digest (intact). An empty
     or truncated archive gives the whole records it has.
     """
@@ -225,7 +228,10 @@ def read_archives(files: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
         F.explode(F.sequence(F.lit(0), F.col("n_bytes") - 1, F.lit(split_bytes).cast("bigint"))).alias("start"),
         "n_bytes",
     )
-    cuts = cuts.repartition("file", "start")
+    ranges, total = files.where("n_bytes > 0").agg(
+        F.sum(F.ceil(F.col("n_bytes") / split_bytes)), F.sum("n_bytes")).first()
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    cuts = cuts.repartition(int(max(1, min(ranges or 1, max(4 * cores, -(-(total or 0) // task_bytes))))))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [("file", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()),

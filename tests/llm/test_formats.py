@@ -5,9 +5,12 @@ import gzip
 import hashlib
 import os
 import random
+import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphlens.llm import common, decontam, packing, pieces, warc
 
@@ -34,6 +37,13 @@ def test_archives(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0), common.scratch(spark))).count() == 0
 
 
+def test_ranges_are_spread(spark, tmp_path):
+    """The ranges of one file go to several tasks, also where adaptive plans merge small partitions."""
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(warc.encode_record(i, "u", random.Random(i).randbytes(3000), "D", None, False) for i in range(200)))
+    got = warc.read_archives(warc.archive_files(spark, str(tmp_path)), 20_000)
+    assert got.count() == 200 and got.select(F.spark_partition_id()).distinct().count() > 4
+
+
 def test_truncated_archive(spark, tmp_path):
     a, b = (warc.encode_record(i, "u", b"body %d" % i, "D", None, False) for i in (1, 2))
     (tmp_path / "x.warc.gz").write_bytes(b"\x1f\x8b\x08junk" + a + b[:-9])
@@ -92,6 +102,38 @@ def test_packing_round_trip(spark, tmp_path):
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
+@needs_vocab
+def test_long_blank_runs(spark, tmp_path):
+    """Blank runs that the pattern's engine gives up on; and the same ids as its own where it doesn't."""
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, packing.read_ranks(packing.RANKS).splitlines())}
+    enc = tiktoken.Encoding("t", pat_str=packing.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(5)
+    for _ in range(300):
+        t = "".join(r.choice(["a", " b", "12", "'s", ".", " ", "\n", "\t", "\u2003", "\x1c", " " * r.randint(2, 9), "\n" * r.randint(2, 9)]) for _ in range(r.randint(1, 20)))
+        assert packing.token_ids(enc, t, 2) == enc.encode_ordinary(t), repr(t)
+    texts = [" " * 5_000_000, "a" + "\n" * 2_000_000 + "b", "x \t" * 10 + " " * 1_500_000]
+    packed = packing.write_packed(packing.pack_documents(spark.createDataFrame([(i, t, 1, 1, 1) for i, t in enumerate(texts)], DOCS)), str(tmp_path / "packed"))
+    got = {}
+    for s in packing.unpack(packed).collect():
+        got.setdefault(s.doc_id, []).append((s.start, s.ids))
+    assert {i: enc.decode([y for _, x in sorted(v) for y in x]) for i, v in got.items()} == dict(enumerate(texts))
+
+
+@needs_vocab
+def test_long_words(spark):
+    """A megabyte without blanks, and the one-word search against the one in step."""
+    tok = pieces.load()
+    r = random.Random(6)
+    some = ["".join(r.choice(["ram", "ique", "tion", "ñ", "☃", "日", "▁", "le", "x"]) for _ in range(r.randint(1, 60))).encode() for _ in range(300)]
+    assert tok._paths(some) == [tok._path(w) for w in some]
+    text = "".join(r.choice("abcdefghijklmnopqrst☃") for _ in range(1_000_000))
+    began = time.perf_counter()
+    ids = tok.encode_batch([text])[0]
+    assert time.perf_counter() - began < 10 and tok.decode(ids) == text
+
+
 def best_path(tok, text):
     """Ids by plain dynamic programming over the whole text in double precision."""
     s = ("▁" + text.replace(" ", "▁")) if text else ""
@@ -185,6 +227,7 @@ def test_decontamination(spark):
                 leak[r.randrange(len(leak))] = r.choice(["", "z", "qq"])
             body += " " + "".join(leak).upper().replace(" ", "  \n") + " " + make(20)
         docs.append((k, body, 1, 1, 1))
+    docs += [(60, "so a Short  one, here", 1, 1, 1), (61, "a short ones", 1, 1, 1), (62, "xshort one", 1, 1, 1), (63, "short one", 1, 1, 1)]
     docs += [(50, None, 1, 1, 1), (51, "", 1, 1, 1), (None, items[0][1], 1, 1, 1), (52, items[1][1] + make(40_000) + items[2][1], 1, 1, 1), (7, docs[7][1], 1, 1, 1)]
     d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id bigint, text string, doc_id int")
     got = sorted(((x.doc_id if x.doc_id is not None else -1), x.item_id, x.distance) for x in decontam.match_items(d, b).collect())
@@ -193,7 +236,10 @@ def test_decontamination(spark):
         t = decontam.normal(t)
         for j, p, _ in items:
             p = decontam.normal(p)
-            if len(p) >= 40 and (len(t) < 10_000 or p in t):
+            if p and len(p) < 40:
+                if re.search(rf"(?<!\w){re.escape(p)}(?!\w)", t):
+                    want.append((i if i is not None else -1, j, 0))
+            elif p and (len(t) < 10_000 or p in t):
                 e = part_distance(p, t) if len(t) < 10_000 else 0
                 if e <= decontam.budget(len(p), 0.05):
                     want.append((i if i is not None else -1, j, e))
@@ -207,10 +253,14 @@ def test_decontamination(spark):
 
 def test_many_items_take_passes(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_CHARS", 100)
+    sent = []
+    real = spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: sent.append(x) or real(x))
     items = [(i, " ".join(f"{i}w{k}" for k in range(20)), 1) for i in range(5)]
     d = spark.createDataFrame([(i, "so " + t, 1, 1, 1) for i, t, _ in items], DOCS)
     b = spark.createDataFrame(items, "item_id bigint, text string, doc_id int")
     assert sorted((x.doc_id, x.item_id) for x in decontam.match_items(d, b).collect()) == [(i, i) for i in range(5)]
+    assert len(sent) > 3 and sorted(i for x in sent for i, _ in x) == list(range(5))
     assert decontam.drop_contaminated(d, b).count() == 0
 
 
