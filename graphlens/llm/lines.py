@@ -4,23 +4,26 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-SEPARATORS = {"line": "\n", "paragraph": r"\n[ \t\r]*\n\s*"}
+_CUT = {"line": re.compile("\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*")}
 #: Sentences of a line: together they are the line, character by character.
-SENTENCE = r"[^.!?]+[.!?]*[ \t]*|[.!?]+[ \t]*"
+_SENTENCE = re.compile(r"[^.!?]+[.!?]*[ \t]*|[.!?]+[ \t]*")
 
 
-def normal(unit: Column) -> Column:
-    """Lower case, runs of white space as one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(unit), r"\s+", " "))
+def normal(unit: str) -> str:
+    """Lower case, runs of ASCII white space as one space, trimmed."""
+    return b" ".join(unit.lower().encode("utf-8", "replace").split()).decode()
 
 
 def runs(words: list[int], least: int) -> set[tuple[int, int]]:
@@ -35,139 +38,173 @@ def runs(words: list[int], least: int) -> set[tuple[int, int]]:
     return {(i, j) for i, j in found if words[i] and words[j - 1] and total[j] - total[i] < total[-1]}
 
 
-def _sentences(docs: DataFrame, least: int) -> DataFrame:
-    """Lines, and runs of sentences of lines that have several."""
-    cut = re.compile(SENTENCE)
-    kinds = [("doc_id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("sub", pa.int32()), ("size", pa.int32()), ("unit", pa.string())]
+def _places(text: str, unit: str, min_words: int, min_sentence: int) -> Iterator[tuple[int, int, int, str]]:
+    """(number of the line or paragraph, first sentence, sentence after the last, normalised) of a text's units in order.
+
+    A whole line or paragraph has no sentences: -1 and -1.
+    """
+    for pos, whole in enumerate(_CUT[unit].split(text)):
+        low = normal(whole)
+        if not low:
+            continue
+        if low.count(" ") + 1 >= min_words:
+            yield pos, -1, -1, low
+        if unit != "line" or not min_sentence:
+            continue
+        parts = _SENTENCE.findall(whole)
+        if len(parts) > 1:
+            for i, j in sorted(runs([len(p.encode("utf-8", "replace").split()) for p in parts], min_sentence)):
+                yield pos, i, j, normal("".join(parts[i:j]))
+
+
+def _units(docs: DataFrame, unit: str, min_words: int, min_sentence: int, firsts: bool) -> DataFrame:
+    """(doc_id, th, at, times, h1, h2) of each unit, by its number in the text; or of the first of a text's equal ones and how often it is there."""
+    schema = "doc_id bigint, th bigint, at bigint, times bigint, h1 bigint, h2 bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                out = []
-                for doc_id, th, text in zip(*(c.to_pylist() for c in b.slice(at, 256).columns)):
-                    for pos, line in enumerate(text.split("\n")):
-                        if not line:
-                            continue
-                        out.append((doc_id, th, pos, -1, 1, line))
-                        parts = cut.findall(line)
-                        if len(parts) > 1:
-                            out += [(doc_id, th, pos, i, j - i, "".join(parts[i:j])) for i, j in runs([len(p.split()) for p in parts], least)]
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, (_, k) in enumerate(kinds)], names=[n for n, _ in kinds])
-
-    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id bigint, th bigint, pos int, sub int, size int, unit string")
-
-
-def _units(docs: DataFrame, unit: str, min_words: int, min_sentence: int) -> DataFrame:
-    if unit == "line":
-        u = _sentences(docs, min_sentence)
-    else:
-        u = docs.select("doc_id", "th", F.posexplode(F.split("text", SEPARATORS[unit])).alias("pos", "unit")).select(
-            "doc_id", "th", "pos", F.lit(-1).alias("sub"), F.lit(1).alias("size"), "unit")
-    u = u.withColumn("unit", normal(F.col("unit"))).where((F.col("unit") != "") & ((F.col("sub") >= 0) | (F.size(F.split("unit", " ")) >= min_words)))
-    return u.select("doc_id", "th", "pos", "sub", "size", F.xxhash64("unit").alias("h1"),
-                    F.xxhash64(F.lit(77), F.reverse("unit")).alias("h2"))
-
-
-def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = 5, min_sentence: int = 8) -> DataFrame:
+            for start in range(0, b.num_rows, 256):
+                part = b.slice(start, 256)
+                sizes, at, times, hashes = [], [], [], []
+                for text in part.column(2).to_pylist():
+                    own = [digest(low) for *_, low in _places(text, unit, min_words, min_sentence)]
+                    if firsts:
+                        first = {h: k for k, h in reversed([*enumerate(own)])}
+                        count = Counter(own)
+                        at += first.values()
+                        times += map(count.__getitem__, first)
+                        own = list(first)
+                    else:
+                        at += range(len(own))
+                        times += [1] * len(own)
+                    sizes.append(len(own))
+                    hashes += own
+                both = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+                owner = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(owner), part.column(1).take(owner), pa.array(at, pa.int64()), pa.array(times, pa.int64()),
+                     pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=[c.split()[0] for c in schema.split(", ")])
+
+    return docs.select("doc_id", "th", "text").mapInArrow(run, schema)
+
+
+def _removed(text: str, gone: list[int], unit: str, min_words: int, min_sentence: int) -> tuple[list[tuple[int, int]], int]:
+    """(ranges to remove, in order and joined; units removed) where the units of the given numbers go."""
+    gone_at, lost = set(gone), {}
+    for k, (pos, i, j, _) in enumerate(_places(text, unit, min_words, min_sentence)):
+        if k in gone_at:
+            lost.setdefault(pos, set()).update(range(i, j) if i >= 0 else (-1,))
+    out, n, start = [], 0, 0
+    for pos, m in enumerate([*_CUT[unit].finditer(text), None]):
+        stop, after = m.span() if m else (len(text), len(text))
+        which = lost.get(pos)
+        if which and -1 in which:
+            out.append([start, after])
+            n += 1
+        elif which:
+            parts = [x.span() for x in _SENTENCE.finditer(text, start, stop)]
+            n += len(which)
+            out += [[start, after]] if len(which) == len(parts) else [list(parts[i]) for i in sorted(which)]
+        start = after
+    joined = out[:1]
+    for s, e in out[1:]:
+        if joined[-1][1] == s:
+            joined[-1][1] = e
+        else:
+            joined.append([s, e])
+    return [(s, e) for s, e in joined], n
+
+
+def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = 1, min_sentence: int = 8) -> DataFrame:
     """Remove each line (or paragraph) that occurs before, in any document.
 
     A line of several sentences counts whole and by runs of its sentences, each
     just long enough for min_sentence words, so passages that were put into
-    longer lines are found too, however short their sentences. Occurrences rank
-    by (doc_id, position), a null id first; the earliest stays, but runs that
-    overlap an equal one are later. Units without words or of fewer than
-    min_words words after normalising take no part. Rows that repeat both id and text
-    rank alike and are treated alike: what is new in them stays in each.
-    Returns per row doc_id, text (what is left), spans (array of the removed
-    (start, end) character offsets in the given text, adjacent ones joined),
-    n_units (lines or paragraphs) and n_removed (of those, and sentences of
-    lines that stay). A line whose sentences all go goes with its line end. A
-    null text is an empty one and has one unit.
+    longer lines are found too, however short their sentences; min_sentence=0
+    leaves them out. Occurrences rank by (doc_id, position), a null id first;
+    the earliest stays, but runs that overlap an equal one are later. Units
+    without words or of fewer than min_words words after normalising take no
+    part. Rows that repeat both id and text rank alike and are treated alike:
+    what is new in them stays in each; rows of one id with different texts rank
+    by a hash of the text. Returns per row doc_id, text (what is left), spans
+    (array of the removed (start, end) character offsets in the given text,
+    adjacent ones joined), n_units (lines or paragraphs) and n_removed (of
+    those, and sentences of lines that stay). A line whose sentences all go
+    goes with its line end. A null text is an empty one and has one unit.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("th", F.xxhash64("text"))
-    units = _units(rows, unit, min_words, min_sentence)
-    where = F.struct(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("pos").alias("p"), F.col("sub").alias("s"), F.col("size").alias("n"))
-    firsts = (units.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.max(where).alias("last"))
-              .where("NOT first <=> last").drop("last"))
-    gone = (units.join(firsts, ["h1", "h2"])
+    where = F.struct(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("at").alias("a"))
+    firsts = (_units(rows, unit, min_words, min_sentence, True).groupBy("h1", "h2")
+              .agg(F.min(where).alias("first"), F.sum("times").alias("n")).where("n > 1").drop("n"))
+    gone = (_units(rows, unit, min_words, min_sentence, False).join(firsts, ["h1", "h2"])
             .where(~where.eqNullSafe(F.col("first")))
-            .groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "sub", "size")).alias("gone"))
+            .groupBy("doc_id", "th").agg(F.collect_set("at").alias("gone"))
             .select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th"), "gone"))
     joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("th") == F.col("g_th")), "left")
-    cut = re.compile(SEPARATORS[unit])
-    sentences = re.compile(SENTENCE)
-
-    def removed(text: str, gone_at: set) -> tuple[list[tuple[int, int]], int, int]:
-        """(pieces to remove, units, units removed)."""
-        ends = [(m.start(), m.end()) for m in cut.finditer(text)] + [(len(text), len(text))]
-        out, n, start = [], 0, 0
-        touched = {p for p, _ in gone_at}
-        for k, (stop, after) in enumerate(ends):
-            if k in touched:
-                if (k, -1) in gone_at:
-                    out.append((start, after))
-                    n += 1
-                else:
-                    parts = [m.span() for m in sentences.finditer(text, start, stop)]
-                    went = [(a, b) for i, (a, b) in enumerate(parts) if (k, i) in gone_at]
-                    n += len(went)
-                    out += [(start, after)] if len(went) == len(parts) else went
-            start = after
-        return out, len(ends), n
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for b in batches:
-            out = []
-            for doc_id, text, gone_at in zip(*(c.to_pylist() for c in b.columns)):
-                found, units, n = removed(text, {(g["pos"], g["sub"] + i) for g in gone_at or () for i in range(g["size"])})
-                spans, kept, last = [], [], 0
-                for s, e in found:
-                    if spans and spans[-1]["end"] == s:
-                        spans[-1]["end"] = e
-                    else:
-                        spans.append({"start": s, "end": e})
-                for x in spans:
-                    kept.append(text[last:x["start"]])
-                    last = x["end"]
-                out.append((doc_id, "".join(kept) + text[last:], spans, units, n))
-            span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            kinds = [pa.int64(), pa.string(), span, pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)],
-                names=["doc_id", "text", "spans", "n_units", "n_removed"])
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                texts, spans, units, removed = [], [], [], []
+                for text, gone_at in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    found, n = _removed(text, gone_at, unit, min_words, min_sentence) if gone_at else ([], 0)
+                    ends = [0, *(x for s, e in found for x in (s, e)), len(text)]
+                    texts.append("".join(text[a:b] for a, b in zip(ends[::2], ends[1::2])))
+                    spans.append([{"start": s, "end": e} for s, e in found])
+                    units.append(text.count("\n") + 1 if unit == "line" else len(_CUT[unit].findall(text)) + 1)
+                    removed.append(n)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(texts, pa.string()), pa.array(spans, span), pa.array(units, pa.int32()), pa.array(removed, pa.int32())],
+                    names=["doc_id", "text", "spans", "n_units", "n_removed"])
 
     return joined.select("doc_id", "text", "gone").mapInArrow(
         apply, "doc_id bigint, text string, spans array<struct<start:int,end:int>>, n_units int, n_removed int")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = dedup_units(common.table(spark, sf_dir, "documents"), min_words=1)
+    """Digest columns of dedup_units; spans are the removed character ranges, as start-end with commas."""
+    got = dedup_units(common.table(spark, sf_dir, "documents"))
     return got.select(
         "doc_id", "n_units", "n_removed", F.size("spans").alias("n_spans"),
         F.aggregate("spans", F.lit(0), lambda a, s: a + s["end"] - s["start"]).alias("removed_chars"),
+        F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",").alias("spans"),
         F.sha2("text", 256).alias("kept_sha256"),
     )
 
 
-#: Lines are cut into sentences and a line end; a piece goes with its line, by itself, or as the end of a line whose sentences all go.
+#: Units are lines and the shortest runs of sentences that have 8 words; runs give the sentences that go, and a piece goes by itself, with its line,
+#: or as the end of a line whose sentences all go.
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS us FROM documents),
 l AS (SELECT doc_id, unnest(us) AS line, unnest(range(len(us))) AS pos, len(us) AS n FROM d),
-c AS (SELECT *, regexp_extract_all(line, '[^.!?]+[.!?]*[ \t]*|[.!?]+[ \t]*', 0) AS parts FROM l),
-u AS (SELECT doc_id, pos, -1 AS sub, line AS piece, 5 AS least FROM c WHERE len(parts) > 1
-      UNION ALL SELECT doc_id, pos, unnest(range(len(parts))), unnest(parts), CASE WHEN len(parts) > 1 THEN 8 ELSE 5 END FROM c),
+c AS (SELECT *, regexp_extract_all(line, '[^.!?]+[.!?]*[ 	]*|[.!?]+[ 	]*', 0) AS parts FROM l),
+m AS (SELECT doc_id, pos, parts, ws, list_transform(range(len(ws) + 1), lambda k: coalesce(list_sum(ws[1:k]), 0)) AS t
+      FROM (SELECT *, list_transform(parts, lambda p: len(list_filter(regexp_split_to_array(p, '\s+'), lambda w: w <> ''))) AS ws FROM c WHERE len(parts) > 1)),
+r1 AS (SELECT doc_id, pos, i, len(list_filter(t, lambda x: x < t[i + 1] + 8)) AS j, parts, ws, t FROM (SELECT *, unnest(range(len(ws))) AS i FROM m) WHERE t[i + 1] + 8 <= t[-1]),
+r2 AS (SELECT doc_id, pos, len(list_filter(t, lambda x: x <= t[j + 1] - 8)) - 1 AS i, j, parts, ws, t FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS j FROM m) WHERE t[j + 1] >= 8),
+r AS (SELECT DISTINCT doc_id, pos, i, j, array_to_string(parts[i + 1:j], '') AS piece FROM (SELECT * FROM r1 UNION ALL BY NAME SELECT * FROM r2)
+      WHERE ws[i + 1] > 0 AND ws[j] > 0 AND t[j + 1] - t[i + 1] < t[-1]),
+u AS (SELECT doc_id, pos, -1 AS i, -1 AS j, line AS piece FROM c UNION ALL SELECT * FROM r),
 v AS (SELECT *, trim(regexp_replace(lower(piece), '\s+', ' ', 'g')) AS norm FROM u),
-g AS (SELECT doc_id, pos, sub, row_number() OVER (PARTITION BY norm ORDER BY doc_id, pos, sub) > 1 AS gone FROM v WHERE len(string_split(norm, ' ')) >= least),
-w AS (SELECT v.*, coalesce(gone, false) AS gone FROM v LEFT JOIN g USING (doc_id, pos, sub)),
-k AS (SELECT doc_id, pos, bool_or(gone AND sub = -1) AS line_gone, coalesce(bool_and(gone) FILTER (sub >= 0), false) AS all_gone FROM w GROUP BY doc_id, pos),
-x AS (SELECT w.doc_id, w.pos, w.sub, w.piece, gone OR line_gone AS gone, gone AND NOT line_gone AS counts FROM w JOIN k USING (doc_id, pos) WHERE sub >= 0
-      UNION ALL SELECT c.doc_id, c.pos, 1000000000, CASE WHEN c.pos < n - 1 THEN chr(10) ELSE '' END, coalesce(line_gone OR all_gone, false), coalesce(line_gone, false)
-      FROM c LEFT JOIN k ON k.doc_id = c.doc_id AND k.pos = c.pos),
-y AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos, sub), false) AS opens FROM x WHERE piece <> '' OR counts OR sub = 1000000000)
-SELECT doc_id, CAST(count(*) FILTER (sub = 1000000000) AS INT) AS n_units, CAST(count(*) FILTER (counts) AS INT) AS n_removed,
-       CAST(count(*) FILTER (opens) AS INT) AS n_spans, CAST(coalesce(sum(length(piece)) FILTER (gone), 0) AS INT) AS removed_chars,
+g AS (SELECT doc_id, pos, i, j FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, pos, i, j) AS k FROM v WHERE norm <> '') WHERE k > 1),
+gs AS (SELECT DISTINCT doc_id, pos, unnest(range(i, j)) AS sub FROM g WHERE i >= 0),
+gl AS (SELECT doc_id, pos FROM g WHERE i < 0),
+w AS (SELECT c.doc_id, c.pos, c.n, gl.pos IS NOT NULL AS line_gone, parts, coalesce(k, 0) AS lost FROM c LEFT JOIN gl ON gl.doc_id = c.doc_id AND gl.pos = c.pos
+      LEFT JOIN (SELECT doc_id, pos, count(*) AS k FROM gs GROUP BY ALL) s ON s.doc_id = c.doc_id AND s.pos = c.pos),
+x AS (SELECT w.doc_id, w.pos, w.sub, piece, line_gone OR gs.sub IS NOT NULL AS gone, gs.sub IS NOT NULL AND NOT line_gone AS counts
+      FROM (SELECT *, unnest(parts) AS piece, unnest(range(len(parts))) AS sub FROM w) w LEFT JOIN gs ON gs.doc_id = w.doc_id AND gs.pos = w.pos AND gs.sub = w.sub
+      UNION ALL SELECT doc_id, pos, 1000000000, CASE WHEN pos < n - 1 THEN chr(10) ELSE '' END, line_gone OR (lost > 0 AND lost = len(parts)), line_gone FROM w),
+y AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos, sub ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM x),
+z AS (SELECT doc_id, s, s + length(piece) AS e, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos, sub), false) AS opens, gone, pos, sub FROM y WHERE piece <> ''),
+sp AS (SELECT doc_id, count(*) AS n_spans, string_agg(CAST(s AS BIGINT) || '-' || CAST(e AS BIGINT), ',' ORDER BY s) AS spans FROM (
+  SELECT doc_id, min(s) AS s, max(e) AS e FROM (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY doc_id ORDER BY pos, sub) AS k FROM z) WHERE gone GROUP BY doc_id, k) GROUP BY doc_id)
+SELECT y.doc_id, CAST(count(*) FILTER (sub = 1000000000) AS INT) AS n_units, CAST(count(*) FILTER (counts) AS INT) AS n_removed,
+       CAST(coalesce(any_value(n_spans), 0) AS INT) AS n_spans, CAST(coalesce(sum(length(piece)) FILTER (gone), 0) AS INT) AS removed_chars, coalesce(any_value(spans), '') AS spans,
        sha256(coalesce(string_agg(piece, '' ORDER BY pos, sub) FILTER (NOT gone), '')) AS kept_sha256
-FROM y GROUP BY doc_id
+FROM y LEFT JOIN sp ON sp.doc_id = y.doc_id GROUP BY y.doc_id
 """

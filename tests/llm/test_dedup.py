@@ -121,7 +121,7 @@ def test_lines(spark):
     rows = [(1, f"{unit[0]}\n{unit[1]}\n\n{unit[0]}"), (2, f" {unit[1].upper()}  \n{unit[2]}\nno"), (3, None), (4, ""), (5, f"{unit[2]}\n{unit[1]}\n{unit[3]}\nno"),
             (5, f"{unit[2]}\n{unit[1]}\n{unit[3]}\nno"), (None, unit[4]), (6, unit[4]), (7, "w " * 100_000)]
     got = {}
-    for x in lines.dedup_units(make(spark, rows)).collect():
+    for x in lines.dedup_units(make(spark, rows), min_words=5).collect():
         got.setdefault(x.doc_id, []).append(x)
     assert got[1][0].text == f"{unit[0]}\n{unit[1]}\n\n" and [(s.start, s.end) for s in got[1][0].spans] == [(len(got[1][0].text), len(rows[0][1]))]
     assert got[2][0].text == f"{unit[2]}\nno" and got[3][0].text == "" and got[4][0].n_units == 1
