@@ -2,9 +2,11 @@
 
 The kernel counts the character subsequences of ORDER characters that two
 words share, each weighted by DECAY for every character it skips, within SPAN.
-A sentence is judged by its worst word, a document by its worst sentence;
-labels are per document, so training alternates between fitting and choosing
-the words that a toxic document owes its label to.
+A sentence is judged by its worst word, a document by its worst sentence. The
+machine is trained on the sentences of labelled documents: first on all of
+them as labelled, then, in rounds, on each toxic document's worst sentence
+against all clean ones. No list of words is kept: a word's decision is linear
+in its subsequences, known or not.
 """
 
 from __future__ import annotations
@@ -19,9 +21,9 @@ from . import common, labelled
 
 #: Length of subsequences, characters they may span, factor for each one skipped.
 ORDER, SPAN, DECAY = 4, 6, 0.75
-#: Labelled documents used, landmarks, rounds of choosing.
-LABELLED, LANDMARKS, ROUNDS = 4096, 256, 4
-THRESHOLD = 0.7
+#: Labelled documents used, sentences of either label in the first fit, landmarks, rounds of choosing.
+LABELLED, SENTENCES, LANDMARKS, ROUNDS = 4096, 10_000, 256, 4
+THRESHOLD, COSTLY = 0.7, 3.0
 #: Letters beyond this are cut into overlapping parts.
 LONGEST = 24
 CACHE_WORDS = 200_000
@@ -29,6 +31,7 @@ CACHE_WORDS = 200_000
 SYMBOLS = 40
 
 _LETTERS = re.compile(r"[^\W\d_]")
+_SENTENCE = re.compile(r"\n|(?<=[.!?])[ \t]+")
 _APART = re.compile(r"(?<!\w)(?:\w[^\w\s]*[ \t]+){3,}\w(?!\w)")
 
 
@@ -57,6 +60,11 @@ def words(text: str) -> set[str]:
     return out
 
 
+def sentences(text: str) -> list[str]:
+    """Lines, cut behind full stops, question and exclamation marks that blanks follow."""
+    return [s for s in _SENTENCE.split(text) if s and not s.isspace()]
+
+
 def encode(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(rows of symbols, number of the word each row is of); only letters count."""
     rows, owner = [], []
@@ -102,6 +110,35 @@ def features(rows: np.ndarray, columns: np.ndarray, n_columns: int) -> np.ndarra
     return out
 
 
+class Nystrom:
+    """phi(word) = K_mm^(-1/2) k_m(word): inner products are the kernel's on the landmarks' span, exact between landmarks."""
+
+    def __init__(self, landmarks: list[str]):
+        rows, _ = encode(landmarks)
+        self.codes = np.unique(np.concatenate([c[c > 0] for c, _ in subsequences(rows)]))
+        self.columns = np.full(SYMBOLS ** ORDER, -1, np.int32)
+        self.columns[self.codes] = np.arange(len(self.codes))
+        marks = features(rows, self.columns, len(self.codes)).astype(np.float64)
+        values, vectors = np.linalg.eigh(marks @ marks.T)
+        keep = values > values[-1] * 1e-6
+        #: A subsequence's share in phi; phi is linear in the counts of subsequences.
+        self.share = (marks.T @ (vectors[:, keep] / np.sqrt(values[keep]))).astype(np.float32)
+
+    def phi(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(features, number of the word that each row is of): a row for each word, or for each part of a long one."""
+        encoded, owner = encode(some)
+        out = np.zeros((len(encoded), self.share.shape[1]), np.float32)
+        for a in range(0, len(encoded), 4096):
+            part = encoded[a:a + 4096]
+            for codes, weight in subsequences(part):
+                col = self.columns[codes]
+                r, c = np.nonzero(col >= 0)
+                if len(r):
+                    starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+                    out[a + r[starts]] += np.float32(weight) * np.add.reduceat(self.share[col[r, c]], starts, axis=0)
+        return out, owner
+
+
 def weigh(rows: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Sum of the table's entries over each row's subsequences."""
     out = np.zeros(len(rows), np.float64)
@@ -110,18 +147,28 @@ def weigh(rows: np.ndarray, table: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 12) -> tuple[np.ndarray, float]:
-    """Weights and bias that least squared hinge loss asks for, by Newton steps on the rows inside the margin."""
-    z = np.column_stack([x, np.ones(len(x))]).astype(np.float64)
-    w = np.zeros(z.shape[1])
-    penalty = np.full(z.shape[1], ridge)
+def fit_svm(
+    x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarray | None = None, ridge: float = 1e-3, rounds: int = 12,
+) -> tuple[np.ndarray, float]:
+    """Weights and bias that least squared hinge loss asks for, by Newton steps on the rows inside the margin, a block of rows at a time."""
+    n = x.shape[1] + 1
+    w = np.zeros(n) if start is None else start.astype(np.float64)
+    penalty = np.full(n, ridge)
     penalty[-1] = 1e-8
     weight = weight / weight.sum()
     for _ in range(rounds):
-        inside = y * (z @ w) < 1
-        zi = z[inside] * weight[inside, None]
-        new = np.linalg.solve(zi.T @ z[inside] + np.diag(penalty), zi.T @ y[inside])
-        if np.allclose(new, w, rtol=1e-6, atol=1e-9):
+        left, right = np.diag(penalty), np.zeros(n)
+        for a in range(0, len(x), 8192):
+            t = y[a:a + 8192]
+            inside = np.flatnonzero(t * (x[a:a + 8192] @ w[:-1].astype(np.float32) + w[-1]) < 1)
+            if not len(inside):
+                continue
+            z = np.column_stack([x[a:a + 8192][inside], np.ones(len(inside), np.float32)])
+            root = z * np.sqrt(weight[a:a + 8192][inside] * len(x)).astype(np.float32)[:, None]
+            left += (root.T @ root) / len(x)
+            right += z.T @ (weight[a:a + 8192][inside] * t[inside])
+        new = np.linalg.solve(left, right)
+        if np.allclose(new, w, rtol=1e-4, atol=1e-6):
             break
         w = new
     return w[:-1], float(w[-1])
@@ -139,78 +186,79 @@ class StringKernelMachine:
         if not 0 < self.prior < 1:
             self.slope, self.offset = 0.0, -20.0 if self.prior == 0 else 20.0
             return
-        one: dict[str, str] = {}  # equal words share memory
-        bags = [{one.setdefault(w, w) for w in words(t)} for t in texts]
-        self._fit(bags, y, landmarks, rounds)
-
-    def _fit(self, bags, y, landmarks, rounds):
-        toxic, clean = {}, {}
-        for bag, label in zip(bags, y):
-            count = toxic if label else clean
-            for w in bag:
-                count[w] = count.get(w, 0) + 1
-        # words of toxic documents alone, by how many have them; and the commonest of clean ones
-        rng = np.random.default_rng(1)
-        only = sorted((w for w in toxic if w not in clean), key=lambda w: (-toxic[w], w))
-        some_clean = sorted(clean, key=lambda w: (-clean[w], w))
-        positive = only[:max(landmarks, 4 * sum(y))]
-        rare = some_clean[2000:]
-        negative = some_clean[:2000] + [rare[i] for i in sorted(rng.permutation(len(rare))[:4000])]
-        if not positive or not negative:
+        self._fit(texts, y, landmarks, rounds)
+
+    def _fit(self, texts, y, landmarks, rounds):
+        """Sentences have their document's label: all of a clean one's are clean, of a toxic one's at least one is toxic.
+
+        First all sentences, by the mean of their words, are told apart as they
+        are labelled. Then, round by round, each toxic document's worst sentence
+        by its worst word is set against every word of the clean sentences.
+        """
+        number: dict[str, int] = {}
+        documents = [[[number.setdefault(w, len(number)) for w in sorted(words(s))] for s in sentences(t)] for t in texts]
+        vocabulary = list(number)
+        some = [np.unique(np.fromiter((w for s in d for w in s), np.int64)) for d in documents]
+        in_toxic, in_clean = np.zeros(len(vocabulary)), np.zeros(len(vocabulary))
+        for bag, label in zip(some, y):
+            (in_toxic if label else in_clean)[bag] += 1
+        if not len(vocabulary) or not in_toxic.any() or not in_clean.any():
             self.slope, self.offset = 0.0, float(np.log(self.prior / (1 - self.prior)))
             return
-        base = only[:landmarks // 2] + some_clean[:landmarks // 4] + [
-            rare[i] for i in sorted(rng.permutation(len(rare))[:landmarks - landmarks // 2 - landmarks // 4])]
-        rows, _ = encode(base)
-        codes = np.unique(np.concatenate([c[c > 0] for c, _ in subsequences(rows)]))
-        columns = np.full(SYMBOLS ** ORDER, -1, np.int32)
-        columns[codes] = np.arange(len(codes))
-        marks = features(rows, columns, len(codes)).astype(np.float64)
-        # Nystrom: phi(x) = K_mm^(-1/2) k_m(x); through it a linear machine acts as the kernel one
-        values, vectors = np.linalg.eigh(marks @ marks.T)
-        keep = values > values[-1] * 1e-6
-        whiten = vectors[:, keep] / np.sqrt(values[keep])
-        to_phi = marks.T @ whiten
-
-        def phi(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            r, owner = encode(some)
-            return np.concatenate([features(r[a:a + 256], columns, len(codes)).astype(np.float64) @ to_phi
-                                   for a in range(0, len(r), 256)]), owner
-
-        chosen = {w: float(toxic[w]) for w in positive if toxic[w] > 1}
-        chosen = chosen or {w: float(toxic[w]) for w in positive}
-        # what many toxic documents have and no clean one stays in, whatever else those documents have
-        steady = {w: n for w, n in chosen.items() if n >= max(3, 0.05 * y.sum())}
+        rng = np.random.default_rng(1)
+        # half the landmarks are what toxic documents have more often than clean ones, the others common and rare words
+        ratio = np.log((in_toxic + 0.5) / (y.sum() + 1)) - np.log((in_clean + 0.5) / (len(y) - y.sum() + 1))
+        telling = np.lexsort((np.arange(len(ratio)), -ratio * np.log1p(in_toxic)))[:landmarks // 2]
+        common_ones = np.lexsort((np.arange(len(ratio)), -in_clean))
+        rest = rng.permutation(common_ones[landmarks // 4:])[:landmarks - landmarks // 2 - landmarks // 4]
+        kernel = Nystrom([vocabulary[i] for i in np.unique(np.concatenate([telling, common_ones[:landmarks // 4], rest]))])
+        phi, owner = kernel.phi(vocabulary)
+        w, self.bias = self._from_sentences(documents, y, phi, owner)
+        clean = in_clean > 0
+        clean_rows = clean[owner]
         for step in range(rounds):
-            for w, n in list(chosen.items()):
-                if w in steady and w.isalpha():  # the same with a letter put in
-                    at, letters = range(1, len(w)), rng.integers(0, 26, len(w))
-                    chosen |= {w[:k] + chr(97 + letters[k]) + w[k:]: 0.1 * n / len(w) for k in at}
-            px, pown = phi(list(chosen))
-            nx, _ = phi(negative)
-            pw = np.array(list(chosen.values()))[pown]
-            x, t = np.concatenate([px, nx]), np.concatenate([np.ones(len(px)), -np.ones(len(nx))])
-            weight = np.concatenate([pw / pw.sum(), np.full(len(nx), 1 / len(nx))])
-            w, self.bias = fit_svm(x, t, weight)
-            self.table[:] = 0
-            self.table[codes] = to_phi @ w
-            self.cache = {}
-            best = [self._top(bag) for bag in bags]
-            if step == rounds - 1:
-                break
-            # the word each toxic document owes its label to; and what clean documents come closest with
-            witness = {}
-            for (value, word), label in zip(best, y):
-                if label and word is not None:
-                    witness[word] = witness.get(word, 0.0) + 1.0
-            chosen = steady | witness or chosen
-            chosen |= {w: max(n, chosen[w]) for w, n in steady.items()}
-            hard = sorted({(v, w) for (v, w), label in zip(best, y) if not label and w is not None}, reverse=True)
-            known = set(negative)
-            negative += [w for _, w in hard[:2000] if w not in known]
-        self._calibrate(np.array([v for v, _ in best]), y)
+            value = np.full(len(vocabulary), -np.inf)
+            np.maximum.at(value, owner, phi @ w + self.bias)
+            # the word that each toxic document's worst sentence owes its label to
+            witness = np.zeros(len(vocabulary))
+            for bag, label in zip(some, y):
+                if label and len(bag):
+                    witness[bag[np.argmax(value[bag])]] += 1
+            # what clean documents have as well speaks for neither
+            weight = witness * (in_toxic / np.maximum(in_toxic + in_clean * y.sum() / max(1, len(y) - y.sum()), 1e-9)) ** 4
+            steady = np.flatnonzero(weight >= max(3, 0.02 * y.sum()))
+            chosen = np.flatnonzero(weight > 0)
+            more = {}  # the frequent ones with a letter put in
+            for i in steady.tolist():
+                v = vocabulary[i]
+                if v.isalpha():
+                    at, letters = range(1, len(v)), rng.integers(0, 26, len(v))
+                    more |= {v[:k] + chr(97 + letters[k]) + v[k:]: 0.1 * weight[i] / len(v) for k in at}
+            mx, mown = kernel.phi(list(more)) if more else (phi[:0], np.empty(0, np.int64))
+            pos = np.isin(owner, chosen)
+            x = np.concatenate([phi[pos], mx, phi[clean_rows]])
+            pw = np.concatenate([weight[owner[pos]], np.array([*more.values()])[mown] if more else np.empty(0)]) ** 0.75
+            t = np.concatenate([np.ones(len(pw)), -np.ones(int(clean_rows.sum()))])
+            nw = np.sqrt(in_clean[owner[clean_rows]])
+            w, self.bias = fit_svm(x, t, np.concatenate([pw / pw.sum(), nw / nw.sum()]), np.r_[w, self.bias] if step else None)
+        self.table[kernel.codes] = kernel.share @ w.astype(np.float32)
+        self._calibrate(np.array([self._top({vocabulary[i] for i in bag})[0] for bag in some]), y)
         self.cache = {}
 
+    def _from_sentences(self, documents, y, phi, owner) -> tuple[np.ndarray, float]:
+        """A machine fitted on sentences as labelled, each the mean of its words; of either label SENTENCES at most, evenly spread."""
+        word = np.zeros((int(owner.max()) + 1, phi.shape[1]), np.float32)
+        np.add.at(word, owner, phi)
+        rows, target = [], []
+        for label in (1, 0):
+            own = [s for d, t in zip(documents, y) if t == label for s in d if s]
+            for k in np.unique(np.linspace(0, len(own) - 1, min(len(own), SENTENCES)).astype(int)):
+                rows.append(word[own[k]].mean(axis=0))
+                target.append(1.0 if label else -1.0)
+        target = np.array(target)
+        share = np.where(target > 0, 1 / max(1, (target > 0).sum()), 1 / max(1, (target < 0).sum()))
+        return fit_svm(np.array(rows), target, share)
+
     def _top(self, bag) -> tuple[float, str | None]:
         self._learn([w for w in bag if w not in self.cache])
         got = [(self.cache[w], w) for w in bag]
@@ -228,7 +276,7 @@ class StringKernelMachine:
                 self.cache.update(zip(some, value.tolist()))
 
     def _calibrate(self, s: np.ndarray, y: np.ndarray) -> None:
-        """Logistic slope and offset of the documents' decision values, both labels of equal weight."""
+        """Logistic slope of the documents' decision values, both labels of equal weight, and an offset by THRESHOLD."""
         target = np.where(y == 1, 1 - 1 / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
         weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
         a, b = 2.0, 0.0
@@ -239,7 +287,17 @@ class StringKernelMachine:
             m = np.array([[(h * s * s).sum() + 1e-6, (h * s).sum()], [(h * s).sum(), h.sum() + 1e-9]])
             da, db = np.linalg.solve(m, [(g * s).sum() + 1e-6 * a, g.sum()])
             a, b = a - np.clip(da, -1, 1), b - np.clip(db, -1, 1)
-        self.slope, self.offset = max(float(a), 1e-3), float(b)
+        self.slope = max(float(a), 1e-3)
+        # THRESHOLD falls where fewest documents are on the wrong side, a clean one counting COSTLY times; within the widest such gap
+        order = np.argsort(s, kind="stable")
+        v, t = s[order], y[order]
+        missed = np.r_[0, np.cumsum(t == 1)] / y.sum()
+        alarms = (1 - np.r_[0, np.cumsum(t == 0)] / (1 - y).sum()) * COSTLY
+        low, high = np.r_[v[0] - 1, v], np.r_[v, v[-1] + 1]
+        total = np.where(high > low, missed + alarms, np.inf)
+        best = np.flatnonzero(total <= total.min() + 1e-12)
+        k = best[np.argmax((high - low)[best])]
+        self.offset = float(np.log(THRESHOLD / (1 - THRESHOLD)) - self.slope * (low[k] + high[k]) / 2)
 
     def score(self, texts: list[str]) -> np.ndarray:
         if len(self.cache) > CACHE_WORDS:
