@@ -83,6 +83,90 @@ def test_kernel_is_the_table(tables):
         assert abs(toxicity.weigh(rows, table)[0] - want) < 1e-3
 
 
+def kernel(a, b):
+    """The kernel of two words, by listing all their gapped subsequences."""
+    from itertools import combinations
+
+    def subsequences(w):
+        s, out = [int(x) for x in toxicity.encode([w])[0][0]], {}
+        for at in combinations(range(len(s)), toxicity.ORDER):
+            if at[-1] - at[0] < toxicity.SPAN and all(s[i] for i in at):
+                key = tuple(s[i] for i in at)
+                out[key] = out.get(key, 0) + toxicity.DECAY ** (at[-1] - at[0] + 1 - toxicity.ORDER)
+        return out
+
+    x, y = subsequences(a), subsequences(b)
+    return sum(v * y.get(k, 0) for k, v in x.items())
+
+
+def test_nystrom_is_the_kernel():
+    """Products of features are the whole kernel's values wherever a landmark takes part."""
+    marks = ["idiot", "stupid", "grobble", "restion", "an", "zonkwit", "the"]
+    n = toxicity.Nystrom(marks)
+    others = ["idiiot", "grobles", "zzz", "Xy", "stup1d", "thereabout"]
+    at, _ = n.phi(marks)
+    for w, x in zip(marks + others, n.phi(marks + others)[0]):
+        for m, y in zip(marks, at):
+            assert abs(float(x @ y) - kernel(w, m)) < 1e-2, (w, m)
+
+
+def test_svm_is_the_least_loss():
+    """No step in any direction lowers the squared hinge loss that is minimised."""
+    import numpy as np
+
+    g = np.random.default_rng(3)
+    x = g.normal(size=(300, 5)).astype(np.float32)
+    y = np.where(x[:, 0] + 0.5 * g.normal(size=300) > 0, 1.0, -1.0)
+    weight = g.uniform(0.5, 1.5, 300)
+    w, b = toxicity.fit_svm(x, y, weight, rounds=60)
+
+    def loss(w, b):
+        return (weight / weight.sum() * np.maximum(0, 1 - y * (x @ w + b)) ** 2).sum() + 1e-3 * w @ w
+
+    for _ in range(50):
+        assert loss(w, b) <= loss(w + 1e-2 * g.normal(size=5), b + 1e-2 * g.normal()) + 1e-7
+
+
+def test_sentences():
+    assert toxicity.sentences("One two. g.r.o.b is here! \nNext line\n\n end?") == ["One two.", "g.r.o.b is here!", "Next line", " end?"]
+
+
+def test_votes_by_hand():
+    """Scores are those of all labelled vectors' cosines, sorted one by one; words count, not only kinds of characters."""
+    import numpy as np
+
+    docs, labels = corpus(150, seed=9)
+    texts, y = [d[1] for d in docs[:100]], [g for _, g, _, _ in labels[:100]]
+    m = quality.LatentVotes(texts, y, latent=20, voters=7)
+    rows = []
+    for t in texts + [d[1] for d in docs[100:]]:
+        x = np.zeros(quality.TERMS, np.float32)
+        quality.counts(t, quality.WordColumns(), x)
+        x = np.log1p(x) * m.idf
+        start = 0
+        for k, end in enumerate(quality.FAMILIES):
+            x[start:end] *= (1 if k == 0 else quality.BESIDE) / max(np.linalg.norm(x[start:end]), 1e-12)
+            start = end
+        rows.append(x @ m.axes)
+    for t, z, got in zip(docs[100:], rows[100:], m.score([d[1] for d in docs[100:]])):
+        near = sorted(((float(z @ r / np.linalg.norm(z) / np.linalg.norm(r)), k) for k, r in enumerate(rows[:100])), reverse=True)[:7]
+        want = sum(max(c, 0) * y[k] for c, k in near) / sum(max(c, 0) for c, _ in near)
+        assert abs(want - got) < 0.02
+    a, b = np.zeros(quality.TERMS, np.float32), np.zeros(quality.TERMS, np.float32)
+    quality.counts("some words here", quality.WordColumns(), a)
+    quality.counts("many other text", quality.WordColumns(), b)
+    assert not (a == b).all()
+
+
+def test_singular_vectors():
+    import numpy as np
+
+    x = (np.random.default_rng(4).normal(size=(60, 8)) @ np.random.default_rng(5).normal(size=(8, 40)) * np.linspace(1, 3, 40)).astype(np.float32)
+    v = quality.singular(x, 5)
+    _, _, want = np.linalg.svd(x)
+    assert np.allclose(np.abs(v.T @ want[:5].T), np.eye(5), atol=1e-2)
+
+
 def test_labels_of_the_held_out_fold_are_not_seen(tables):
     docs, labels, _ = tables
     seen = {r[0] for r in labelled.sample(docs, labels, "toxic", 200)}
