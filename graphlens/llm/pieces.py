@@ -149,7 +149,7 @@ class Tokenizer:
         by_line = not any("\n" in p for p in text)
         self.units = re.compile(
             (r"\n| *[^ \n]+| +" if by_line else r" *[^ ]+| +") if by_word else r"(?s).+").findall
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, tuple[bytes, bytes]] = {}
         self._lists: tuple[list, list, list, list] | None = None
 
     def _path(self, word: bytes) -> list[int]:
@@ -190,8 +190,8 @@ class Tokenizer:
             at = back[at]
         return out[::-1]
 
-    def _paths(self, words: list[bytes]) -> list[list[int]]:
-        """Best piece ids of words of similar length; unknown characters are -1 - offset."""
+    def _paths(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(best piece ids of words of similar length, one word's after the other's; where each ends); unknown characters are -1 - offset."""
         n, width = len(words), max(map(len, words))
         length = np.array([len(w) for w in words], np.int32)
         # column j holds byte j of every word, plus one; 0 after the end
@@ -235,18 +235,19 @@ class Tokenizer:
                 better = cand > best[end, rows[none]]
                 end, r = end[better], rows[none][better]
                 best[end, r], back[end, r], piece[end, r] = cand[better], i, -1
-        out = [[] for _ in words]
-        pos, rows = length.copy(), np.flatnonzero(length)
+        # back from every word's end at once; the last steps found come first
+        steps, pos, rows = [], length.copy(), np.flatnonzero(length)
         while len(rows):
             p, b = piece[pos[rows], rows], back[pos[rows], rows]
-            for r, x, y in zip(rows.tolist(), p.tolist(), b.tolist()):
-                out[r].append(x if x >= 0 else -1 - y)
+            steps.append((rows, np.where(p >= 0, p, -1 - b)))
             pos[rows] = b
             rows = rows[b > 0]
-        return [x[::-1] for x in out]
+        owner, ids = (np.concatenate([s[i] for s in reversed(steps)] or [np.empty(0, np.int64)]) for i in (0, 1))
+        ids = ids[np.argsort(owner, kind="stable")].astype(np.int32)
+        return ids, np.cumsum(np.bincount(owner, minlength=n))
 
     def _learn(self, units: list[str]) -> None:
-        """Find the ids of words and keep them."""
+        """Find the ids of words and keep them, with what they decode to."""
         words = [(u, u.replace(" ", SPACE).encode("utf-8", "surrogatepass")) for u in units]
         words.sort(key=lambda x: len(x[1]))
         at = 0
@@ -255,39 +256,62 @@ class Tokenizer:
             while end > at + 1 and (end - at) * len(words[end - 1][1]) > CELLS:
                 end = at + (end - at) // 2
             block = words[at:end]
-            found = self._paths([w for _, w in block]) if len(block) >= FEW_WORDS else [self._path(w) for _, w in block]
-            for (u, raw), path in zip(block, found):
-                if min(path) < 0:
-                    ids = []
-                    for x in path:
-                        if x >= 0:
-                            ids.append(x)
-                        else:
-                            i = -1 - x
-                            n = 1 + (raw[i] >= 0xC0) + (raw[i] >= 0xE0) + (raw[i] >= 0xF0)
-                            ids += [self.byte_id[b] for b in raw[i:i + n]] if self.byte_id else [self.unk]
-                    path = ids
-                self.cache[u] = tuple(path)
+            if len(block) >= FEW_WORDS:
+                ids, ends = self._paths([w for _, w in block])
+            else:
+                found = [self._path(w) for _, w in block]
+                ids, ends = np.fromiter(chain.from_iterable(found), np.int32), np.cumsum([len(f) for f in found])
+            unknown = set(np.searchsorted(ends, np.flatnonzero(ids < 0), side="right").tolist())
+            flat, plain, start = ids.tobytes(), ids.tolist(), 0
+            for k, ((u, raw), end_k) in enumerate(zip(block, ends.tolist())):
+                if k in unknown:
+                    path = self._spelled(plain[start:end_k], raw)
+                    self.cache[u] = np.array(path, np.int32).tobytes(), b"".join(map(self.raw.__getitem__, path))
+                else:
+                    self.cache[u] = flat[4 * start:4 * end_k], b"".join(map(self.raw.__getitem__, plain[start:end_k]))
+                start = end_k
             at = end
 
-    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
-        """Ids of each text; none for an empty or null one."""
+    def _spelled(self, path: list[int], raw: bytes) -> list[int]:
+        """A path with unknown characters as the ids of their bytes, or as the unknown one."""
+        ids = []
+        for x in path:
+            if x >= 0:
+                ids.append(x)
+            else:
+                i = -1 - x
+                n = 1 + (raw[i] >= 0xC0) + (raw[i] >= 0xE0) + (raw[i] >= 0xF0)
+                ids += [self.byte_id[b] for b in raw[i:i + n]] if self.byte_id else [self.unk]
+        return ids
+
+    def encode_bytes(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
+        """(ids as four bytes each, what they decode to) of each text; nothing for an empty or null one."""
         split = [self.units(" " + t) if t else [] for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        new = set(chain.from_iterable(split)).difference(self.cache)
+        new = set().union(*split).difference(self.cache)
         self._learn(list(new))
-        get = self.cache.__getitem__
-        out = [list(chain.from_iterable(map(get, s))) for s in split]
+        get, out = self.cache.__getitem__, []
+        for s in split:
+            ids, raw = zip(*map(get, s)) if s else ((), ())
+            out.append((b"".join(ids), self._plain(b"".join(raw))))
         for u in new:
             if len(u) > CACHED_CHARS:
                 del self.cache[u]
         return out
 
+    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
+        """Ids of each text."""
+        return [np.frombuffer(ids, np.int32).tolist() for ids, _ in self.encode_bytes(texts)]
+
+    @staticmethod
+    def _plain(raw: bytes) -> str:
+        text = raw.decode("utf-8", "replace").replace(SPACE, " ")
+        return text[1:] if text.startswith(" ") else text
+
     def decode(self, ids) -> str:
         """The text of ids; bytes that make no character become U+FFFD."""
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
-        return text[1:] if text.startswith(" ") else text
+        return self._plain(b"".join(map(self.raw.__getitem__, ids)))
 
 
 def load(path: str = MODEL) -> Tokenizer:
@@ -318,11 +342,11 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 texts = part.column(1).to_pylist()
-                ids = tok.encode_batch(texts)
-                same = [tok.decode(i) == (x or "") for i, x in zip(ids, texts)]
-                offsets = np.zeros(len(ids) + 1, np.int32)
-                np.cumsum([len(i) for i in ids], out=offsets[1:])
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
+                found = tok.encode_bytes(texts)
+                same = [plain == (x or "") for (_, plain), x in zip(found, texts)]
+                offsets = np.zeros(len(found) + 1, np.int32)
+                np.cumsum([len(ids) // 4 for ids, _ in found], out=offsets[1:])
+                flat = np.frombuffer(b"".join([ids for ids, _ in found]), np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(same)],
                     names=["doc_id", "ids", "round_trip"])
