@@ -1,15 +1,21 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
-A vector is described by its nearest reference points in order. The inverted
-lists are kept per set of SHARED pivots: two vectors meet in the list of such
-a set exactly if their prefixes share that many pivots. Lists are compared in
-blocks, and cosines in double precision decide.
+A vector, less the sample's mean, is described by its nearest reference points
+in order. The inverted lists are kept per set of `shared` pivots: two vectors
+meet in the list of such a set exactly if their prefixes share that many
+pivots, so a pivot's long list is never gone through for its few members that
+share enough. How long the prefixes are and how many pivots two must share is
+chosen by what a sample shows: the least work that still finds nearly all pairs
+right at the threshold. Lists hold ids, prefixes and sign sketches; only what
+comes close there is compared by its vectors, in double precision.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +24,20 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Reference points, nearest ones that describe a vector, how many two must share, least cosine.
-PIVOTS, PREFIX, SHARED, COSINE = 128, 6, 3, 0.95
-#: Pivots come from a sample of so many vectors, and none is more similar to another than this:
-#: the order of pivots close together would tell noise.
-SAMPLE, SPREAD = 2048, 0.6
-#: Vectors of a block; a list of more is compared block by block.
-BLOCK = 1024
+#: Least cosine, and the share of pairs at that cosine which prefixes must bring together on the sample.
+COSINE, RECALL = 0.95, 0.97
+#: Reference points for FEW vectors (more as the cube root of the number), and the most.
+PIVOTS, FEW, MOST_PIVOTS = 128, 50_000, 4096
+#: Prefixes tried, pivots to share, sets of pivots a vector may be listed under.
+PREFIXES, SHARED, MOST_KEYS = range(4, 13), (3, 2, 4), 66
+#: A row of a list weighs as much as so many comparisons.
+ROW = 50
+#: Vectors of the sample: half for pivots, half to choose the prefix by. Of a length with fewer, all are compared.
+SAMPLE = 4096
+#: Bits of a sketch; vectors of a block where lists are compared by sketches, and by vectors.
+BITS, SKETCHED, BLOCK = 128, 8192, 2048
+#: Bytes of pivots sent at a time.
+SENT = 64 << 20
 
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -41,21 +54,75 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def choose_pivots(vectors: DataFrame, dims: int, n: int = PIVOTS) -> np.ndarray:
-    """At most n spread-out vectors of `dims` components: farthest first in a bounded sample, the first by a hash."""
-    rows = vectors.where(F.col("dims") == dims).orderBy(F.xxhash64(F.lit(11), "v"), "id").limit(SAMPLE).select("v").collect()
-    x = unit(np.array([r[0] for r in rows], np.float64))
+class Index:
+    """What describes vectors of one length: the mean taken off, pivots, prefix and pivots to share; no pivots: all in one list."""
+
+    def __init__(self, sample: np.ndarray, n: int, dims: int, cosine: float, recall: float, exact: bool = False):
+        self.mean, self.pivots, self.prefix, self.shared, self.estimate = np.zeros(dims), None, 0, 0, 1.0
+        if exact or n < SAMPLE:
+            return
+        self.mean = sample.mean(axis=0)
+        x = self.centred(sample)
+        first, second = x[::2], x[1::2]
+        self.pivots = farthest(first, min(MOST_PIVOTS, max(PIVOTS, round(PIVOTS * (n / FEW) ** (1 / 3)))))
+        # what a vector at the threshold from each of the second half looks like
+        g = np.random.default_rng(13)
+        own = sample[1::2]
+        off = g.normal(size=own.shape)
+        off = unit(off - (off * own).sum(axis=1, keepdims=True) * own)
+        near = self.centred(cosine * own + np.sqrt(max(0.0, 1 - cosine * cosine)) * off)
+        longest = min(max(PREFIXES), len(self.pivots))
+        a, b = permutation(second, self.pivots, longest), permutation(near, self.pivots, longest)
+        best = None
+        for shared in SHARED:
+            for prefix in PREFIXES:
+                if shared > prefix or prefix > longest or comb(prefix, shared) > MOST_KEYS:
+                    continue
+                found = float(((a[:, :prefix, None] == b[:, None, :prefix]).any(axis=2).sum(axis=1) >= shared).mean())
+                _, times = np.unique(_keys(a[:, :prefix], dims, shared), return_counts=True)
+                meets = float((times * (times - 1)).sum()) / len(a) / max(1, len(a) - 1) * n
+                cost = comb(prefix, shared) * ROW + meets
+                choice = (found < recall, -found if found < recall else cost, prefix, shared, found)
+                best = min(best or choice, choice)
+        _, _, self.prefix, self.shared, self.estimate = best
+
+    def centred(self, x: np.ndarray) -> np.ndarray:
+        """Unit vectors less the mean, of unit length again; the mean itself stays as it is."""
+        y = x - self.mean
+        size = np.sqrt((y * y).sum(axis=1, keepdims=True))
+        return np.where(size > 1e-9, y / np.maximum(size, 1e-9), x)
+
+    def keys(self, x: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray]:
+        """(prefix, one key for each set of pivots) of unit vectors."""
+        if self.pivots is None:
+            return np.zeros((len(x), 0), np.int64), np.full((len(x), 1), dims, np.int64)
+        perm = permutation(self.centred(x), self.pivots, self.prefix)
+        return perm, _keys(perm, dims, self.shared)
+
+
+def farthest(x: np.ndarray, n: int) -> np.ndarray:
+    """At most n spread-out rows of x: the first, then always the one least similar to all chosen."""
     chosen, nearest = [0], x @ x[0]
     while len(chosen) < min(n, len(x)):
         k = int(np.argmin(nearest))
-        if nearest[k] > SPREAD:
-            break
         chosen.append(k)
         nearest = np.maximum(nearest, x @ x[k])
     return x[chosen]
 
 
-def permutation(x: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX) -> np.ndarray:
+def sketches(x: np.ndarray) -> np.ndarray:
+    """On which side of BITS fixed planes each row lies."""
+    planes = np.random.default_rng(17).normal(size=(x.shape[1], BITS))
+    return np.packbits(x @ planes > 0, axis=1)
+
+
+def reach(cosine: float) -> float:
+    """The bits that sketches of vectors at this cosine differ in at most, but for one pair in a thousand million."""
+    p = float(np.arccos(np.clip(cosine, -1, 1)) / np.pi)
+    return BITS * p + 6 * np.sqrt(BITS * p * (1 - p))
+
+
+def permutation(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """The numbers of each row's nearest pivots in order, ties to the smaller number."""
     s = x @ pivots.T
     k = min(prefix, s.shape[1])
@@ -100,13 +167,7 @@ def compare(ids, weights, x, perm, first, second, key, dims, shared, cosine):
             i, j = i[keep], j[keep]
         for c in range(0, len(i), 50_000):
             ii, jj = i[c:c + 50_000], j[c:c + 50_000]
-            common_to = (p[ii][:, :, None] == p[jj][:, None, :]).any(axis=2)
-            k = min(shared, p.shape[1])
-            lowest = common_to & (np.cumsum(common_to, axis=1) <= k)
-            own = np.full(len(ii), dims, np.int64)
-            for col in range(p.shape[1]):
-                own = np.where(lowest[:, col], own * 4099 + p[ii, col] + 1, own)
-            ok = own == key
+            ok = _own_list(p[ii], p[jj], key, dims, shared)
             ii, jj = ii[ok], jj[ok]
             np.add.at(count, ii, weights[jj])
             np.add.at(count, jj, weights[ii])
@@ -114,6 +175,36 @@ def compare(ids, weights, x, perm, first, second, key, dims, shared, cosine):
     return count, edges
 
 
+def _own_list(p: np.ndarray, q: np.ndarray, key: int, dims: int, shared: int) -> np.ndarray:
+    """Whether pairs of rows with these sorted prefixes share enough pivots and belong to this list, the one of their smallest shared ones."""
+    both = (p[:, :, None] == q[:, None, :]).any(axis=2)
+    lowest = both & (np.cumsum(both, axis=1) <= shared)
+    own = np.full(len(p), dims, np.int64)
+    for col in range(p.shape[1]):
+        own = np.where(lowest[:, col], own * 4099 + p[:, col] + 1, own)
+    return (both.sum(axis=1) >= shared) & (own == key)
+
+
+def close(perm, bits, first, second, key, dims, shared, most) -> np.ndarray:
+    """Numbers of the rows of two blocks (or one) that have a partner in the other whose sketch is within `most` bits and whose list this is."""
+    same = first is second
+    p = np.sort(perm, axis=1)
+    signs = np.unpackbits(bits, axis=1).astype(np.float32) * 2 - 1
+    got = np.zeros(len(perm), bool)
+    for a in range(0, len(first), 512):
+        rows = first[a:a + 512]
+        hit_i, hit_j = np.nonzero(signs[rows] @ signs[second].T >= BITS - 2 * most)
+        if same:
+            keep = hit_i + a < hit_j
+            hit_i, hit_j = hit_i[keep], hit_j[keep]
+        for c in range(0, len(hit_i), 50_000):
+            ii, jj = rows[hit_i[c:c + 50_000]], second[hit_j[c:c + 50_000]]
+            ok = _own_list(p[ii], p[jj], key, dims, shared)
+            got[ii[ok]] = True
+            got[jj[ok]] = True
+    return np.flatnonzero(got)
+
+
 def _spanning(ids: np.ndarray, edges: list) -> list[tuple[int, int]]:
     """(id, smallest id of its tree) of the rows that edges join."""
     label = np.arange(len(ids))
@@ -132,85 +223,41 @@ def _spanning(ids: np.ndarray, edges: list) -> list[tuple[int, int]]:
     return [(r, low_id[lab]) for r, lab in zip(ids.tolist(), label.tolist()) if low_id[lab] != r]
 
 
-def similar_vectors(
-    vectors: DataFrame, cosine: float = COSINE, pivots: int = PIVOTS, prefix: int = PREFIX, shared: int = SHARED,
-    id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK,
-) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of each row.
-
-    Vectors of different lengths don't link; null, empty and zero ones, and
-    those with null or non-finite components, link with nothing. Equal vectors
-    are one class in the index (their smallest id), and each has the class's
-    links and its other members. Rows of one id are one node of the
-    components. A row with a null id never links.
-    """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    good = F.coalesce(
-        F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
-        & F.exists("v", lambda x: x != 0), F.lit(False))
-    kind = "<f4" if "float" in vectors.schema[vector_col].dataType.simpleString() else "<f8"
-    rows = rows.withColumn("good", good).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(5), F.reverse("v")))
-    fine = rows.where("good").withColumn("dims", F.size("v"))
-    classes = fine.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"))
-    classes = common.settle(classes)
-    one = fine.join(classes, ["h1", "h2", "id"], "left_semi").dropDuplicates(["h1", "h2"])
-    one = common.settle(one.join(classes.select("h1", "h2", "weight"), ["h1", "h2"]).select("id", "weight", "v", "dims"))
-    # sizes of vectors are few; each has its own reference points
-    sizes = [r[0] for r in one.select("dims").distinct().limit(257).collect()]
-    if len(sizes) > 256:
-        raise ValueError("vectors of more than 256 different lengths")
-    sent = spark.sparkContext.broadcast({d: choose_pivots(one, d, pivots) for d in sizes})
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            dims = b.column(3).to_numpy()
-            for d in np.unique(dims):
-                part = b.filter(pa.array(dims == d))
-                raw = _matrix(part.column(2))
-                x = unit(raw)
-                perm = permutation(x, sent.value[int(d)], prefix)
-                keys = _keys(perm, int(d), shared)
-                n, k = keys.shape
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(3),
-                     pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * perm.shape[1]),
-                                              pa.array(perm.astype(np.int16).ravel())),
-                     pa.array([r.tobytes() for r in raw.astype(kind)], pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(keys.ravel()))],
-                    names=["id", "weight", "dims", "perm", "x", "keys"])
-
-    described = common.settle(one.select("id", "weight", "v", "dims").mapInArrow(
-        describe, "id bigint, weight bigint, dims int, perm array<smallint>, x binary, keys array<bigint>"))
-    lists = described.select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # a list of n vectors has `parts` blocks; a member goes to each pair of blocks that has its own
-    parts = F.ceil(F.col("n") / block).cast("int")
-    placed = (
-        described.withColumn("key", F.explode("keys")).drop("keys").join(lists, "key")
-        .withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("parts")).cast("int"))
+def _indexes(one: DataFrame, cosine: float, recall: float, exact: bool) -> Iterator[dict[int, Index]]:
+    """An index for each length of vectors, SENT bytes of pivots at a time."""
+    sizes = one.groupBy("dims").agg(F.count(F.lit(1)).alias("n"))
+    held, size = {}, 0
+    for dims, n in sorted((r.dims, r.n) for r in sizes.where(F.lit(not exact) & (F.col("n") >= SAMPLE)).toLocalIterator()):
+        rows = one.where(F.col("dims") == dims).orderBy(F.xxhash64(F.lit(11), "v"), "id").limit(SAMPLE).select("v").collect()
+        held[dims] = Index(unit(np.array([r[0] for r in rows], np.float64)), n, dims, cosine, recall)
+        size += held[dims].pivots.nbytes
+        if size > SENT:
+            yield held
+            held, size = {}, 0
+    yield held
+
+
+def _blocks(rows: DataFrame, per_list: DataFrame, block: int) -> DataFrame:
+    """rows (key, h1, ...) of lists of several, once for each pair of blocks (bi, bj) that has the row's own, sorted by pair."""
+    spread = (
+        rows.join(per_list, "key").withColumn("parts", F.ceil(F.col("n") / block).cast("int")).drop("n")
+        .withColumn("own", F.pmod(F.xxhash64(F.lit(3), "h1"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own",
-                "id", "weight", "dims", "perm", "x")
+        .withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).drop("other", "parts")
     )
-    dealt = placed.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id")
+    return spread.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "h1")
+
+
+def _by_pair(dealt: DataFrame, columns: list[str], found: Callable[[pa.Table, int, np.ndarray, np.ndarray], list[tuple]], names: list[str]) -> DataFrame:
+    """found(rows, key, numbers of the first block's, of the second's) of each pair of blocks, as whole numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(t: pa.Table):
+        def of(held: list[pa.RecordBatch]) -> list[tuple]:
+            t = pa.Table.from_batches(held).combine_chunks()
             key, bi, bj = (t.column(k)[0].as_py() for k in range(3))
             own = t.column(3).to_numpy()
-            ids, weights = t.column(4).to_numpy(), t.column(5).to_numpy()
-            x = unit(np.frombuffer(b"".join(t.column(8).to_pylist()), kind).reshape(len(ids), -1).astype(np.float64))
-            perm = np.array(t.column(7).to_pylist())
             a = np.flatnonzero(own == bi)
-            b = a if bi == bj else np.flatnonzero(own == bj)
-            count, edges = compare(ids, weights, x, perm, a, b, key, t.column(6)[0].as_py(), shared, cosine)
-            got = np.flatnonzero(count)
-            trees = dict(_spanning(ids, edges)) if len(got) else {}
-            return [(int(ids[g]), int(count[g]), trees.get(int(ids[g]), int(ids[g]))) for g in got]
-
-        def out(found):
-            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)],
-                                              names=["id", "links", "low"])
+            return found(t, key, a, a if bi == bj else np.flatnonzero(own == bj))
 
         held, last = [], None
         for b in batches:
@@ -218,23 +265,122 @@ def similar_vectors(
                 continue
             group = np.stack([b.column(i).to_numpy() for i in range(3)])
             cuts = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
-            found = []
+            out = []
             for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
                 name = tuple(group[:, s].tolist())
                 if last is not None and name != last:
-                    found += links(pa.Table.from_batches(held).combine_chunks())
+                    out += of(held)
                     held = []
                 held.append(b.slice(s, e - s))
                 last = name
-            yield out(found)
+            yield _longs(out, names)
         if held:
-            yield out(links(pa.Table.from_batches(held).combine_chunks()))
+            yield _longs(of(held), names)
+
+    return dealt.select("key", "bi", "bj", "own", *columns).mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+
+
+def _longs(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))], names=names)
+
+
+def similar_vectors(
+    vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, exact: bool = False,
+    id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, sketched: int = SKETCHED,
+) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of each row.
+
+    Vectors of different lengths don't link; null, empty and zero ones, and
+    those with null or non-finite components, link with nothing. Equal vectors
+    are one class in the index (their smallest id), and each has the class's
+    links and its other members. Rows of one id are one node of the
+    components. A row with a null id never links.
 
-    found = common.settle(dealt.mapInArrow(run, "id bigint, links bigint, low bigint"))
-    counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-    groups = common.connected(one.select("id").distinct(), found.select(F.col("id").alias("a"), F.col("low").alias("b")))
+    Every link reported has a cosine of at least `cosine`. A pair right at it is
+    found with a probability of about `recall`, estimated on a sample of SAMPLE
+    vectors of each length, a closer pair more surely. Where no prefix reaches
+    `recall` the best one is taken. exact=True compares all vectors of a length
+    with each other, block by block, and so are lengths of under SAMPLE vectors.
+    """
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    good = F.coalesce(
+        F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+        & F.exists("v", lambda x: x != 0), F.lit(False))
+    kind = "<f4" if "float" in vectors.schema[vector_col].dataType.simpleString() else "<f8"
+    rows = rows.withColumn("good", good).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(5), F.reverse("v")))
+    fine = rows.where("good").withColumn("dims", F.size("v"))
+    classes = common.settle(fine.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")))
+    one = fine.join(classes, ["h1", "h2", "id"], "left_semi").dropDuplicates(["h1", "h2"])
+    one = common.settle(one.join(classes.select("h1", "h2", "weight"), ["h1", "h2"]).select("h1", "id", "weight", "v", "dims"))
+
+    def described(index: dict[int, Index], some: DataFrame) -> DataFrame:
+        sent = spark.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                dims = b.column(4).to_numpy()
+                for d in np.unique(dims).tolist():
+                    own = sent.value.get(d)
+                    part = b.filter(pa.array(dims == d))
+                    for at in range(0, part.num_rows, 4096):
+                        some = part.slice(at, 4096)
+                        raw = _matrix(some.column(3))
+                        x = unit(raw)
+                        perm, keys = own.keys(x, d) if own else (np.zeros((len(x), 0), np.int64), np.full((len(x), 1), d, np.int64))
+                        lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * y.shape[1]), pa.array(y.astype(t).ravel()))
+                                 for y, t in ((perm, np.int16), (keys, np.int64))]
+                        yield pa.RecordBatch.from_arrays(
+                            [some.column(0), some.column(1), some.column(2), some.column(4), pa.array(np.full(len(x), own.shared if own else 0, np.int32)), lists[0],
+                             pa.array([r.tobytes() for r in sketches(x)], pa.binary()), pa.array([r.tobytes() for r in raw.astype(kind)], pa.binary()), lists[1]],
+                            names=["h1", "id", "weight", "dims", "shared", "perm", "bits", "x", "keys"])
+
+        return common.settle(some.select("h1", "id", "weight", "v", "dims").mapInArrow(
+            run, "h1 bigint, id bigint, weight bigint, dims int, shared int, perm array<smallint>, bits binary, x binary, keys array<bigint>"))
+
+    parts, taken = [], []
+    for index in _indexes(one, cosine, recall, exact):
+        parts.append(described(index, one.where(F.col("dims").isin(list(index))) if index else one.limit(0)))
+        taken += index
+    if len(parts) > 1 or not taken or not one.where(~F.col("dims").isin(taken)).isEmpty():
+        parts.append(described({}, one.where(~F.col("dims").isin(taken)) if taken else one))
+    table = reduce(DataFrame.unionByName, parts)
+    several = lambda df: df.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+    # lists without vectors: who has a partner within reach of its sketch
+    most = reach(cosine)
+    light = table.select(F.explode("keys").alias("key"), "h1", "dims", "shared", "perm", "bits")
+    prefix = lambda t, at: np.array(t.column(at).to_pylist(), np.int64).reshape(t.num_rows, -1)
+
+    def by_sketch(t: pa.Table, key: int, a: np.ndarray, b: np.ndarray) -> list[tuple]:
+        bits = np.frombuffer(b"".join(t.column(8).to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        got = close(prefix(t, 7), bits, a, b, key, t.column(5)[0].as_py(), t.column(6)[0].as_py(), most)
+        return [(key, i) for i in t.column(4).to_numpy()[got].tolist()]
+
+    # the lists' sizes need no more than their keys
+    dealt = _blocks(light, several(table.select(F.explode("keys").alias("key"))), sketched)
+    near = common.settle(_by_pair(dealt, ["h1", "dims", "shared", "perm", "bits"], by_sketch, ["key", "h1"]).distinct())
+
+    def by_vector(t: pa.Table, key: int, a: np.ndarray, b: np.ndarray) -> list[tuple]:
+        rows, ids, weights = (t.column(k).to_numpy() for k in (4, 5, 6))
+        x = unit(np.frombuffer(b"".join(t.column(10).to_pylist()), kind).reshape(len(ids), -1).astype(np.float64))
+        count, edges = compare(ids, weights, x, prefix(t, 9), a, b, key, t.column(7)[0].as_py(), t.column(8)[0].as_py(), cosine)
+        got = np.flatnonzero(count)
+        trees = dict(_spanning(ids, edges)) if len(got) else {}
+        return [(int(rows[g]), int(ids[g]), int(count[g]), trees.get(int(ids[g]), int(ids[g]))) for g in got]
+
+    heavy = near.join(table.select("h1", "id", "weight", "dims", "shared", "perm", "x"), "h1")
+    dealt = _blocks(heavy, several(near), block)
+    found = common.settle(_by_pair(dealt, ["h1", "id", "weight", "dims", "shared", "perm", "x"], by_vector, ["h1", "id", "links", "low"]))
+    counts = found.groupBy("h1").agg(F.sum("links").alias("links"))
+    # an id with several vectors joins their classes
+    mixed = fine.groupBy("id").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high").select("id")
+    same_id = fine.join(mixed, "id", "left_semi").select(F.col("id").alias("a"), "h1", "h2").join(
+        classes.select("h1", "h2", F.col("id").alias("b")), ["h1", "h2"]).select("a", "b")
+    edges = found.select(F.col("id").alias("a"), F.col("low").alias("b")).unionByName(same_id)
+    groups = common.connected(one.select("id").union(mixed).distinct(), edges)
     totals = (
-        classes.join(counts, "id", "left").join(groups, "id")
+        classes.join(counts, "h1", "left").join(groups, "id")
         .select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component")
     )
     joined = rows.where("good").select("id", "h1", "h2").join(totals, ["h1", "h2"]).select("id", "n_links", "component")

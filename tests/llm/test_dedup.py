@@ -275,19 +275,23 @@ def test_connected(spark):
 VECTORS = "vec_id bigint, embedding array<float>, label int, id int, x int"
 
 
-@pytest.mark.parametrize("block", [pivots.BLOCK, 8])
-def test_pivot_index(spark, block):
+@pytest.mark.parametrize("block,sample", [(pivots.BLOCK, pivots.SAMPLE), (8, pivots.SAMPLE), (8, 40), (pivots.BLOCK, 40)])
+def test_pivot_index(spark, monkeypatch, block, sample):
+    """All in one list, and (from 40 vectors on) lists of shared pivots; long lists by pairs of blocks."""
+    monkeypatch.setattr(pivots, "SAMPLE", sample)
+    monkeypatch.setattr(pivots, "PIVOTS", 16)
     g = np.random.default_rng(2)
     base = g.normal(size=(60, 24))
     rows = []
     for k in range(60):
         for c in range(1 + 9 * (k % 10 == 0)):
             rows.append(base[k] + g.normal(size=24) * 0.02 * c)
-    rows = [(i, v.astype(np.float32).tolist(), 0, 1, 1) for i, v in enumerate(rows)]
-    rows += [(500, rows[3][1], 1, 1, 1), (501, [2 * x for x in rows[3][1]], 1, 1, 1), (502, None, 1, 1, 1), (503, [0.0] * 24, 1, 1, 1),
+    some = [(i, v.astype(np.float32).tolist(), 0, 1, 1) for i, v in enumerate(rows)]
+    rows = some + [(500, some[3][1], 1, 1, 1), (501, [2 * x for x in some[3][1]], 1, 1, 1), (502, None, 1, 1, 1), (503, [0.0] * 24, 1, 1, 1),
              (504, [float("nan")] + [1.0] * 23, 1, 1, 1), (505, [None] + [1.0] * 23, 1, 1, 1), (506, [1.0] * 7, 1, 1, 1), (507, [1.0] * 7, 1, 1, 1),
-             (508, [], 1, 1, 1), (None, rows[3][1], 1, 1, 1), (500, rows[3][1], 1, 1, 1)]
-    got = pivots.similar_vectors(spark.createDataFrame(rows, VECTORS), block=block).collect()
+             (508, [], 1, 1, 1), (None, some[3][1], 1, 1, 1), (500, some[3][1], 1, 1, 1), (509, [1.0] * 7, 1, 1, 1), (509, some[40][1], 1, 1, 1)]
+    rows += [(600 + k, [1.0] * (k + 1), 1, 1, 1) for k in range(300)]
+    got = pivots.similar_vectors(spark.createDataFrame(rows, VECTORS), recall=0.9999, block=block, sketched=block).collect()
     assert len(got) == len(rows)
     good = [(i, np.array(v, float)) for i, v, *_ in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
     links, near = [0] * len(good), {}
@@ -315,16 +319,41 @@ def test_pivot_index(spark, block):
         assert have[i] == [(0, i)]
 
 
-def test_pivot_recall():
-    """Pairs right at the threshold still share enough pivots nine times in ten."""
+def anisotropic(g, n, d, mean_cosine):
+    z = pivots.unit(g.normal(size=(n, d)))
+    return pivots.unit(np.sqrt(mean_cosine) * pivots.unit(g.normal(size=(1, d))) + np.sqrt(1 - mean_cosine) * z)
+
+
+@pytest.mark.parametrize("mean_cosine", [0, 0.3, 0.5, 0.75])
+def test_pivot_recall(mean_cosine):
+    """Of pairs right at the threshold, not in the sample, more than nine in ten share enough pivots; the estimate is near the truth."""
     g = np.random.default_rng(0)
-    z = pivots.unit(g.normal(size=(3000, 64)))
-    p = z[:pivots.PIVOTS]
+    x = anisotropic(g, 9000, 64, mean_cosine)
+    index = pivots.Index(x[:pivots.SAMPLE], 50_000, 64, 0.95, pivots.RECALL)
+    z = x[pivots.SAMPLE:]
     n = g.normal(size=z.shape)
     n = pivots.unit(n - (n * z).sum(axis=1, keepdims=True) * z)
-    near = 0.95 * z + np.sqrt(1 - 0.95 ** 2) * n
-    a, b = pivots.permutation(z, p), pivots.permutation(near, p)
-    assert ((a[:, :, None] == b[:, None, :]).any(axis=2).sum(axis=1) >= pivots.SHARED).mean() > 0.93
+    a, b = index.keys(z, 64)[1], index.keys(0.95 * z + np.sqrt(1 - 0.95 ** 2) * n, 64)[1]
+    met = (a[:, :, None] == b[:, None, :]).any(axis=(1, 2)).mean()
+    assert met > 0.93 and abs(met - index.estimate) < 0.04
+
+
+def test_pivot_links_against_all_pairs(spark):
+    """Recall of whole runs on vectors with planted pairs around the threshold; and the exact mode finds all."""
+    g = np.random.default_rng(4)
+    x = anisotropic(g, 5000, 32, 0.4)
+    for k in range(0, 2000, 2):
+        c = g.uniform(0.94, 1)
+        n = g.normal(size=32)
+        n = pivots.unit((n - (n @ x[k]) * x[k])[None])[0]
+        x[k + 1] = c * x[k] + np.sqrt(1 - c * c) * n
+    rows = [(i, v.astype(np.float32).tolist(), 0, 1, 1) for i, v in enumerate(x)]
+    y = np.array([r[1] for r in rows])
+    want = ((y @ y.T / np.linalg.norm(y, axis=1)[:, None] / np.linalg.norm(y, axis=1) >= 0.95).sum(axis=1) - 1).tolist()
+    df = spark.createDataFrame(rows, VECTORS)
+    got = {r.vec_id: r.n_links for r in pivots.similar_vectors(df).collect()}
+    assert all(got[i] <= n for i, n in enumerate(want)) and sum(got.values()) > 0.95 * sum(want)
+    assert [r.n_links for r in pivots.similar_vectors(df, exact=True).orderBy("vec_id").collect()] == want
 
 
 def test_vectors_of_nothing(spark):
