@@ -47,6 +47,14 @@ def settle(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A name like the given one that no column has, whatever its case."""
+    have = {c.lower() for c in columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list[str | None]], list[bool]]], step: int = 512) -> DataFrame:
     """The rows whose text passes, with all columns as they are and no shuffle; make gives a task its test of texts."""
     at_text = docs.columns.index("text")

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -23,8 +23,10 @@ from . import common
 WORDS, SKETCHES, KEPT, SIMILARITY = 5, 40, 6, 0.8
 #: Documents of fewer shingles than SHORT keep FEW in a sketch.
 SHORT, FEW = 40, 2
-#: Documents of a block, where the members of a bucket are compared among each other.
-BLOCK = 256
+#: Documents of a block, where the members of a bucket are compared among each other, and bytes of their shingles.
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
+#: Members that a centre doesn't link, beyond which they meet by their rarest shingles and not all in all.
+CROWDED = 128
 
 
 class WordHashes(dict):
@@ -245,10 +247,13 @@ def near_duplicates(
     Every member of a bucket is aligned with the bucket's smallest one, its
     centre. By the triangle inequality those far from it can't be near to what
     is near to it; those within reach are aligned with those, and all that the
-    centre doesn't link among each other, if they share a bucket. This is done
-    for a centre at a time, in pairs of blocks of BLOCK documents, and only
-    links come out; so no link that a bucket holds is lost, and neither a
-    task nor a table grows with the square of a group.
+    centre doesn't link among each other, if they share a bucket: a centre at a
+    time, in pairs of blocks of at most BLOCK documents and about BLOCK_BYTES,
+    and only links come out. Where a centre leaves more than CROWDED, as a
+    passage does that very many documents have, these meet anew in buckets of
+    their rarest shingles there. Sequences of similarity s have a share s of
+    their shingles in common, so the rarest 1 - s of either, and one more, have
+    one in common: no link that a bucket holds is lost.
     """
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("id"),
@@ -260,15 +265,10 @@ def near_duplicates(
     reps = common.settle(copies.groupBy("h1", "h2").agg(F.min("id").alias("id")))
     # one row per distinct text and key; an id with two texts has both
     first = table.join(reps.select("id", "h1", "h2"), ["id", "h1", "h2"]).select("id", F.explode("keys").alias("key"))
-    shared = first.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("top")).where("c < top")
-    pairs = common.settle(
-        first.join(shared.select("key", "c"), "key").where("id <> c")
-        .groupBy(F.col("id").alias("a"), F.col("c").alias("b")).agg(F.collect_set("key").alias("keys")))
+    pairs = _meetings(first)
     involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sequences = common.settle(_sequences(rows.join(involved, "id", "left_semi")))
-    tested = common.settle(_verify(pairs.select("a", "b"), sequences, similarity))
-    links = tested.where("state = 2").select("a", "b")
-    links = links.unionByName(common.settle(_rest(tested, pairs, sequences, similarity)))
+    links = _links(pairs, sequences, similarity, True)
     groups = common.connected(reps.select("id").distinct(), links)
     classes = reps.join(groups, "id").select("h1", "h2", F.col("component").alias("class_id"))
     named = copies.join(classes, ["h1", "h2"]).withColumnRenamed("id", "doc_id")
@@ -279,14 +279,60 @@ def near_duplicates(
     )
 
 
-def _rest(tested: DataFrame, pairs: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between members that share a bucket whose centre doesn't link them both."""
+def _meetings(first: DataFrame) -> DataFrame:
+    """(a, b, keys): who (first: id, key) shares which keys with the smallest id of a key's bucket."""
+    shared = first.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("top")).where("c < top")
+    return common.settle(
+        first.join(shared.select("key", "c"), "key").where("id <> c")
+        .groupBy(F.col("id").alias("a"), F.col("c").alias("b")).agg(F.collect_set("key").alias("keys")))
+
+
+def _links(pairs: DataFrame, sequences: DataFrame, similarity: float, anew: bool) -> DataFrame:
+    """Near pairs (a, b), enough to join all that are near and share a key; crowded centres' members meet anew once."""
+    tested = common.settle(_verify(pairs.select("a", "b"), sequences, similarity))
+    links = tested.where("state = 2").select("a", "b")
     centres = (
         tested.groupBy("b").agg(F.count_if(F.col("state") < 2).alias("left"), F.count_if(F.col("state") == 1).alias("reach"),
-                                F.count_if(F.col("state") == 2).alias("near"))
+                                F.count_if(F.col("state") == 2).alias("near"), F.sum("n").alias("shingles"))
         .where("(reach > 0 AND near > 0) OR left > 1")
-        .select("b", "reach", F.ceil(F.col("left") / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("near") / BLOCK).cast("int").alias("nears"))
     )
+    if anew:
+        centres = common.settle(centres)
+        crowded = centres.where(F.col("left") + F.when(F.col("reach") > 0, F.col("near")).otherwise(0) > CROWDED)
+        if not crowded.isEmpty():
+            links = links.unionByName(_links(_meetings(_rarest(tested, crowded, sequences, similarity)), sequences, similarity, False))
+            centres = centres.join(crowded.select("b"), "b", "left_anti")
+    return links.unionByName(common.settle(_rest(tested, centres, pairs, sequences, similarity)))
+
+
+def _rarest(tested: DataFrame, crowded: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
+    """(id, key): each member of a crowded centre by its rarest shingles among the centre's members, as many as near ones must share one of."""
+    members = tested.join(crowded.select("b", "reach"), "b").where("state < 2 OR reach > 0").select("b", F.col("a").alias("id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                seqs = [_mix(labelled(np.frombuffer(s.as_buffer(), np.uint32).astype(np.uint64))).view(np.int64) for s in part.column(2)]
+                sizes = [len(s) for s in seqs]
+                owner = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(owner), part.column(1).take(owner), pa.array(np.repeat(sizes, sizes).astype(np.int32)),
+                     pa.array(np.concatenate(seqs) if seqs else np.empty(0, np.int64))], names=["b", "id", "n", "s"])
+
+    every = common.settle(members.join(sequences, "id").select("b", "id", "s").mapInArrow(run, "b bigint, id bigint, n int, s bigint"))
+    often = every.groupBy("b", "s").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    # a shingle that one member alone has comes before all others and leads to nobody
+    rank = F.row_number().over(Window.partitionBy("b", "id").orderBy(F.coalesce("f", F.lit(1)), "s"))
+    most = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
+    return (every.join(often, ["b", "s"], "left").withColumn("k", rank).where((F.col("k") <= most) & F.col("f").isNotNull())
+            .select("id", F.xxhash64("b", "s").alias("key")))
+
+
+def _rest(tested: DataFrame, centres: DataFrame, pairs: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between members that share a bucket whose centre doesn't link them both."""
+    blocks_of = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.ceil(F.col("shingles") * 4 / BLOCK_BYTES)).cast("int")
+    centres = centres.select("b", "reach", blocks_of("left").alias("lefts"), F.when(F.col("near") > 0, blocks_of("near")).otherwise(0).alias("nears"))
     is_near = F.col("state") == 2
     blocks = F.when(is_near, F.col("nears")).otherwise(F.col("lefts"))
     # what is left meets each other (kind 0); what is within reach also meets what the centre links (kind 1)
@@ -364,10 +410,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     classes = near_duplicates(docs)
     ids = common.settle(classes.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
-    known = docs.join(ids.select(F.col("doc_id").alias("__id")), F.col("doc_id") == F.col("__id"), "left_semi")
+    own = common.unused("id", docs.columns)
+    known = docs.join(ids.select(F.col("doc_id").alias(own)), F.col("doc_id") == F.col(own), "left_semi")
     if not ids.where("n > 1").isEmpty():
-        least = F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")
-        known = known.groupBy(F.col("doc_id").alias("__id")).agg(least).select("row.*")
+        # ordered as text, since not all kinds of columns have an order
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        known = known.groupBy(F.col("doc_id").alias(own)).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
     return known.unionByName(docs.where("doc_id IS NULL"))
 
 
