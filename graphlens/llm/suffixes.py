@@ -202,7 +202,7 @@ def _anchors(rows: DataFrame, length: int) -> DataFrame:
                     names=["akey", "bkey", "doc", "th", "start", "strings", "off"])
 
     return rows.select("doc", "th", "bytes").mapInArrow(
-        run, "akey bigint, bkey bigint, doc bigint, th int, start int, strings smallint, off smallint")
+        run, "akey bigint, bkey bigint, doc bigint, th bigint, start int, strings smallint, off smallint")
 
 
 def _pieces(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -220,7 +220,7 @@ def _pieces(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return both.mapInArrow(run, PIECE)
 
 
-PIECE = "akey bigint, doc bigint, th int, start int, off int, piece binary, big boolean"
+PIECE = "akey bigint, doc bigint, th bigint, start int, off int, piece binary, big boolean"
 _KINDS = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
 
 
@@ -229,7 +229,7 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _KINDS[k]) for i, k in enumerate(kinds)], names=names)
 
 
-SPANS = "doc bigint, th int, start int, end int"
+SPANS = "doc bigint, th bigint, start int, end int"
 
 
 def _by_array(pieces: DataFrame, length: int) -> DataFrame:
@@ -258,7 +258,7 @@ def _narrowed(pieces: DataFrame, width: int, length: int) -> DataFrame:
     earliest end; these make its new anchor, so equal strings stay together,
     while neighbours of one common line or passage part.
     """
-    schema = "akey bigint, same bigint, doc bigint, th int, start int, off int, piece binary"
+    schema = "akey bigint, same bigint, doc bigint, th bigint, start int, off int, piece binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = lambda *xs: int.from_bytes(hashlib.blake2b(b"".join(xs), digest_size=8).digest(), "little", signed=True)
@@ -359,7 +359,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce(F.encode(F.col("text").cast("string"), "UTF-8"), F.lit(b"")).alias("bytes"),
     )
-    rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("th", F.hash("bytes"))
+    rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("th", F.xxhash64("bytes"))
     spans = repeated_spans(rows, length)
     both = rows.join(spans, ["doc", "th"], "left").select("doc_id", "bytes", "spans")
 
@@ -408,12 +408,13 @@ def dedup_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Repeats are as in remove_repeats; all rows stay, with their columns, and a
     null text stays null.
     """
-    rows = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))).withColumn(
-        "__bytes", F.coalesce(F.encode(F.col("text").cast("string"), "UTF-8"), F.lit(b""))).withColumn("__th", F.hash("__bytes"))
-    inner = rows.select(F.col("__doc").alias("doc"), F.col("__th").alias("th"), F.col("__bytes").alias("bytes"))
-    spans = repeated_spans(inner, length).select(F.col("doc").alias("__d"), F.col("th").alias("__t"), F.col("spans").alias("__spans"))
-    both = rows.drop("__bytes").join(spans, (F.col("__doc") == F.col("__d")) & (F.col("__th") == F.col("__t")), "left")
-    both = both.select(*[F.col(f"`{c}`") for c in docs.columns], "__spans")
+    doc, th, found = (common.unused(n, docs.columns) for n in ("doc", "th", "spans"))
+    data = F.coalesce(F.encode(F.col("text").cast("string"), "UTF-8"), F.lit(b""))
+    place = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
+    spans = repeated_spans(docs.select(place.alias("doc"), F.xxhash64(data).alias("th"), data.alias("bytes")), length)
+    rows = docs.withColumn(doc, place).withColumn(th, F.xxhash64(data))
+    both = rows.join(spans.select(F.col("doc").alias(doc), F.col("th").alias(th), F.col("spans").alias(found)), [doc, th], "left").select(
+        *[F.col(f"`{c}`") for c in docs.columns], F.col(found))
     at_text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
