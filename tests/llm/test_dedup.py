@@ -210,9 +210,10 @@ def test_order_counts():
     assert (neardup.sketch(s) == neardup.sketch(s.copy())).all()
 
 
-@pytest.mark.parametrize("block", [neardup.BLOCK, 2])
-def test_near_duplicates(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,crowded", [(neardup.BLOCK, neardup.CROWDED), (2, neardup.CROWDED), (neardup.BLOCK, 1)])
+def test_near_duplicates(spark, monkeypatch, block, crowded):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "CROWDED", crowded)
     r = random.Random(8)
     rows = []
     for k in range(12):
@@ -250,6 +251,70 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert sorted(x.doc_id for x in kept.collect() if x.doc_id is not None) == sorted(set(want.values()))
 
 
+def groups_of(rows):
+    """Classes by aligning every pair of rows (id, text)."""
+    hashes = neardup.WordHashes()
+    seqs = {i: neardup.shingles(t, hashes) for i, t in rows}
+    parent = {i: i for i in seqs}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in seqs:
+        for b in seqs:
+            n = max(len(seqs[a]), len(seqs[b]))
+            if a < b and abs(len(seqs[a]) - len(seqs[b])) <= 0.2 * n and neardup.distance(seqs[a], seqs[b], int(0.2 * n)) <= 0.2 * n:
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {i: root(i) for i in seqs}
+
+
+def test_common_passage(spark, monkeypatch):
+    """Very many short documents share a passage, and a few of them nearly all: they meet by what is rare among them."""
+    monkeypatch.setattr(neardup, "CROWDED", 20)
+    r = random.Random(31)
+    passage, rows = text(r, 24), []
+    for k in range(60):
+        own = text(r, 14).split()
+        rows.append((len(rows), f"{' '.join(own)} {passage}"))
+        if k % 4 == 0:
+            rows.append((len(rows), f"{' '.join(own[1:])} {passage} {text(r, 1)}"))
+    got = {x.doc_id: x.class_id for x in neardup.near_duplicates(make(spark, rows)).collect()}
+    assert got == groups_of(rows) and len(set(got.values())) < len(rows) - 10
+
+
+@pytest.mark.parametrize("words", [(20, 34), (36, 60), (100, 300)])
+def test_near_recall(words):
+    """Pairs that differ by up to a fifth share a sketch, on both sides of the length where sketches change, and across it."""
+    r = random.Random(words[0])
+    hashes, met, total = neardup.WordHashes(), 0, 0
+    for _ in range(250):
+        own = text(r, r.randint(*words)).split()
+        other = list(own)
+        for _ in range(max(1, int(len(own) * 0.03))):
+            other[r.randrange(len(own))] = text(r, 1)
+        a, b = (neardup.shingles(" ".join(w), hashes) for w in (own, other))
+        most = int(0.2 * max(len(a), len(b)))
+        if 0 < neardup.distance(a, b, most) <= most:
+            total += 1
+            met += bool(set(neardup.sketch(a)) & set(neardup.sketch(b)))
+    assert total > 40 and met >= 0.95 * total
+
+
+def test_kept_rows_keep_their_columns(spark):
+    """Maps have no order, and names may clash with one's own."""
+    r = random.Random(3)
+    a, b = text(r, 50), text(r, 50)
+    docs = spark.createDataFrame([(1, a, {"x": 1}, 5), (1, b, {"y": 2}, 5), (2, a, {}, 5), (None, a, None, 5)],
+                                 "doc_id bigint, text string, __id map<string,int>, id int")
+    got = neardup.keep_one(docs).collect()
+    assert [x for x in got[0].__fields__] == docs.columns and sorted(str(x.doc_id) for x in got) == ["1", "None"]
+    cut = spark.createDataFrame([(1, a, 8, 9), (2, a, 8, 9)], "doc_id bigint, text string, __doc int, __th int")
+    assert [(x["__doc"], x["__th"]) for x in suffixes.dedup_documents(cut).collect()] == [(8, 9)] * 2
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(make(spark, []).limit(0)).count() == 0
 
