@@ -148,25 +148,31 @@ def weigh(rows: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def fit_svm(
-    x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarray | None = None, ridge: float = 1e-3, rounds: int = 12,
+    parts: list[tuple[np.ndarray, np.ndarray, float, np.ndarray]], start: np.ndarray | None = None, ridge: float = 1e-3, rounds: int = 12,
 ) -> tuple[np.ndarray, float]:
-    """Weights and bias that least squared hinge loss asks for, by Newton steps on the rows inside the margin, a block of rows at a time."""
-    n = x.shape[1] + 1
+    """Weights and bias that least squared hinge loss asks for, by Newton steps on the rows inside the margin.
+
+    parts are (features, numbers of the rows that count, their label, their
+    weights). Rows are taken a block at a time, so no features are copied.
+    """
+    n = parts[0][0].shape[1] + 1
     w = np.zeros(n) if start is None else start.astype(np.float64)
     penalty = np.full(n, ridge)
     penalty[-1] = 1e-8
-    weight = weight / weight.sum()
+    total = sum(float(weight.sum()) for *_, weight in parts)
+    many = sum(len(rows) for _, rows, *_ in parts)
     for _ in range(rounds):
         left, right = np.diag(penalty), np.zeros(n)
-        for a in range(0, len(x), 8192):
-            t = y[a:a + 8192]
-            inside = np.flatnonzero(t * (x[a:a + 8192] @ w[:-1].astype(np.float32) + w[-1]) < 1)
-            if not len(inside):
-                continue
-            z = np.column_stack([x[a:a + 8192][inside], np.ones(len(inside), np.float32)])
-            root = z * np.sqrt(weight[a:a + 8192][inside] * len(x)).astype(np.float32)[:, None]
-            left += (root.T @ root) / len(x)
-            right += z.T @ (weight[a:a + 8192][inside] * t[inside])
+        for x, rows, label, weight in parts:
+            for a in range(0, len(rows), 8192):
+                z = np.column_stack([x[rows[a:a + 8192]], np.ones(len(rows[a:a + 8192]), np.float32)])
+                inside = np.flatnonzero(label * (z @ w.astype(np.float32)) < 1)
+                if not len(inside):
+                    continue
+                z, own = z[inside], weight[a:a + 8192][inside] / total
+                root = z * np.sqrt(own * many).astype(np.float32)[:, None]
+                left += (root.T @ root) / many
+                right += label * (z.T @ own)
         new = np.linalg.solve(left, right)
         if np.allclose(new, w, rtol=1e-4, atol=1e-6):
             break
@@ -215,10 +221,10 @@ class StringKernelMachine:
         phi, owner = kernel.phi(vocabulary)
         w, self.bias = self._from_sentences(documents, y, phi, owner)
         clean = in_clean > 0
-        clean_rows = clean[owner]
+        clean_rows = np.flatnonzero(clean[owner])
         for step in range(rounds):
             value = np.full(len(vocabulary), -np.inf)
-            np.maximum.at(value, owner, phi @ w + self.bias)
+            np.maximum.at(value, owner, phi @ w.astype(np.float32) + np.float32(self.bias))
             # the word that each toxic document's worst sentence owes its label to
             witness = np.zeros(len(vocabulary))
             for bag, label in zip(some, y):
@@ -235,29 +241,28 @@ class StringKernelMachine:
                     at, letters = range(1, len(v)), rng.integers(0, 26, len(v))
                     more |= {v[:k] + chr(97 + letters[k]) + v[k:]: 0.1 * weight[i] / len(v) for k in at}
             mx, mown = kernel.phi(list(more)) if more else (phi[:0], np.empty(0, np.int64))
-            pos = np.isin(owner, chosen)
-            x = np.concatenate([phi[pos], mx, phi[clean_rows]])
-            pw = np.concatenate([weight[owner[pos]], np.array([*more.values()])[mown] if more else np.empty(0)]) ** 0.75
-            t = np.concatenate([np.ones(len(pw)), -np.ones(int(clean_rows.sum()))])
+            pos = np.flatnonzero(np.isin(owner, chosen))
+            pw, mw = weight[owner[pos]] ** 0.75, np.array([*more.values()])[mown] ** 0.75 if more else np.empty(0)
             nw = np.sqrt(in_clean[owner[clean_rows]])
-            w, self.bias = fit_svm(x, t, np.concatenate([pw / pw.sum(), nw / nw.sum()]), np.r_[w, self.bias] if step else None)
+            toxic_total = pw.sum() + mw.sum()
+            w, self.bias = fit_svm([(phi, pos, 1.0, pw / toxic_total), (mx, np.arange(len(mx)), 1.0, mw / toxic_total), (phi, clean_rows, -1.0, nw / nw.sum())],
+                                   np.r_[w, self.bias] if step else None)
         self.table[kernel.codes] = kernel.share @ w.astype(np.float32)
         self._calibrate(np.array([self._top({vocabulary[i] for i in bag})[0] for bag in some]), y)
         self.cache = {}
 
     def _from_sentences(self, documents, y, phi, owner) -> tuple[np.ndarray, float]:
         """A machine fitted on sentences as labelled, each the mean of its words; of either label SENTENCES at most, evenly spread."""
-        word = np.zeros((int(owner.max()) + 1, phi.shape[1]), np.float32)
-        np.add.at(word, owner, phi)
-        rows, target = [], []
+        first = np.searchsorted(owner, np.arange(int(owner.max()) + 2))
+        parts = []
         for label in (1, 0):
             own = [s for d, t in zip(documents, y) if t == label for s in d if s]
-            for k in np.unique(np.linspace(0, len(own) - 1, min(len(own), SENTENCES)).astype(int)):
-                rows.append(word[own[k]].mean(axis=0))
-                target.append(1.0 if label else -1.0)
-        target = np.array(target)
-        share = np.where(target > 0, 1 / max(1, (target > 0).sum()), 1 / max(1, (target < 0).sum()))
-        return fit_svm(np.array(rows), target, share)
+            chosen = np.unique(np.linspace(0, len(own) - 1, min(len(own), SENTENCES)).astype(int))
+            x = np.zeros((len(chosen), phi.shape[1]), np.float32)
+            for row, k in zip(x, chosen):
+                np.divide(phi[np.concatenate([np.arange(first[w], first[w + 1]) for w in own[k]])].sum(axis=0), len(own[k]), out=row)
+            parts.append((x, np.arange(len(x)), 1.0 if label else -1.0, np.full(len(x), 1 / max(1, len(x)))))
+        return fit_svm(parts)
 
     def _top(self, bag) -> tuple[float, str | None]:
         self._learn([w for w in bag if w not in self.cache])

@@ -118,7 +118,8 @@ def test_svm_is_the_least_loss():
     x = g.normal(size=(300, 5)).astype(np.float32)
     y = np.where(x[:, 0] + 0.5 * g.normal(size=300) > 0, 1.0, -1.0)
     weight = g.uniform(0.5, 1.5, 300)
-    w, b = toxicity.fit_svm(x, y, weight, rounds=60)
+    parts = [(x, np.flatnonzero(y == side), side, weight[y == side]) for side in (1.0, -1.0)]
+    w, b = toxicity.fit_svm(parts, rounds=60)
 
     def loss(w, b):
         return (weight / weight.sum() * np.maximum(0, 1 - y * (x @ w + b)) ** 2).sum() + 1e-3 * w @ w
