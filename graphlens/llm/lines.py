@@ -137,8 +137,9 @@ def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = 1, min_sen
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("th", F.xxhash64("text"))
     where = F.struct(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("at").alias("a"))
-    firsts = (_units(rows, unit, min_words, min_sentence, True).groupBy("h1", "h2")
-              .agg(F.min(where).alias("first"), F.sum("times").alias("n")).where("n > 1").drop("n"))
+    # as a table of its own, so that the join can split what very many texts have
+    firsts = common.settle(_units(rows, unit, min_words, min_sentence, True).groupBy("h1", "h2")
+                           .agg(F.min(where).alias("first"), F.sum("times").alias("n")).where("n > 1").drop("n"))
     gone = (_units(rows, unit, min_words, min_sentence, False).join(firsts, ["h1", "h2"])
             .where(~where.eqNullSafe(F.col("first")))
             .groupBy("doc_id", "th").agg(F.collect_set("at").alias("gone"))
