@@ -90,9 +90,10 @@ def note_links(content: Column) -> Column:
 
 
 def code_like(text: Column) -> Column:
-    """Has a dot or underscore, is all capitals (two or more letters), or has two capitals."""
-    capitals = F.length(F.regexp_replace(text, "[^A-Z]", ""))
-    return text.contains(".") | text.contains("_") | (capitals >= 2)
+    """Has a dot or underscore, is in capitals alone (two or more characters, digits allowed), or has two capitals."""
+    capitals = F.length(F.regexp_replace(text, r"[^\p{Lu}]", ""))
+    alone = (F.length(text) > 1) & (F.upper(text) == text) & (F.lower(text) != text)
+    return text.contains(".") | text.contains("_") | alone | (capitals >= 2)
 
 
 def note_mentions(content: Column) -> Column:

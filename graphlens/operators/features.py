@@ -11,6 +11,9 @@ from ..schema import FUNCTIONS, SYMBOLS, Graph
 #: Constraint words that make a decision affected.
 SENSITIVE = ("auth", "security", "performance", "api", "contract")
 
+#: File patterns of a specification; they are broadcast.
+MOST_PATTERNS = 10_000
+
 SPEC_SCHEMA = (
     "name string, ordinal int, description string, owner string, status string, "
     "decisions array<struct<id:string,description:string,rationale:string,constraints:array<string>>>, "
@@ -22,9 +25,11 @@ def patterns(features: DataFrame) -> DataFrame:
     """(feature, ordinal, regex) of each file pattern of features (name, ordinal, file_patterns).
 
     A specification is one document, so its patterns are few; they become
-    regular expressions on the driver.
+    regular expressions on the driver. More than MOST_PATTERNS are an error.
     """
-    rows = features.select("name", "ordinal", F.explode("file_patterns").alias("p")).collect()
+    rows = features.select("name", "ordinal", F.explode("file_patterns").alias("p")).limit(MOST_PATTERNS + 1).collect()
+    if len(rows) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} file patterns")
     made = [(r.name, r.ordinal, expr.glob_regex(r.p)) for r in rows]
     return features.sparkSession.createDataFrame(made, "feature string, ordinal int, regex string")
 

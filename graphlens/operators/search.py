@@ -23,8 +23,8 @@ def bm25(docs: DataFrame, query: str, most: int = 20) -> DataFrame:
     Only occurrences of the query's terms are shuffled: they are filtered
     inside each row's array before it is exploded.
     """
-    terms = sorted(set(t for t in query.lower().split()))
-    wanted = F.array(*map(F.lit, terms))
+    # the query is cut where documents are
+    wanted = F.array_distinct(tokens(F.lit(query)))
     t = docs.select("id", tokens("text").alias("ts")).select("id", F.size("ts").alias("len"), F.filter("ts", lambda x: F.array_contains(wanted, x)).alias("hits"))
     stats = t.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
     hits = t.where(F.size("hits") > 0).select("id", "len", F.explode("hits").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -49,3 +49,16 @@ def symbol_search(symbols: DataFrame, query: str, kind: str | None = None, most:
     hit = symbols.where(F.contains(F.lower("name"), F.lit(q)))
     hit = hit.where(F.col("type") == kind) if kind else hit
     return hit.orderBy((F.lower("name") == q).desc(), F.length("name"), "id").limit(most).select("id", "name", "type", "path", "start_line")
+
+
+def typed(symbols: DataFrame, returns: str | None = None, params: list[str] | None = None, most: int = 20) -> DataFrame:
+    """(id, name) of symbols (id, name, signature) whose signature returns and takes what is asked for, whatever the case; short names first."""
+    sig = F.lower("signature")
+    taken = F.regexp_extract(sig, r"(?s)\((.*)\)", 1)
+    given = F.regexp_extract(sig, r"(?s)\).*?->\s*(.*)$", 1)
+    hit = symbols
+    if returns:
+        hit = hit.where(F.contains(given, F.lit(returns.lower())))
+    for p in params or ():
+        hit = hit.where(F.contains(taken, F.lit(p.lower())))
+    return hit.orderBy(F.length("name"), "id").limit(most).select("id", "name")

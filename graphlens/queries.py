@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import expr
-from .operators import algo, callers, diff, features, incremental, intervals, modules, notes, reports, routes, search, traverse, usage
+from .operators import algo, answers, callers, diff, features, incremental, intervals, modules, notes, reports, routes, search, traverse, usage
 from .plans.binding import CTES, bind, table
+from .plans.stages import stage
 from .schema import Graph
 from .sources import js_code, python_code, readers
 from .streaming import telemetry
@@ -489,29 +490,256 @@ PYTHON = (
 _add("python_calls", lambda s, d: python_code.call_edges(s.createDataFrame(list(PYTHON), "path string, text string"), ("", "app/")), """
 SELECT * FROM (VALUES ('app/pack/impl.py', 5, 'app/pack/impl.py', 1), ('app/main.py', 6, 'app/pay.py', 1), ('app/main.py', 6, 'app/pack/impl.py', 5),
   ('app/main.py', 10, 'app/pack/impl.py', 1), ('app/main.py', 10, 'app/main.py', 6)) t(s_path, s_line, t_path, t_line)""")
+
+
+def _python_files(g: Graph) -> DataFrame:
+    """(path, text): Python sources with the bound graph's functions and calls, f7 for node 7, imported in three ways."""
+    fn = g.symbols.where(F.col("type").isin("function", "method") & F.col("path").like("%.py")).select("id", "path")
+    name = lambda c: F.concat(F.lit("f"), F.col(c).cast("string"))
+    e = g.edges.where("relation = 'calls' AND source_id <> target_id").select("source_id", "target_id").distinct().join(
+        fn.select(F.col("id").alias("source_id"), F.col("path").alias("s_path")), "source_id").join(
+        fn.select(F.col("id").alias("target_id"), F.col("path").alias("t_path")), "target_id")
+    module, short = expr.module_path(F.col("t_path")), F.concat(F.lit("m"), F.crc32("t_path").cast("string"))
+    way = F.when(F.col("s_path") == F.col("t_path"), 3).otherwise(F.col("target_id") % 3)
+    e = e.select("*", F.when(way == 0, F.concat(F.lit("from "), module, F.lit(" import "), name("target_id")))
+                 .when(way == 1, F.concat(F.lit("import "), module, F.lit(" as "), short)).when(way == 2, F.concat(F.lit("import "), module)).alias("head"),
+                 F.concat(F.lit("    "), F.when(way == 1, F.concat(short, F.lit("."))).when(way == 2, F.concat(module, F.lit("."))).otherwise(""),
+                          name("target_id"), F.lit("(x)\n")).alias("line"))
+    lines = lambda c: F.array_join(F.sort_array(F.collect_set(c)), "\n")
+    heads = e.groupBy(F.col("s_path").alias("path")).agg(lines("head").alias("head"))
+    body = e.groupBy(F.col("source_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_list("line")), "").alias("body"))
+    defs = fn.join(body, "id", "left").select("path", F.concat(F.lit("def "), name("id"), F.lit("(x):\n"), F.coalesce("body", F.lit("")), F.lit("    return x\n")).alias("def"))
+    defs = defs.groupBy("path").agg(lines("def").alias("defs"))
+    return defs.join(heads, "path", "left").select("path", F.concat_ws("\n\n", "head", "defs").alias("text"))
+
+
+def _python_calls(g: Graph) -> DataFrame:
+    files = stage(_python_files(g))
+    at = python_code.parse(files).where("kind = 'function'").select("path", "line", "name")
+    return python_code.call_edges(files).join(at.toDF("s_path", "s_line", "caller"), ["s_path", "s_line"]).join(
+        at.toDF("t_path", "t_line", "callee"), ["t_path", "t_line"]).select("caller", "callee")
+
+
+_graph("python_calls_of_files", _python_calls, f"""
+SELECT DISTINCT 'f' || CAST(s.id AS STRING) AS caller, 'f' || CAST(t.id AS STRING) AS callee FROM cg_edges e JOIN sym s ON s.id = e.source_id JOIN sym t ON t.id = e.target_id
+WHERE relation = 'calls' AND s.id <> t.id AND s.type IN {FUNC} AND t.type IN {FUNC} AND s.path LIKE '%.py' AND t.path LIKE '%.py'""")
+
+# answers with their lists
+
+
+def _joined(df: DataFrame, *plain: str) -> DataFrame:
+    """Lists as one text each, so that any engine compares them."""
+    return df.select(*[F.array_join(c, ";").alias(c) if k.startswith("array") else F.col(c) for c, k in df.dtypes if not plain or c in plain or k.startswith("array")])
+
+
+PLACES = f"""
+, pl AS (SELECT id, name, file_id, path || ':' || CAST(start_line AS STRING) || ' ' || qname AS p, path || ':' || qname AS d FROM sym),
+defs AS (SELECT name, id, row_number() OVER (PARTITION BY name ORDER BY is_test, qname <> name, length(path), start_line, id) AS k FROM sym WHERE type IN {SYM})"""
+OTHERS = "coalesce((SELECT array_to_string(list(o.d ORDER BY x.k)[1:9], ';') FROM defs x JOIN pl o ON o.id = x.id WHERE x.name = s.name AND x.id <> s.id AND x.k <= 10), '') AS other_definitions"
+IMPACT = f"""{PLACES},
+far AS (SELECT root, id, depth, k, n > 200 AS more FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, id) AS k, count(*) OVER (PARTITION BY root) AS n FROM best WHERE depth > 1) WHERE k <= 200),
+cl AS (SELECT t_id AS root, s_id, s_path, bucket, s_path || ':' || CAST(s_start_line AS STRING) || ' ' || s_qname AS p FROM split JOIN roots ON roots.id = t_id),
+ck AS (SELECT root, bucket, count(*) AS n, count(DISTINCT s_path) AS files, list(p ORDER BY s_path, CAST(split_part(split_part(p, ' ', 1), ':', 2) AS INT), s_id) AS ps FROM cl GROUP BY ALL),
+aff AS (SELECT root, s_id AS id FROM cl WHERE bucket = 'callers' UNION SELECT root, id FROM far),
+fc AS (SELECT root, feature, count(*) AS n FROM (SELECT * FROM aff UNION SELECT id, id FROM roots) a JOIN cg_nodes n ON n.id = a.id JOIN owner o ON o.id = n.file_id GROUP BY ALL),
+ad(feature, decision) AS (VALUES ('Promotions', 'DEC-001'), ('Standard', 'DEC-003')),
+report AS (SELECT r.root, s.d AS symbol, risk AS risk_level, guessed, {OTHERS},
+  coalesce(array_to_string(c.ps[1:50], ';'), '') AS callers, coalesce(c.n, 0) AS caller_count, coalesce(c.n, 0) > 50 AS callers_truncated, coalesce(c.files, 0) AS affected_files,
+  coalesce(array_to_string(t.ps[1:10], ';'), '') AS test_callers, coalesce(t.n, 0) AS test_caller_count, coalesce(t.n, 0) > 10 AS test_callers_truncated,
+  coalesce(array_to_string(a.ps[1:10], ';'), '') AS ambiguous_callers, coalesce(a.n, 0) AS ambiguous_caller_count, coalesce(a.n, 0) > 10 AS ambiguous_callers_truncated,
+  coalesce((SELECT string_agg('depth ' || CAST(depth AS STRING) || ': ' || o.p, ';' ORDER BY k) FROM far JOIN pl o ON o.id = far.id WHERE far.root = r.root AND k <= 50), '') AS indirect_callers,
+  (SELECT count(*) FROM far WHERE far.root = r.root) AS indirect_caller_count, (SELECT count(*) FROM far WHERE far.root = r.root) > 50 AS indirect_callers_truncated,
+  coalesce((SELECT any_value(more) FROM far WHERE far.root = r.root), false) AS indirect_more, (SELECT count(*) FROM aff WHERE aff.root = r.root) AS affected_functions,
+  coalesce((SELECT n FROM fc WHERE fc.root = r.root AND feature IS NULL), 0) AS unmapped_functions,
+  coalesce((SELECT string_agg(feature || ':' || CAST(n AS STRING), ';' ORDER BY feature || ':' || CAST(n AS STRING)) FROM fc WHERE fc.root = r.root AND feature IS NOT NULL), '') AS features,
+  coalesce((SELECT string_agg(DISTINCT decision, ';' ORDER BY decision) FROM fc JOIN ad USING (feature) WHERE fc.root = r.root), '') AS decisions
+  FROM risks r JOIN pl s ON s.id = r.root LEFT JOIN ck c ON c.root = r.root AND c.bucket = 'callers' LEFT JOIN ck t ON t.root = r.root AND t.bucket = 'test_callers'
+  LEFT JOIN ck a ON a.root = r.root AND a.bucket = 'ambiguous')"""
+_graph("impact_report", lambda g: _joined(answers.impact(g, _spec(g), _roots(g))), "SELECT * FROM report", PAIRS + WALK_UP + FEATURES + RISKS + IMPACT)
+_graph("indirect_capped", lambda g: answers.indirect_capped(g, _roots(g), 3, 40), """
+SELECT root, CAST(k AS INT) AS k, depth, b.id, s.qname, s.path, s.start_line AS line, n > 40 AS more FROM (
+  SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, id) AS k, count(*) OVER (PARTITION BY root) AS n FROM best WHERE depth > 1) b JOIN sym s ON s.id = b.id WHERE k <= 40""", WALK_UP)
+_graph("downstream_capped", lambda g: answers.downstream_capped(g, _roots(g)), """
+SELECT root, CAST(k AS INT) AS k, depth, s.path || ':' || s.qname AS "from", "to", line, n > 60 AS more FROM (
+  SELECT root, depth + 1 AS depth, a, t.path || ':' || t.qname AS "to", t.start_line AS line, count(*) OVER (PARTITION BY root) AS n,
+    row_number() OVER (PARTITION BY root ORDER BY depth, a, t.path, t.start_line, b) AS k FROM best JOIN step ON a = best.id JOIN sym t ON t.id = b) e JOIN sym s ON s.id = a WHERE k <= 60""", WALK_DOWN)
+_graph("impact_totals", lambda g: answers.impact_totals(g, _spec(g), _roots(g)), """
+SELECT r.root, risk, count(*) FILTER (depth = 1) AS direct, count(depth) AS total, count(DISTINCT n.file_id) AS files
+FROM risks r LEFT JOIN best b ON b.root = r.root AND depth > 0 LEFT JOIN cg_nodes n ON n.id = b.id GROUP BY r.root, risk""", PAIRS + WALK_UP + FEATURES + RISKS)
+_graph("function_details", lambda g: _joined(answers.function_details(g)), f"""
+, ce AS (SELECT DISTINCT s.id AS s, t.id AS t, t.path, t.start_line FROM cg_edges e JOIN sym s ON s.id = e.source_id JOIN sym t ON t.id = e.target_id
+  WHERE relation = 'calls' AND confidence <> 'ambiguous' AND s.id <> t.id AND t.type IN {SYM} AND (s.is_test OR NOT t.is_test)),
+cd AS (SELECT s, count(*) AS n, list(pl.p ORDER BY path, start_line, t) AS ps FROM ce JOIN pl ON pl.id = t GROUP BY s),
+cr AS (SELECT t_id, count(*) AS n, list(pl.p ORDER BY s_path, s_start_line, s_id) AS ps FROM split JOIN pl ON pl.id = s_id WHERE bucket = 'callers' GROUP BY t_id)
+SELECT s.id, s.d AS symbol, coalesce(cr.n, 0) AS caller_count, coalesce(array_to_string(cr.ps[1:15], ';'), '') AS callers, coalesce(array_to_string(cd.ps[1:30], ';'), '') AS callees,
+  {OTHERS}, coalesce(cd.n > 30, false) AS callees_truncated FROM pl s JOIN cg_nodes f ON f.id = s.id AND f.type IN {FUNC} LEFT JOIN cr ON cr.t_id = s.id LEFT JOIN cd ON cd.s = s.id""", PAIRS + PLACES)
+_graph("feature_details", lambda g: _joined(answers.feature_details(g, _spec(g))), f"""
+, sp(feature, decisions, affected_decisions, dependencies) AS (VALUES ('Promotions', 'DEC-001', 'DEC-001', ''), ('Small', 'DEC-002', '', 'Promotions'), ('Economy tests', '', '', ''),
+  ('Standard', 'DEC-003;DEC-004', 'DEC-003', ''), ('Everything odd', '', '', 'Small'), ('No patterns', '', '', ''), ('Nowhere', '', '', '')),
+f1 AS (SELECT feature, count(*) AS n, list(path ORDER BY path) AS l FROM ff GROUP BY feature),
+f2 AS (SELECT feature, count(*) AS n, list(s.path || ':' || CAST(s.start_line AS STRING) || ' ' || s.qname ORDER BY s.path, s.start_line, s.id) AS l FROM ff JOIN sym s ON s.file_id = ff.id
+  WHERE s.type IN {FUNC} AND {VISIBLE} GROUP BY feature)
+SELECT sp.*, coalesce(array_to_string(f1.l[1:50], ';'), '') AS files, coalesce(f1.n > 50, false) AS files_truncated, coalesce(array_to_string(f2.l[1:50], ';'), '') AS functions,
+  coalesce(f2.n > 50, false) AS functions_truncated FROM sp LEFT JOIN f1 USING (feature) LEFT JOIN f2 USING (feature)""", FEATURES)
+_graph("alignment_details", lambda g: _joined(answers.alignment_details(g, _spec(g)), "feature", "issues", "fully_aligned", "covered_files_truncated", "function_names_truncated"), f"""
+, sp(feature, decision_ids, constraint_texts, patterns) AS (VALUES ('Promotions', 'DEC-001', 'must not block', 1), ('Small', 'DEC-002', '', 1), ('Economy tests', '', 'must not call network', 1),
+  ('Standard', 'DEC-003;DEC-004', '', 2), ('Everything odd', '', '', 2), ('No patterns', '', '', 0), ('Nowhere', '', '', 1)),
+f1 AS (SELECT feature, count(*) AS n, list(path ORDER BY path) AS l FROM ff GROUP BY feature),
+f2 AS (SELECT feature, count(*) AS n, list(s.qname ORDER BY s.path, s.start_line, s.id) AS l FROM ff JOIN sym s ON s.file_id = ff.id WHERE s.type IN {SYM} GROUP BY feature),
+iss AS (SELECT sp.*, f1.l AS fl, f1.n AS fn, f2.l AS nl, f2.n AS nn, concat_ws(',', CASE WHEN patterns = 0 THEN 'no_patterns' END, CASE WHEN patterns > 0 AND f1.n IS NULL THEN 'no_files' END,
+  CASE WHEN decision_ids = '' THEN 'no_decisions' END) AS issues FROM sp LEFT JOIN f1 USING (feature) LEFT JOIN f2 USING (feature))
+SELECT feature, issues, issues = '' AS fully_aligned, coalesce(array_to_string(fl[1:50], ';'), '') AS covered_files, coalesce(fn > 50, false) AS covered_files_truncated,
+  coalesce(array_to_string(nl[1:50], ';'), '') AS function_names, coalesce(nn > 50, false) AS function_names_truncated, decision_ids, constraint_texts FROM iss""", FEATURES)
+_graph("diff_details", lambda g: _joined(answers.diff_details(g, _spec(g), diff.changed_lines(g.files.sparkSession.createDataFrame([(1, DIFF)], "diff_id int, diff string")), 50, 3),
+                                         "id", "symbol", "changed_lines", "files_truncated", "symbols_truncated", "caller_count", "risk_level").drop("indirect_callers", "other_definitions"), """
+SELECT hit.id, symbol, changed_lines, false AS files_truncated, (SELECT count(*) FROM everyhit) > 3 AS symbols_truncated, caller_count, risk_level, callers, test_callers, ambiguous_callers, features, decisions
+FROM hit JOIN report ON root = hit.id""", PAIRS + WALK_UP.replace(ROOTS, TOUCHED.replace("LIMIT 25", "LIMIT 3").replace("hit AS (", "everyhit AS (").replace(
+    "ORDER BY changed_lines DESC, s.id LIMIT 3)", "), hit AS (SELECT * FROM everyhit ORDER BY changed_lines DESC, id LIMIT 3)")).replace("depth < 3", "depth < 1") + FEATURES + RISKS + IMPACT)
+_graph("trace_report", lambda g: _joined(answers.trace_report(g, *_two(g)), "leg", "truncated"), """
+SELECT leg, array_to_string(list(s_path || ':' || s_name || ' -> ' || t_path || ':' || t_name || ' (' || relation || ')' ORDER BY s_path, s_name, relation, t_path, t_name)[1:(CASE leg WHEN 'direct' THEN 20 ELSE 10 END)], ';') AS edges,
+  count(*) > CASE leg WHEN 'direct' THEN 20 ELSE 10 END AS truncated FROM tl WHERE leg IS NOT NULL GROUP BY leg""", TRACE)
+_graph("import_loops", lambda g: answers.loops(algo.node_imports(g), algo.components(algo.node_imports(g))).select(
+    "component", F.array_join(F.transform("cycle", lambda x: x.cast("string")), ">").alias("cycle")), """
+, bk AS (SELECT im.s, im.t, a.component FROM im JOIN scc a ON a.id = im.s JOIN scc b ON b.id = im.t AND b.component = a.component),
+lp AS (SELECT DISTINCT component AS root, component AS id, 0 AS depth FROM scc UNION SELECT root, bk.t, depth + 1 FROM lp JOIN bk ON bk.s = lp.id WHERE depth < 12),
+ds AS (SELECT root, id, min(depth) AS depth FROM lp GROUP BY ALL),
+la AS (SELECT root, arg_min(ds.id, (ds.depth, ds.id)) AS id, min(depth) AS depth FROM ds JOIN bk ON bk.s = ds.id AND bk.t = root GROUP BY root),
+pr AS (SELECT d.root, d.id, min(bk.s) AS p FROM ds d JOIN bk ON bk.t = d.id JOIN ds n ON n.root = d.root AND n.id = bk.s AND n.depth = d.depth - 1 GROUP BY d.root, d.id),
+ch AS (SELECT root, id, depth, CAST(id AS STRING) AS cycle FROM la UNION ALL SELECT ch.root, p, depth - 1, CAST(p AS STRING) || '>' || cycle FROM ch JOIN pr ON pr.root = ch.root AND pr.id = ch.id WHERE depth > 0)
+SELECT root AS component, cycle FROM ch WHERE depth = 0""", SCC)
+_graph("tour", lambda g: _joined(answers.tour(g), "path", "level", "role", "in_cycle"), f"""
+, im AS (SELECT DISTINCT s.file_id AS s, t.file_id AS t FROM cg_edges e JOIN cg_nodes s ON s.id = e.source_id JOIN cg_nodes t ON t.id = e.target_id WHERE relation = 'imports' AND s.file_id <> t.file_id),
+{SCC[SCC.index("reach AS"):]},
+ids AS (SELECT id, coalesce(component, id) AS c, component IS NOT NULL AS in_cycle FROM (SELECT s AS id FROM im UNION SELECT t FROM im) LEFT JOIN scc USING (id)),
+ce AS (SELECT DISTINCT a.c AS a, b.c AS b FROM im JOIN ids a ON a.id = im.s JOIN ids b ON b.id = im.t WHERE a.c <> b.c),
+lv AS (SELECT DISTINCT c, 0 AS level FROM ids UNION SELECT ce.a, level + 1 FROM lv JOIN ce ON ce.b = lv.c),
+up AS (SELECT s AS id, array_to_string(list(path ORDER BY path)[1:10], ';') AS l FROM im JOIN cg_files f ON f.id = t GROUP BY s),
+dn AS (SELECT t AS id, array_to_string(list(path ORDER BY path)[1:10], ';') AS l FROM im JOIN cg_files f ON f.id = s GROUP BY t),
+cc AS (SELECT t.id AS id, t.file_id, t.qname, count(DISTINCT s.id) AS callers {COUNTED} GROUP BY ALL),
+ks AS (SELECT file_id AS id, array_to_string(list(qname ORDER BY callers DESC, id)[1:3], ';') AS l FROM cc GROUP BY file_id),
+o AS (SELECT id, max(level) AS level, in_cycle FROM ids JOIN lv USING (c) GROUP BY id, in_cycle)
+SELECT path, level, CASE WHEN level = 0 THEN 'foundational' WHEN dn.l IS NULL THEN 'entry' ELSE 'core' END AS role, in_cycle, coalesce(up.l, '') AS depends_on, coalesce(dn.l, '') AS depended_on_by, coalesce(ks.l, '') AS key_symbols
+FROM o JOIN cg_files f ON f.id = o.id LEFT JOIN up ON up.id = o.id LEFT JOIN dn ON dn.id = o.id LEFT JOIN ks ON ks.id = o.id""")
+_add("note_report", lambda s, d: _joined(notes.stats(_notes(s, d), _note_symbols(s, d)), "notes", "links", "mentions"), NOTE_LINKS + r""",
+said AS (SELECT DISTINCT id, m FROM (SELECT id, unnest(list_concat(regexp_extract_all(content, '@([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)', 1), regexp_extract_all(content, '@([\w./-]+\.[A-Za-z0-9]+)', 1))) AS m FROM nt)
+  WHERE contains(m, '.') OR contains(m, '_') OR length(regexp_replace(m, '[^A-Z]', '', 'g')) >= 2),
+known AS (SELECT 'C' || CAST(n_nationkey % 60 AS STRING) || '.' || n_name AS m FROM nation WHERE n_nationkey % 2 = 0)
+SELECT (SELECT count(*) FROM nt) AS notes, (SELECT count(*) FROM (SELECT DISTINCT id, note FROM res WHERE note IS NOT NULL AND note <> id)) AS links, (SELECT count(*) FROM said WHERE m IN (SELECT m FROM known)) AS mentions,
+  coalesce((SELECT string_agg(DISTINCT target, ';' ORDER BY target) FROM res WHERE note IS NULL), '') AS unresolved_links, coalesce((SELECT string_agg(DISTINCT m, ';' ORDER BY m) FROM said WHERE m NOT IN (SELECT m FROM known)), '') AS unresolved_mentions""")
+
+# upkeep of notes, edges and files
+
+
+def _divergence(g: Graph) -> DataFrame:
+    own = features.file_owner(_spec(g), g.files).select(F.col("id").alias("file_id"), "feature")
+    code = F.concat(F.lit("def "), "name", F.when(F.col("id") % 3 == 0, "(): Call NETWORK").when(F.col("id") % 3 == 1, "(): block()").otherwise("(): pass"))
+    return features.divergence(_spec(g), g.nodes.join(own, "file_id").select("id", "feature", code.alias("code")))
+
+
+_graph("divergence", _divergence, """
+SELECT n.id, feature, c AS "constraint" FROM cg_nodes n JOIN owner ON owner.id = n.file_id JOIN (VALUES ('Promotions', 'must not block', 1), ('Economy tests', 'must not call network', 0)) v(f, c, r) ON f = feature AND n.id % 3 = r""", FEATURES)
+_add("feature_search", lambda s, d: features.search_features(features.example_features(s), "PART"),
+     "SELECT * FROM (VALUES ('Promotions', 0), ('Small', 1), ('Standard', 3)) t(name, ordinal)")
+_graph("search_named_first", lambda g: search.named_first(g.symbols.select("id", F.col("qname").alias("name"), F.row_number().over(Window.orderBy("id")).alias("rank")).where("rank <= 200"), "Blue_Widget", 5), """
+SELECT id, qname AS name, CAST(rank AS INT) AS rank FROM (SELECT id, qname, row_number() OVER (ORDER BY id) AS rank FROM sym) WHERE rank <= 30
+ORDER BY lower(qname) = 'blue_widget' OR lower(split_part(qname, '.', -1)) = 'blue_widget' DESC, rank LIMIT 5""")
+_add("search_code", lambda s, d: search.typed(table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat(F.lit("def f(a: "), "p_brand", F.lit(", b: int) -> "), "p_type").alias("signature")),
+                                              returns="promo", params=["BRAND#12"]), """
+SELECT p_partkey AS id, p_name AS name FROM part WHERE contains(lower(p_type), 'promo') AND contains(lower(p_brand), 'brand#12') ORDER BY length(p_name), p_partkey LIMIT 20""")
+_add("sync_guidance", lambda s, d: table(s, d, "events").select("event_id", usage.sync_guidance(
+    F.when(F.col("event_type") == "view", "running").when(F.col("event_type") == "error", "failed").otherwise("done"), F.col("user_id") % 2 == 0, F.col("event_id") % 100).alias("said")), """
+SELECT event_id, CASE WHEN event_type = 'view' THEN 'Sync running for ' || CAST(event_id % 100 AS STRING) || ' s; call again later.' WHEN event_type = 'error' THEN 'The last sync failed; start it again.'
+  WHEN user_id % 2 = 0 THEN 'The index is ready.' ELSE 'No index yet; start a sync.' END AS said FROM events""")
+_add("sanitized_ids", lambda s, d: table(s, d, "customer").select("c_custkey", expr.sanitized_id(F.concat(F.lit("  "), "c_name", F.lit(" / "), "c_mktsegment")).alias("project")),
+     "SELECT c_custkey, regexp_replace(lower(trim('  ' || c_name || ' / ' || c_mktsegment)), '[^a-z0-9_-]+', '-', 'g') AS project FROM customer")
+_graph("described_symbols", lambda g: g.symbols.select("id", expr.described(F.col("path"), F.col("qname")).alias("d")), "SELECT id, path || ':' || qname AS d FROM sym")
+
+
+def _versions(g: Graph) -> tuple[DataFrame, DataFrame]:
+    before = g.files.where("id % 5 <> 1").select("path", F.concat("path", F.lit("|"), (F.col("id") % 3).cast("string")).alias("hash"))
+    return before, g.files.where("id % 7 <> 2").select("path", F.concat("path", F.lit("|"), F.when(F.col("id") % 4 == 0, 9).otherwise(F.col("id") % 3).cast("string")).alias("hash"))
+
+
+_graph("changed_files", lambda g: incremental.changed_files(*_versions(g)), """
+SELECT path, CASE WHEN id % 5 = 1 THEN 'new' WHEN id % 7 = 2 THEN 'gone' ELSE 'changed' END AS change FROM cg_files
+WHERE (id % 5 = 1 AND id % 7 <> 2) OR (id % 5 <> 1 AND id % 7 = 2) OR (id % 5 <> 1 AND id % 7 <> 2 AND id % 4 = 0)""")
+_graph("replace_owned", lambda g: incremental.replace_owned(
+    g.edges.withColumn("metadata", F.when(F.col("target_id") % 3 == 0, '{"caller":1}')).select("source_id", "target_id", "relation", "metadata", "confidence"), '{"caller"',
+    g.edges.where("relation = 'calls' AND source_id % 2 = 0").withColumn("metadata", F.lit('{"caller":2}')).withColumn("confidence", F.lit("extracted"))).groupBy(
+        "relation", "metadata", "confidence").agg(F.count(F.lit(1)).alias("edges"), F.sum(F.col("source_id") * 7 + F.col("target_id")).alias("digest")), """
+, rest AS (SELECT source_id, target_id, relation, NULL AS metadata, confidence FROM cg_edges WHERE target_id % 3 <> 0),
+want AS (SELECT DISTINCT source_id, target_id, relation, '{"caller":2}' AS metadata, 'extracted' AS confidence FROM cg_edges w WHERE relation = 'calls' AND source_id % 2 = 0
+  AND NOT EXISTS (SELECT 1 FROM rest r WHERE r.confidence <> 'ambiguous' AND r.source_id = w.source_id AND r.target_id = w.target_id AND r.relation = w.relation))
+SELECT relation, metadata, confidence, count(*) AS edges, CAST(sum(source_id * 7 + target_id) AS BIGINT) AS digest FROM (SELECT * FROM rest UNION ALL SELECT * FROM want) GROUP BY ALL""")
+_add("relink_due", lambda s, d: incremental.relink_due(
+    s.createDataFrame([("py", "1"), ("js", "1"), ("ts", "1")], "language string, digest string"), s.createDataFrame([("py", "2"), ("js", "1"), ("ts", "2"), ("go", "1")], "language string, digest string"),
+    s.createDataFrame([("ts", "2024-01-01 00:00:30"), ("go", "2024-01-01 00:00:00"), ("py", "2023-12-31 00:00:00")], "language string, failed_at string").withColumn("failed_at", F.to_timestamp("failed_at")),
+    F.lit("2024-01-01 00:01:00").cast("timestamp")), "SELECT * FROM (VALUES ('py'), ('go')) t(language)")
+
+
+def _note_changes(s: SparkSession, d: str) -> DataFrame:
+    kept = "id string, title string, content string, tags array<string>, created_at string, updated_at string, is_code_note boolean"
+    changes = s.createDataFrame([("nation-nation_3", None, "changed", None, "2030-01-01", "2030-01-01", None), ("note-new", "New\nnote", "text", ["x"], "2030-01-01", "2030-01-01", False)], kept)
+    return notes.delete(notes.upsert(_notes(s, d), changes), s.createDataFrame([("region-asia",)], "id string"))
+
+
+_add("note_upkeep", lambda s, d: _joined(_note_changes(s, d)), NOTES_CTE + """
+SELECT id, title, CASE WHEN id = 'nation-nation_3' THEN 'changed' ELSE content END AS content, replace(tag_list, ',', ';') AS tags, '2024-01-01' AS created_at,
+  CASE WHEN id = 'nation-nation_3' THEN '2030-01-01' ELSE '2024-01-01' END AS updated_at, is_code_note FROM nt WHERE id <> 'region-asia'
+UNION ALL SELECT 'note-new', 'New note', 'text', 'x', '2030-01-01', '2030-01-01', false""")
+
+
+def _node_edges(g: Graph) -> DataFrame:
+    files = stage(_python_files(g))
+    at = python_code.parse(files).where("kind = 'function'").select("path", F.col("line").alias("start_line"), F.regexp_extract("name", "f(.*)", 1).cast("bigint").alias("id"))
+    nodes = at.join(g.files.select("path", F.col("id").alias("file_id")), "path").drop("path").join(g.nodes.select("id", "type", "name", "qualified_name"), "id")
+    return python_code.node_edges(python_code.call_edges(files), nodes, g.files)
+
+
+_graph("edges_of_files", _node_edges, f"""
+SELECT DISTINCT s.id AS source_id, t.id AS target_id, 'calls' AS relation, '{{"caller":"' || s.qname || '"}}' AS metadata, 'extracted' AS confidence FROM cg_edges e JOIN sym s ON s.id = e.source_id JOIN sym t ON t.id = e.target_id
+WHERE relation = 'calls' AND s.id <> t.id AND s.type IN {FUNC} AND t.type IN {FUNC} AND s.path LIKE '%.py' AND t.path LIKE '%.py'""")
 URLS = (
     ("web/urls.py", "from django.urls import include, path\nfrom web import views\nurlpatterns = [path('api/', include('web.api')), path('u/<int:pk>/', views.User.as_view())]\n"),
     ("web/api.py", "from web import views\nfrom rest_framework.routers import DefaultRouter\nr = DefaultRouter()\nr.register('orders', views.Orders)\n"
                    "urlpatterns = [path('ping/', views.ping)] + r.urls\nurlpatterns += [path('', include(r.urls))]\n"),
-    ("web/views.py", "from rest_framework import viewsets\n\ndef ping(request):\n    return 1\n\nclass User:\n    def get(self):\n        pass\n\n"
-                     "class Orders(viewsets.ReadOnlyModelViewSet):\n    def retrieve(self):\n        pass\n"),
+    ("web/views.py", "from rest_framework import viewsets\n\n@api_view(['GET', 'HEAD'])\ndef ping(request):\n    return answer(1)\n\nclass User:\n    def get(self):\n        pass\n\n"
+                     "class Orders(viewsets.ReadOnlyModelViewSet):\n    def retrieve(self):\n        return self.one()\n\n    @action(detail=True, methods=['post'], url_path='cancel')\n"
+                     "    def cancel_order(self):\n        return self.one()\n\n    @action(detail=False)\n    def recent(self):\n        pass\n\n    def one(self):\n        return answer(2)\n\n"
+                     "def answer(x):\n    return deeper(x)\n\ndef deeper(x):\n    return x\n"),
 )
 
 
 def _served(s: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     src = s.createDataFrame(list(URLS), "path string, text string")
-    mods = python_code.module_index(src)
+    mods, known = python_code.module_index(src), python_code.parse(src)
     found = routes.patterns(src)
-    return routes.expand(found, mods, routes.root_files(src, found, mods)), python_code.parse(src), mods
+    return routes.expand(found, mods, routes.root_files(src, found, mods), known), known, mods
 
 
 _add("route_match", lambda s, d: routes.match(_served(s)[0], s.createDataFrame(
-    [("GET /api/ping/",), ("PUT api/orders/7/",), ("/u/12/",), ("/u/abc/",), ("/none",)], "request string")).select("request", "display", "method", "loose"), """
-SELECT * FROM (VALUES ('GET /api/ping/', 'api/ping/', 'ANY', false), ('PUT api/orders/7/', 'api/orders/<pk>/', 'PUT', false), ('/u/12/', 'u/<pk>/', 'ANY', false),
+    [("GET /api/ping/",), ("GET api/orders/7/",), ("POST /api/orders/7/cancel/?x=1",), ("/api/orders/recent/",), ("DELETE /api/orders/7/",), ("/u/12/",), ("/u/abc/",), ("/none",)],
+    "request string")).select("request", "display", "method", "loose"), """
+SELECT * FROM (VALUES ('GET /api/ping/', 'api/ping/', 'ANY', false), ('GET api/orders/7/', 'api/orders/<pk>/', 'GET', false), ('POST /api/orders/7/cancel/?x=1', 'api/orders/<pk>/cancel/', 'POST', false),
+  ('/api/orders/recent/', 'api/orders/<pk>/', 'GET', false), ('DELETE /api/orders/7/', 'api/orders/<pk>/', 'GET', false), ('/u/12/', 'u/<pk>/', 'ANY', false),
   ('/u/abc/', 'u/<pk>/', 'ANY', true)) t(request, display, method, loose)""")
-_add("route_handlers", lambda s, d: routes.handlers(*_served(s)).select("display", "method", "handler", "line", "inherited"), """
-SELECT * FROM (VALUES ('api/ping/', 'ANY', 'ping', 3, false), ('u/<pk>/', 'GET', 'User.get', 7, false), ('api/orders/<pk>/', 'GET', 'Orders.retrieve', 11, false),
-  ('api/orders/', 'GET', 'Orders.list', 10, true)) t(display, method, handler, line, inherited)""")
+_add("route_handlers", lambda s, d: routes.handlers(*_served(s)).select("display", "method", "handler", "line", "inherited").distinct(), """
+SELECT * FROM (VALUES ('api/ping/', 'GET', 'ping', 3, false), ('api/ping/', 'HEAD', 'ping', 3, false), ('u/<pk>/', 'GET', 'User.get', 8, false), ('api/orders/<pk>/', 'GET', 'Orders.retrieve', 12, false),
+  ('api/orders/', 'GET', 'Orders.list', 11, true), ('api/orders/<pk>/cancel/', 'POST', 'Orders.cancel_order', 15, false), ('api/orders/recent/', 'GET', 'Orders.recent', 19, false)) t(display, method, handler, line, inherited)""")
+
+
+def _route_chains(s: SparkSession) -> DataFrame:
+    found, known, mods = _served(s)
+    served = routes.handlers(found, known, mods)
+    calls = python_code.call_edges(s.createDataFrame(list(URLS), "path string, text string"))
+    return routes.chains(served, calls).join(served.select("ordinal", "method", "display").distinct(), ["ordinal", "method"]).select(
+        "display", "method", "depth", "s_line", "t_line").distinct()
+
+
+_add("route_chains", lambda s, d: _route_chains(s), """
+SELECT * FROM (VALUES ('api/ping/', 'GET', 1, 3, 26), ('api/ping/', 'HEAD', 1, 3, 26), ('api/ping/', 'GET', 2, 26, 29), ('api/ping/', 'HEAD', 2, 26, 29),
+  ('api/orders/<pk>/', 'GET', 1, 12, 23), ('api/orders/<pk>/', 'GET', 2, 23, 26), ('api/orders/<pk>/', 'GET', 3, 26, 29),
+  ('api/orders/<pk>/cancel/', 'POST', 1, 15, 23), ('api/orders/<pk>/cancel/', 'POST', 2, 23, 26), ('api/orders/<pk>/cancel/', 'POST', 3, 26, 29)) t(display, method, depth, s_line, t_line)""")
 JS = (("src/a.js", "import Loader from './lib/loader';\nthis.x = new Loader();\nthis.x.run();\nbus.execute('load');\n"), ("src/lib/loader.js", "export class Loader {}\nbus.register('load', onLoad);\n"),
       ("old/loader.js", "class Loader {}\n"))
 _add("js_classes", lambda s, d: js_code.created_classes(js_code.facts(s.createDataFrame(list(JS), "path string, text string"))),

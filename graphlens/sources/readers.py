@@ -155,8 +155,8 @@ def usage_document(docs: DataFrame) -> DataFrame:
 
 
 def source_roots(spark: SparkSession, path: str) -> list[str]:
-    """Roots that a source-roots.json declares (bounded by the file's array); without any, the repository itself."""
-    rows = spark.read.schema("roots array<string>").option("multiLine", True).json(path).select(F.explode("roots").alias("r")).limit(1000).collect()
+    """Roots that a source-roots.json declares, all that its array has; without any, the repository itself."""
+    rows = spark.read.schema("roots array<string>").option("multiLine", True).json(path).select(F.explode("roots").alias("r")).collect()
     return [r.r.rstrip("/") + "/" if r.r else "" for r in rows] or [""]
 
 
@@ -187,11 +187,12 @@ def impact_tree(reports: DataFrame) -> DataFrame:
     rows = rows.where(F.col("line").rlike(shape)).select(
         "report_id", "pos", (F.length(F.regexp_extract("line", shape, 1)) / 2).cast("int").alias("depth"),
         F.regexp_extract("line", shape, 2).alias("name"), F.regexp_extract("line", shape, 3).alias("location"))
-    # the parent is the last line before that is one level up
-    w = Window.partitionBy("report_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.collect_list(F.struct("depth", "name")).over(w)
-    up = F.filter(before, lambda b: b["depth"] == F.col("depth") - 1)
-    return rows.select("report_id", "pos", "depth", "name", "location", F.get(up, F.size(up) - 1)["name"].alias("parent"))
+    # the parent is the last line before that is one level up: lines of each pair of levels are gone through once, without lists
+    w = Window.partitionBy("report_id", "level").orderBy("pos", F.desc("above")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sides = rows.select("*", F.explode(F.array(F.struct(F.col("depth").alias("level"), F.lit(False).alias("above")),
+                                               F.struct((F.col("depth") + 1).alias("level"), F.lit(True).alias("above")))).alias("side")).select("*", "side.*")
+    parent = F.last(F.when(F.col("above"), F.col("name")), ignorenulls=True).over(w)
+    return sides.withColumn("parent", parent).where("NOT above").select("report_id", "pos", "depth", "name", "location", "parent")
 
 
 def json_rows(reports: DataFrame, schema: str) -> DataFrame:
