@@ -3,48 +3,37 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
-
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.stages import scratch as scratch
+from ..plans.stages import stage
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share.
-
-    Where the setting is absent (single-machine tests) a temporary folder
-    takes its place and is entered in the session, so later calls agree.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="graphlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/graphlens-{uuid.uuid4().hex}"
-
-
 def settle(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write df as a table in the shared folder and read it back.
+    """df as a table in the shared folder (see plans.stages.stage).
 
     Cuts the lineage, and work done once isn't repeated by later readers. A
-    lost executor costs only the tasks it ran.
+    lost executor costs only the tasks it ran. Spark keeps the shuffle files of
+    the plan until the driver's garbage collector finds that nobody refers to
+    it, which may be hours; several times the input would lie on the executors'
+    disks by then, so it is asked to look.
     """
     spark = df.sparkSession
-    path = scratch(spark)
-    schema = df.schema
-    df.write.option("compression", codec).parquet(path)
-    # shuffle files go once nothing refers to the finished plan
+    out = stage(df, codec)
     del df
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    jvm = getattr(spark, "_jvm", None)  # none with Spark Connect, whose server looks after itself
+    if jvm is not None:
+        jvm.System.gc()
+    return out
 
 
 def unused(name: str, columns: list[str]) -> str:
