@@ -6,6 +6,11 @@ components, Kahn's peeling of the condensed graph, Brandes' accumulation.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,14 +48,109 @@ def _spread(start: DataFrame, steps: DataFrame) -> DataFrame:
             return label
 
 
+#: Edges that one task goes through (a few MB); loops of jobs over so few cost more than they spread.
+SMALL = 1_000_000
+
+
+def _one_task(edges: DataFrame, solve: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], names: list[str]) -> DataFrame:
+    """solve(s, t) over all edges, which are known to be few, as columns of whole numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        s, t = (np.concatenate([e[k] for e in ends] or [np.empty(0, np.int64)]) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in solve(s, t)], names=names)
+
+    return edges.coalesce(1).mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+
+
+def _few(edges: DataFrame) -> bool:
+    return edges.limit(SMALL + 1).count() <= SMALL
+
+
+def _levels(s: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
+    """(id, level) of the nodes of a graph without cycles: 0 without edges out, else one more than the highest they lead to."""
+    ids, inv = np.unique(np.concatenate([s, t]), return_inverse=True)
+    a, b = inv[:len(s)], inv[len(s):]
+    level, left = np.zeros(len(ids), np.int64), np.bincount(a, minlength=len(ids))
+    order = np.argsort(b, kind="stable")
+    a, begin = a[order], np.searchsorted(b[order], np.arange(len(ids) + 1))
+    front = np.flatnonzero(left == 0)
+    while len(front):
+        into = np.concatenate([a[begin[v]:begin[v + 1]] for v in front.tolist()] or [np.empty(0, np.int64)])
+        if len(into):
+            level[into] = level[front].max() + 1  # fronts go up a level at a time
+            np.subtract.at(left, into, 1)
+        front = np.unique(into[left[into] == 0]) if len(into) else into
+    return [ids, level]
+
+
+def _cycles(s: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
+    """(id, smallest id of its component, size) of nodes in components of two or more, by one walk in depth (Tarjan)."""
+    ids, inv = np.unique(np.concatenate([s, t]), return_inverse=True)
+    a, b = inv[:len(s)], inv[len(s):]
+    order = np.argsort(a, kind="stable")
+    to = b[order].tolist()
+    begin = np.searchsorted(a[order], np.arange(len(ids) + 1)).tolist()
+    n = len(ids)
+    seen, low, on, label = [-1] * n, [0] * n, [False] * n, [-1] * n
+    stack, clock = [], 0
+    for start in range(n):
+        if seen[start] >= 0:
+            continue
+        path = [start]
+        at = {start: begin[start]}
+        seen[start] = low[start] = clock
+        clock += 1
+        stack.append(start)
+        on[start] = True
+        while path:
+            v = path[-1]
+            k = at[v]
+            if k < begin[v + 1]:
+                at[v] = k + 1
+                w = to[k]
+                if seen[w] < 0:
+                    seen[w] = low[w] = clock
+                    clock += 1
+                    stack.append(w)
+                    on[w] = True
+                    path.append(w)
+                    at[w] = begin[w]
+                elif on[w] and seen[w] < low[v]:
+                    low[v] = seen[w]
+            else:
+                path.pop()
+                if path and low[v] < low[path[-1]]:
+                    low[path[-1]] = low[v]
+                if low[v] == seen[v]:
+                    while True:
+                        w = stack.pop()
+                        on[w] = False
+                        label[w] = v
+                        if w == v:
+                            break
+    label = np.array(label, np.int64)
+    names, which, sizes = np.unique(label, return_inverse=True, return_counts=True)
+    least = np.full(len(names), n, np.int64)
+    np.minimum.at(least, which, np.arange(n))
+    many = sizes[which] > 1
+    return [ids[many], ids[least[which]][many], sizes[which][many].astype(np.int64)]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component, size) of nodes in strongly connected components of two or more; component is the smallest id.
 
     Only the trimmed core is coloured: a node takes the least id that reaches
-    it; going back from that id inside its colour gives its component.
+    it; going back from that id inside its colour gives its component. Once no
+    more than SMALL edges are left (they are counted) one task does the rest.
     """
-    e, found = trimmed(edges), None
+    e, found = stage(edges.select("s", "t")), None
     while not e.isEmpty():
+        if _few(e):
+            rest = stage(_one_task(e, _cycles, ["id", "component", "size"])).select("id", "component")
+            found = rest if found is None else found.unionByName(rest)
+            break
+        e = trimmed(e)
         ids = e.select(F.col("s").alias("id")).union(e.select("t")).distinct()
         colour = stage(_spread(ids.withColumn("label", F.col("id")), e.select(F.col("s").alias("a"), F.col("t").alias("b"))))
         c = colour.withColumnRenamed("label", "cs").withColumnRenamed("id", "s")
@@ -61,7 +161,7 @@ def components(edges: DataFrame) -> DataFrame:
         done = stage(back.where(F.col("label") < top).withColumnRenamed("label", "component"))
         found = done if found is None else found.unionByName(done)
         gone = done.select("id")
-        e = trimmed(e.join(gone.withColumnRenamed("id", "s"), "s", "left_anti").join(gone.withColumnRenamed("id", "t"), "t", "left_anti"))
+        e = stage(e.join(gone.withColumnRenamed("id", "s"), "s", "left_anti").join(gone.withColumnRenamed("id", "t"), "t", "left_anti"))
     if found is None:
         return edges.select(F.col("s").alias("id"), F.col("s").alias("component"), F.lit(1).cast("bigint").alias("size")).limit(0)
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -92,6 +192,9 @@ def reading_order(edges: DataFrame) -> DataFrame:
                 .select("id", F.coalesce("component", "id").alias("c"), F.col("component").isNotNull().alias("in_cycle")))
     a, b = ids.select(F.col("id").alias("s"), F.col("c").alias("cs")), ids.select(F.col("id").alias("t"), F.col("c").alias("ct"))
     open_edges = stage(edges.join(a, "s").join(b, "t").where("cs <> ct").select("cs", "ct").distinct())
+    if _few(open_edges):
+        done = _one_task(open_edges, _levels, ["c", "level"])
+        return ids.join(done, "c", "left").select("id", F.coalesce("level", F.lit(0)).cast("int").alias("level"), "in_cycle")
     rest, level, done = stage(ids.select("c").distinct()), 0, None
     while not rest.isEmpty():
         ready = stage(rest.join(open_edges.select(F.col("cs").alias("c")).distinct(), "c", "left_anti").withColumn("level", F.lit(level)))
@@ -104,15 +207,28 @@ def reading_order(edges: DataFrame) -> DataFrame:
     return ids.join(done, "c").select("id", "level", "in_cycle")
 
 
-def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame | None = None, batch: int = 4096) -> DataFrame:
     """(id, betweenness, normalized) over directed shortest paths of edges (s, t).
 
-    All sources advance together, a level at a time; dependencies flow back
-    the same way. Given sources bound the work; then the sum is over those.
+    Sources advance together, a level at a time; dependencies flow back the
+    same way. There are `batch` sources at most at a time, so the tables of
+    (source, node) stay in proportion to the nodes; each batch leaves a sum per
+    node. Given sources bound the work; then the sum is over those.
     """
     e = stage(edges.where("s <> t").distinct())
     ids = stage(e.select(F.col("s").alias("id")).union(e.select("t")).distinct())
     start = ids if sources is None else sources.select("id").join(ids, "id", "left_semi")
+    batches = max(1, -(-start.count() // batch))
+    parts = [_dependencies(e, start.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == k)) for k in range(batches)]
+    n = ids.count()
+    scale = float((n - 1) * (n - 2)) if n > 2 else 1.0
+    b = reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.sum("b").alias("b"))
+    value = F.coalesce("b", F.lit(0.0))
+    return ids.join(b, "id", "left").select("id", value.alias("betweenness"), (value / scale).alias("normalized"))
+
+
+def _dependencies(e: DataFrame, start: DataFrame) -> DataFrame:
+    """(id, b): what shortest paths from the start nodes owe to each node between, as a table."""
     front = start.select(F.col("id").alias("src"), "id", F.lit(1.0).alias("sigma"), F.lit(0).alias("d"))
     seen, tiers = front, [stage(front)]
     while True:
@@ -136,12 +252,8 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame
         part = below.groupBy("id").agg(F.sum("delta").alias("b"))
         total = part if total is None else total.unionByName(part)
     if total is None:
-        return ids.select("id", F.lit(0.0).alias("betweenness"), F.lit(0.0).alias("normalized"))
-    n = ids.count()
-    scale = float((n - 1) * (n - 2)) if n > 2 else 1.0
-    b = total.groupBy("id").agg(F.sum("b").alias("b"))
-    value = F.coalesce("b", F.lit(0.0))
-    return ids.join(b, "id", "left").select("id", value.alias("betweenness"), (value / scale).alias("normalized"))
+        return start.select("id", F.lit(0.0).alias("b")).limit(0)
+    return stage(total.groupBy("id").agg(F.sum("b").alias("b")))
 
 
 def dead_code(g: Graph) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr
+from ..plans.stages import stage
 from ..schema import FUNCTIONS, SYMBOLS, Graph
 
 
@@ -36,7 +37,7 @@ def suppressed(g: Graph, pairs: DataFrame) -> DataFrame:
 
 def callers_split(g: Graph) -> DataFrame:
     """Each target's callers with a bucket: callers, test_callers or ambiguous; suppressed guesses are out."""
-    pairs = caller_pairs(g)
+    pairs = stage(caller_pairs(g))  # read twice
     kept = pairs.join(suppressed(g, pairs), ["t_id", "s_id"], "left_anti")
     bucket = F.when(~F.col("confident"), "ambiguous").when(F.col("s_is_test"), "test_callers").otherwise("callers")
     return kept.select("t_id", "s_id", "s_qname", "s_path", "s_start_line", bucket.alias("bucket"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schema import Graph
+from .stages import stage
 
 FILES_SQL = """
 SELECT row_number() OVER (ORDER BY p_type, p_brand) AS id,
@@ -59,7 +60,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_bound: dict[tuple[str, str, str], Graph] = {}
+
+
 def bind(spark: SparkSession, sf_dir: str) -> Graph:
-    part, lineitem = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
-    files = spark.sql(FILES_SQL, part=part)
-    return Graph(files, spark.sql(NODES_SQL, part=part, cg_files=files), spark.sql(EDGES_SQL, lineitem=lineitem))
+    """The graph over the tables of a folder, built once a session: three tables beside its others."""
+    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""), sf_dir)
+    if key not in _bound:
+        part, lineitem = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+        files = stage(spark.sql(FILES_SQL, part=part))
+        nodes = stage(spark.sql(NODES_SQL, part=part, cg_files=files))
+        edges = stage(spark.sql(EDGES_SQL, lineitem=lineitem))
+        key = (key[0], spark.conf.get("spark.checkpoint.dir", ""), sf_dir)
+        _bound[key] = Graph(files, nodes, edges)
+    return _bound[key]

@@ -2,22 +2,55 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 
+_made: set[str] = set()
 
-def stage(df: DataFrame) -> DataFrame:
-    """df written to spark.checkpoint.dir and read back: lineage ends, and a lost executor costs its tasks alone."""
-    spark = df.sparkSession
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which all executors share; it goes when the driver's Python ends.
+
+    A session on one machine without the setting (as in tests) gets a
+    temporary folder, which is entered in it. On a cluster that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="graphlens-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{base.rstrip('/')}/graphlens-{uuid.uuid4().hex}"
+    _made.add(path)
+    return path
+
+
+def drop(path: str) -> None:
+    """Delete a folder that scratch() made, where its store can be reached from here."""
+    _made.discard(path)
+    try:
+        fs, local = pafs.FileSystem.from_uri(path)
+        fs.delete_dir(local)
+    except (OSError, ValueError):
+        pass  # never written, already gone, or a store of Spark's own
+
+
+@atexit.register
+def _drop_all() -> None:
+    for path in list(_made):
+        drop(path)
+
+
+def stage(df: DataFrame, codec: str = "snappy") -> DataFrame:
+    """df written to spark.checkpoint.dir and read back: lineage ends, and a lost executor costs its tasks alone."""
+    path = scratch(df.sparkSession)
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, most: int = 10_000) -> DataFrame:

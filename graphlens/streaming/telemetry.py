@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..plans.stages import stage
 
+#: Parts that a followed table's files are dealt to, and what is noted of each that was written.
+BUCKETS, DONE = 64, "bucket int, version bigint"
 CALLS = "call_id bigint, tool string, project_id bigint, ok boolean, duration_ms double, at timestamp"
 
 
@@ -42,41 +50,59 @@ def drain(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") ->
     return df.sparkSession.table(name)
 
 
-def follow_sources(sources: DataFrame, table: str, parse, checkpoint: str):
+def _bucket(path: Column) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(BUCKETS)).cast("int")
+
+
+def follow_sources(sources: DataFrame, table: str, parse: Callable[[DataFrame], DataFrame], checkpoint: str):
     """Keep a table of facts current with a stream of sources (path, text).
 
-    Each micro-batch replaces the facts of its files and leaves the rest; the
-    last version of a file in a batch counts. Batches that were stopped half
-    way run again, so the batch's number names the version they write.
+    Each micro-batch replaces the facts of its files; the last version of a
+    file in a batch counts. Facts are dealt to BUCKETS by path and only buckets
+    with changed files are written anew, as the batch's version of them. A row
+    in the table's list of what is done makes them count, so a batch that was
+    stopped half way leaves nothing behind, and its second run the same.
     """
 
     def replace(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        latest = batch.groupBy("path").agg(F.max_by("text", "modified").alias("text"))
+        latest = stage(batch.groupBy("path").agg(F.max_by("text", "modified").alias("text")))
+        touched = [r[0] for r in latest.select(_bucket(F.col("path"))).distinct().collect()]  # BUCKETS at most
+        if not touched:
+            return
         new = parse(latest)
-        path = f"{table}/version={n:08d}"
-        before = _newest(spark, table, n)
-        if before:
-            old = spark.read.schema(new.schema).parquet(before)
-            new = new.unionByName(old.join(latest.select("path"), "path", "left_anti"))
-        stage(new).write.mode("overwrite").parquet(path)
+        kept = current(spark, table, new.schema, n, touched).join(latest.select("path"), "path", "left_anti")
+        new.unionByName(kept).withColumn("bucket", _bucket(F.col("path"))).write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/facts/version={n}")
+        spark.createDataFrame([(b, n) for b in touched], DONE).coalesce(1).write.mode("overwrite").parquet(f"{table}/done/batch={n}")
 
     return sources.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _newest(spark: SparkSession, table: str, below: int = 1 << 30) -> str | None:
-    """The last whole version before a number."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(table)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(root)]
-    done = [x for x in names if x.startswith("version=") and int(x[8:]) < below and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{table}/{x}/_SUCCESS"))]
-    return f"{table}/{max(done)}" if done else None
-
-
-def current(spark: SparkSession, table: str, schema: str) -> DataFrame:
-    """The newest whole version of a table that follow_sources keeps."""
-    path = _newest(spark, table)
-    return spark.read.schema(schema).parquet(path) if path else spark.createDataFrame([], schema)
+def current(spark: SparkSession, table: str, schema: str | StructType, below: int = 1 << 60, buckets: list[int] | None = None) -> DataFrame:
+    """The facts that count in a table that follow_sources keeps: each bucket's last version."""
+    schema_of = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    try:
+        done = spark.read.schema(DONE).option("recursiveFileLookup", True).parquet(f"{table}/done")
+    except AnalysisException:  # nothing written yet
+        return spark.createDataFrame([], schema_of)
+    last = [(r[0], r[1]) for r in done.where(F.col("version") < below).groupBy("bucket").agg(F.max("version")).collect()]  # BUCKETS at most
+    wanted = [(b, v) for b, v in last if buckets is None or b in buckets]
+    if not wanted:
+        return spark.createDataFrame([], schema_of)
+    counts = reduce(or_, [(F.col("bucket") == b) & (F.col("version") == v) for b, v in wanted])
+    facts = spark.read.schema(StructType([*schema_of.fields, StructField("version", LongType()), StructField("bucket", IntegerType())]))
+    return facts.parquet(f"{table}/facts").where(counts).select(*schema_of.names)
+
+
+def refreshed(sources: DataFrame, table: str, parse: Callable[[DataFrame], DataFrame], checkpoint: str, schema: str) -> DataFrame:
+    """The table of facts after all changed sources that are there now: what a query that needs fresh facts reads."""
+    follow_sources(sources, table, parse, checkpoint).awaitTermination()
+    return current(sources.sparkSession, table, schema)
+
+
+def backed_off(failures: DataFrame, now: DataFrame, seconds: int = 60) -> DataFrame:
+    """(kind, tries, due) of a stream or table of failures (kind, at) beside a table of times (at): kinds and when they may be tried again."""
+    last = failures.groupBy("kind").agg(F.count(F.lit(1)).alias("tries"), F.max("at").alias("failed_at"))
+    due = F.col("failed_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))
+    return last.select("kind", "tries", due.alias("due")).join(F.broadcast(now.agg(F.max("at").alias("now"))), F.lit(True)).select(
+        "kind", "tries", "due", (F.col("now") >= F.col("due")).alias("may_run"))

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphlens.functions import expr
+from graphlens.operators import search
 
 
 @pytest.mark.parametrize("path,want", [
@@ -38,3 +39,14 @@ def test_small_expressions(spark):
     assert one(spark, expr.truncated(lit("abcdef"), 3)) == "abc... [truncated, 6 chars total]"
     assert one(spark, expr.symbol_line(lit("a.py"), lit(3), lit(3), lit("function"), lit("f"), lit("(x,\n  y)"), lit("int"))) == "a.py:3 function f (x, y) -> int"
     assert one(spark, expr.note_mentions(lit("@CodeGraph @Function @a.b @x_y @API @project @f.py"))) == ["API", "CodeGraph", "a.b", "f.py", "x_y"]
+
+
+def test_mentions_in_capitals(spark):
+    names = ["A1", "API", "X", "Function", "tests", "HTTP2", "12", "TwoWords", "a.b", "a_b"]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select("n", expr.code_like(F.col("n")).alias("y")).collect()
+    assert {r.n for r in got if r.y} == {"A1", "API", "HTTP2", "TwoWords", "a.b", "a_b"}
+
+
+def test_queries_are_cut_like_documents(spark):
+    docs = spark.createDataFrame([(1, "call foo.bar now"), (2, "other text")], "id int, text string")
+    assert [r.id for r in search.bm25(docs, "foo.bar").collect()] == [1] and search.bm25(docs, " . ").count() == 0

@@ -184,3 +184,67 @@ def test_index_follows_sources(spark, tmp_path):
 
     assert arrive(("a.py", "def f(): pass", 1), ("b.py", "def g(): pass", 1)) == {("a.py", "f"), ("b.py", "g")}
     assert arrive(("a.py", "def h(): pass", 2)) == {("a.py", "h"), ("b.py", "g")}
+    assert arrive(("c.py", "x = 1", 3), ("b.py", "def g(): pass\ndef k(): pass", 3)) == {("a.py", "h"), ("b.py", "g"), ("b.py", "k")}
+    # a version that was written but not noted as done doesn't count
+    telemetry.current(spark, table, python_code.FACTS).withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(f"{table}/facts/version=99")
+    spark.createDataFrame([("a.py", "def z(): pass", 4)], schema).write.mode("append").parquet(inbox)
+    fresh = telemetry.refreshed(spark.readStream.schema(schema).parquet(inbox), table, python_code.parse, str(tmp_path / "cp"), python_code.FACTS)
+    assert {r.name for r in fresh.where("kind = 'function'").collect()} == {"z", "g", "k"}
+
+
+def test_back_off(spark):
+    failed = spark.createDataFrame([("js", "2024-01-01 00:00:00"), ("js", "2024-01-01 00:00:30"), ("py", "2024-01-01 00:00:00")], "kind string, at string")
+    now = spark.createDataFrame([("2024-01-01 00:01:10",)], "at string")
+    got = telemetry.backed_off(*(d.withColumn("at", F.to_timestamp("at")) for d in (failed, now))).collect()
+    assert {(r.kind, r.tries, r.may_run) for r in got} == {("js", 2, False), ("py", 1, True)}
+
+
+SCOPES = """
+import os, a.c
+from .c import go as run
+from ...zz import no
+import a.q as a
+def f(x, *y):
+    try:
+        run()
+    except E as caught:
+        caught()
+    class K(base()):
+        z = run()
+        def m(self):
+            run()
+            self.n()
+    [each() for each in y]
+    if x:
+        def late(): x()
+    late()
+class C(a.c.B):
+    v = run()
+    @deco()
+    def g(self):
+        self.h()
+        def inner():
+            super().h()
+        inner()
+    class D:
+        def w(self): self.t()
+"""
+
+
+def test_scopes_of_calls():
+    """Names that are local call nothing; what stands in a class body counts for no function."""
+    got = [(k, o, n, m, line) for _, k, o, n, m, line, *_ in python_code.facts("a/b.py", SCOPES) if k.startswith(("call", "from", "import"))]
+    assert got == [
+        ("import", "", "os", "os", 0), ("import", "", "a", "a", 0), ("from", "", "run", "/a.c", 0), ("import", "", "a", "a.q", 0),
+        ("call", "", "run", "", 6), ("call", "", "run", "", 13), ("call_line", "", "", "18", 6), ("call_self", "C", "h", "", 22),
+        ("call_super", "C", "h", "", 25), ("call", "C", "super", "", 25), ("call_line", "C", "", "25", 22)]
+    assert [x[1] for x in python_code.facts("x.py", "def f(:")] == ["error"]
+
+
+def test_roots_and_trees(spark, tmp_path):
+    (tmp_path / "roots.json").write_text('{"roots": [' + ", ".join(f'"r{k}/"' for k in range(1500)) + "]}")
+    assert len(readers.source_roots(spark, str(tmp_path / "roots.json"))) == 1500
+    text = "a (x.py:1)\n  b (x.py:2)\n    c (x.py:3)\n  d (x.py:4)\n    e (x.py:5)\nf (x.py:6)\n  g (x.py:7)\n    h (x.py:8)"
+    rows = readers.impact_tree(spark.createDataFrame([(1, text)], "report_id int, text string")).collect()
+    assert {(r.name, r.depth, r.parent) for r in rows} == {
+        ("a", 0, None), ("b", 1, "a"), ("c", 2, "b"), ("d", 1, "a"), ("e", 2, "d"), ("f", 0, None), ("g", 1, "f"), ("h", 2, "g")}

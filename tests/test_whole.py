@@ -1,11 +1,13 @@
 """Registered graph queries over all of their input: each root, each file, each edge."""
 
 import os
+import random
 
 import duckdb
 import pytest
 
 from graphlens import queries as q
+from graphlens.operators import algo
 from graphlens.plans import binding
 
 from test_queries import rows
@@ -115,3 +117,44 @@ def test_health_by_parts(spark, sf):
     assert {s: v for (k, s), v in got.items() if k == "import_cycle"} == cycles
     links = {f"{r.s_id}->{r.t_id}": r.score for r in q.QUERIES["surprising"](spark, sf).collect()}
     assert {s: v for (k, s), v in got.items() if k == "surprising"} == links
+
+
+@pytest.mark.parametrize("small", [algo.SMALL, 60, 0])
+def test_cycles_and_levels(spark, monkeypatch, small):
+    """Components and reading order by jobs, by one task, and first by jobs and then by one task."""
+    monkeypatch.setattr(algo, "SMALL", small)
+    r = random.Random(5)
+    edges = sorted({(r.randint(0, 60), r.randint(0, 60)) for _ in range(85)} | {(100 + i, 101 + i) for i in range(8)} | {(r.randint(200, 206), r.randint(200, 206)) for _ in range(12)})
+    edges = [e for e in edges if e[0] != e[1]]
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+        out.setdefault(b, set())
+
+    def reach(a):
+        seen, todo = set(), [a]
+        while todo:
+            for y in out[todo.pop()] - seen:
+                seen.add(y)
+                todo.append(y)
+        return seen
+
+    to = {a: reach(a) for a in out}
+    scc = {a: frozenset([a, *(b for b in to[a] if a in to[b])]) for a in out}
+    df = spark.createDataFrame(edges, "s long, t long")
+    assert {x.id: (x.component, x.size) for x in algo.components(df).collect()} == {a: (min(c), len(c)) for a, c in scc.items() if len(c) > 1}
+    level = {}
+
+    def height(c):
+        if c not in level:
+            level[c] = max((height(scc[b]) + 1 for a in c for b in out[a] if scc[b] != c), default=0)
+        return level[c]
+
+    assert {x.id: (x.level, x.in_cycle) for x in algo.reading_order(df).collect()} == {a: (height(c), len(c) > 1) for a, c in scc.items()}
+    assert algo.components(df.limit(0)).count() == 0 and algo.reading_order(df.limit(0)).count() == 0
+
+
+def test_betweenness_in_batches(spark):
+    edges = spark.createDataFrame([(i, (i * 7 + k) % 40) for i in range(40) for k in (1, 3)], "s long, t long").where("s <> t")
+    whole = {x.id: round(x.betweenness, 6) for x in algo.betweenness(edges).collect()}
+    assert {x.id: round(x.betweenness, 6) for x in algo.betweenness(edges, batch=7).collect()} == whole
