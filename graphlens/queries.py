@@ -748,6 +748,41 @@ _add("js_commands", lambda s, d: js_code.command_edges(js_code.facts(s.createDat
      "SELECT 'src/a.js' AS path, 4 AS line, 'load' AS command, 'onLoad' AS handler, 'src/lib/loader.js' AS handler_path")
 _add("js_property_calls", lambda s, d: js_code.property_calls(js_code.facts(s.createDataFrame(list(JS), "path string, text string"))),
      "SELECT 'src/a.js' AS path, 3 AS line, 'Loader' AS class_name, 'run' AS method")
+
+
+def _js_files(g: Graph) -> DataFrame:
+    """(path, text): JavaScript sources in which each file's class keeps an object of the class of every file that its nodes call."""
+    files = g.files.where("path LIKE '%.js'").select("id", "path")
+    js = g.symbols.select("id", "file_id", "path").where("path LIKE '%.js'")
+    e = g.edges.where("relation = 'calls'").join(js.toDF("source_id", "s_file", "s_path"), "source_id").join(js.toDF("target_id", "t_file", "t_path"), "target_id").where(
+        "s_file <> t_file").select("s_file", "s_path", "t_file", "t_path").distinct()
+    c, stem = F.concat(F.lit("C"), F.col("t_file").cast("string")), F.regexp_replace("t_path", "[.]js$", "")
+    back = F.repeat(F.lit("../"), F.size(F.split("s_path", "/")) - 1)
+    e = e.select("s_file", F.concat(F.lit("import "), c, F.lit(" from '"), F.when(F.col("t_file") % 2 == 0, F.concat(back, stem)).otherwise(F.concat(F.lit("@/"), stem, F.lit(".js"))), F.lit("';")).alias("head"),
+                 F.concat(F.lit("    this.p"), F.col("t_file").cast("string"), F.lit(" = new "), c, F.lit("();")).alias("make"),
+                 F.concat(F.lit("    this.p"), F.col("t_file").cast("string"), F.lit(".go();")).alias("use"))
+    lines = lambda x: F.array_join(F.sort_array(F.collect_list(x)), "\n")
+    e = e.groupBy(F.col("s_file").alias("id")).agg(*[lines(x).alias(x) for x in ("head", "make", "use")])
+    name = F.concat(F.lit("C"), F.col("id").cast("string"))
+    text = F.concat(F.coalesce("head", F.lit("")), F.lit("\n// not new Ghost()\nexport default class "), name, F.lit(" {\n  constructor() {\n    const rx = /new [{'\"]/;\n"), F.coalesce("make", F.lit("")),
+                    F.lit("\n  }\n  go() { return `new ${this.x}`; }\n  run() {\n    this.go();\n"), F.coalesce("use", F.lit("")), F.lit("\n  }\n}\n"))
+    return files.join(e, "id", "left").select("path", text.alias("text"))
+
+
+def _js_links(g: Graph) -> DataFrame:
+    files = stage(_js_files(g))
+    found = stage(js_code.facts(files))
+    made = js_code.created_classes(found, files).select("path", "class_path", F.lit("create").alias("kind"))
+    classes, imports = found.where("kind = 'class'"), js_code.imported(found, files)
+    used = js_code.class_of(js_code.property_calls(found).where("method = 'go'").withColumnRenamed("class_name", "name"), classes, imports)
+    own = found.where("kind = 'own_call' AND name = 'go'").select("path", F.col("path").alias("class_path"), F.lit("own").alias("kind"))
+    return made.unionByName(used.select("path", "class_path", F.lit("property").alias("kind"))).unionByName(own).distinct()
+
+
+_graph("js_links_of_files", _js_links, """
+, e AS (SELECT DISTINCT s.path AS path, t.path AS class_path FROM cg_edges e JOIN sym s ON s.id = e.source_id JOIN sym t ON t.id = e.target_id
+  WHERE relation = 'calls' AND s.path LIKE '%.js' AND t.path LIKE '%.js' AND s.file_id <> t.file_id)
+SELECT path, class_path, unnest(['create', 'property']) AS kind FROM e UNION ALL SELECT path, path, 'own' FROM cg_files WHERE path LIKE '%.js'""")
 _add("spec_decisions", lambda s, d: readers.spec(s.createDataFrame([("## Feature: A\nText\n### Decisions\n- DEC-1: x (because: y)\n- z\n## Other\n## Feature: B\n- **Decisions**: w\n",)], "text string")).selectExpr(
     "name", "explode(decisions) AS d").selectExpr("name", "d.id", "d.description", "d.rationale"), """
 SELECT * FROM (VALUES ('A', 'DEC-1', 'x', 'y'), ('A', 'GEN-001', 'z', ''), ('B', 'GEN-002', 'w', '')) t(name, id, description, rationale)""")

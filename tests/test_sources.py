@@ -153,6 +153,59 @@ def test_javascript(spark):
     assert f.where("kind = 'constant'").select("name", "value").collect()[0] == ("LOAD", "load")
 
 
+EDITOR = """import factory from './factory';
+import { names as parts, other } from '@/lib/consts';
+const commands = { ADD: 'add', [x]: 1 };
+export class Graphics {
+  constructor() { this.make(); this.views = { a: new Panel(), b: new Cropper() }; }
+  make() { this.cut = this.getComponent(parts.CROPPER); this.cut.clip(); this.views.a.show(); }
+}
+const KINDS = { shape: Panel, Cropper };
+class Panel { show() { return new KINDS[kind](); } }
+class Editor {
+  constructor(w) { this.g = new Graphics(w); }
+  add() { this.g.make(); return this.execute(commands.ADD, this.g); }
+}
+const addCommand = { name: commands.ADD, execute(g) { return /[}/]new Ghost/.test(g) ? `new Ghost()` : 1 / 2 / 3; } };
+factory.register(addCommand);
+"""
+CONSTS = "export const names = keyMirror({ CROPPER: null });\nexport const parts = { CROPPER: 'CROPPER' };\nexport class Cropper { constructor() {}\n  clip() {} }\n"
+
+
+def test_javascript_dispatch(spark):
+    """The five families of edges, from where their patterns stand to the nodes they mean."""
+    from graphlens.schema import Graph
+
+    src = spark.createDataFrame([("src/editor.js", EDITOR), ("src/lib/consts.js", CONSTS), ("src/factory.js", ""), ("tests/cropper.js", "class Cropper {}")], "path string, text string")
+    f = js_code.facts(src)
+    got = {(r.kind, r.owner, r.name, r.value) for r in f.where("path = 'src/editor.js'").collect()}
+    assert {("execute", "", "add", ""), ("register", "", "", "addCommand"), ("component", "", "CROPPER", ""), ("property", "Graphics", "views.a", "Panel"),
+            ("own_call", "Graphics", "make", ""), ("this_call", "Graphics", "views.a", "show"), ("this_call", "Editor", "g", "make"), ("import", "", "factory", "./factory")} <= got
+    assert {x[2] for x in got if x[0] == "create"} == {"Panel", "Cropper", "Graphics"} and not any("Ghost" in x[2] for x in got)
+    files = spark.createDataFrame([(1, "src/editor.js"), (2, "src/lib/consts.js"), (3, "src/factory.js"), (4, "tests/cropper.js")], "id long, path string")
+    nodes = spark.createDataFrame([
+        (10, 1, "module", "editor", 1, 99), (11, 1, "class", "Graphics", 4, 7), (12, 1, "method", "constructor", 5, 5), (13, 1, "method", "make", 6, 6), (14, 1, "class", "Panel", 9, 9),
+        (15, 1, "method", "show", 9, 9), (16, 1, "class", "Editor", 10, 13), (17, 1, "method", "constructor", 11, 11), (18, 1, "method", "add", 12, 12), (19, 1, "method", "execute", 14, 14),
+        (20, 2, "class", "Cropper", 3, 4), (21, 2, "method", "constructor", 3, 3), (22, 2, "method", "clip", 4, 4), (23, 4, "class", "Cropper", 1, 1)],
+        "id long, file_id long, type string, name string, start_line int, end_line int")
+    edges = spark.createDataFrame([], "source_id long, target_id long, relation string")
+    have = {(r.family, r.source_id, r.target_id) for r in js_code.graph_edges(f, Graph(files, nodes, edges)).collect()}
+    assert have == {
+        ("command", 18, 19), ("create", 12, 14), ("create", 12, 12), ("create", 12, 20), ("create", 12, 21), ("create", 15, 14), ("create", 15, 12), ("create", 15, 20), ("create", 15, 21),
+        ("create", 17, 11), ("create", 17, 12), ("component", 13, 20), ("property", 13, 22), ("property", 13, 15), ("property", 18, 13), ("own", 12, 13), ("own", 18, 19)}
+    assert js_code.graph_edges(f.limit(0), Graph(files, nodes, edges)).count() == 0
+
+
+def test_import_specifiers(spark):
+    files = spark.createDataFrame([(p,) for p in ("src/js/ui.js", "src/js/ui/shape.js", "src/js/ui/index.js", "src/js/component/shape.js", "lib/ui/shape.js")], "path string")
+    f = spark.createDataFrame([("src/js/ui.js", "import", str(k), s) for k, s in enumerate(["./ui/shape", "../js/ui/shape.js", "./ui", "@/ui/shape", "react"])],
+                              "path string, kind string, name string, value string")
+    got = {}
+    for r in js_code.imported(f, files).collect():
+        got.setdefault(r.name, set()).add(r.target)
+    assert got == {"0": {"src/js/ui/shape.js"}, "1": {"src/js/ui/shape.js"}, "2": {"src/js/ui/index.js"}, "3": {"src/js/ui/shape.js", "lib/ui/shape.js"}}
+
+
 def test_diff_of_nothing(spark):
     d = spark.createDataFrame([(1, ""), (2, "+x\n@@ -1 +4 @@\n+y\n+++ b/f\n+z"), (3, None)], "diff_id int, diff string")
     assert {(r.diff_id, r.path, r.line) for r in diff.changed_lines(d).collect()} == {(2, "f", 0)}
