@@ -25,8 +25,8 @@ WORDS, SKETCHES, KEPT, SIMILARITY = 5, 40, 6, 0.8
 SHORT, FEW = 40, 2
 #: Documents of a block, where the members of a bucket are compared among each other, and bytes of their shingles.
 BLOCK, BLOCK_BYTES = 2048, 8 << 20
-#: Members that a centre doesn't link, beyond which they meet by their rarest shingles and not all in all.
-CROWDED = 128
+#: Pairs of members that a centre leaves to compare, beyond which they meet by their rarest shingles and not all in all.
+CROWDED = 1 << 16
 
 
 class WordHashes(dict):
@@ -249,7 +249,7 @@ def near_duplicates(
     is near to it; those within reach are aligned with those, and all that the
     centre doesn't link among each other, if they share a bucket: a centre at a
     time, in pairs of blocks of at most BLOCK documents and about BLOCK_BYTES,
-    and only links come out. Where a centre leaves more than CROWDED, as a
+    and only links come out. Where a centre leaves more than CROWDED pairs, as a
     passage does that very many documents have, these meet anew in buckets of
     their rarest shingles there. Sequences of similarity s have a share s of
     their shingles in common, so the rarest 1 - s of either, and one more, have
@@ -298,7 +298,7 @@ def _links(pairs: DataFrame, sequences: DataFrame, similarity: float, anew: bool
     )
     if anew:
         centres = common.settle(centres)
-        crowded = centres.where(F.col("left") + F.when(F.col("reach") > 0, F.col("near")).otherwise(0) > CROWDED)
+        crowded = centres.where(F.col("left") * (F.col("left") + F.when(F.col("reach") > 0, F.col("near")).otherwise(0)) > CROWDED)
         if not crowded.isEmpty():
             links = links.unionByName(_links(_meetings(_rarest(tested, crowded, sequences, similarity)), sequences, similarity, False))
             centres = centres.join(crowded.select("b"), "b", "left_anti")
@@ -307,7 +307,7 @@ def _links(pairs: DataFrame, sequences: DataFrame, similarity: float, anew: bool
 
 def _rarest(tested: DataFrame, crowded: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
     """(id, key): each member of a crowded centre by its rarest shingles among the centre's members, as many as near ones must share one of."""
-    members = tested.join(crowded.select("b", "reach"), "b").where("state < 2 OR reach > 0").select("b", F.col("a").alias("id"))
+    members = tested.join(crowded.select("b", "reach"), "b").where("state < 2 OR reach > 0").select("b", F.col("a").alias("id"), (F.col("state") < 2).alias("left"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,15 +318,17 @@ def _rarest(tested: DataFrame, crowded: DataFrame, sequences: DataFrame, similar
                 owner = pa.array(np.repeat(np.arange(len(sizes)), sizes))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(owner), part.column(1).take(owner), pa.array(np.repeat(sizes, sizes).astype(np.int32)),
-                     pa.array(np.concatenate(seqs) if seqs else np.empty(0, np.int64))], names=["b", "id", "n", "s"])
+                     pa.array(np.concatenate(seqs) if seqs else np.empty(0, np.int64)), part.column(3).take(owner)], names=["b", "id", "n", "s", "left"])
 
-    every = common.settle(members.join(sequences, "id").select("b", "id", "s").mapInArrow(run, "b bigint, id bigint, n int, s bigint"))
+    every = common.settle(members.join(sequences, "id").select("b", "id", "s", "left").mapInArrow(run, "b bigint, id bigint, n int, s bigint, left boolean"))
     often = every.groupBy("b", "s").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     # a shingle that one member alone has comes before all others and leads to nobody
     rank = F.row_number().over(Window.partitionBy("b", "id").orderBy(F.coalesce("f", F.lit(1)), "s"))
     most = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
-    return (every.join(often, ["b", "s"], "left").withColumn("k", rank).where((F.col("k") <= most) & F.col("f").isNotNull())
-            .select("id", F.xxhash64("b", "s").alias("key")))
+    rare = common.settle(every.join(often, ["b", "s"], "left").withColumn("k", rank).where((F.col("k") <= most) & F.col("f").isNotNull()).select("b", "s", "id", "left"))
+    # what the centre links meets only what it leaves
+    met = rare.where("left").groupBy("b", "s").agg(F.count(F.lit(1)).alias("lefts")).join(rare.groupBy("b", "s").agg(F.count(F.lit(1)).alias("all")), ["b", "s"])
+    return rare.join(met.where("all > 1").select("b", "s"), ["b", "s"], "left_semi").select("id", F.xxhash64("b", "s").alias("key"))
 
 
 def _rest(tested: DataFrame, centres: DataFrame, pairs: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
