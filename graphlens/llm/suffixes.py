@@ -151,6 +151,37 @@ def maximal_repeats(
                 stack.append((here, left))
 
 
+def groups_in(parts: list[tuple], length: int) -> list[tuple]:
+    """(digest, bytes, part's number, offset) of all occurrences of the maximal repeats in parts (bytes, times).
+
+    Parts are distinct; one that occurs several times itself is a repeat too,
+    where no other part has all of it.
+    """
+    some = [k for k, (b, _) in enumerate(parts) if len(b) >= length]
+    if not some:
+        return []
+    text = np.frombuffer(b"".join(parts[k][0] for k in some), np.uint8)
+    sizes = np.array([len(parts[k][0]) for k in some])
+    ends = np.cumsum(sizes)
+    strings = sizes - length + 1
+    owner = np.repeat(np.arange(len(some)), strings)
+    inner = np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings)
+    places = (ends - sizes)[owner] + inner
+    out, whole = [], {k for k, n in enumerate(some) if parts[n][1] > 1}
+
+    def group(size: int, which: np.ndarray) -> None:
+        at = int(places[which[0]])
+        digest = int.from_bytes(hashlib.blake2b(text[at:at + size].tobytes(), digest_size=8).digest(), "little", signed=True)
+        out.extend((digest, size, some[o], i) for o, i in zip(owner[which].tolist(), inner[which].tolist()))
+
+    for size, which in maximal_repeats(text, places, ends[owner], inner == 0, length):
+        group(size, which)
+        whole -= {k for k, i in zip(owner[which].tolist(), inner[which].tolist()) if i == 0 and size == sizes[k]}
+    for k in sorted(whole):
+        group(int(sizes[k]), np.array([int(np.searchsorted(owner, k))]))
+    return out
+
+
 def repeats_in(parts: list[tuple], length: int) -> list[tuple]:
     """(doc, th, start, end) spans of parts (doc, th, start, bytes) that occur before, by (doc, th, start)."""
     parts = sorted((p for p in parts if len(p[3]) >= length), key=lambda p: p[:3])
@@ -315,19 +346,95 @@ def _one_each(rows: DataFrame) -> DataFrame:
         common.settle(rows.join(again, ["doc", "th"], "left_semi").distinct()))
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc, th, spans) of the texts in rows (doc, th, bytes) that have strings which also start earlier.
+def repeat_groups(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(repeat, size, doc_id, start): every occurrence of every repeat of at least `length` bytes, a row each.
 
-    Equal rows are one text, so neither holds the other's strings first.
+    A repeat is a string that occurs more than once in the texts (UTF-8 bytes)
+    and has different bytes, or a border between anchors, before its places;
+    `repeat` is a digest of it. Repeats that go over several anchors are given
+    anchor by anchor, and together cover all that occurs again. Texts are taken
+    as in remove_repeats: equal rows are one text.
     """
-    rows = _one_each(rows.select("doc", "th", "bytes"))
+    rows = _one_each(docs.select(
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.encode(F.col("text").cast("string"), "UTF-8"), F.lit(b"")).alias("bytes"),
+        F.col("doc_id").cast("bigint").alias("doc_id")).withColumn("th", F.xxhash64("bytes")).select("doc", "th", "bytes"))
+    shared, firsts = _shared(rows, length)
+    several = firsts.groupBy("akey").agg(F.count(F.lit(1)).alias("k"))
+    kinds = common.settle(firsts.join(several, "akey").select("akey", "bkey", "n", "k", "f", "strings"))
+    alone = shared.join(kinds.where("k = 1 AND n > 1").select("akey", "bkey"), ["akey", "bkey"], "left_semi").select(
+        F.col("bkey").alias("repeat"), (F.col("strings") + (length - 1)).cast("int").alias("size"), "doc", "start")
+    wanted = kinds.where("k > 1").select("akey", "f.doc", "f.th", "f.start", F.col("f.off").cast("int").alias("off"),
+                                         (F.col("strings") + (length - 1)).cast("int").alias("size"), (F.col("k") > GROUP).alias("big"))
+    named = kinds.select("akey", "bkey", "n", "f.doc", "f.th", "f.start")
+    pieces = common.settle(_pieces(rows, wanted).join(named, ["akey", "doc", "th", "start"]).select(
+        "akey", F.col("akey").alias("a0"), "bkey", F.lit(0).alias("rel"), "off", "piece", F.col("n").cast("bigint").alias("times"), "big"))
+    found = _grouped(pieces.where("NOT big"), length)
+    crowded = pieces.where("big")
+    for width in WIDTHS:
+        if crowded.isEmpty():
+            break
+        cut = common.settle(_narrowed(crowded.select("akey", F.col("a0").alias("doc"), F.col("bkey").alias("th"), F.col("rel").alias("start"), "off", "piece"), width, length))
+        cut = cut.withColumnsRenamed({"doc": "a0", "th": "bkey", "start": "rel"})
+        times = crowded.select("a0", "bkey", F.col("times").alias("t")).distinct()
+        one = cut.join(times, ["a0", "bkey"]).groupBy("akey", "same").agg(
+            F.min(F.struct("a0", "bkey", "rel", "off", "piece")).alias("f"), F.sum("t").alias("times"))
+        sizes = one.groupBy("akey").agg(F.count(F.lit(1)).alias("k"))
+        one = common.settle(one.join(sizes, "akey").select("akey", "same", "f.*", "times", ((F.col("k") > GROUP) & F.lit(width > 1)).alias("big")))
+        # what is said of one of several equal parts holds for all of them
+        equal = cut.join(one.select("akey", "same", F.col("a0").alias("f_a"), F.col("bkey").alias("f_b"), F.col("rel").alias("f_r")), ["akey", "same"]).select("a0", "bkey", "rel", "f_a", "f_b", "f_r")
+        part = _grouped(one.where("NOT big").withColumn("base", F.col("rel")), length)
+        back = part.join(equal, (F.col("p_a") == F.col("f_a")) & (F.col("p_b") == F.col("f_b")) & (F.col("p_r") == F.col("f_r"))).select(
+            "repeat", "size", F.col("a0").alias("p_a"), F.col("bkey").alias("p_b"), F.col("rel").alias("p_r"), "inner")
+        found = found.unionByName(common.settle(back))
+        crowded = common.settle(cut.join(one.where("big").select("akey", "same"), ["akey", "same"], "left_semi").join(times, ["a0", "bkey"]).select(
+            "akey", "a0", "bkey", "rel", "off", "piece", F.col("t").alias("times")))
+    places = shared.select(F.col("akey").alias("p_a"), F.col("bkey").alias("p_b"), "doc", F.col("start").alias("at"))
+    inside = found.join(places, ["p_a", "p_b"]).select("repeat", "size", "doc", (F.col("at") + F.col("p_r") + F.col("inner")).cast("int").alias("start"))
+    out = alone.unionByName(inside).distinct()
+    return out.select("repeat", "size", F.when(F.col("doc") > -(1 << 63), F.col("doc")).alias("doc_id"), "start")
+
+
+def _grouped(pieces: DataFrame, length: int) -> DataFrame:
+    """(repeat, size, p_a, p_b, p_r, inner): occurrences of repeats in pieces (akey, a0, bkey, rel, piece, times), an anchor at a time."""
+    dealt = pieces.select("akey", "a0", "bkey", "rel", "piece", "times").repartition("akey").sortWithinPartitions("akey")
+    schema = "repeat bigint, size int, p_a bigint, p_b bigint, p_r int, inner int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(held: list[tuple]) -> pa.RecordBatch:
+            got = groups_in([(h[4], h[5]) for h in held], length)
+            return _batch([(d, n, *held[k][1:4], i) for d, n, k, i in got], schema)
+
+        held, last = [], None
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if held and row[0] != last:
+                    yield found(held)
+                    held = []
+                held.append(row)
+                last = row[0]
+        yield found(held)
+
+    return common.settle(dealt.mapInArrow(run, schema))
+
+
+def _shared(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """All blocks of anchors that occur again, and the first of each distinct one with how often it is there."""
     anchors = _anchors(rows, length)
     common_ones = common.settle(anchors.groupBy("akey").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("akey"))
     shared = common.settle(anchors.join(common_ones, "akey", "left_semi"))
-    place = F.struct("doc", "th", "start")
-    firsts = common.settle(
+    return shared, common.settle(
         shared.groupBy("akey", "bkey").agg(F.min(F.struct("doc", "th", "start", "off")).alias("f"), F.first("strings").alias("strings"),
             F.count(F.lit(1)).alias("n")))
+
+
+def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc, th, spans) of the texts in rows (doc, th, bytes) that have strings which also start earlier.
+
+    Equal rows are one text, so neither holds the other's strings first.
+    """
+    rows = _one_each(rows.select("doc", "th", "bytes"))
+    shared, firsts = _shared(rows, length)
+    place = F.struct("doc", "th", "start")
     again = (
         shared.join(firsts.where("n > 1").select("akey", "bkey", F.struct("f.doc", "f.th", "f.start").alias("first")), ["akey", "bkey"])
         .where(place != F.col("first"))

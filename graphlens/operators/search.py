@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.stages import stage
+
 K1, B = 1.2, 0.75
 
 
@@ -12,20 +14,15 @@ def tokens(text):
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(term, id, tf): the inverted index of docs (id, text)."""
-    return docs.select("id", F.explode(tokens("text")).alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def bm25(docs: DataFrame, query: str, most: int = 20) -> DataFrame:
     """(id, score): the best documents for the query's terms; ties by id.
 
-    Only occurrences of the query's terms are shuffled: they are filtered
-    inside each row's array before it is exploded.
+    Texts are cut once, into a table of lengths and of the query's terms found;
+    only those are counted and shuffled.
     """
     # the query is cut where documents are
     wanted = F.array_distinct(tokens(F.lit(query)))
-    t = docs.select("id", tokens("text").alias("ts")).select("id", F.size("ts").alias("len"), F.filter("ts", lambda x: F.array_contains(wanted, x)).alias("hits"))
+    t = stage(docs.select("id", tokens("text").alias("ts")).select("id", F.size("ts").alias("len"), F.filter("ts", lambda x: F.array_contains(wanted, x)).alias("hits")))
     stats = t.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
     hits = t.where(F.size("hits") > 0).select("id", "len", F.explode("hits").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

@@ -111,6 +111,28 @@ def test_repeated_row_holds_a_string_first(spark):
     assert texts[:2] == [(1, first)] * 2 and len(texts[2][1]) < len(later) - 100
 
 
+@pytest.mark.parametrize("group", [suffixes.GROUP, 2])
+def test_repeat_groups(spark, monkeypatch, group):
+    """Each group has all places of its string and nothing else; they differ to the left; together they cover what occurs again."""
+    monkeypatch.setattr(suffixes, "GROUP", group)
+    rows = list(dict.fromkeys(x for x in odd_rows(random.Random(6)) if x[0] is not None and x[0] != 40)) + [(50, "q" + text(random.Random(6), 80)), (51, "r" + text(random.Random(6), 80))]
+    texts = {i: (t or "").encode() for i, t in rows}
+    got = {}
+    for r in suffixes.repeat_groups(make(spark, rows)).collect():
+        got.setdefault((r.repeat, r.size), set()).add((r.doc_id, r.start))
+    mark = {i: bytearray(len(b)) for i, b in texts.items()}
+    for (_, size), at in got.items():
+        strings = {texts[d][s:s + size] for d, s in at}
+        assert len(strings) == 1 and size >= 100 and len(at) > 1
+        word = strings.pop()
+        want = {(d, k) for d, b in texts.items() for k in range(len(b) - size + 1) if b[k:k + size] == word}
+        assert at == want
+        for d, s in sorted(at)[1:]:
+            mark[d][s:s + size] = b"\1" * size
+    want = covered(sorted(rows), 100)
+    assert got and all(mark[i] == want[i][1] for i in texts)
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffixes.remove_repeats(make(spark, []).limit(0)).count() == 0
 
@@ -273,7 +295,7 @@ def groups_of(rows):
 
 def test_common_passage(spark, monkeypatch):
     """Very many short documents share a passage, and a few of them nearly all: they meet by what is rare among them."""
-    monkeypatch.setattr(neardup, "CROWDED", 20)
+    monkeypatch.setattr(neardup, "CROWDED", 400)
     r = random.Random(31)
     passage, rows = text(r, 24), []
     for k in range(60):
