@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -788,3 +789,42 @@ _add("spec_decisions", lambda s, d: readers.spec(s.createDataFrame([("## Feature
 SELECT * FROM (VALUES ('A', 'DEC-1', 'x', 'y'), ('A', 'GEN-001', 'z', ''), ('B', 'GEN-002', 'w', '')) t(name, id, description, rationale)""")
 _add("report_references", lambda s, d: readers.report_lines(s.createDataFrame([(1, "References:\n  calls C.m (a/b.py:12)\n  imports x (c.py:3-9)\nend")], "report_id int, text string"), "reference").drop("report_id"), """
 SELECT * FROM (VALUES (1, 'calls', 'C.m', 'a/b.py:12'), (2, 'imports', 'x', 'c.py:3-9')) t(pos, relation, name, location)""")
+REPORT = """Impact: C.m — Risk: HIGH
+3 direct, 7 callers total, 2 files, 1 routes
+  run (function) a/b.py:12
+    go (method) c.py:3
+  ← called by: work (a/b.py:7) [extracted]
+  [calls] C.m (a/b.py:12)
+Modules:
+src (3 files, 10 symbols, Python)
+lib (1 file, 0 symbols)
+Depends on:
+  x/y.js (4 symbols)
+Depended by:
+  z.ts (depth 2)
+Dependencies:
+  src → lib (5 imports)
+  function: a, b (2×)
+fn C.m  a/b.py:9-21  (x, y) -> z
+error: no such file
+{"x": 1}"""
+FORMS = ("impact_head", "impact_counts", "impact_caller", "called_by", "tagged_reference", "module_map", "module_imports", "names_by_kind", "symbol")
+
+
+def _forms(s: SparkSession) -> DataFrame:
+    r = s.createDataFrame([(1, REPORT)], "report_id int, text string")
+    rows = [readers.report_lines(r, shape).select(F.lit(shape).alias("shape"), "pos", F.concat_ws("|", *[F.trim(n) for n in readers.LINES[shape][1]]).alias("fields")) for shape in FORMS]
+    rows += [readers.under(r, shape, ["Depends on", "Depended by", "Dependencies"]).select(F.lit(shape).alias("shape"), "pos", F.concat_ws("|", "heading", *readers.LINES[shape][1]).alias("fields"))
+             for shape in ("file_symbols", "file_depth")]
+    rows.append(readers.said(r).select(F.lit("said").alias("shape"), F.lit(-1).alias("pos"), F.col("message").alias("fields")))
+    tour = s.createDataFrame([(2, '{"reading_order": [{"path": "a.py", "role": "entry"}, {"path": "b.py", "in_cycle": true}]}'), (3, "error"), (4, '{"reading_order": 7}')], "report_id int, text string")
+    rows.append(readers.enveloped(tour, "reading_order", "path string, role string, in_cycle boolean").select(
+        F.lit("tour").alias("shape"), "pos", F.concat_ws("|", "path", F.coalesce("role", F.lit("-")), F.coalesce(F.col("in_cycle").cast("string"), F.lit("-"))).alias("fields")))
+    return reduce(DataFrame.unionByName, rows)
+
+
+_add("report_forms", lambda s, d: _forms(s), """
+SELECT * FROM (VALUES ('impact_head', 0, 'C.m|HIGH'), ('impact_counts', 1, '3|7|2|1'), ('impact_caller', 2, '|run|function|a/b.py:12'), ('impact_caller', 3, '|go|method|c.py:3'),
+  ('called_by', 4, 'work|a/b.py:7|extracted'), ('tagged_reference', 5, 'calls|C.m|a/b.py:12'), ('module_map', 7, 'src|3|10|Python'), ('module_map', 8, 'lib|1|0|'), ('file_symbols', 10, 'Depends on|x/y.js|4'),
+  ('file_depth', 12, 'Depended by|z.ts|2'), ('module_imports', 14, 'src|lib|5'), ('names_by_kind', 15, 'function|a, b|2'), ('symbol', 16, 'fn|C.m|a/b.py:9-21|(x, y) -> z'), ('said', -1, 'no such file'),
+  ('tour', 0, 'a.py|entry|-'), ('tour', 1, 'b.py|-|true')) t(shape, pos, fields)""")

@@ -168,6 +168,18 @@ LINES = {
     "dependency": (r"^\s*([\w./-]+) -> ([\w./-]+)(?: \((\d+)\))?\s*$", ("from", "to", "count")),
     "call": (r"^\s*([^\s():]+:[\w.$<>]+) (->|<-) ([^\s():]+:[\w.$<>]+)\s*$", ("left", "direction", "right")),
     "overview": (r"^\s*(\d+) (function|method|class) ([\w.$<>]+)\s*$", ("line", "kind", "name")),
+    # fixed formats: what the engine prints for references, callers, dependencies, maps, overviews, symbols and impact
+    "tagged_reference": (r"^\s+\[(\w+)\]\s+(\S.*?)\s+\(([^()]+)\)", ("relation", "name", "location")),
+    "called_by": (r"^\s+← called by:\s+(\S.*?)\s+\(([^()]+)\)\s+\[([^\]]+)\]", ("name", "location", "kind")),
+    "file_symbols": (r"^\s+(\S+\.\w+)\s+\((\d+) symbols?\)\s*$", ("path", "symbols")),
+    "file_depth": (r"^\s+(\S+\.\w+)\s+\(depth (\d+)\)\s*$", ("path", "depth")),
+    "module_map": (r"^(\S+)\s+\((\d+) files?, (\d+) symbols?(?:, ([^()]+))?\)\s*$", ("module", "files", "symbols", "language")),
+    "module_imports": (r"^\s+(\S+)\s+→\s+(\S+)\s+\((\d+) imports?\)\s*$", ("from", "to", "imports")),
+    "names_by_kind": (r"^\s+(\w+):\s+(\S.*?)(?:\s+\((\d+)×\))?\s*$", ("kind", "names", "count")),
+    "symbol": (r"^(\w+)\s+(\S+)\s+(\S+\.\w+:\d+(?:-\d+)?)\s*(\(.*)?$", ("kind", "name", "location", "signature")),
+    "impact_head": (r"^Impact:\s*(\S.*?)\s+\S\s+Risk:\s*(\w+)", ("symbol", "risk")),
+    "impact_counts": (r"(\d+) direct(?: callers?)?, (\d+) (?:callers total|total|callers), (\d+) files?, (\d+) routes?", ("direct", "total", "files", "routes")),
+    "impact_caller": (r"^(\s+)(\S.*?)\s+\(([^()]+)\)\s+(\S+:\d+)\s*$", ("indent", "name", "kind", "location")),
 }
 
 
@@ -178,6 +190,30 @@ def report_lines(reports: DataFrame, shape: str) -> DataFrame:
     return rows.select("report_id", "pos", *[F.regexp_extract("line", rx, k + 1).alias(n) for k, n in enumerate(names)])
 
 
+def under(reports: DataFrame, shape: str, headings: list[str]) -> DataFrame:
+    """report_lines with the heading that each stands under; lines before any of them are left out."""
+    from pyspark.sql import Window
+
+    rows = reports.select("report_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    head = F.regexp_extract(F.trim("line"), "^(.*?):$", 1)
+    w = Window.partitionBy("report_id").orderBy("pos")
+    at = rows.select("report_id", "pos", F.last(F.when(head.isin(headings), head), ignorenulls=True).over(w).alias("heading"))
+    return report_lines(reports, shape).join(at.where("heading IS NOT NULL"), ["report_id", "pos"])
+
+
+def said(reports: DataFrame) -> DataFrame:
+    """(report_id, message) of reports that say they failed: 'error: ...' lines, or an object with an error."""
+    line = F.regexp_extract("text", r"(?im)^\s*error:\s*(.+)$", 1)
+    told = F.get_json_object("text", "$.error")
+    return reports.select("report_id", F.coalesce(told, F.when(line != "", F.trim(line))).alias("message")).where("message IS NOT NULL")
+
+
+def enveloped(reports: DataFrame, field: str, schema: str) -> DataFrame:
+    """Rows of the array that a JSON object holds under a field; other texts and other kinds of values have none."""
+    inner = F.get_json_object("text", f"$.{field}")
+    return reports.select("report_id", F.posexplode(F.from_json(inner, f"array<struct<{schema}>>")).alias("pos", "r")).select("report_id", "pos", "r.*")
+
+
 def impact_tree(reports: DataFrame) -> DataFrame:
     """(report_id, pos, depth, name, location, parent) of indented caller lines 'name (file:line)', two blanks a level."""
     from pyspark.sql import Window

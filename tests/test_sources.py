@@ -301,3 +301,15 @@ def test_roots_and_trees(spark, tmp_path):
     rows = readers.impact_tree(spark.createDataFrame([(1, text)], "report_id int, text string")).collect()
     assert {(r.name, r.depth, r.parent) for r in rows} == {
         ("a", 0, None), ("b", 1, "a"), ("c", 2, "b"), ("d", 1, "a"), ("e", 2, "d"), ("f", 0, None), ("g", 1, "f"), ("h", 2, "g")}
+
+
+def test_small_readers(spark, tmp_path):
+    present = spark.createDataFrame([("b.md",), ("c.md",)], "path string")
+    wanted = spark.createDataFrame([(0, "a.md"), (1, "b.md"), (2, "c.md")], "ordinal int, path string")
+    assert readers.first_existing(wanted, present).first().path == "b.md" and readers.first_existing(wanted, present.limit(0)).first().path is None
+    text = spark.createDataFrame([("# T\n## One\nx\ny\n## Two\nz",), ("## One",), (None,)], "t string")
+    assert [r[0] for r in text.select(readers.section(F.col("t"), "One")).collect()] == ["x\ny", "", None]
+    for kind in ("parquet", "json"):
+        readers.write_table(present, str(tmp_path / kind), kind)
+        readers.write_table(present.limit(1), str(tmp_path / kind), kind)
+        assert spark.read.format(kind).load(str(tmp_path / kind)).count() == 1
