@@ -11,10 +11,12 @@ KEY = ("source_id", "target_id", "relation", "metadata")
 
 
 def fingerprint(g: Graph) -> DataFrame:
-    """One row that changes when the index does: counts of files, nodes and edges, and the largest ids."""
+    """One row that changes when the index does: counts of files, nodes, edges and edges of ours (tagged with an object), the largest ids and pair of ends."""
     f = g.files.agg(F.count(F.lit(1)).alias("files"), F.max("id").alias("last_file"))
     n = g.nodes.agg(F.count(F.lit(1)).alias("nodes"), F.max("id").alias("last_node"))
-    e = g.edges.agg(F.count(F.lit(1)).alias("edges"))
+    owned = F.coalesce(F.startswith("metadata", F.lit("{")), F.lit(False))
+    e = g.edges.agg(F.count(F.lit(1)).alias("edges"), F.count_if(owned).alias("owned_edges"), F.max(F.struct("source_id", "target_id")).alias("last")).select(
+        "edges", "owned_edges", F.concat_ws("-", F.col("last.source_id").cast("string"), F.col("last.target_id").cast("string")).alias("last_edge"))
     return f.crossJoin(n).crossJoin(e)  # one row each
 
 

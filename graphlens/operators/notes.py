@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr
@@ -135,12 +135,34 @@ def delete(notes: DataFrame, ids: DataFrame) -> DataFrame:
     return notes.join(ids.select("id").distinct(), "id", "left_anti")
 
 
+#: What marks a note as made from the specification.
+GENERATED = "<!-- generated -->"
+
+
+def feature_id(name: Column) -> Column:
+    return F.concat(F.lit("feature-"), expr.slug(name))
+
+
+def feature_bodies(features: DataFrame) -> DataFrame:
+    """(id, title, content, tags): the note of each feature: its description, decisions with reasons and constraints, files, and links to what it needs."""
+    entry = lambda d: F.concat(F.lit("- "), d["id"], F.lit(": "), d["description"], F.when(
+        F.coalesce(d["rationale"], F.lit("")) != "", F.concat(F.lit(" (because: "), d["rationale"], F.lit(")"))).otherwise(""),
+        F.array_join(F.transform(d["constraints"], lambda c: F.concat(F.lit("\n  - Constraint: "), c)), ""))
+    part = lambda title, lines: F.when(F.size(lines) > 0, F.concat(F.lit(f"## {title}\n\n"), F.array_join(lines, "\n")))
+    body = F.concat_ws("\n\n", F.lit(GENERATED), F.concat(F.lit("Note on **"), "name", F.lit("**, made from the specification; change it there.")),
+                       F.when(F.coalesce("description", F.lit("")) != "", F.col("description")), part("Decisions", F.transform("decisions", entry)),
+                       part("Files", F.transform("file_patterns", lambda p: F.concat(F.lit("- `"), p, F.lit("`")))),
+                       part("Dependencies", F.transform("dependencies", lambda d: F.concat(F.lit("- [["), feature_id(d), F.lit("]]")))))
+    return features.select(feature_id(F.col("name")).alias("id"), F.concat(F.lit("Feature: "), "name").alias("title"), F.concat(body, F.lit("\n")).alias("content"),
+                           F.array(F.lit("feature")).alias("tags"))
+
+
 def feature_notes(features: DataFrame, notes: DataFrame) -> DataFrame:
-    """(id, outcome): create a note for each feature, refresh one that was generated, skip one that was written by hand."""
-    want = features.select(F.concat(F.lit("feature-"), expr.slug(F.col("name"))).alias("id"))
-    have = notes.select("id", F.col("content").contains("<!-- generated -->").alias("own"))
-    return want.join(have, "id", "left").select(
-        "id", F.when(F.col("own").isNull(), "created").when(F.col("own"), "refreshed").otherwise("skipped").alias("outcome"))
+    """(id, outcome, content): create a note for each feature, refresh a generated one that reads otherwise, leave one written by hand; content is what it reads then."""
+    have = notes.select("id", F.col("content").alias("old"))
+    own, same = F.contains("old", F.lit(GENERATED)), F.trim("old") == F.trim(F.regexp_replace("content", r"\s+$", ""))
+    outcome = F.when(F.col("old").isNull(), "created").when(~own, "skipped").when(F.coalesce(same, F.lit(False)), "unchanged").otherwise("refreshed")
+    return feature_bodies(features).join(have, "id", "left").select("id", outcome.alias("outcome"), F.when(own | F.col("old").isNull(), F.col("content")).otherwise(F.col("old")).alias("content"))
 
 
 #: Notes over the bound tables, for any SQL engine.

@@ -391,7 +391,8 @@ _add("props_json", lambda s, d: table(s, d, "events").select(
 # upkeep
 _graph("index_fingerprint", incremental.fingerprint, """
 SELECT (SELECT count(*) FROM cg_files) AS files, (SELECT max(id) FROM cg_files) AS last_file, (SELECT count(*) FROM cg_nodes) AS nodes,
-  (SELECT max(id) FROM cg_nodes) AS last_node, (SELECT count(*) FROM cg_edges) AS edges""")
+  (SELECT max(id) FROM cg_nodes) AS last_node, (SELECT count(*) FROM cg_edges) AS edges, CAST(0 AS BIGINT) AS owned_edges,
+  (SELECT CAST(source_id AS STRING) || '-' || CAST(target_id AS STRING) FROM cg_edges ORDER BY source_id DESC, target_id DESC LIMIT 1) AS last_edge""")
 _graph("index_snapshot", incremental.snapshot, "SELECT path, (SELECT max(id) FROM cg_nodes n WHERE n.file_id = f.id) AS last_node FROM cg_files f")
 _graph("index_digests", incremental.digests, """
 SELECT split_part(path, '.', -1) AS language, count(*) AS files,
@@ -468,10 +469,16 @@ SELECT source_id, target_id FROM cg_edges JOIN sym s ON s.id = source_id JOIN sy
 WHERE relation = 'calls' AND confidence = 'extracted' AND s.path LIKE '%.js' AND s.path <> t.path""")
 _add("note_stats", lambda s, d: notes.stats(_notes(s, d), _note_symbols(s, d)).select("notes", "links"), NOTE_LINKS + """
 SELECT (SELECT count(*) FROM nt) AS notes, (SELECT count(*) FROM (SELECT DISTINCT id, note FROM res WHERE note IS NOT NULL AND note <> id)) AS links""")
+EMPTY_NOTE = "<!-- generated -->\n\nNote on **No patterns**, made from the specification; change it there.\n\nnothing yet"
 _add("feature_notes", lambda s, d: notes.feature_notes(features.example_features(s), s.createDataFrame(
-    [("feature-small", "by hand"), ("feature-standard", "x <!-- generated -->")], "id string, content string")), """
-SELECT * FROM (VALUES ('feature-promotions', 'created'), ('feature-small', 'skipped'), ('feature-economy-tests', 'created'), ('feature-standard', 'refreshed'),
-  ('feature-everything-odd', 'created'), ('feature-no-patterns', 'created'), ('feature-nowhere', 'created')) t(id, outcome)""")
+    [("feature-small", "by hand"), ("feature-standard", "x <!-- generated -->"), ("feature-no-patterns", EMPTY_NOTE)], "id string, content string")), """
+WITH n(id, outcome, name, rest) AS (VALUES
+  ('feature-promotions', 'created', 'Promotions', 'promoted parts|## Decisions|- DEC-001: decision DEC-001~  - Constraint: API contract stays stable|## Files|- `promo/**`'), ('feature-small', 'skipped', NULL, NULL),
+  ('feature-economy-tests', 'created', 'Economy tests', 'tests|## Files|- `economy/tests/*`'),
+  ('feature-standard', 'refreshed', 'Standard', 'standard parts|## Decisions|- DEC-003: decision DEC-003~  - Constraint: performance under 1 s~  - Constraint: auth required~- DEC-004: decision DEC-004~  - Constraint: none|## Files|- `standard/`~- `./small/b11.js`'),
+  ('feature-everything-odd', 'created', 'Everything odd', 'odd brands|## Files|- `**/b?1.js`~- `**/b?3.js`|## Dependencies|- [[feature-small]]'),
+  ('feature-no-patterns', 'unchanged', 'No patterns', 'nothing yet'), ('feature-nowhere', 'created', 'Nowhere', 'matches nothing|## Files|- `missing/**`'))
+SELECT id, outcome, CASE WHEN name IS NULL THEN 'by hand' ELSE replace(replace('<!-- generated -->|Note on **' || name || '**, made from the specification; change it there.|' || rest, '|', chr(10) || chr(10)), '~', chr(10)) || chr(10) END AS content FROM n""")
 
 # event time (an addition to the operators above)
 _add("event_windows", lambda s, d: telemetry.tumbling(_calls(s, d), "1 day").select("start", "tool", "calls"),
