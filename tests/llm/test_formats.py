@@ -286,6 +286,68 @@ def test_pipeline(spark, sf):
         assert stage(spark, empty, sf).count() == 0
 
 
+def least_part_distance(p, t):
+    """part_distance, a row of the table at a time."""
+    t = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+    row, at = np.zeros(len(t) + 1, np.int64), np.arange(len(t) + 1)
+    for i, c in enumerate(p, 1):
+        new = np.minimum(row + 1, np.r_[i, row[:-1] + (t != ord(c))])
+        row = np.minimum.accumulate(new - at) + at
+    return int(row.min())
+
+
+@needs_vocab
+def test_pipeline_by_hand(spark, tmp_path):
+    """Every stage's decisions against plain loops over all documents."""
+    import corpus_pipeline as p
+    from test_dedup import covered, groups_of
+
+    from graphlens.llm import labelled, quality, suffixes
+
+    r = random.Random(17)
+    prose = lambda n: " ".join("".join(r.choice(["an", "the", "er", "ing", "tion", "es", "ß", "ñé"]) for _ in range(r.randint(1, 3))) for _ in range(n)) + "."
+    passage, items = prose(40), [(k, prose(25)) for k in range(3)]
+    rows = [[k, prose(r.randint(40, 90))] for k in range(90)]
+    for k in range(0, 90, 9):
+        rows[k][1] = " ".join(w + "$$$" for w in rows[k][1].split())
+    for k in range(1, 90, 11):
+        rows[k][1] += " " + passage + " " + prose(12)
+    for k in range(5, 90, 20):
+        words = rows[k - 1][1].split()
+        words[7] = "changed"
+        rows[k][1] = " ".join(words)
+    for k in range(7, 90, 30):
+        rows[k][1] += " " + items[k % 3][1].replace("t", "z", 1).upper()
+    rows += [[200, ""], [201, None], [202, "x"], [None, prose(50)]]
+    kinds = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    full = [(i, t, "xx", "s", None if t is None else len(t)) for i, t in rows]
+    labels = [(k, int(k % 9 != 0), 0) for k in range(0, 90) if k % 4]
+    for name, data, schema in (("documents", full, kinds), ("labels", labels, "doc_id bigint, quality int, toxic int"), ("benchmark", items, "item_id bigint, text string")):
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {x.doc_id: x for x in p.run(spark, str(tmp_path)).collect()}
+
+    docs = common.table(spark, str(tmp_path), "documents")
+    known = labelled.sample(docs, common.table(spark, str(tmp_path), "labels"), "quality", quality.LABELLED)
+    model = quality.LatentVotes([t for _, t, _ in known], [y for _, _, y in known])
+    left = [(i, t) for i, t in rows if model.score([t or ""])[0] >= 0.5]
+    assert 0 < len(rows) - len(left) < 30
+    groups = groups_of([(i, t or "") for i, t in left if i is not None])
+    left = [(i, t) for i, t in left if i is None or groups[i] == i]
+    gone = covered(sorted(((i, t) for i, t in left), key=lambda x: -1 << 63 if x[0] is None else x[0]), 100)
+
+    def spans(cover):
+        edges = [k for k in range(len(cover) + 1) if (k < len(cover) and cover[k]) != (k > 0 and cover[k - 1])]
+        return list(zip(edges[::2], edges[1::2]))
+
+    left = [(i, t if not spans(gone[i][1]) else suffixes.whole_characters(gone[i][0], spans(gone[i][1]))) for i, t in left]
+    clean = lambda t: all(least_part_distance(decontam.normal(q), decontam.normal(t)) > int(len(decontam.normal(q)) * 0.05) for _, q in items)
+    left = [(i, t) for i, t in left if clean(t or "")]
+    tok = pieces.load()
+    assert set(got) == {i for i, _ in left} and any(sum(gone[i][1]) for i, _ in left)
+    for i, t in left:
+        assert got[i].ids == best_path(tok, t or "") and got[i].round_trip
+
+
 def test_entry_registers_all():
     import __spark_entry__ as e
 

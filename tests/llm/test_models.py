@@ -128,6 +128,37 @@ def test_svm_is_the_least_loss():
         assert loss(w, b) <= loss(w + 1e-2 * g.normal(size=5), b + 1e-2 * g.normal()) + 1e-7
 
 
+def test_scores_by_hand(tables):
+    """A document's score from the kernel machine's expansion over all gapped subsequences, listed one by one, of its worst word."""
+    import math
+    from itertools import combinations
+
+    import numpy as np
+
+    docs, labels, _ = tables
+    rows = labelled.sample(docs, labels, "toxic", 300)
+    m = toxicity.StringKernelMachine([t for _, t, _ in rows], [y for _, _, y in rows], 64, 2)
+
+    def decision(w):
+        got = []
+        for s in toxicity.encode([w])[0].tolist():
+            value = m.bias
+            for at in combinations(range(len(s)), toxicity.ORDER):
+                if at[-1] - at[0] < toxicity.SPAN and all(s[i] for i in at):
+                    code = 0
+                    for i in at:
+                        code = code * toxicity.SYMBOLS + s[i]
+                    value += toxicity.DECAY ** (at[-1] - at[0] + 1 - toxicity.ORDER) * float(m.table[code])
+            got.append(value)
+        return max(got)
+
+    texts = [r.text for r in docs.limit(12).collect()] + ["grobbble", "the ing", "a-b c", "x" * 60]
+    for t, got in zip(texts, m.score(texts)):
+        worst = max(map(decision, toxicity.words(t)))
+        want = 1 / (1 + math.exp(-np.clip(m.slope * worst + m.offset, -30, 30)))
+        assert abs(want - got) < 1e-3
+
+
 def test_sentences():
     assert toxicity.sentences("One two. g.r.o.b is here! \nNext line\n\n end?") == ["One two.", "g.r.o.b is here!", "Next line", " end?"]
 
