@@ -1 +1 @@
-"""graphlens: code-graph analytics as PySpark DataFrame operators."""
+"""graphlens: analytics over code graphs as PySpark DataFrame operators."""

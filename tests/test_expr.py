@@ -38,7 +38,7 @@ def test_small_expressions(spark):
     assert one(spark, expr.slug(lit("  Ä Note: Two! "))) == "note-two"
     assert one(spark, expr.truncated(lit("abcdef"), 3)) == "abc... [truncated, 6 chars total]"
     assert one(spark, expr.symbol_line(lit("a.py"), lit(3), lit(3), lit("function"), lit("f"), lit("(x,\n  y)"), lit("int"))) == "a.py:3 function f (x, y) -> int"
-    assert one(spark, expr.note_mentions(lit("@CodeGraph @Function @a.b @x_y @API @project @f.py"))) == ["API", "CodeGraph", "a.b", "f.py", "x_y"]
+    assert one(spark, expr.note_mentions(lit("@TwoWords @Function @a.b @x_y @API @project @f.py"))) == ["API", "TwoWords", "a.b", "f.py", "x_y"]
 
 
 def test_mentions_in_capitals(spark):
