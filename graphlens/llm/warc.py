@@ -86,7 +86,8 @@ def write_archives(
         F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"),
         F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"),
     ).withColumn("sha", F.sha1("payload"))
-    firsts = (
+    # digests alone are grouped; as a table of its own their join can be split at a hot digest, or be broadcast where it is small
+    firsts = common.settle(
         rows.where(F.octet_length("payload") >= min_revisit_bytes).groupBy("sha")
         .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
         .where("n > 1").drop("n")
