@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, lines, neardup, packing, pieces, pivots, quality, suffixes, toxicity, warc
+from . import decontam, lines, neardup, packing, pieces, pivots, quality, rules, suffixes, toxicity, tries, turns, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_warc": warc.op9_warc,
     "op10_line_dedup": lines.op10_line_dedup,
+    "op11_prefix_trie": turns.op11_prefix_trie,
+    "op12_quality_rules": rules.op12_quality_rules,
+    "op13_source_divergence": tries.op13_source_divergence,
 }
 
 ORACLES = {
@@ -22,4 +25,7 @@ ORACLES = {
     "op7_pivot_index": pivots.OP7_SQL,
     "op9_warc": warc.OP9_SQL,
     "op10_line_dedup": lines.OP10_SQL,
+    "op11_prefix_trie": turns.OP11_SQL,
+    "op12_quality_rules": rules.OP12_SQL,
+    "op13_source_divergence": tries.OP13_SQL,
 }
