@@ -10,8 +10,10 @@ are what the divergences are summed over and the most telling terms taken from.
 
 from __future__ import annotations
 
+import gc
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,9 @@ LEAST_DOCS, LISTED = 10, 10
 #: Fixed values of the measure: probabilities in units of 1 / UNIT, SMOOTH occurrences more for every term.
 UNIT, SMOOTH = 1_000_000_000, 2
 #: Bytes of the prefixes that tries are cut at first, and leaves of a prefix that are cut deeper by so many bytes.
-PREFIX, HOT, DEEPER = 3, 200_000, 3
+PREFIX, HOT, DEEPER = 3, 2_000_000, 3
 #: Leaves (or bytes of labels, by 50) that a task's tries hold before they are cut and given on; different terms counted before they go into tries.
-LEAVES, COUNTED = 200_000, 100_000
+LEAVES, COUNTED = 400_000, 400_000
 #: Terms of a block; entries of a matrix at a time.
 BLOCK, ENTRIES = 2048, 1 << 21
 #: Bytes of terms, A to Z as lower case; all others separate.
@@ -113,35 +115,69 @@ class RadixTrie:
 
 
 class _Pieces:
-    """Pieces on their way out, as columns."""
+    """Pieces on their way out, as columns: lists are flat, with where each row's begin."""
 
     def __init__(self):
-        self.rows: list[dict] = []
+        self.clear()
+
+    def clear(self) -> None:
+        self.flat: dict[str, list] = {f.name: [] for f in _PIECES}
+        self.begin: dict[str, list[int]] = {f.name: [] for f in _PIECES if pa.types.is_list(f.type)}
 
     def cut(self, lang: str, trie: RadixTrie, depth: int) -> None:
-        prefix, row, index = None, None, {}
+        flat, prefix, index, first = self.flat, None, {}, 0
+        names, shared_of, rest, docs, width, source, n_of = (flat[c] for c in ("names", "shared", "rest", "docs", "width", "source", "n"))
         for shared, term, node in trie.walk():
-            if row is None or term[:depth] != prefix:
-                prefix, shared, index = term[:depth], 0, {}
-                row = {"lang": lang, "prefix": prefix, "leaves": 0, "names": [], "shared": [], "rest": [], "docs": [], "width": [], "source": [], "n": []}
-                self.rows.append(row)
-            row["leaves"] += 1
-            row["shared"].append(shared)
-            row["rest"].append(term[shared:])
-            row["docs"].append(node.docs)
-            row["width"].append(len(node.counts))
+            if prefix is None or term[:depth] != prefix:
+                if prefix is not None:
+                    flat["leaves"].append(len(rest) - first)
+                prefix, shared, index, first = term[:depth], 0, {}, len(rest)
+                flat["lang"].append(lang)
+                flat["prefix"].append(prefix)
+                for c, at in self.begin.items():
+                    at.append(len(flat[c]))
+            shared_of.append(shared)
+            rest.append(term[shared:])
+            docs.append(node.docs)
+            width.append(len(node.counts))
             for s, n in node.counts.items():
                 k = index.get(s)
                 if k is None:
                     k = index[s] = len(index)
-                    row["names"].append(s)
-                row["source"].append(k)
-                row["n"].append(n)
+                    names.append(s)
+                source.append(k)
+                n_of.append(n)
+        if prefix is not None:
+            flat["leaves"].append(len(rest) - first)
 
     def batches(self, step: int = 4096) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(self.rows), step):
-            yield pa.RecordBatch.from_pylist(self.rows[at:at + step], schema=_PIECES)
-        self.rows = []
+        columns = []
+        for f in _PIECES:
+            flat = self.flat[f.name]
+            if f.name in self.begin:
+                columns.append(pa.ListArray.from_arrays(pa.array([*self.begin[f.name], len(flat)], pa.int32()), pa.array(flat, f.type.value_type)))
+            else:
+                columns.append(pa.array(flat, f.type))
+        whole = pa.RecordBatch.from_arrays(columns, schema=_PIECES)
+        self.clear()
+        for at in range(0, whole.num_rows, step):
+            yield whole.slice(at, step)
+
+
+def _rows(b: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, lists of numbers by way of numpy."""
+    lists, plain = {}, {}
+    for name, c in zip(b.schema.names, b.columns):
+        if pa.types.is_list(c.type):
+            lists[name] = (c.offsets.to_numpy().tolist(), c.values.to_numpy(zero_copy_only=False) if not pa.types.is_struct(c.type.value_type) else c.values.to_pylist())
+        else:
+            plain[name] = c.to_pylist()
+    for k in range(b.num_rows):
+        row = {name: v[k] for name, v in plain.items()}
+        for name, (at, v) in lists.items():
+            part = v[at[k]:at[k + 1]]
+            row[name] = part if isinstance(part, list) else part.tolist()
+        yield row
 
 
 def _list(kind: pa.DataType) -> pa.DataType:
@@ -154,58 +190,75 @@ _BLOCKS = pa.schema([("lang", pa.string()), ("terms", _list(pa.string())), ("nam
                      ("source", _list(pa.int32())), ("n", _list(pa.int64()))])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces of the tries of a task's documents (lang, source, text as bytes)."""
-    tries: dict[str, RadixTrie] = defaultdict(RadixTrie)
-    docs: dict[str, Counter] = defaultdict(Counter)
-    found: dict[tuple[str, str], Counter] = defaultdict(Counter)
-    out = _Pieces()
-
-    def pour() -> None:
-        for lang, seen in docs.items():
-            leaf = tries[lang].leaf
-            at = {t: leaf(t) for t in seen}
-            for t, n in seen.items():
-                at[t].docs += n
-            for (where, source), counts in found.items():
-                if where == lang:
-                    for t, n in counts.items():
-                        c = at[t].counts
-                        c[source] = c.get(source, 0) + n
-        docs.clear()
-        found.clear()
-
-    def cut() -> None:
-        pour()
-        for lang, trie in tries.items():
-            out.cut(lang, trie, PREFIX)
-        tries.clear()
-
-    held = 0
-    for b in batches:
-        for lang, source, text in zip(*(b.column(k).to_pylist() for k in range(3))):
-            words = terms(text)
-            once = set(words)
-            docs[lang].update(once)
-            found[lang, source].update(words)
-            held += len(once)
-            if held > COUNTED:
-                if sum(map(len, docs.values())) > COUNTED // 2:
-                    pour()
-                    if sum(max(t.leaves, t.size // 50) for t in tries.values()) > LEAVES:
-                        cut()
-                        yield from out.batches()
-                held = 0
-    cut()
-    yield from out.batches()
+def _uncollected(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run without the collector of cycles, which tries have none of and which would go through all their nodes again and again."""
+
+    def quiet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
+
+    return quiet
+
+
+def _count(counted_most: int, leaves_most: int):
+    """Makes pieces of the tries of a task's documents (lang, source, text as bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tries: dict[str, RadixTrie] = defaultdict(RadixTrie)
+        docs: dict[str, Counter] = defaultdict(Counter)
+        found: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        out = _Pieces()
+
+        def pour() -> None:
+            for lang, seen in docs.items():
+                leaf = tries[lang].leaf
+                at = {t: leaf(t) for t in seen}
+                for t, n in seen.items():
+                    at[t].docs += n
+                for (where, source), counts in found.items():
+                    if where == lang:
+                        for t, n in counts.items():
+                            c = at[t].counts
+                            c[source] = c.get(source, 0) + n
+            docs.clear()
+            found.clear()
+
+        def cut() -> None:
+            pour()
+            for lang, trie in tries.items():
+                out.cut(lang, trie, PREFIX)
+            tries.clear()
+
+        held = 0
+        for b in batches:
+            for lang, source, text in zip(*(b.column(k).to_pylist() for k in range(3))):
+                words = terms(text)
+                once = set(words)
+                docs[lang].update(once)
+                found[lang, source].update(words)
+                held += len(once)
+                if held > counted_most:
+                    if sum(map(len, docs.values())) > counted_most // 2:
+                        pour()
+                        if sum(max(t.leaves, t.size // 50) for t in tries.values()) > leaves_most:
+                            cut()
+                            yield from out.batches()
+                    held = 0
+        cut()
+        yield from out.batches()
+
+    return _uncollected(run)
 
 
 def _deepen(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Pieces()
         for b in batches:
-            for k in range(b.num_rows):
-                trie, row = RadixTrie(), b.slice(k, 1).to_pylist()[0]
+            for row in _rows(b):
+                trie = RadixTrie()
                 trie.merge(row)
                 out.cut(row["lang"], trie, depth)
                 yield from out.batches()
@@ -213,25 +266,26 @@ def _deepen(depth: int):
     return run
 
 
-def counted(docs: DataFrame) -> DataFrame:
+def counted(docs: DataFrame, counted_most: int = COUNTED, leaves_most: int = LEAVES, hot_leaves: int = HOT) -> DataFrame:
     """Pieces (see PIECES) of the terms of documents (lang, source, text); a null is empty.
 
-    A prefix with over HOT leaves in all is cut deeper, as often as that parts them.
+    A prefix with over hot_leaves in all is cut deeper, as often as that parts them.
     """
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("lang", "source", "text")]
     rows = docs.select(text[0].alias("lang"), text[1].alias("source"), text[2].cast("binary").alias("text"))
-    pieces, depth = common.settle(rows.mapInArrow(_count, PIECES)), PREFIX
+    now, depth, kept = common.settle(rows.mapInArrow(_count(counted_most, leaves_most), PIECES)), PREFIX, []
     while True:
-        sizes = pieces.where(F.length("prefix") == depth).groupBy("lang", "prefix").agg(F.sum("leaves").alias("all"), F.count(F.lit(1)).alias("parts"))
-        hot = sizes.where((F.col("all") > HOT) & (F.col("all") > 4 * F.col("parts"))).select("lang", "prefix")
+        sizes = now.groupBy("lang", "prefix").agg(F.sum("leaves").alias("all"), F.count(F.lit(1)).alias("parts"))
+        hot = common.settle(sizes.where((F.col("all") > hot_leaves) & (F.col("all") > 4 * F.col("parts"))).select("lang", "prefix"))
         if hot.isEmpty():
-            return pieces
+            return reduce(DataFrame.unionByName, kept, now)
+        # a row for so many leaves at least, so this is a small table, and pieces stay where they are
         depth += DEEPER
-        pieces = common.settle(pieces.join(hot, ["lang", "prefix"], "left_anti").unionByName(
-            pieces.join(hot, ["lang", "prefix"], "left_semi").select(*pieces.columns).mapInArrow(_deepen(depth), PIECES)))
+        kept.append(now.join(hot, ["lang", "prefix"], "left_anti").select(*now.columns))
+        now = common.settle(now.join(hot, ["lang", "prefix"], "left_semi").select(*now.columns).mapInArrow(_deepen(depth), PIECES))
 
 
-def _merge(least: int):
+def _merge(least: int, block_terms: int = BLOCK):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, trie = None, RadixTrie()
         block: dict | None = None
@@ -256,7 +310,7 @@ def _merge(least: int):
             for _, term, node in trie.walk():
                 if node.docs < least:
                     continue
-                if len(block["terms"]) >= BLOCK or len(block["n"]) >= ENTRIES:
+                if len(block["terms"]) >= block_terms or len(block["n"]) >= ENTRIES:
                     yield from given()
                     empty(now[0])
                 block["terms"].append(term.decode("utf-8", "replace"))
@@ -272,8 +326,7 @@ def _merge(least: int):
                     block["n"].append(n)
 
         for b in batches:
-            for k in range(b.num_rows):
-                row = b.slice(k, 1).to_pylist()[0]
+            for row in _rows(b):
                 if (row["lang"], row["prefix"]) != now:
                     yield from closed()
                     now, trie = (row["lang"], row["prefix"]), RadixTrie()
@@ -281,7 +334,7 @@ def _merge(least: int):
         yield from closed()
         yield from given()
 
-    return run
+    return _uncollected(run)
 
 
 def probability(count: np.ndarray, total: np.ndarray | int, v: int) -> np.ndarray:
@@ -317,8 +370,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums.clear()
 
     for b in batches:
-        for k in range(b.num_rows):
-            r = b.slice(k, 1).to_pylist()[0]
+        for r in _rows(b):
             lang, names, v = r["lang"], [x["source"] for x in r["profile"]], r["v"]
             total, place = np.array([x["total"] for x in r["profile"]], np.int64), {s["source"]: i for i, s in enumerate(r["profile"])}
             of = np.array([place[s] for s in r["names"]], np.int64)[np.array(r["source"], np.int64)]
@@ -349,15 +401,15 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows([(lang, s, "term", t.decode(), -f) for (lang, s), found in best.items() for f, t in found])
 
 
-def divergences(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
+def divergences(docs: DataFrame, least: int = LEAST_DOCS, block_terms: int = BLOCK, **limits: int) -> DataFrame:
     """(lang, source, part, item, value, rank): how far each source is from the others of its language, and its most telling terms.
 
     Nulls are empty texts and names. A row is a document, repeated ones too.
     Groups without terms have pairs of the value 0; an empty table gives no
-    rows. Ties go by the item's bytes. Other columns are ignored.
+    rows. Ties go by the item's bytes. Other columns are ignored. limits are those of counted.
     """
-    pieces = counted(docs)
-    blocks = common.settle(pieces.repartitionByRange("lang", "prefix").sortWithinPartitions("lang", "prefix").mapInArrow(_merge(least), BLOCKS))
+    pieces = counted(docs, **limits)
+    blocks = common.settle(pieces.repartitionByRange("lang", "prefix").sortWithinPartitions("lang", "prefix").mapInArrow(_merge(least, block_terms), BLOCKS))
     group = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
     total = blocks.select("lang", F.inline(F.arrays_zip(F.col("names").alias("source"), F.col("sums").alias("n")))).groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = common.settle(docs.select(*group).distinct().join(total, ["lang", "source"], "left").withColumn("total", F.coalesce("total", F.lit(0))))
