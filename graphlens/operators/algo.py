@@ -6,11 +6,8 @@ components, Kahn's peeling of the condensed graph, Brandes' accumulation.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,18 +21,6 @@ def node_imports(g: Graph) -> DataFrame:
     return g.linked(("imports",), confident=False).where("s_id <> t_id").select(F.col("s_id").alias("s"), F.col("t_id").alias("t")).distinct()
 
 
-def trimmed(edges: DataFrame) -> DataFrame:
-    """Edges (s, t) that are left when nodes without edges in or out are taken away, again and again."""
-    e, n = stage(edges), None
-    while True:
-        e = stage(e.join(e.select(F.col("t").alias("s")).distinct(), "s", "left_semi")
-                  .join(e.select(F.col("s").alias("t")).distinct(), "t", "left_semi"))
-        now = e.count()
-        if now == n or not now:
-            return e
-        n = now
-
-
 def _spread(start: DataFrame, steps: DataFrame) -> DataFrame:
     """(id, label) with the least label that reaches each id over steps (a, b); start has a label for all."""
     label = stage(start)
@@ -48,124 +33,117 @@ def _spread(start: DataFrame, steps: DataFrame) -> DataFrame:
             return label
 
 
-#: Edges that one task goes through (a few MB); loops of jobs over so few cost more than they spread.
-SMALL = 1_000_000
-
-
-def _one_task(edges: DataFrame, solve: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], names: list[str]) -> DataFrame:
-    """solve(s, t) over all edges, which are known to be few, as columns of whole numbers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        s, t = (np.concatenate([e[k] for e in ends] or [np.empty(0, np.int64)]) for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in solve(s, t)], names=names)
-
-    return edges.coalesce(1).mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
-
-
-def _few(edges: DataFrame) -> bool:
-    return edges.limit(SMALL + 1).count() <= SMALL
+def _jump(ptr: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(id, to, dist, least) at the end of each id's pointers (id, to), and the tables of 1, 4, 16, ... steps on the way there.
 
+    dist counts steps, least is the least id passed, the start included. An
+    end is an id without a pointer; where pointers run in a circle, to is some
+    id on it and least covers the circle for ids on it. Four steps become one
+    each round, so a chain of n pointers takes log4(n) rounds.
+    """
+    now = stage(ptr.select("id", "to", F.lit(1).cast("bigint").alias("dist"), F.col("id").alias("least")))
+    tables = [now]
+
+    def twice(a: DataFrame) -> DataFrame:
+        b = a.select(F.col("id").alias("at"), F.col("to").alias("b_to"), F.col("dist").alias("b_dist"), F.col("least").alias("b_least"))
+        return a.join(b, F.col("to") == F.col("at"), "left").select(
+            "id", F.coalesce("b_to", "to").alias("to"), (F.col("dist") + F.coalesce("b_dist", F.lit(0))).alias("dist"), F.least("least", "b_least").alias("least"))
+
+    longest = now.count()
+    reach = 1
+    while reach < longest:
+        reach *= 4
+        far = stage(twice(twice(now)))
+        moved = far.join(now.select("id", F.col("to").alias("was")), "id").where("to <> was")
+        now = far
+        tables.append(now)
+        if moved.isEmpty():
+            break
+    return now, tables
 
-def _levels(s: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
-    """(id, level) of the nodes of a graph without cycles: 0 without edges out, else one more than the highest they lead to."""
-    ids, inv = np.unique(np.concatenate([s, t]), return_inverse=True)
-    a, b = inv[:len(s)], inv[len(s):]
-    level, left = np.zeros(len(ids), np.int64), np.bincount(a, minlength=len(ids))
-    order = np.argsort(b, kind="stable")
-    a, begin = a[order], np.searchsorted(b[order], np.arange(len(ids) + 1))
-    front = np.flatnonzero(left == 0)
-    while len(front):
-        into = np.concatenate([a[begin[v]:begin[v + 1]] for v in front.tolist()] or [np.empty(0, np.int64)])
-        if len(into):
-            level[into] = level[front].max() + 1  # fronts go up a level at a time
-            np.subtract.at(left, into, 1)
-        front = np.unique(into[left[into] == 0]) if len(into) else into
-    return [ids, level]
 
+def _contract(e: DataFrame) -> tuple[DataFrame, DataFrame, tuple]:
+    """Edges (s, t) without the nodes that have one edge out; circles found (id, component); and what puts those nodes back.
 
-def _cycles(s: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
-    """(id, smallest id of its component, size) of nodes in components of two or more, by one walk in depth (Tarjan)."""
-    ids, inv = np.unique(np.concatenate([s, t]), return_inverse=True)
-    a, b = inv[:len(s)], inv[len(s):]
-    order = np.argsort(a, kind="stable")
-    to = b[order].tolist()
-    begin = np.searchsorted(a[order], np.arange(len(ids) + 1)).tolist()
-    n = len(ids)
-    seen, low, on, label = [-1] * n, [0] * n, [False] * n, [-1] * n
-    stack, clock = [], 0
-    for start in range(n):
-        if seen[start] >= 0:
-            continue
-        path = [start]
-        at = {start: begin[start]}
-        seen[start] = low[start] = clock
-        clock += 1
-        stack.append(start)
-        on[start] = True
-        while path:
-            v = path[-1]
-            k = at[v]
-            if k < begin[v + 1]:
-                at[v] = k + 1
-                w = to[k]
-                if seen[w] < 0:
-                    seen[w] = low[w] = clock
-                    clock += 1
-                    stack.append(w)
-                    on[w] = True
-                    path.append(w)
-                    at[w] = begin[w]
-                elif on[w] and seen[w] < low[v]:
-                    low[v] = seen[w]
-            else:
-                path.pop()
-                if path and low[v] < low[path[-1]]:
-                    low[path[-1]] = low[v]
-                if low[v] == seen[v]:
-                    while True:
-                        w = stack.pop()
-                        on[w] = False
-                        label[w] = v
-                        if w == v:
-                            break
-    label = np.array(label, np.int64)
-    names, which, sizes = np.unique(label, return_inverse=True, return_counts=True)
-    least = np.full(len(names), n, np.int64)
-    np.minimum.at(least, which, np.arange(n))
-    many = sizes[which] > 1
-    return [ids[many], ids[least[which]][many], sizes[which][many].astype(np.int64)]
+    A node with one edge out is on a circle only with where that edge leads,
+    so its edges in go on to the end of its chain. Chains that end in nothing,
+    or in a circle of such nodes, can't come back and go.
+    """
+    out = stage(e.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("to")))
+    ptr = out.where("n = 1").select(F.col("s").alias("id"), "to")
+    ends, tables = _jump(ptr)
+    at_end = out.select(F.col("s").alias("to"), "n")
+    kind = F.when(F.col("n").isNull(), "nothing").when(F.col("n") == 1, "circle").otherwise("open")
+    chain = stage(ends.join(at_end, "to", "left").select("id", F.col("to").alias("end"), "least", kind.alias("kind")))
+    circle = chain.where("kind = 'circle'")
+    found = circle.join(circle.select(F.col("end").alias("id")).distinct(), "id", "left_semi").select("id", F.col("least").alias("component"))
+    forks = out.where("n > 1").select("s")
+    rest = stage(e.join(forks, "s", "left_semi").join(chain.select(F.col("id").alias("t"), "end", "kind"), "t", "left"))
+    entries = rest.where("kind = 'open'").select("s", "t", "end")
+    onward = rest.where("kind IS NULL OR kind = 'open'").select("s", F.coalesce("end", "t").alias("t")).where("s <> t").distinct()
+    left = stage(onward.join(forks.select(F.col("s").alias("t")), "t", "left_semi").select("s", "t"))
+    return left, found, (stage(entries), tables)
+
+
+def _put_back(of: DataFrame, entries: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """of (id, component) with the nodes of chains that lead from a component into itself, and the ends of such chains."""
+    a = of.select(F.col("id").alias("s"), F.col("component").alias("cs"))
+    b = of.select(F.col("id").alias("end"), F.col("component").alias("ce"))
+    come = entries.join(a, "s", "left").join(b, "end", "left").select(F.col("t").alias("id"), "end", F.coalesce("cs", "s").alias("cs"), F.coalesce("ce", "end").alias("component"))
+    marked = stage(come.where("cs = component").select("id", "component").distinct())
+    ends = come.where("cs = component AND end = component").select(F.col("end").alias("id"), "component")
+    for steps in tables:  # by tables of 1, 4, 16, ... steps: after each, all within four times as many are marked
+        p = steps.select("id", "to")
+        ahead, onward = marked, marked
+        for _ in range(3):
+            ahead = ahead.join(p, "id").select(F.col("to").alias("id"), "component")
+            onward = onward.unionByName(ahead)
+        marked = stage(onward.distinct())
+    return stage(of.unionByName(marked.join(tables[0].select("id"), "id", "left_semi")).unionByName(ends).distinct())
+
+
+def _turned(e: DataFrame) -> DataFrame:
+    return e.select(F.col("t").alias("s"), F.col("s").alias("t"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component, size) of nodes in strongly connected components of two or more; component is the smallest id.
 
-    Only the trimmed core is coloured: a node takes the least id that reaches
-    it; going back from that id inside its colour gives its component. Once no
-    more than SMALL edges are left (they are counted) one task does the rest.
+    Nodes with one edge out, then in, are taken out along whole chains while
+    that makes the graph much smaller. What is left is coloured: a node takes
+    the least id that reaches it; going back from that id inside its colour
+    gives its component. Then the chains are put back. No step gathers the
+    graph in one task.
     """
-    e, found = stage(edges.select("s", "t")), None
-    while not e.isEmpty():
-        if _few(e):
-            rest = stage(_one_task(e, _cycles, ["id", "component", "size"])).select("id", "component")
-            found = rest if found is None else found.unionByName(rest)
-            break
-        e = trimmed(e)
+    e, layers, found, still = stage(edges.where("s <> t").select("s", "t").distinct()), [], [], 0
+    n = e.count()
+    while n:
+        if still < 2:
+            left, circles, layer = _contract(e)
+            found.append(circles)
+            layers.append(layer)
+            was, n, e = n, left.count(), _turned(left)
+            still = 0 if n < 0.8 * was else still + 1
+            continue
         ids = e.select(F.col("s").alias("id")).union(e.select("t")).distinct()
         colour = stage(_spread(ids.withColumn("label", F.col("id")), e.select(F.col("s").alias("a"), F.col("t").alias("b"))))
         c = colour.withColumnRenamed("label", "cs").withColumnRenamed("id", "s")
         d = colour.withColumnRenamed("label", "ct").withColumnRenamed("id", "t")
-        inside = stage(e.join(c, "s").join(d, "t").where("cs = ct").select(F.col("t").alias("a"), F.col("s").alias("b"), F.col("cs").alias("colour")))
+        inside = stage(e.join(c, "s").join(d, "t").where("cs = ct").select(F.col("t").alias("a"), F.col("s").alias("b")))
         top = F.lit(2**63 - 1)
-        back = _spread(colour.select("id", F.when(F.col("id") == F.col("label"), F.col("id")).otherwise(top).alias("label")), inside.select("a", "b"))
+        back = _spread(colour.select("id", F.when(F.col("id") == F.col("label"), F.col("id")).otherwise(top).alias("label")), inside)
         done = stage(back.where(F.col("label") < top).withColumnRenamed("label", "component"))
-        found = done if found is None else found.unionByName(done)
+        found.append(done)
         gone = done.select("id")
         e = stage(e.join(gone.withColumnRenamed("id", "s"), "s", "left_anti").join(gone.withColumnRenamed("id", "t"), "t", "left_anti"))
-    if found is None:
+        n, still = e.count(), 0
+    if not found:
         return edges.select(F.col("s").alias("id"), F.col("s").alias("component"), F.lit(1).cast("bigint").alias("size")).limit(0)
-    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return found.join(sizes, "component").select("id", "component", "size")
+    of = reduce(DataFrame.unionByName, found)
+    for entries, tables in reversed(layers):
+        of = _put_back(of, entries, tables)
+    sizes = of.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least")).where("size > 1")
+    return of.join(sizes, "component").select("id", F.col("least").alias("component"), "size")
 
 
 def shortest_loops(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -191,20 +169,60 @@ def reading_order(edges: DataFrame) -> DataFrame:
     ids = stage(edges.select(F.col("s").alias("id")).union(edges.select("t")).distinct().join(members.select("id", "component"), "id", "left")
                 .select("id", F.coalesce("component", "id").alias("c"), F.col("component").isNotNull().alias("in_cycle")))
     a, b = ids.select(F.col("id").alias("s"), F.col("c").alias("cs")), ids.select(F.col("id").alias("t"), F.col("c").alias("ct"))
-    open_edges = stage(edges.join(a, "s").join(b, "t").where("cs <> ct").select("cs", "ct").distinct())
-    if _few(open_edges):
-        done = _one_task(open_edges, _levels, ["c", "level"])
-        return ids.join(done, "c", "left").select("id", F.coalesce("level", F.lit(0)).cast("int").alias("level"), "in_cycle")
-    rest, level, done = stage(ids.select("c").distinct()), 0, None
-    while not rest.isEmpty():
-        ready = stage(rest.join(open_edges.select(F.col("cs").alias("c")).distinct(), "c", "left_anti").withColumn("level", F.lit(level)))
-        done = ready if done is None else done.unionByName(ready)
-        rest = stage(rest.join(ready, "c", "left_anti").select("c"))
-        open_edges = stage(open_edges.join(ready.select(F.col("c").alias("ct")), "ct", "left_anti").select("cs", "ct"))
-        level += 1
-    if done is None:
-        return ids.select("id", F.lit(0).alias("level"), "in_cycle")
-    return ids.join(done, "c").select("id", "level", "in_cycle")
+    # w is what the level of a source is above that of its target at least
+    e = stage(edges.join(a, "s").join(b, "t").where("cs <> ct").select("cs", "ct").distinct().withColumn("w", F.lit(1).cast("bigint")))
+    level = _heights(e)
+    return ids.join(level, "c", "left").select("id", F.coalesce("level", F.lit(0)).cast("int").alias("level"), "in_cycle")
+
+
+def _heights(e: DataFrame) -> DataFrame:
+    """(c, level) of the ends of edges (cs, ct, w) without cycles: 0 without edges out, else the most of w and the target's level together.
+
+    A node with one edge out is as much higher than the end of its chain as
+    the chain is long, so chains go at once; then nodes whose targets are all
+    known get their level. Both are repeated until no edge is left.
+    """
+    known: DataFrame | None = None  # (c, level)
+    chains = []
+    while not e.isEmpty():
+        out = stage(e.groupBy("cs").agg(F.count(F.lit(1)).alias("n"), F.min_by("ct", "ct").alias("to"), F.min("w").alias("w")))
+        single = out.where("n = 1").select(F.col("cs").alias("id"), "to", "w")
+        ends = _weighed(single)
+        chains.append(ends)
+        at = ends.select(F.col("id").alias("ct"), "end", F.col("w").alias("more"))
+        e = stage(e.join(out.where("n > 1").select("cs"), "cs", "left_semi").join(at, "ct", "left")
+                  .groupBy("cs", F.coalesce("end", "ct").alias("ct")).agg(F.max(F.col("w") + F.coalesce("more", F.lit(0))).alias("w")))
+        # targets without edges out are at level 0, or known: their sources shift up and drop those edges
+        low = e.select(F.col("ct").alias("c")).distinct().join(e.select(F.col("cs").alias("c")).distinct(), "c", "left_anti")
+        ready = stage(low.join(known, "c", "left").select("c", F.coalesce("level", F.lit(0)).alias("level")) if known is not None else low.withColumn("level", F.lit(0).cast("bigint")))
+        base = stage(e.join(ready.select(F.col("c").alias("ct"), "level"), "ct", "left"))
+        whole = base.groupBy("cs").agg(F.max(F.col("w") + F.col("level")).alias("level"), F.bool_and(F.col("level").isNotNull()).alias("done"))
+        done = stage(whole.where("done").select(F.col("cs").alias("c"), "level"))
+        known = done if known is None else stage(known.unionByName(done))
+        e = stage(e.join(done.select(F.col("c").alias("cs")), "cs", "left_anti"))
+    for ends in reversed(chains):
+        # what a chain ends in is known by now, or is at level 0
+        up = ends.join(known.select(F.col("c").alias("end"), "level"), "end", "left") if known is not None else ends.withColumn("level", F.lit(0))
+        up = up.select(F.col("id").alias("c"), (F.col("w") + F.coalesce("level", F.lit(0))).alias("level"))
+        known = stage(up if known is None else known.unionByName(up))
+    if known is None:
+        return e.select(F.col("cs").alias("c"), F.col("w").alias("level")).limit(0)
+    return known
+
+
+def _weighed(ptr: DataFrame) -> DataFrame:
+    """(id, end, w): the end of each id's pointers (id, to, w), which run in no circle, and the sum of w on the way."""
+    now = stage(ptr)
+    while True:
+        def twice(a: DataFrame) -> DataFrame:
+            b = a.select(F.col("id").alias("at"), F.col("to").alias("b_to"), F.col("w").alias("b_w"))
+            return a.join(b, F.col("to") == F.col("at"), "left").select("id", F.coalesce("b_to", "to").alias("to"), (F.col("w") + F.coalesce("b_w", F.lit(0))).alias("w"))
+
+        far = stage(twice(twice(now)))
+        moved = far.join(now.select("id", F.col("to").alias("was")), "id").where("to <> was")
+        now = far
+        if moved.isEmpty():
+            return now.withColumnRenamed("to", "end")
 
 
 def betweenness(edges: DataFrame, sources: DataFrame | None = None, batch: int = 4096) -> DataFrame:

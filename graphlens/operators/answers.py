@@ -37,7 +37,7 @@ def place(path: str, line: str, qname: str) -> Column:
 
 def indirect_capped(g: Graph, roots: DataFrame, depth: int = 3, most: int = INDIRECT) -> DataFrame:
     """(root, k, depth, id, qname, path, line, more): callers of callers by depth and id, the first `most`; more tells whether any were cut."""
-    far = traverse.indirect_callers(g, roots, depth)
+    far = traverse.indirect_callers(g, roots, depth, most)
     w = Window.partitionBy("root").orderBy("depth", "id")
     k = far.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most + 1)
     k = k.withColumn("more", F.max("k").over(Window.partitionBy("root")) > most).where(F.col("k") <= most)
@@ -47,7 +47,7 @@ def indirect_capped(g: Graph, roots: DataFrame, depth: int = 3, most: int = INDI
 
 def downstream_capped(g: Graph, roots: DataFrame, depth: int = 3, most: int = EDGES) -> DataFrame:
     """(root, k, depth, from, to, line, more): edges walked forward by depth, source and place of the target, the first `most`."""
-    e = traverse.downstream_edges(g, roots, depth)
+    e = traverse.downstream_edges(g, roots, depth, most)
     s = g.symbols.select(F.col("id").alias("s_id"), F.concat_ws(":", "path", "qname").alias("from"))
     t = g.symbols.select(F.col("id").alias("t_id"), F.col("path").alias("t_path"), F.col("start_line").alias("line"), F.concat_ws(":", "path", "qname").alias("to"))
     w = Window.partitionBy("root").orderBy("depth", "s_id", "t_path", "line", "t_id")

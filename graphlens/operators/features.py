@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr
+from ..plans.stages import stage
 from ..schema import FUNCTIONS, SYMBOLS, Graph
 
 #: Constraint words that make a decision affected.
@@ -133,6 +134,17 @@ def divergence(features: DataFrame, sources: DataFrame) -> DataFrame:
         (F.length(banned) > 0) & F.contains(F.lower("code"), banned)).select("id", "feature", "constraint")
 
 
+def warnings(g: Graph, features: DataFrame, roots: DataFrame, code: DataFrame) -> DataFrame:
+    """(root, kind, said) of each root: unmapped, if no feature owns it; else constraints its code (id, code) violates, and deprecated, if its feature is."""
+    r = roots.select(F.col("id").alias("root")).distinct().join(g.nodes.select(F.col("id").alias("root"), "file_id"), "root")
+    r = stage(r.join(file_owner(features, g.files).select(F.col("id").alias("file_id"), "feature"), "file_id").select("root", "feature"))
+    unmapped = r.where("feature IS NULL").select("root", F.lit("unmapped").alias("kind"), F.lit("").alias("said"))
+    broken = divergence(features, r.select(F.col("root").alias("id"), "feature").join(code.select("id", "code"), "id")).select(
+        F.col("id").alias("root"), F.lit("constraint").alias("kind"), F.col("constraint").alias("said"))
+    old = r.join(features.where("status = 'deprecated'").select(F.col("name").alias("feature")), "feature").select("root", F.lit("deprecated").alias("kind"), F.col("feature").alias("said"))
+    return unmapped.unionByName(broken).unionByName(old)
+
+
 def alignment(g: Graph, features: DataFrame) -> DataFrame:
     """(feature, files, functions, decisions, constraints, issues, fully_aligned) of every feature."""
     f = feature_files(features, g.files).select("feature", F.col("id").alias("file_id"))

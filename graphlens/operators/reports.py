@@ -57,6 +57,15 @@ def project_health(g: Graph, chokepoints: int = 10) -> DataFrame:
     return choke.unionByName(cycles).unionByName(odd)
 
 
+def chokepoints(g: Graph, most: int = 10) -> DataFrame:
+    """(id, path, name, type, normalized, callers) of the functions on most shortest paths, no test code; callers are confident ones outside tests, by path, name and type."""
+    calls = traverse.call_edges(g).where("NOT s_is_test AND NOT t_is_test").select(F.col("s_id").alias("s"), F.col("t_id").alias("t"))
+    top = algo.betweenness(calls).where("betweenness > 0").orderBy(F.desc(F.round("betweenness", 4)), "id").limit(most)
+    named = callers.named_callers(g).withColumnsRenamed({"t_path": "path", "t_name": "name", "t_type": "type"})
+    n = top.join(g.symbols.select("id", "path", "name", "type"), "id").join(named, ["path", "name", "type"], "left")
+    return n.select("id", "path", "name", "type", F.round("normalized", 6).alias("normalized"), F.coalesce("callers", F.lit(0)).alias("callers"))
+
+
 #: Files and symbols of a diff that are looked at.
 DIFF_FILES, DIFF_SYMBOLS = 50, 25
 

@@ -21,12 +21,19 @@ def call_edges(g: Graph, confident: bool = True) -> DataFrame:
     return e.select("s_id", "t_id", "s_is_test", "t_is_test").distinct()
 
 
-def levels(roots: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
-    """(root, id, depth): what each root reaches over steps (from_id, to_id), at its least depth from 0 on."""
+def levels(roots: DataFrame, steps: DataFrame, depth: int, most: int | None = None, first: int = 0) -> DataFrame:
+    """(root, id, depth): what each root reaches over steps (from_id, to_id), at its least depth from 0 on.
+
+    With `most`, a root that has more than so many at depths from `first` on
+    goes no further: its answer is full with what is there, by depth. So a
+    hub costs one level of its own and not the next.
+    """
     seen = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")).distinct()
     frontier = seen
     steps = stage(steps)
     for d in range(1, depth + 1):
+        if most is not None and d > max(first, 1):
+            frontier = frontier.join(full(seen.where(F.col("depth") >= first), most), "root", "left_anti")
         reached = frontier.join(steps, frontier["id"] == steps["from_id"]).select("root", F.col("to_id").alias("id")).distinct()
         frontier = stage(reached.join(seen, ["root", "id"], "left_anti").withColumn("depth", F.lit(d)))
         if frontier.isEmpty():
@@ -35,6 +42,11 @@ def levels(roots: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def full(found: DataFrame, most: int) -> DataFrame:
+    """(root) of roots with more than `most` rows."""
+    return found.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("root")
+
+
 def _steps(g: Graph, backward: bool, confident: bool = True) -> DataFrame:
     if backward:
         e = g.linked(("calls",), ("type", "is_test"), confident=confident).where(F.col("s_type").isin(*FUNCTIONS) & ~F.col("s_is_test"))
@@ -43,9 +55,12 @@ def _steps(g: Graph, backward: bool, confident: bool = True) -> DataFrame:
     return e.select(F.col("s_id").alias("from_id"), F.col("t_id").alias("to_id")).distinct()
 
 
-def indirect_callers(g: Graph, roots: DataFrame, depth: int = 3) -> DataFrame:
-    """(root, id, depth): callers of callers, from depth 2; test code is neither found nor passed through."""
-    return levels(roots, _steps(g, True), depth).where("depth > 1")
+def indirect_callers(g: Graph, roots: DataFrame, depth: int = 3, most: int | None = None) -> DataFrame:
+    """(root, id, depth): callers of callers, from depth 2; test code is neither found nor passed through.
+
+    With `most`, all up to the depth where a root has more than that.
+    """
+    return levels(roots, _steps(g, True), depth, most, 2).where("depth > 1")
 
 
 def deep_callers(g: Graph, roots: DataFrame, depth: int = 3) -> DataFrame:
@@ -53,12 +68,24 @@ def deep_callers(g: Graph, roots: DataFrame, depth: int = 3) -> DataFrame:
     return levels(roots, _steps(g, True), depth).where("depth > 0")
 
 
-def downstream_edges(g: Graph, roots: DataFrame, depth: int = 3) -> DataFrame:
-    """(root, depth, s_id, t_id): call edges walked forward, each at the depth its source is left, edges to seen nodes too."""
-    steps = _steps(g, False)
-    seen = levels(roots, steps, depth - 1)
-    return seen.join(steps, seen["id"] == steps["from_id"]).select(
-        "root", (F.col("depth") + 1).alias("depth"), F.col("from_id").alias("s_id"), F.col("to_id").alias("t_id"))
+def downstream_edges(g: Graph, roots: DataFrame, depth: int = 3, most: int | None = None) -> DataFrame:
+    """(root, depth, s_id, t_id): call edges walked forward, each at the depth its source is left, edges to seen nodes too.
+
+    With `most`, all up to the depth where a root has more than that.
+    """
+    steps = stage(_steps(g, False))
+    out = steps.groupBy("from_id").agg(F.count(F.lit(1)).alias("out"))
+    seen = frontier = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")).distinct()
+    for d in range(1, depth):
+        if most is not None:  # edges are counted by their sources' numbers of them, and not made
+            have = seen.join(out, F.col("id") == F.col("from_id")).groupBy("root").agg(F.sum("out").alias("n")).where(F.col("n") > most)
+            frontier = frontier.join(have.select("root"), "root", "left_anti")
+        reached = frontier.join(steps, F.col("id") == F.col("from_id")).select("root", F.col("to_id").alias("id")).distinct()
+        frontier = stage(reached.join(seen, ["root", "id"], "left_anti").withColumn("depth", F.lit(d)))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen.join(steps, F.col("id") == F.col("from_id")).select("root", (F.col("depth") + 1).alias("depth"), F.col("from_id").alias("s_id"), F.col("to_id").alias("t_id"))
 
 
 def call_graph(g: Graph, roots: DataFrame, depth: int = 2) -> DataFrame:

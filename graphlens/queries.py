@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import expr
-from .operators import algo, answers, callers, diff, features, incremental, intervals, modules, notes, reports, routes, search, traverse, usage
+from .operators import algo, answers, callers, diff, features, incremental, intervals, modules, notes, postings, reports, routes, search, traverse, usage
 from .plans.binding import CTES, bind, table
-from .plans.stages import stage
+from .plans.stages import scratch, stage
 from .schema import Graph
-from .sources import js_code, python_code, readers
-from .streaming import telemetry
+from .sources import js_code, python_code, readers, tree
+from .streaming import rings, telemetry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -415,12 +415,48 @@ _graph("cascade_delete", lambda g: incremental.without_files(g, g.files.where("i
 SELECT source_id, target_id, relation, confidence FROM cg_edges JOIN cg_nodes s ON s.id = source_id JOIN cg_nodes t ON t.id = target_id WHERE s.file_id % 4 <> 1 AND t.file_id % 4 <> 1""")
 
 # search
-_add("search_bm25", lambda s, d: search.bm25(table(s, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")), "the onesen whou and"), r"""
-WITH t AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS ts FROM documents),
+_indexed: dict[tuple[str, str, str], str] = {}
+
+
+def _texts(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _postings(s: SparkSession, d: str) -> str:
+    """The folder of the index of the documents, built once a session."""
+    key = (s.sparkContext.applicationId, s.conf.get("spark.checkpoint.dir", ""), d)
+    if key not in _indexed:
+        folder = scratch(s)
+        postings.upsert(_texts(s, d), folder)
+        _indexed[key[0], s.conf.get("spark.checkpoint.dir", ""), d] = folder
+    return _indexed[key[0], s.conf.get("spark.checkpoint.dir", ""), d]
+
+
+def _bm25_sql(docs: str) -> str:
+    return r"""
+
+WITH t AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS ts FROM (SELECT doc_id, text FROM """ + docs + r""")),
 st AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM t),
 h AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(ts) AS len, unnest(ts) AS term FROM t) WHERE term IN ('the', 'onesen', 'whou', 'and') GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM h GROUP BY term)
-SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM h JOIN df USING (term), st GROUP BY id ORDER BY score DESC, id LIMIT 20""")
+SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM h JOIN df USING (term), st GROUP BY id ORDER BY score DESC, id LIMIT 20"""
+
+
+_add("search_bm25", lambda s, d: postings.search(s, _postings(s, d), "the onesen whou and"), _bm25_sql("documents"))
+_add("search_scanned", lambda s, d: search.bm25(_texts(s, d), "the onesen whou and"), _bm25_sql("documents"))
+
+
+def _searched_after_upkeep(s: SparkSession, d: str) -> DataFrame:
+    """Documents of one language replaced by their last words, those of another removed, then searched."""
+    folder, docs = scratch(s), table(s, d, "documents")
+    postings.upsert(_texts(s, d), folder)
+    changed = F.when(F.col("lang") == "fr", F.concat(F.lit("whou the "), F.substring("text", -200, 200)))
+    postings.upsert(docs.where("lang IN ('fr', 'es')").select(F.col("doc_id").alias("id"), changed.alias("text")), folder)
+    return postings.search(s, folder, "the onesen whou and")
+
+
+_add("search_upkeep", _searched_after_upkeep, _bm25_sql("""(SELECT doc_id, CASE WHEN lang = 'fr' THEN 'whou the ' || substr(text, -200) ELSE text END AS text FROM documents
+  WHERE lang <> 'es' OR lang IS NULL) documents"""))
 _graph("symbol_search", lambda g: search.symbol_search(g.symbols, "Blue", "function"),
        "SELECT id, name, type, path, start_line FROM sym WHERE type = 'function' AND contains(lower(name), 'blue') ORDER BY lower(name) = 'blue' DESC, length(name), id LIMIT 20")
 _graph("symbol_lines", lambda g: g.symbols.select("id", expr.symbol_line(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("type"), F.col("qname")).alias("line")), """
@@ -835,3 +871,115 @@ SELECT * FROM (VALUES ('impact_head', 0, 'C.m|HIGH'), ('impact_counts', 1, '3|7|
   ('called_by', 4, 'work|a/b.py:7|extracted'), ('tagged_reference', 5, 'calls|C.m|a/b.py:12'), ('module_map', 7, 'src|3|10|Python'), ('module_map', 8, 'lib|1|0|'), ('file_symbols', 10, 'Depends on|x/y.js|4'),
   ('file_depth', 12, 'Depended by|z.ts|2'), ('module_imports', 14, 'src|lib|5'), ('names_by_kind', 15, 'function|a, b|2'), ('symbol', 16, 'fn|C.m|a/b.py:9-21|(x, y) -> z'), ('said', -1, 'no such file'),
   ('tour', 0, 'a.py|entry|-'), ('tour', 1, 'b.py|-|true')) t(shape, pos, fields)""")
+
+
+# sources, streams and specifications made of the tables
+
+
+def _followed_tree(s: SparkSession, d: str) -> DataFrame:
+    """Functions of a tree of a file per user and a function per event, after a first state, edits, and files that vanish."""
+    folder, facts = scratch(s), scratch(s)
+    e = table(s, d, "events").select("event_id", "user_id", "ts", "event_type")
+    path = F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string"), F.lit("/m"), F.col("user_id").cast("string"), F.lit(".py"))
+    line = F.concat(F.lit("def e"), F.col("event_id").cast("string"), F.lit("():\n    pass\n"))
+    body = lambda rows: rows.groupBy(path.alias("path")).agg(F.array_join(F.sort_array(F.collect_list(line)), "").alias("text"))
+    tree.write_files(body(e.where("ts < '2024-01-10'")), folder)
+    tree.refresh(s, folder, facts, python_code.parse, python_code.FACTS)
+    ends = e.groupBy(path.alias("path")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last"))
+    tree.write_files(body(e).join(ends, "path").select("path", F.when(F.col("last") != "error", F.col("text")).alias("text")), folder)
+    return tree.fresh(s, folder, facts, python_code.parse, python_code.FACTS).where("kind = 'function'").select("path", "name")
+
+
+_add("followed_tree", _followed_tree, """
+SELECT 'u' || CAST(user_id % 10 AS STRING) || '/m' || CAST(user_id AS STRING) || '.py' AS path, 'e' || CAST(event_id AS STRING) AS name FROM events
+WHERE user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING arg_max(event_type, (ts, event_id)) <> 'error')""")
+
+
+def _streamed_ring(s: SparkSession, d: str) -> DataFrame:
+    """The ring after the calls came in five batches, in no order of time."""
+    inbox, held, checkpoint = scratch(s), scratch(s), scratch(s)
+    calls = _calls(s, d)
+    for k in range(5):
+        calls.where(F.pmod(F.xxhash64("call_id"), F.lit(5)) == k).coalesce(1).write.mode("append").parquet(inbox)
+    rings.follow_rings(telemetry.read_calls(s, inbox, files_per_trigger=1), held, checkpoint).awaitTermination()
+    return rings.last_calls(s, held).select("call_id", "tool", "project_id", "ok", "duration_ms", "at")
+
+
+_add("usage_ring_streamed", _streamed_ring, ORACLES["usage_ring"])
+
+
+def _specifications(s: SparkSession, d: str) -> DataFrame:
+    """(text): a specification per region, a feature per nation; its customers' segments are decisions, its suppliers files."""
+    segments = table(s, d, "customer").select(F.col("c_nationkey").alias("n_nationkey"), "c_mktsegment").distinct()
+    because = F.concat(F.lit("- "), "c_mktsegment", F.lit(" first (because: sold there)\n  - Constraint: keep "), F.lower("c_mktsegment"))
+    decided = segments.groupBy("n_nationkey").agg(F.array_join(F.sort_array(F.collect_list(because)), "\n").alias("decided"))
+    files = table(s, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list("s_suppkey")), lambda k: F.concat(F.lit("`s/"), k.cast("string"), F.lit(".py`"))), ", ").alias("files"))
+    n = table(s, d, "nation").join(decided, "n_nationkey", "left").join(files, "n_nationkey", "left")
+    text = F.concat(F.lit("## Feature: **"), "n_name", F.lit("**\nSells in "), "n_name", F.lit(".\n- **Files**: "), F.coalesce("files", F.lit("")), F.lit("\n### Decisions\n- D-"),
+                    F.col("n_nationkey").cast("string"), F.lit(": open\n"), F.coalesce("decided", F.lit("")), F.lit("\n### Dependencies\n- Feature: R"), F.col("n_regionkey").cast("string"), F.lit("\n"))
+    return n.groupBy("n_regionkey").agg(F.concat(F.lit("# All\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", text.alias("t")))), lambda x: x["t"]), "\n## Notes\n- none\n")).alias("text"))
+
+
+_add("spec_features", lambda s, d: readers.spec(_specifications(s, d)).select(
+    "name", "ordinal", "description", F.array_join(F.transform("decisions", lambda x: F.concat_ws("|", x["id"], x["description"], x["rationale"], F.array_join(x["constraints"], ","))), ";").alias("decisions"),
+    F.array_join("file_patterns", ",").alias("files"), F.array_join("dependencies", ",").alias("dependencies")), """
+WITH s AS (SELECT DISTINCT c_nationkey AS k, c_mktsegment AS m FROM customer),
+o AS (SELECT n_regionkey, k, m, row_number() OVER (PARTITION BY n_regionkey ORDER BY k, m) AS g FROM s JOIN nation ON n_nationkey = k),
+dec AS (SELECT k, string_agg('GEN-' || lpad(CAST(g AS STRING), 3, '0') || '|' || m || ' first|sold there|keep ' || lower(m), ';' ORDER BY m) AS d FROM o GROUP BY k),
+f AS (SELECT s_nationkey AS k, string_agg('s/' || CAST(s_suppkey AS STRING) || '.py', ',' ORDER BY s_suppkey) AS f FROM supplier GROUP BY s_nationkey)
+SELECT n_name AS name, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INT) AS ordinal, 'Sells in ' || n_name || '.' AS description,
+  'D-' || CAST(n_nationkey AS STRING) || '|open||' || coalesce(';' || d, '') AS decisions, coalesce(f, '') AS files, 'R' || CAST(n_regionkey AS STRING) AS dependencies
+FROM nation LEFT JOIN dec ON dec.k = n_nationkey LEFT JOIN f ON f.k = n_nationkey""")
+
+
+def _url_tree(s: SparkSession, d: str) -> DataFrame:
+    """(path, text): a site with an app per part type, which has a route per brand: typed, by pattern, or by a router; and views."""
+    p = table(s, d, "part").select(F.lower("p_type").alias("app"), F.substring("p_brand", 7, 9).cast("int").alias("b")).distinct()
+    b = F.col("b").cast("string")
+    route = (F.when(F.col("b") % 3 == 0, F.concat(F.lit("path('b"), b, F.lit("/<int:pk>/', views.show"), b, F.lit("),")))
+             .when(F.col("b") % 3 == 1, F.concat(F.lit("re_path(r'^b"), b, F.lit("/(?P<pk>[0-9]+)/$', views.show"), b, F.lit("),")))
+             .otherwise(F.concat(F.lit("path('b"), b, F.lit("/', include([path('<int:pk>/', views.show"), b, F.lit(")])),"))))
+    urls = p.groupBy("app").agg(F.concat(F.lit("from django.urls import include, path, re_path\nfrom "), "app", F.lit(" import views\nurlpatterns: list = [\n"),
+                                         F.array_join(F.sort_array(F.collect_list(route)), "\n"), F.when(F.col("app") < "n", F.lit("\npath('<path:rest>', views.other),")).otherwise(""), F.lit("\n]\n")).alias("text"))
+    views = p.groupBy("app").agg(F.concat(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("def show"), b, F.lit("(r, pk): pass\n")))), ""), F.lit("def other(r, rest): pass\n")).alias("text"))
+    site = p.select("app").distinct().agg(F.concat(F.lit("from django.urls import include, path\nROOT_URLCONF = 'site.urls'\nurlpatterns = [\n"), F.array_join(F.sort_array(F.collect_list(
+        F.concat(F.lit("path('"), "app", F.lit("/', include('"), "app", F.lit(".urls')),")))), "\n"), F.lit("\n]\n")).alias("text"))
+    return site.select(F.lit("site/urls.py").alias("path"), "text").unionByName(urls.select(F.concat("app", F.lit("/urls.py")).alias("path"), "text")).unionByName(
+        views.select(F.concat("app", F.lit("/views.py")).alias("path"), "text"))
+
+
+def _routed_parts(s: SparkSession, d: str) -> DataFrame:
+    src = stage(_url_tree(s, d))
+    mods = python_code.module_index(src)
+    found = stage(routes.patterns(src))
+    table_of = routes.expand(found, mods, routes.root_files(src, found, mods))
+    p = table(s, d, "part")
+    number = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("x"), F.col("p_partkey").cast("string"))).otherwise(F.col("p_partkey").cast("string"))
+    asked = p.select(F.concat(F.lit("GET /"), F.lower("p_type"), F.lit("/b"), F.substring("p_brand", 7, 9), F.lit("/"), number, F.lit("/"), F.when(F.col("p_partkey") % 7 == 0, "more/").otherwise("")).alias("request"))
+    return routes.match(stage(table_of), asked).select("request", "display", "target", "loose")
+
+
+_add("routed_parts", _routed_parts, """
+SELECT 'GET /' || app || '/b' || b || '/' || n || '/' || CASE WHEN p_partkey % 7 = 0 THEN 'more/' ELSE '' END AS request, app || CASE WHEN other THEN '/<rest>' ELSE '/b' || b || '/<pk>/' END AS display,
+  app || '.views.' || CASE WHEN other THEN 'other' ELSE 'show' || b END AS target, NOT other AND p_partkey % 5 = 0 AS loose
+FROM (SELECT p_partkey, lower(p_type) AS app, substr(p_brand, 7) AS b, CASE WHEN p_partkey % 5 = 0 THEN 'x' ELSE '' END || CAST(p_partkey AS STRING) AS n,
+  lower(p_type) < 'n' AND (p_partkey % 7 = 0 OR p_partkey % 5 = 0) AS other FROM part) WHERE other OR p_partkey % 7 <> 0""")
+
+
+def _warnings(g: Graph) -> DataFrame:
+    code = F.concat(F.lit("def "), "name", F.when(F.col("id") % 3 == 0, "(): Call NETWORK").when(F.col("id") % 3 == 1, "(): block()").otherwise("(): pass"))
+    old = F.when(F.col("name").isin("Small", "Everything odd"), "deprecated").otherwise(F.col("status"))
+    return features.warnings(g, _spec(g).withColumn("status", old), _roots(g), g.nodes.select("id", code.alias("code")))
+
+
+_graph("impact_warnings", _warnings, f"""
+, own AS (SELECT n.id, feature FROM cg_nodes n JOIN owner ON owner.id = n.file_id WHERE type IN {FUNC})
+SELECT id AS root, 'unmapped' AS kind, '' AS said FROM own WHERE feature IS NULL
+UNION ALL SELECT id, 'constraint', c FROM own JOIN (VALUES ('Promotions', 'must not block', 1), ('Economy tests', 'must not call network', 0)) v(f, c, r) ON f = feature AND id % 3 = r
+UNION ALL SELECT id, 'deprecated', feature FROM own WHERE feature IN ('Small', 'Everything odd')""", FEATURES)
+_graph("health_chokepoints", reports.chokepoints, f"""
+, nc AS (SELECT t.path, t.name, t.type, count(DISTINCT s.id) AS callers {COUNTED} GROUP BY ALL), nn AS (SELECT count(*) AS n FROM bt)
+SELECT b.id, s.path, s.name, s.type, round(exact / CASE WHEN n > 2 THEN (n - 1) * (n - 2) ELSE 1 END, 6) AS normalized, coalesce(nc.callers, 0) AS callers
+FROM (SELECT n.id, coalesce(sum(delta) FILTER (bk.s <> bk.t), 0) AS exact FROM n LEFT JOIN bk ON bk.t = n.id GROUP BY n.id HAVING coalesce(sum(delta) FILTER (bk.s <> bk.t), 0) > 0 ORDER BY round(exact, 4) DESC, n.id LIMIT 10) b,
+  nn JOIN sym s ON s.id = b.id LEFT JOIN nc ON nc.path = s.path AND nc.name = s.name AND nc.type = s.type""", BETWEEN.replace("AND s.id <> t.id)", "AND s.id <> t.id AND NOT s.is_test AND NOT t.is_test)", 1))

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.features import SPEC_SCHEMA
 from ..schema import Graph
+from .spec import spec as spec
 
 #: Folders that hold no sources of one's own.
 SKIPPED = ("node_modules", "bower_components", "venv", "env", "dist", "build", "out", "__pycache__")
@@ -26,7 +24,8 @@ def source_tree(spark: SparkSession, folder: str, suffix: str = ".py") -> DataFr
     raw = (spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=f"*{suffix}")
            .select("value", "_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size"))
     base = re.sub(r"^[a-z]+:/*", "/", folder.rstrip("/"))
-    path = F.regexp_replace(F.regexp_replace("file_path", r"^[a-z]+:/*", "/"), "^" + re.escape(base) + "/", "")
+    named = F.url_decode(F.replace(F.col("file_path"), F.lit("+"), F.lit("%2B")))  # the metadata's path is that of an URI
+    path = F.regexp_replace(F.regexp_replace(named, r"^[a-z]+:/*", "/"), "^" + re.escape(base) + "/", "")
     hidden = F.exists(F.split("path", "/"), lambda p: p.startswith(".") | p.isin(*SKIPPED))
     return raw.select(path.alias("path"), F.col("value").alias("text"), F.col("file_modification_time").alias("modified"),
                       F.col("file_size").alias("bytes")).where(~hidden)
@@ -49,91 +48,6 @@ def first_existing(candidates: DataFrame, present: DataFrame) -> DataFrame:
     return candidates.join(present.select("path").distinct(), "path", "left_semi").agg(F.min_by("path", "ordinal").alias("path"))
 
 
-def parse_spec(text: str) -> list[dict]:
-    """Features of a specification, in order; headings that name no feature close the one before.
-
-    Decisions without an id are numbered GEN-001 on, through the whole file.
-    """
-    made: dict[str, dict] = {}
-    now = section = decision = None
-    generated = 0
-
-    def decide(line: str) -> None:
-        nonlocal decision, generated
-        body, _, tail = line.lstrip("-").strip().partition("(because:")
-        reason = tail.strip().removesuffix(")").strip()
-        named = re.match(r"(\w+-\d+):\s*(.+)$", body.strip())
-        if named:
-            key, what = named[1], named[2].strip()
-        else:
-            generated += 1
-            key, what = f"GEN-{generated:03d}", body.strip()
-        decision = {"id": key, "description": what, "rationale": reason, "constraints": []}
-        now["decisions"].append(decision)
-
-    def listed(value: str, where: str) -> None:
-        for item in (x.strip().strip("`") for x in re.split("[,;]", value)):
-            if where == "dependencies":
-                item = re.sub(r"(?i)^feature:\s*", "", item)
-                if item.lower() in ("none", "n/a", "-"):
-                    continue
-            if item:
-                now[where].append(item)
-
-    for raw in text.splitlines():
-        line = raw.strip()
-        bullet = line.startswith("-")
-        if line.startswith("## "):
-            head = re.match(r"(?i)##\s+feature(?::|\s)(.*)$", line)
-            section = decision = now = None
-            if head:
-                name = (line.split(":", 1)[1] if ":" in line else head[1]).strip().strip("*` ")
-                now = made[name] = {"name": name, "description": "", "owner": "", "status": "active", "decisions": [], "constraints": [],
-                                    "file_patterns": [], "dependencies": []}
-        elif now is None:
-            continue
-        elif line.startswith("### "):
-            section, decision = line[4:].strip().lower(), None
-            if section.startswith("status:"):  # beyond the plain format: the state is kept
-                now["status"] = section.partition(":")[2].strip()
-        elif prop := re.match(r"-\s*\*\*([A-Za-z ]+)\*\*:\s*(.*)$", line):
-            key, value = prop[1].strip().lower(), prop[2].strip()
-            if key == "description":
-                now["description"] = f"{now['description']} {value}".strip()
-            elif key in ("files", "file patterns"):
-                listed(value, "file_patterns")
-            elif key == "dependencies":
-                listed(value, "dependencies")
-            elif key == "decisions" and value:
-                decide(value)
-        elif bullet and decision is not None and "constraint:" in line.lower():
-            decision["constraints"].append(re.sub(r"(?i)-\s*constraint:\s*", "", line).strip())
-        elif bullet and section == "decisions":
-            decide(line)
-        elif bullet and section in ("constraints", "files", "file patterns", "dependencies"):
-            item = line[1:].strip()
-            if section == "constraints":
-                now["constraints"].append(item)
-            elif section == "dependencies":
-                now["dependencies"].append(re.sub("^Feature:", "", item).strip())
-            elif item.strip("`"):
-                now["file_patterns"].append(item.strip("`"))
-        elif line and not section and not bullet and not line.startswith("#"):
-            now["description"] = f"{now['description']} {line.removeprefix('Description:').strip()}".strip()
-    return [f | {"ordinal": k} for k, f in enumerate(made.values())]
-
-
-def spec(texts: DataFrame) -> DataFrame:
-    """Features of each specification text (text)."""
-    names = [c.split()[0] for c in ("name ordinal description owner status decisions constraints file_patterns dependencies").split()]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([f for t in b["text"] for f in parse_spec(t or "")], columns=names)
-
-    return texts.select("text").mapInPandas(run, SPEC_SCHEMA)
-
-
 def section(text, heading: str):
     """The part of a Markdown text below a level-2 heading, up to the next."""
     return F.trim(F.regexp_extract(F.concat(F.lit("\n"), text), rf"(?s)\n## {re.escape(heading)}[ \t]*\n(.*?)(?=\n## |$)", 1))
