@@ -109,7 +109,7 @@ def spec(texts: DataFrame) -> DataFrame:
     last = heads.groupBy("doc", "name").agg(F.max("feature_at").alias("feature_at"), F.min("feature_at").alias("first_at"))
     last = last.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc").orderBy("first_at")) - 1)
     items = _items(rows).groupBy("doc", "feature_at").agg(
-        _strip(F.array_join(_sorted("description", F.col("value"), "x"), " ")).alias("description"), F.element_at(_sorted("status", F.col("value"), "x"), -1).alias("status"),
+        _strip(F.array_join(_sorted("description", F.col("value"), "x"), " ")).alias("description"), F.try_element_at(_sorted("status", F.col("value"), "x"), F.lit(-1)).alias("status"),
         *[_sorted(k, F.col("value"), k) for k in ("constraints", "file_patterns", "dependencies")])
     made = _decisions(rows).groupBy("doc", "feature_at").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "d"))), lambda x: x["d"]).alias("decisions"))
     none = F.array().cast("array<string>")
