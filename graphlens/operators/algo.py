@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..plans.stages import stage
+from ..plans.stages import counted, stage
 from ..schema import FUNCTIONS, Graph
 
 
@@ -27,62 +27,59 @@ def _spread(start: DataFrame, steps: DataFrame) -> DataFrame:
     changed = label
     while True:
         offer = changed.join(steps, changed["id"] == steps["a"]).groupBy(F.col("b").alias("id")).agg(F.min("label").alias("offer"))
-        both = stage(label.join(offer, "id", "left").select("id", F.least("label", "offer").alias("label"), (F.col("offer") < F.col("label")).alias("new")))
+        both, many = counted(label.join(offer, "id", "left").select("id", F.least("label", "offer").alias("label"), F.coalesce(F.col("offer") < F.col("label"), F.lit(False)).alias("new")), F.col("new"))
         label, changed = both.select("id", "label"), both.where("new").select("id", "label")
-        if changed.isEmpty():
+        if not many:
             return label
 
 
-def _jump(ptr: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(id, to, dist, least) at the end of each id's pointers (id, to), and the tables of 1, 4, 16, ... steps on the way there.
+def _twice(a: DataFrame) -> DataFrame:
+    """Pointers (id, to, w, least) followed for as many steps again."""
+    b = a.select(F.col("id").alias("at"), F.col("to").alias("b_to"), F.col("w").alias("b_w"), F.col("least").alias("b_least"))
+    return a.join(b, F.col("to") == F.col("at"), "left").select(
+        "id", F.coalesce("b_to", "to").alias("to"), (F.col("w") + F.coalesce("b_w", F.lit(0))).alias("w"), F.least("least", "b_least").alias("least"))
 
-    dist counts steps, least is the least id passed, the start included. An
-    end is an id without a pointer; where pointers run in a circle, to is some
-    id on it and least covers the circle for ids on it. Four steps become one
-    each round, so a chain of n pointers takes log4(n) rounds.
-    """
-    now = stage(ptr.select("id", "to", F.lit(1).cast("bigint").alias("dist"), F.col("id").alias("least")))
-    tables = [now]
 
-    def twice(a: DataFrame) -> DataFrame:
-        b = a.select(F.col("id").alias("at"), F.col("to").alias("b_to"), F.col("dist").alias("b_dist"), F.col("least").alias("b_least"))
-        return a.join(b, F.col("to") == F.col("at"), "left").select(
-            "id", F.coalesce("b_to", "to").alias("to"), (F.col("dist") + F.coalesce("b_dist", F.lit(0))).alias("dist"), F.least("least", "b_least").alias("least"))
+def _jump(ptr: DataFrame, most: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(id, to, w, least) at the end of each id's pointers (id, to, w), of which there are `most` at most; and the tables of 1, 4, 16, ... steps.
 
-    longest = now.count()
-    reach = 1
-    while reach < longest:
+    w is summed on the way, least is the least id passed, the start included.
+    An end is an id without a pointer; where pointers run in a circle, to is
+    some id on it and least covers the circle for ids on it. Four steps become
+    one each round, so a chain of n pointers takes log4(n) rounds.
+    """
+    now = ptr.select("id", "to", "w", F.col("id").alias("least"))
+    tables, reach = [now], 1
+    more = ptr.select(F.col("id").alias("to"), F.lit(True).alias("more"))
+    while reach < max(most, 2):
         reach *= 4
-        far = stage(twice(twice(now)))
-        moved = far.join(now.select("id", F.col("to").alias("was")), "id").where("to <> was")
-        now = far
+        far, going = counted(_twice(_twice(now)).join(more, "to", "left").select("id", "to", "w", "least", F.coalesce("more", F.lit(False)).alias("more")), F.col("more"))
+        now = far.drop("more")
         tables.append(now)
-        if moved.isEmpty():
+        if not going:
             break
     return now, tables
 
 
-def _contract(e: DataFrame) -> tuple[DataFrame, DataFrame, tuple]:
-    """Edges (s, t) without the nodes that have one edge out; circles found (id, component); and what puts those nodes back.
+def _contract(e: DataFrame, n: int) -> tuple[DataFrame, int, DataFrame, tuple]:
+    """Edges (s, t) without the nodes that have one edge out, and how many are left; circles found (id, component); and what puts those nodes back.
 
     A node with one edge out is on a circle only with where that edge leads,
     so its edges in go on to the end of its chain. Chains that end in nothing,
     or in a circle of such nodes, can't come back and go.
     """
     out = stage(e.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("to")))
-    ptr = out.where("n = 1").select(F.col("s").alias("id"), "to")
-    ends, tables = _jump(ptr)
+    ends, tables = _jump(out.where("n = 1").select(F.col("s").alias("id"), "to", F.lit(1).cast("bigint").alias("w")), n)
     at_end = out.select(F.col("s").alias("to"), "n")
     kind = F.when(F.col("n").isNull(), "nothing").when(F.col("n") == 1, "circle").otherwise("open")
-    chain = stage(ends.join(at_end, "to", "left").select("id", F.col("to").alias("end"), "least", kind.alias("kind")))
+    chain = ends.join(at_end, "to", "left").select("id", F.col("to").alias("end"), "least", kind.alias("kind"))
     circle = chain.where("kind = 'circle'")
     found = circle.join(circle.select(F.col("end").alias("id")).distinct(), "id", "left_semi").select("id", F.col("least").alias("component"))
     forks = out.where("n > 1").select("s")
     rest = stage(e.join(forks, "s", "left_semi").join(chain.select(F.col("id").alias("t"), "end", "kind"), "t", "left"))
-    entries = rest.where("kind = 'open'").select("s", "t", "end")
     onward = rest.where("kind IS NULL OR kind = 'open'").select("s", F.coalesce("end", "t").alias("t")).where("s <> t").distinct()
-    left = stage(onward.join(forks.select(F.col("s").alias("t")), "t", "left_semi").select("s", "t"))
-    return left, found, (stage(entries), tables)
+    left, many = counted(onward.join(forks.select(F.col("s").alias("t")), "t", "left_semi").select("s", "t"))
+    return left, many, found, (rest.where("kind = 'open'").select("s", "t", "end"), tables)
 
 
 def _put_back(of: DataFrame, entries: DataFrame, tables: list[DataFrame]) -> DataFrame:
@@ -90,15 +87,18 @@ def _put_back(of: DataFrame, entries: DataFrame, tables: list[DataFrame]) -> Dat
     a = of.select(F.col("id").alias("s"), F.col("component").alias("cs"))
     b = of.select(F.col("id").alias("end"), F.col("component").alias("ce"))
     come = entries.join(a, "s", "left").join(b, "end", "left").select(F.col("t").alias("id"), "end", F.coalesce("cs", "s").alias("cs"), F.coalesce("ce", "end").alias("component"))
-    marked = stage(come.where("cs = component").select("id", "component").distinct())
-    ends = come.where("cs = component AND end = component").select(F.col("end").alias("id"), "component")
-    for steps in tables:  # by tables of 1, 4, 16, ... steps: after each, all within four times as many are marked
+    come, many = counted(come.where("cs = component").select("id", "end", "component").distinct())
+    if not many:
+        return of
+    marked = come.select("id", "component").distinct()
+    ends = come.where("end = component").select(F.col("end").alias("id"), "component")
+    for k, steps in enumerate(tables):  # by tables of 1, 4, 16, ... steps: after each, all within four times as many are marked
         p = steps.select("id", "to")
         ahead, onward = marked, marked
         for _ in range(3):
             ahead = ahead.join(p, "id").select(F.col("to").alias("id"), "component")
             onward = onward.unionByName(ahead)
-        marked = stage(onward.distinct())
+        marked = onward.distinct() if k % 2 == 0 else stage(onward.distinct())  # plans of six joins at most
     return stage(of.unionByName(marked.join(tables[0].select("id"), "id", "left_semi")).unionByName(ends).distinct())
 
 
@@ -115,15 +115,15 @@ def components(edges: DataFrame) -> DataFrame:
     gives its component. Then the chains are put back. No step gathers the
     graph in one task.
     """
-    e, layers, found, still = stage(edges.where("s <> t").select("s", "t").distinct()), [], [], 0
-    n = e.count()
+    layers, found, still = [], [], 0
+    e, n = counted(edges.where("s <> t").select("s", "t").distinct())
     while n:
         if still < 2:
-            left, circles, layer = _contract(e)
+            left, many, circles, layer = _contract(e, n)
             found.append(circles)
             layers.append(layer)
-            was, n, e = n, left.count(), _turned(left)
-            still = 0 if n < 0.8 * was else still + 1
+            still = 0 if many < 0.8 * n else still + 1
+            e, n = _turned(left), many
             continue
         ids = e.select(F.col("s").alias("id")).union(e.select("t")).distinct()
         colour = stage(_spread(ids.withColumn("label", F.col("id")), e.select(F.col("s").alias("a"), F.col("t").alias("b"))))
@@ -135,11 +135,11 @@ def components(edges: DataFrame) -> DataFrame:
         done = stage(back.where(F.col("label") < top).withColumnRenamed("label", "component"))
         found.append(done)
         gone = done.select("id")
-        e = stage(e.join(gone.withColumnRenamed("id", "s"), "s", "left_anti").join(gone.withColumnRenamed("id", "t"), "t", "left_anti"))
-        n, still = e.count(), 0
+        e, n = counted(e.join(gone.withColumnRenamed("id", "s"), "s", "left_anti").join(gone.withColumnRenamed("id", "t"), "t", "left_anti"))
+        still = 0
     if not found:
         return edges.select(F.col("s").alias("id"), F.col("s").alias("component"), F.lit(1).cast("bigint").alias("size")).limit(0)
-    of = reduce(DataFrame.unionByName, found)
+    of = stage(reduce(DataFrame.unionByName, found))
     for entries, tables in reversed(layers):
         of = _put_back(of, entries, tables)
     sizes = of.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least")).where("size > 1")
@@ -170,61 +170,39 @@ def reading_order(edges: DataFrame) -> DataFrame:
                 .select("id", F.coalesce("component", "id").alias("c"), F.col("component").isNotNull().alias("in_cycle")))
     a, b = ids.select(F.col("id").alias("s"), F.col("c").alias("cs")), ids.select(F.col("id").alias("t"), F.col("c").alias("ct"))
     # w is what the level of a source is above that of its target at least
-    e = stage(edges.join(a, "s").join(b, "t").where("cs <> ct").select("cs", "ct").distinct().withColumn("w", F.lit(1).cast("bigint")))
-    level = _heights(e)
+    level = _heights(*counted(edges.join(a, "s").join(b, "t").where("cs <> ct").select("cs", "ct").distinct().withColumn("w", F.lit(1).cast("bigint"))))
     return ids.join(level, "c", "left").select("id", F.coalesce("level", F.lit(0)).cast("int").alias("level"), "in_cycle")
 
 
-def _heights(e: DataFrame) -> DataFrame:
-    """(c, level) of the ends of edges (cs, ct, w) without cycles: 0 without edges out, else the most of w and the target's level together.
+def _heights(e: DataFrame, n: int) -> DataFrame:
+    """(c, level) of the ends of n edges (cs, ct, w) without cycles: 0 without edges out (or no row), else the most of w and the target's level together.
 
     A node with one edge out is as much higher than the end of its chain as
     the chain is long, so chains go at once; then nodes whose targets are all
     known get their level. Both are repeated until no edge is left.
     """
-    known: DataFrame | None = None  # (c, level)
+    known = e.select(F.col("cs").alias("c"), F.col("w").alias("level")).limit(0)
     chains = []
-    while not e.isEmpty():
-        out = stage(e.groupBy("cs").agg(F.count(F.lit(1)).alias("n"), F.min_by("ct", "ct").alias("to"), F.min("w").alias("w")))
-        single = out.where("n = 1").select(F.col("cs").alias("id"), "to", "w")
-        ends = _weighed(single)
-        chains.append(ends)
-        at = ends.select(F.col("id").alias("ct"), "end", F.col("w").alias("more"))
-        e = stage(e.join(out.where("n > 1").select("cs"), "cs", "left_semi").join(at, "ct", "left")
+    while n:
+        out = stage(e.groupBy("cs").agg(F.count(F.lit(1)).alias("n"), F.min("ct").alias("to"), F.min("w").alias("w")))
+        ends, _ = _jump(out.where("n = 1").select(F.col("cs").alias("id"), "to", "w"), n)
+        chains.append(ends.select("id", F.col("to").alias("end"), "w"))
+        at = chains[-1].select(F.col("id").alias("ct"), "end", F.col("w").alias("more"))
+        forks = out.where("n > 1").select("cs")
+        e = stage(e.join(forks, "cs", "left_semi").join(at, "ct", "left")
                   .groupBy("cs", F.coalesce("end", "ct").alias("ct")).agg(F.max(F.col("w") + F.coalesce("more", F.lit(0))).alias("w")))
-        # targets without edges out are at level 0, or known: their sources shift up and drop those edges
-        low = e.select(F.col("ct").alias("c")).distinct().join(e.select(F.col("cs").alias("c")).distinct(), "c", "left_anti")
-        ready = stage(low.join(known, "c", "left").select("c", F.coalesce("level", F.lit(0)).alias("level")) if known is not None else low.withColumn("level", F.lit(0).cast("bigint")))
-        base = stage(e.join(ready.select(F.col("c").alias("ct"), "level"), "ct", "left"))
-        whole = base.groupBy("cs").agg(F.max(F.col("w") + F.col("level")).alias("level"), F.bool_and(F.col("level").isNotNull()).alias("done"))
-        done = stage(whole.where("done").select(F.col("cs").alias("c"), "level"))
-        known = done if known is None else stage(known.unionByName(done))
-        e = stage(e.join(done.select(F.col("c").alias("cs")), "cs", "left_anti"))
-    for ends in reversed(chains):
-        # what a chain ends in is known by now, or is at level 0
-        up = ends.join(known.select(F.col("c").alias("end"), "level"), "end", "left") if known is not None else ends.withColumn("level", F.lit(0))
-        up = up.select(F.col("id").alias("c"), (F.col("w") + F.coalesce("level", F.lit(0))).alias("level"))
-        known = stage(up if known is None else known.unionByName(up))
-    if known is None:
-        return e.select(F.col("cs").alias("c"), F.col("w").alias("level")).limit(0)
+        # a target that is no fork any more is at the level known of it, or at 0
+        base = e.join(forks.select(F.col("cs").alias("ct"), F.lit(True).alias("open")), "ct", "left").join(known.select(F.col("c").alias("ct"), "level"), "ct", "left")
+        whole = base.groupBy("cs").agg(F.max(F.col("w") + F.coalesce("level", F.lit(0))).alias("level"), F.count("open").alias("waits"))
+        done = stage(whole.where("waits = 0").select(F.col("cs").alias("c"), "level"))
+        known = known.unionByName(done)
+        e, n = counted(e.join(done.select(F.col("c").alias("cs")), "cs", "left_anti"))
+    for ends in reversed(chains):  # what a chain ends in is known by now, or is at level 0
+        up = ends.join(known.select(F.col("c").alias("end"), "level"), "end", "left").select(F.col("id").alias("c"), (F.col("w") + F.coalesce("level", F.lit(0))).alias("level"))
+        known = known.unionByName(stage(up))
     return known
 
 
-def _weighed(ptr: DataFrame) -> DataFrame:
-    """(id, end, w): the end of each id's pointers (id, to, w), which run in no circle, and the sum of w on the way."""
-    now = stage(ptr)
-    while True:
-        def twice(a: DataFrame) -> DataFrame:
-            b = a.select(F.col("id").alias("at"), F.col("to").alias("b_to"), F.col("w").alias("b_w"))
-            return a.join(b, F.col("to") == F.col("at"), "left").select("id", F.coalesce("b_to", "to").alias("to"), (F.col("w") + F.coalesce("b_w", F.lit(0))).alias("w"))
-
-        far = stage(twice(twice(now)))
-        moved = far.join(now.select("id", F.col("to").alias("was")), "id").where("to <> was")
-        now = far
-        if moved.isEmpty():
-            return now.withColumnRenamed("to", "end")
-
-
 def betweenness(edges: DataFrame, sources: DataFrame | None = None, batch: int = 4096) -> DataFrame:
     """(id, betweenness, normalized) over directed shortest paths of edges (s, t).
 

@@ -8,7 +8,8 @@ import tempfile
 import uuid
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _made: set[str] = set()
 
@@ -53,6 +54,13 @@ def stage(df: DataFrame, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, found: Column | None = None, codec: str = "snappy") -> tuple[DataFrame, int]:
+    """stage(df) and its number of rows (of those for which found is true), which the job that writes it counts."""
+    seen = Observation()
+    what = F.count(F.lit(1)) if found is None else F.count_if(found)
+    return stage(df.observe(seen, what.alias("n")), codec), seen.get["n"]
+
+
 def small(df: DataFrame, most: int = 10_000) -> DataFrame:
     """df as a local table that may be broadcast; an error if it has more than `most` rows."""
     rows = df.limit(most + 1).collect()
