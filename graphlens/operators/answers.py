@@ -91,7 +91,7 @@ def impact(g: Graph, spec: DataFrame, roots: DataFrame, depth: int = 3) -> DataF
     # a specification has few features, so these lists are short
     parts.append(named.groupBy("root").agg(sorted_list(F.concat_ws(":", "feature", F.col("n").cast("string")), "features")))
     parts.append(named.join(F.broadcast(features.affected_decisions(spec)), "feature").groupBy("root").agg(sorted_list("decision", "decisions")))
-    parts.append(features.risk_levels(g, spec, roots, depth).select("root", F.col("risk").alias("risk_level"), "guessed"))
+    parts.append(features.risk_levels(g, spec, roots, depth, split.withColumnRenamed("root", "t_id")).select("root", F.col("risk").alias("risk_level"), "guessed"))
     for p in parts:
         out = out.join(p, "root", "left")
     empty, zero = F.array().cast("array<string>"), F.lit(0).cast("bigint")

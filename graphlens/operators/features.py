@@ -78,18 +78,19 @@ def impact_by_feature(g: Graph, features: DataFrame, roots: DataFrame, depth: in
         F.count(F.lit(1)).alias("functions"), F.bool_or(F.col("depth") == 0).alias("has_root"))
 
 
-def risk_levels(g: Graph, features: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
+def risk_levels(g: Graph, features: DataFrame, roots: DataFrame, depth: int = 3, split: DataFrame | None = None) -> DataFrame:
     """(root, callers, files, features, risk, guessed) of each root.
 
     Counted are direct confirmed callers outside tests, or guesses where there
     are none (guessed), their files, and the named features that own the root,
-    its callers and indirect callers.
+    its callers and indirect callers. split are the callers where they are
+    known already.
     """
     from .callers import callers_split
     from .traverse import indirect_callers
 
     r = roots.select(F.col("id").alias("root")).distinct()
-    split = callers_split(g).join(r, F.col("t_id") == F.col("root"), "left_semi")
+    split = (callers_split(g) if split is None else split).join(r, F.col("t_id") == F.col("root"), "left_semi")
     per = split.groupBy(F.col("t_id").alias("root")).agg(
         F.count_if(F.col("bucket") == "callers").alias("sure"), F.count_if(F.col("bucket") == "ambiguous").alias("guess"))
     used = split.join(per, F.col("t_id") == F.col("root")).where(
