@@ -4,14 +4,17 @@ A vector, less the sample's mean, is described by its nearest reference points
 in order. The inverted lists are kept per set of `shared` pivots: two vectors
 meet in the list of such a set exactly if their prefixes share that many
 pivots, so a pivot's long list is never gone through for its few members that
-share enough. How long the prefixes are and how many pivots two must share is
+share enough. How long the prefixes are, how many pivots two must share, and how
+far the places of pivots in two prefixes may differ in sum (the footrule) is
 chosen by what a sample shows: the least work that still finds nearly all pairs
 right at the threshold. Lists hold ids, prefixes and sign sketches; only what
-comes close there is compared by its vectors, in double precision.
+has a partner close in order and in sketch is compared by its vectors, in double
+precision. There are pivots at every size: of few vectors, fewer pivots.
 """
 
 from __future__ import annotations
 
+from binascii import crc32
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
@@ -19,7 +22,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -32,8 +35,10 @@ PIVOTS, FEW, MOST_PIVOTS = 128, 50_000, 4096
 PREFIXES, SHARED, MOST_KEYS = range(4, 13), (3, 2, 4), 66
 #: A row of a list weighs as much as so many comparisons.
 ROW = 50
-#: Vectors of the sample: half for pivots, half to choose the prefix by. Of a length with fewer, all are compared.
-SAMPLE = 4096
+#: Vectors of a length's sample, half for pivots, half to choose the prefix by; LEAST of very long ones, whose samples have VALUES numbers.
+SAMPLE, LEAST, VALUES = 4096, 256, 4 << 20
+#: Made-up pairs at the threshold to choose by, and the share of those in a list that the footrule may lose.
+MADE, LOST = 2048, 0.001
 #: Bits of a sketch; vectors of a block where lists are compared by sketches, and by vectors.
 BITS, SKETCHED, BLOCK = 128, 8192, 2048
 #: Bytes of pivots sent at a time.
@@ -55,36 +60,42 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """What describes vectors of one length: the mean taken off, pivots, prefix and pivots to share; no pivots: all in one list."""
+    """What describes vectors of one length: the mean taken off, pivots, prefix, pivots to share, the farthest order; no sample: all in one list."""
 
-    def __init__(self, sample: np.ndarray, n: int, dims: int, cosine: float, recall: float, exact: bool = False):
-        self.mean, self.pivots, self.prefix, self.shared, self.estimate = np.zeros(dims), None, 0, 0, 1.0
-        if exact or n < SAMPLE:
+    def __init__(self, sample: np.ndarray | None, n: int, dims: int, cosine: float, recall: float):
+        self.mean, self.pivots, self.prefix, self.shared, self.farthest, self.seed, self.estimate = np.zeros(dims), None, 0, 0, 0, 0, 1.0
+        if sample is None:
             return
+        # planes are drawn by what the vectors are, so no vectors are bad for them whatever the data
+        self.seed = crc32(sample.tobytes())
         self.mean = sample.mean(axis=0)
         x = self.centred(sample)
-        first, second = x[::2], x[1::2]
-        self.pivots = farthest(first, min(MOST_PIVOTS, max(PIVOTS, round(PIVOTS * (n / FEW) ** (1 / 3)))))
-        # what a vector at the threshold from each of the second half looks like
-        g = np.random.default_rng(13)
-        own = sample[1::2]
-        off = g.normal(size=own.shape)
-        off = unit(off - (off * own).sum(axis=1, keepdims=True) * own)
-        near = self.centred(cosine * own + np.sqrt(max(0.0, 1 - cosine * cosine)) * off)
+        self.pivots = farthest(x[::2], min(MOST_PIVOTS, max(PIVOTS, round(PIVOTS * (n / FEW) ** (1 / 3)))))
+        # what vectors at the threshold from each of the second half look like
+        half = slice(1, None, 2) if len(x) > 1 else slice(None)
+        own = np.repeat(sample[half], -(-MADE // len(sample[half])), axis=0)[:max(MADE, len(sample[half]))]
+        off = np.random.default_rng(13).normal(size=own.shape)
+        off = off - (off * own).sum(axis=1, keepdims=True) * own
+        off /= np.maximum(np.sqrt((off * off).sum(axis=1, keepdims=True)), 1e-9)
+        near = self.centred(unit(cosine * own + np.sqrt(max(0.0, 1 - cosine * cosine)) * off))
         longest = min(max(PREFIXES), len(self.pivots))
-        a, b = permutation(second, self.pivots, longest), permutation(near, self.pivots, longest)
+        a, b = permutation(self.centred(own), self.pivots, longest), permutation(near, self.pivots, longest)
+        every = permutation(x, self.pivots, longest)
         best = None
-        for shared in SHARED:
-            for prefix in PREFIXES:
-                if shared > prefix or prefix > longest or comb(prefix, shared) > MOST_KEYS:
+        for shared in [k for k in SHARED if k <= longest] or [1]:
+            for prefix in [k for k in PREFIXES if k <= longest] or [longest]:
+                if shared > prefix or comb(prefix, shared) > MOST_KEYS:
                     continue
-                found = float(((a[:, :prefix, None] == b[:, None, :prefix]).any(axis=2).sum(axis=1) >= shared).mean())
-                _, times = np.unique(_keys(a[:, :prefix], dims, shared), return_counts=True)
-                meets = float((times * (times - 1)).sum()) / len(a) / max(1, len(a) - 1) * n
+                both, apart = footrule(a[:, :prefix], b[:, :prefix])
+                ok = both >= shared
+                most = int(np.quantile(apart[ok], 1 - LOST, method="higher")) if ok.any() else 0
+                found = float((ok & (apart <= most)).mean())
+                _, times = np.unique(_keys(every[:, :prefix], dims, shared), return_counts=True)
+                meets = float((times * (times - 1)).sum()) / len(x) / max(1, len(x) - 1) * n
                 cost = comb(prefix, shared) * ROW + meets
-                choice = (found < recall, -found if found < recall else cost, prefix, shared, found)
+                choice = (found < recall, -found if found < recall else cost, prefix, shared, most, found)
                 best = min(best or choice, choice)
-        _, _, self.prefix, self.shared, self.estimate = best
+        _, _, self.prefix, self.shared, self.farthest, self.estimate = best
 
     def centred(self, x: np.ndarray) -> np.ndarray:
         """Unit vectors less the mean, of unit length again; the mean itself stays as it is."""
@@ -110,14 +121,24 @@ def farthest(x: np.ndarray, n: int) -> np.ndarray:
     return x[chosen]
 
 
-def sketches(x: np.ndarray) -> np.ndarray:
-    """On which side of BITS fixed planes each row lies."""
-    planes = np.random.default_rng(17).normal(size=(x.shape[1], BITS))
+def sketches(x: np.ndarray, seed: int) -> np.ndarray:
+    """On which side of BITS planes, drawn by the seed, each row lies."""
+    planes = np.random.default_rng(seed).normal(size=(x.shape[1], BITS))
     return np.packbits(x @ planes > 0, axis=1)
 
 
+def footrule(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pivots shared, sum of the differences of places) of rows of two matrices of prefixes; a pivot in one alone has the place after the other's last."""
+    k = p.shape[1]
+    same = p[:, :, None] == q[:, None, :]
+    place = np.arange(k, dtype=np.int16)
+    at, left = np.abs(place[:, None] - place[None, :]), k - place
+    apart = (same * at).sum(axis=(1, 2)) + (~same.any(axis=2) * left).sum(axis=1) + (~same.any(axis=1) * left).sum(axis=1)
+    return same.sum(axis=(1, 2)), apart
+
+
 def reach(cosine: float) -> float:
-    """The bits that sketches of vectors at this cosine differ in at most, but for one pair in a thousand million."""
+    """The bits that sketches of vectors at this cosine differ in at most, but for one draw of planes in a thousand million."""
     p = float(np.arccos(np.clip(cosine, -1, 1)) / np.pi)
     return BITS * p + 6 * np.sqrt(BITS * p * (1 - p))
 
@@ -185,8 +206,8 @@ def _own_list(p: np.ndarray, q: np.ndarray, key: int, dims: int, shared: int) ->
     return (both.sum(axis=1) >= shared) & (own == key)
 
 
-def close(perm, bits, first, second, key, dims, shared, most) -> np.ndarray:
-    """Numbers of the rows of two blocks (or one) that have a partner in the other whose sketch is within `most` bits and whose list this is."""
+def close(perm, bits, first, second, key, dims, shared, farthest, most) -> np.ndarray:
+    """Numbers of the rows of two blocks (or one) that have a partner in the other, with this as their list, within `farthest` by order and `most` bits by sketch."""
     same = first is second
     p = np.sort(perm, axis=1)
     signs = np.unpackbits(bits, axis=1).astype(np.float32) * 2 - 1
@@ -200,6 +221,8 @@ def close(perm, bits, first, second, key, dims, shared, most) -> np.ndarray:
         for c in range(0, len(hit_i), 50_000):
             ii, jj = rows[hit_i[c:c + 50_000]], second[hit_j[c:c + 50_000]]
             ok = _own_list(p[ii], p[jj], key, dims, shared)
+            ii, jj = ii[ok], jj[ok]
+            ok = footrule(perm[ii], perm[jj])[1] <= farthest
             got[ii[ok]] = True
             got[jj[ok]] = True
     return np.flatnonzero(got)
@@ -223,18 +246,36 @@ def _spanning(ids: np.ndarray, edges: list) -> list[tuple[int, int]]:
     return [(r, low_id[lab]) for r, lab in zip(ids.tolist(), label.tolist()) if low_id[lab] != r]
 
 
-def _indexes(one: DataFrame, cosine: float, recall: float, exact: bool) -> Iterator[dict[int, Index]]:
-    """An index for each length of vectors, SENT bytes of pivots at a time."""
+def _indexes(one: DataFrame, cosine: float, recall: float) -> Iterator[dict[int, Index]]:
+    """An index for each length of vectors, SENT bytes of pivots at a time; all lengths' samples come by one job, one length at a time in the driver."""
     sizes = one.groupBy("dims").agg(F.count(F.lit(1)).alias("n"))
-    held, size = {}, 0
-    for dims, n in sorted((r.dims, r.n) for r in sizes.where(F.lit(not exact) & (F.col("n") >= SAMPLE)).toLocalIterator()):
-        rows = one.where(F.col("dims") == dims).orderBy(F.xxhash64(F.lit(11), "v"), "id").limit(SAMPLE).select("v").collect()
-        held[dims] = Index(unit(np.array([r[0] for r in rows], np.float64)), n, dims, cosine, recall)
-        size += held[dims].pivots.nbytes
-        if size > SENT:
-            yield held
-            held, size = {}, 0
-    yield held
+    # the least by a hash; a bound on it leaves few more than the sample to rank
+    wanted = F.least(F.lit(SAMPLE), F.greatest(F.lit(LEAST), F.floor(F.lit(VALUES) / F.col("dims"))))
+    least = Window.partitionBy("dims").orderBy("r", "id")
+    drawn = (
+        one.withColumn("r", F.pmod(F.xxhash64(F.lit(11), "v"), F.lit(1 << 30))).join(sizes, "dims")
+        .where(F.col("r") * F.col("n") <= (1 << 30) * (1.5 * wanted + 64))
+        .withColumn("k", F.row_number().over(least)).where(F.col("k") <= wanted).select("dims", "k", "n", "v")
+    )
+    held, size, last, rows = {}, 0, None, []
+
+    def fitted() -> Index:
+        return Index(unit(np.array(rows, np.float64)), last[1], last[0], cosine, recall)
+
+    for r in common.settle(drawn).orderBy("dims", "k").toLocalIterator():
+        if last not in (None, (r.dims, r.n)):
+            held[last[0]] = fitted()
+            size += held[last[0]].pivots.nbytes
+            rows = []
+            if size > SENT:
+                yield held
+                held, size = {}, 0
+        last = (r.dims, r.n)
+        rows.append(r.v)
+    if last:
+        held[last[0]] = fitted()
+    if held:
+        yield held
 
 
 def _blocks(rows: DataFrame, per_list: DataFrame, block: int) -> DataFrame:
@@ -297,10 +338,12 @@ def similar_vectors(
     components. A row with a null id never links.
 
     Every link reported has a cosine of at least `cosine`. A pair right at it is
-    found with a probability of about `recall`, estimated on a sample of SAMPLE
-    vectors of each length, a closer pair more surely. Where no prefix reaches
-    `recall` the best one is taken. exact=True compares all vectors of a length
-    with each other, block by block, and so are lengths of under SAMPLE vectors.
+    found with a probability of about `recall`, estimated on a sample of at most
+    SAMPLE vectors of each length, a closer pair more surely: it must share
+    pivots, its prefixes' order and its sketches be near enough, each by a bound
+    that the sample or the draw of planes sets. Where no prefix reaches `recall`
+    the best one is taken. exact=True asks nothing of that and compares all
+    vectors of a length with each other, block by block: no link is lost.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -321,45 +364,46 @@ def similar_vectors(
             for b in batches:
                 dims = b.column(4).to_numpy()
                 for d in np.unique(dims).tolist():
-                    own = sent.value.get(d)
+                    own = sent.value.get(d) or Index(None, 0, d, cosine, recall)
                     part = b.filter(pa.array(dims == d))
                     for at in range(0, part.num_rows, 4096):
                         some = part.slice(at, 4096)
                         raw = _matrix(some.column(3))
                         x = unit(raw)
-                        perm, keys = own.keys(x, d) if own else (np.zeros((len(x), 0), np.int64), np.full((len(x), 1), d, np.int64))
+                        perm, keys = own.keys(x, d)
                         lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * y.shape[1]), pa.array(y.astype(t).ravel()))
                                  for y, t in ((perm, np.int16), (keys, np.int64))]
+                        whole = [pa.array(np.full(len(x), k, np.int32)) for k in (own.shared, own.farthest)]
                         yield pa.RecordBatch.from_arrays(
-                            [some.column(0), some.column(1), some.column(2), some.column(4), pa.array(np.full(len(x), own.shared if own else 0, np.int32)), lists[0],
-                             pa.array([r.tobytes() for r in sketches(x)], pa.binary()), pa.array([r.tobytes() for r in raw.astype(kind)], pa.binary()), lists[1]],
-                            names=["h1", "id", "weight", "dims", "shared", "perm", "bits", "x", "keys"])
+                            [some.column(0), some.column(1), some.column(2), some.column(4), *whole, lists[0],
+                             pa.array([r.tobytes() for r in sketches(x, own.seed)], pa.binary()), pa.array([r.tobytes() for r in raw.astype(kind)], pa.binary()), lists[1]],
+                            names=["h1", "id", "weight", "dims", "shared", "farthest", "perm", "bits", "x", "keys"])
 
         return common.settle(some.select("h1", "id", "weight", "v", "dims").mapInArrow(
-            run, "h1 bigint, id bigint, weight bigint, dims int, shared int, perm array<smallint>, bits binary, x binary, keys array<bigint>"))
-
-    parts, taken = [], []
-    for index in _indexes(one, cosine, recall, exact):
-        parts.append(described(index, one.where(F.col("dims").isin(list(index))) if index else one.limit(0)))
-        taken += index
-    if len(parts) > 1 or not taken or not one.where(~F.col("dims").isin(taken)).isEmpty():
-        parts.append(described({}, one.where(~F.col("dims").isin(taken)) if taken else one))
+            run, "h1 bigint, id bigint, weight bigint, dims int, shared int, farthest int, perm array<smallint>, bits binary, x binary, keys array<bigint>"))
+
+    held = [{}] if exact else [*_indexes(one, cosine, recall)] or [{}]
+    parts = [described(index, one.where(F.col("dims").isin(list(index))) if len(held) > 1 else one) for index in held]
     table = reduce(DataFrame.unionByName, parts)
     several = lambda df: df.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
     # lists without vectors: who has a partner within reach of its sketch
     most = reach(cosine)
-    light = table.select(F.explode("keys").alias("key"), "h1", "dims", "shared", "perm", "bits")
+    light = table.select(F.explode("keys").alias("key"), "h1", "dims", "shared", "farthest", "perm", "bits")
     prefix = lambda t, at: np.array(t.column(at).to_pylist(), np.int64).reshape(t.num_rows, -1)
 
     def by_sketch(t: pa.Table, key: int, a: np.ndarray, b: np.ndarray) -> list[tuple]:
-        bits = np.frombuffer(b"".join(t.column(8).to_pylist()), np.uint8).reshape(t.num_rows, -1)
-        got = close(prefix(t, 7), bits, a, b, key, t.column(5)[0].as_py(), t.column(6)[0].as_py(), most)
+        bits = np.frombuffer(b"".join(t.column(9).to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        dims, shared, farthest = (t.column(k)[0].as_py() for k in (5, 6, 7))
+        got = close(prefix(t, 8), bits, a, b, key, dims, shared, farthest, most)
         return [(key, i) for i in t.column(4).to_numpy()[got].tolist()]
 
     # the lists' sizes need no more than their keys
-    dealt = _blocks(light, several(table.select(F.explode("keys").alias("key"))), sketched)
-    near = common.settle(_by_pair(dealt, ["h1", "dims", "shared", "perm", "bits"], by_sketch, ["key", "h1"]).distinct())
+    if exact:
+        near = table.select(F.explode("keys").alias("key"), "h1")
+    else:
+        dealt = _blocks(light, several(table.select(F.explode("keys").alias("key"))), sketched)
+        near = common.settle(_by_pair(dealt, ["h1", "dims", "shared", "farthest", "perm", "bits"], by_sketch, ["key", "h1"]).distinct())
 
     def by_vector(t: pa.Table, key: int, a: np.ndarray, b: np.ndarray) -> list[tuple]:
         rows, ids, weights = (t.column(k).to_numpy() for k in (4, 5, 6))

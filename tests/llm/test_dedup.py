@@ -364,7 +364,7 @@ VECTORS = "vec_id bigint, embedding array<float>, label int, id int, x int"
 
 @pytest.mark.parametrize("block,sample", [(pivots.BLOCK, pivots.SAMPLE), (8, pivots.SAMPLE), (8, 40), (pivots.BLOCK, 40)])
 def test_pivot_index(spark, monkeypatch, block, sample):
-    """All in one list, and (from 40 vectors on) lists of shared pivots; long lists by pairs of blocks."""
+    """Lists of shared pivots of few vectors, by a whole and a small sample; long lists by pairs of blocks."""
     monkeypatch.setattr(pivots, "SAMPLE", sample)
     monkeypatch.setattr(pivots, "PIVOTS", 16)
     g = np.random.default_rng(2)
@@ -443,6 +443,40 @@ def test_pivot_links_against_all_pairs(spark):
     assert [r.n_links for r in pivots.similar_vectors(df, exact=True).orderBy("vec_id").collect()] == want
 
 
+def test_vectors_that_planes_miss(spark):
+    """Near vectors on opposite sides of every plane of a known seed link, and so does the exact mode."""
+    planes = np.random.default_rng(17).normal(size=(256, 128))
+    g = np.random.default_rng(1)
+    basis = np.linalg.svd(planes.T)[2][128:]
+    null, side = pivots.unit(g.normal(size=(1, 128)) @ basis)[0], np.linalg.lstsq(planes.T, np.ones(128), rcond=None)[0]
+    side = 0.01 * side / np.linalg.norm(side)
+    assert np.array_equal((null + side) @ planes > 0, (null - side) @ planes <= 0)
+    rows = [(k, v.tolist(), 0, 1, 1) for k, v in enumerate([null + side, null - side, *g.normal(size=(40, 256))])]
+    df = spark.createDataFrame(rows, VECTORS)
+    for exact in (False, True):
+        got = {r.vec_id: r.n_links for r in pivots.similar_vectors(df, exact=exact).collect()}
+        assert got == {k: int(k < 2) for k in range(42)}
+
+
+def test_footrule():
+    p, q = np.array([[4, 2, 7], [1, 2, 3], [1, 2, 3]]), np.array([[4, 2, 7], [3, 2, 1], [3, 8, 9]])
+    both, apart = pivots.footrule(p, q)
+    assert both.tolist() == [3, 3, 1] and apart.tolist() == [0, 4, 2 + (3 + 2) + (2 + 1)]
+
+
+def test_given_vectors_use_the_index(spark, sf):
+    """The given table has pivots, and its links are those of all pairs, by the index and by the exact mode."""
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    one = df.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("size(v) > 0").withColumn("dims", F.size("v"))
+    index = [i for held in pivots._indexes(one, pivots.COSINE, pivots.RECALL) for i in held.values()]
+    assert index and all(len(i.pivots) > 100 and i.prefix >= 4 and i.farthest > 0 for i in index)
+    rows = sorted((r.id, r.v) for r in one.collect())
+    y = pivots.unit(np.array([v for _, v in rows]))
+    want = dict(zip([i for i, _ in rows], ((y @ y.T >= 0.95).sum(axis=1) - 1).tolist()))
+    for exact in (False, True):
+        assert {r.vec_id: r.n_links for r in pivots.similar_vectors(df, exact=exact).collect() if r.vec_id in want} == want
+
+
 def test_vectors_of_nothing(spark):
     assert pivots.similar_vectors(spark.createDataFrame([], VECTORS)).count() == 0
 
