@@ -1,4 +1,4 @@
-"""Substring dedup by hashing lines or paragraphs, and the sentences of lines."""
+"""Substring dedup by hashing lines or paragraphs; if asked, also the sentences of lines."""
 
 from __future__ import annotations
 
@@ -116,13 +116,14 @@ def _removed(text: str, gone: list[int], unit: str, min_words: int, min_sentence
     return [(s, e) for s, e in joined], n
 
 
-def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = 1, min_sentence: int = 8) -> DataFrame:
+def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = 1, min_sentence: int = 0) -> DataFrame:
     """Remove each line (or paragraph) that occurs before, in any document.
 
-    A line of several sentences counts whole and by runs of its sentences, each
-    just long enough for min_sentence words, so passages that were put into
-    longer lines are found too, however short their sentences; min_sentence=0
-    leaves them out. Occurrences rank by (doc_id, position), a null id first;
+    A unit counts whole alone, so a passage inside otherwise different lines
+    stays; remove_repeats of `suffixes` is for those. With min_sentence over 0 a
+    line of several sentences counts whole and by runs of its sentences, each
+    just long enough for so many words, which finds passages in longer lines but
+    also takes sentences that documents share by chance. Occurrences rank by (doc_id, position), a null id first;
     the earliest stays, but runs that overlap an equal one are later. Units
     without words or of fewer than min_words words after normalising take no
     part. Rows that repeat both id and text rank alike and are treated alike:
@@ -178,34 +179,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Units are lines and the shortest runs of sentences that have 8 words; runs give the sentences that go, and a piece goes by itself, with its line,
-#: or as the end of a line whose sentences all go.
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS us FROM documents),
 l AS (SELECT doc_id, unnest(us) AS line, unnest(range(len(us))) AS pos, len(us) AS n FROM d),
-c AS (SELECT *, regexp_extract_all(line, '[^.!?]+[.!?]*[ 	]*|[.!?]+[ 	]*', 0) AS parts FROM l),
-m AS (SELECT doc_id, pos, parts, ws, list_transform(range(len(ws) + 1), lambda k: coalesce(list_sum(ws[1:k]), 0)) AS t
-      FROM (SELECT *, list_transform(parts, lambda p: len(list_filter(regexp_split_to_array(p, '\s+'), lambda w: w <> ''))) AS ws FROM c WHERE len(parts) > 1)),
-r1 AS (SELECT doc_id, pos, i, len(list_filter(t, lambda x: x < t[i + 1] + 8)) AS j, parts, ws, t FROM (SELECT *, unnest(range(len(ws))) AS i FROM m) WHERE t[i + 1] + 8 <= t[-1]),
-r2 AS (SELECT doc_id, pos, len(list_filter(t, lambda x: x <= t[j + 1] - 8)) - 1 AS i, j, parts, ws, t FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS j FROM m) WHERE t[j + 1] >= 8),
-r AS (SELECT DISTINCT doc_id, pos, i, j, array_to_string(parts[i + 1:j], '') AS piece FROM (SELECT * FROM r1 UNION ALL BY NAME SELECT * FROM r2)
-      WHERE ws[i + 1] > 0 AND ws[j] > 0 AND t[j + 1] - t[i + 1] < t[-1]),
-u AS (SELECT doc_id, pos, -1 AS i, -1 AS j, line AS piece FROM c UNION ALL SELECT * FROM r),
-v AS (SELECT *, trim(regexp_replace(lower(piece), '\s+', ' ', 'g')) AS norm FROM u),
-g AS (SELECT doc_id, pos, i, j FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, pos, i, j) AS k FROM v WHERE norm <> '') WHERE k > 1),
-gs AS (SELECT DISTINCT doc_id, pos, unnest(range(i, j)) AS sub FROM g WHERE i >= 0),
-gl AS (SELECT doc_id, pos FROM g WHERE i < 0),
-w AS (SELECT c.doc_id, c.pos, c.n, gl.pos IS NOT NULL AS line_gone, parts, coalesce(k, 0) AS lost FROM c LEFT JOIN gl ON gl.doc_id = c.doc_id AND gl.pos = c.pos
-      LEFT JOIN (SELECT doc_id, pos, count(*) AS k FROM gs GROUP BY ALL) s ON s.doc_id = c.doc_id AND s.pos = c.pos),
-x AS (SELECT w.doc_id, w.pos, w.sub, piece, line_gone OR gs.sub IS NOT NULL AS gone, gs.sub IS NOT NULL AND NOT line_gone AS counts
-      FROM (SELECT *, unnest(parts) AS piece, unnest(range(len(parts))) AS sub FROM w) w LEFT JOIN gs ON gs.doc_id = w.doc_id AND gs.pos = w.pos AND gs.sub = w.sub
-      UNION ALL SELECT doc_id, pos, 1000000000, CASE WHEN pos < n - 1 THEN chr(10) ELSE '' END, line_gone OR (lost > 0 AND lost = len(parts)), line_gone FROM w),
-y AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos, sub ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM x),
-z AS (SELECT doc_id, s, s + length(piece) AS e, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos, sub), false) AS opens, gone, pos, sub FROM y WHERE piece <> ''),
-sp AS (SELECT doc_id, count(*) AS n_spans, string_agg(CAST(s AS BIGINT) || '-' || CAST(e AS BIGINT), ',' ORDER BY s) AS spans FROM (
-  SELECT doc_id, min(s) AS s, max(e) AS e FROM (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY doc_id ORDER BY pos, sub) AS k FROM z) WHERE gone GROUP BY doc_id, k) GROUP BY doc_id)
-SELECT y.doc_id, CAST(count(*) FILTER (sub = 1000000000) AS INT) AS n_units, CAST(count(*) FILTER (counts) AS INT) AS n_removed,
+v AS (SELECT *, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS norm FROM l),
+x AS (SELECT doc_id, pos, line || CASE WHEN pos < n - 1 THEN chr(10) ELSE '' END AS piece,
+             norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, pos) > 1 AS gone FROM v),
+y AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s,
+             gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM x),
+z AS (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM y),
+sp AS (SELECT doc_id, count(*) AS n_spans, string_agg(CAST(s AS BIGINT) || '-' || CAST(e AS BIGINT), ',' ORDER BY s) AS spans
+       FROM (SELECT doc_id, min(s) AS s, max(s + length(piece)) AS e FROM z WHERE gone GROUP BY doc_id, k) GROUP BY doc_id)
+SELECT y.doc_id, CAST(count(*) AS INT) AS n_units, CAST(count(*) FILTER (gone) AS INT) AS n_removed,
        CAST(coalesce(any_value(n_spans), 0) AS INT) AS n_spans, CAST(coalesce(sum(length(piece)) FILTER (gone), 0) AS INT) AS removed_chars, coalesce(any_value(spans), '') AS spans,
-       sha256(coalesce(string_agg(piece, '' ORDER BY pos, sub) FILTER (NOT gone), '')) AS kept_sha256
+       sha256(coalesce(string_agg(piece, '' ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM y LEFT JOIN sp ON sp.doc_id = y.doc_id GROUP BY y.doc_id
 """
