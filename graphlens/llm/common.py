@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Callable, Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,31 @@ def settle(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
+    """(key, rows) of each run of rows alike in their first `keys` columns, whole numbers without nulls; no more than a run is held beside its batches."""
+    held, last = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        names = np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(keys)])
+        cuts = np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1
+        for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+            name = tuple(names[:, start].tolist())
+            if held and name != last:
+                yield last, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(b.slice(start, end - start))
+            last = name
+    if held:
+        yield last, pa.Table.from_batches(held).combine_chunks()
+
+
+def longs(rows: Iterator[tuple], names: list[str], step: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Tuples of whole numbers in batches of `step`."""
+    while some := list(islice(rows, step)):
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], pa.int64()) for i in range(len(names))], names=names)
+
+
 def unused(name: str, columns: list[str]) -> str:
     """A name like the given one that no column has, whatever its case."""
     have = {c.lower() for c in columns}

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ SHORT, FEW = 40, 2
 BLOCK, BLOCK_BYTES = 2048, 8 << 20
 #: Pairs of members that a centre leaves to compare, beyond which they meet by their rarest shingles and not all in all.
 CROWDED = 1 << 16
+#: Shingles that a task lays out as rows at a time.
+SPREAD = 1 << 18
 
 
 class WordHashes(dict):
@@ -311,14 +314,19 @@ def _rarest(tested: DataFrame, crowded: DataFrame, sequences: DataFrame, similar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            # so many rows at a time as have SPREAD shingles together, one at least
+            ends = np.cumsum(pc.binary_length(batch.column(2)).to_numpy() // 4)
+            at = 0
+            while at < batch.num_rows:
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SPREAD, "right")))
+                part = batch.slice(at, stop - at)
+                at = stop
                 seqs = [_mix(labelled(np.frombuffer(s.as_buffer(), np.uint32).astype(np.uint64))).view(np.int64) for s in part.column(2)]
                 sizes = [len(s) for s in seqs]
-                owner = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+                owner = pa.array(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(owner), part.column(1).take(owner), pa.array(np.repeat(sizes, sizes).astype(np.int32)),
-                     pa.array(np.concatenate(seqs) if seqs else np.empty(0, np.int64)), part.column(3).take(owner)], names=["b", "id", "n", "s", "left"])
+                    [part.column(0).take(owner), part.column(1).take(owner), pa.array(np.repeat(np.array(sizes, np.int32), sizes)),
+                     pa.array(np.concatenate(seqs)), part.column(3).take(owner)], names=["b", "id", "n", "s", "left"])
 
     every = common.settle(members.join(sequences, "id").select("b", "id", "s", "left").mapInArrow(run, "b bigint, id bigint, n int, s bigint, left boolean"))
     often = every.groupBy("b", "s").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
@@ -354,9 +362,12 @@ def _rest(tested: DataFrame, centres: DataFrame, pairs: DataFrame, sequences: Da
     )
     dealt = members.repartition("c", "kind", "bi", "bj").sortWithinPartitions("c", "kind", "bi", "bj", "a")
 
-    def compare(rows: list[tuple], kind: int, bi: int, bj: int) -> list[tuple[int, int]]:
-        ids, states, dists = [r[5] for r in rows], [r[6] for r in rows], [r[7] for r in rows]
-        seqs = [np.frombuffer(r[9], np.uint32) for r in rows]
+    def compare(t: pa.Table, kind: int, bi: int, bj: int) -> Iterator[tuple[int, int]]:
+        own, ids, states, dists = (t.column(k).to_pylist() for k in (4, 5, 6, 7))
+        keys = t.column(8).combine_chunks()
+        ends, flat = keys.offsets.to_numpy(), keys.values.to_numpy()
+        keys_of = lambda k: flat[ends[k]:ends[k + 1]].tolist()
+        seqs = [np.frombuffer(s.as_buffer(), np.uint32) for s in t.column(9)]
         tree = {i: i for i in ids}
 
         def root(x):
@@ -367,15 +378,15 @@ def _rest(tested: DataFrame, centres: DataFrame, pairs: DataFrame, sequences: Da
         near_ones = [i for i, state in zip(ids, states) if state == 2]
         for i in near_ones:  # the centre joins them
             tree[root(i)] = root(near_ones[0])
-        found, holders = [], {}
-        for k, r in enumerate(rows):
-            if states[k] == 2 if kind else r[4] == bj:
-                for key in r[8]:
+        holders = {}
+        for k in range(len(ids)):
+            if states[k] == 2 if kind else own[k] == bj:
+                for key in keys_of(k):
                     holders.setdefault(key, []).append(k)
-        for x, r in enumerate(rows):
-            if states[x] == 2 if kind else r[4] != bi:
+        for x in range(len(ids)):
+            if states[x] == 2 if kind else own[x] != bi:
                 continue
-            for y in {k for key in r[8] for k in holders.get(key, ())}:
+            for y in {k for key in keys_of(x) for k in holders.get(key, ())}:
                 if not kind and bi == bj and y <= x or ids[x] == ids[y]:
                     continue
                 n, m = len(seqs[x]), len(seqs[y])
@@ -383,23 +394,12 @@ def _rest(tested: DataFrame, centres: DataFrame, pairs: DataFrame, sequences: Da
                 if states[x] and states[y] and abs(dists[x] - dists[y]) > most or root(ids[x]) == root(ids[y]):
                     continue
                 if distance(seqs[x], seqs[y], most) <= most:
-                    found.append((ids[x], ids[y]))
                     tree[root(ids[x])] = root(ids[y])
-        return found
+                    yield ids[x], ids[y]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
-        for b in batches:
-            found = []
-            for r in zip(*(c.to_pylist() for c in b.columns)):
-                if last is not None and r[:4] != last:
-                    found += compare(held, *last[1:])
-                    held = []
-                held.append(r)
-                last = r[:4]
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
-        found = compare(held, *last[1:]) if held else []
-        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        found = (pair for (_, kind, bi, bj), t in common.groups(batches, 4) for pair in compare(t, kind, bi, bj))
+        yield from common.longs(found, ["a", "b"])
 
     return dealt.mapInArrow(run, "a bigint, b bigint")
 

@@ -293,36 +293,15 @@ def _by_pair(dealt: DataFrame, columns: list[str], found: Callable[[pa.Table, in
     """found(rows, key, numbers of the first block's, of the second's) of each pair of blocks, as whole numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def of(held: list[pa.RecordBatch]) -> list[tuple]:
-            t = pa.Table.from_batches(held).combine_chunks()
-            key, bi, bj = (t.column(k)[0].as_py() for k in range(3))
-            own = t.column(3).to_numpy()
-            a = np.flatnonzero(own == bi)
-            return found(t, key, a, a if bi == bj else np.flatnonzero(own == bj))
-
-        held, last = [], None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            group = np.stack([b.column(i).to_numpy() for i in range(3)])
-            cuts = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
-            out = []
-            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
-                name = tuple(group[:, s].tolist())
-                if last is not None and name != last:
-                    out += of(held)
-                    held = []
-                held.append(b.slice(s, e - s))
-                last = name
-            yield _longs(out, names)
-        if held:
-            yield _longs(of(held), names)
-
-    return dealt.select("key", "bi", "bj", "own", *columns).mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+        def rows() -> Iterator[tuple]:
+            for (key, bi, bj), t in common.groups(batches, 3):
+                own = t.column(3).to_numpy()
+                a = np.flatnonzero(own == bi)
+                yield from found(t, key, a, a if bi == bj else np.flatnonzero(own == bj))
 
+        yield from common.longs(rows(), names)
 
-def _longs(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))], names=names)
+    return dealt.select("key", "bi", "bj", "own", *columns).mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
 def similar_vectors(
