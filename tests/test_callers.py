@@ -62,6 +62,23 @@ def test_components_on_rings(spark):
     assert {r.id: r.level for r in algo.reading_order(e).collect()} == {7: 0, 4: 1, 5: 1, 1: 2, 2: 2, 3: 2, 6: 3}
 
 
+def test_betweenness_of_a_long_chain_takes_few_tables(spark, monkeypatch):
+    made, real = [], algo.stage
+    monkeypatch.setattr(algo, "stage", lambda df, *a: made.append(1) or real(df, *a))
+    e = spark.range(60).selectExpr("id AS s", "id + 1 AS t")
+    assert {r.id: r.betweenness for r in algo.betweenness(e).collect()} == {k: float(k * (60 - k)) for k in range(61)}
+    assert len(made) < 5
+
+
+def test_betweenness_by_arrays_and_by_joins(spark):
+    e = spark.range(300).selectExpr("(id * 7919) % 61 AS s", "(id * id + 3 * id) % 53 AS t").distinct()
+    by = [{r.id: round(r.betweenness, 6) for r in algo.betweenness(e, held=held).collect()} for held in (0, 1000)]
+    assert by[0] == by[1] and max(by[0].values()) > 0
+    some = spark.createDataFrame([(3,), (5,), (5,), (900,)], "id bigint")
+    by = [{r.id: round(r.betweenness, 6) for r in algo.betweenness(e, some, held=held).collect()} for held in (0, 1000)]
+    assert by[0] == by[1]
+
+
 def test_betweenness_of_a_path(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (1, 4), (4, 3), (3, 5)], "s long, t long")
     assert {r.id: r.betweenness for r in algo.betweenness(e).collect()} == {1: 0.0, 2: 1.0, 4: 1.0, 3: 3.0, 5: 0.0}
