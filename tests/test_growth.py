@@ -50,3 +50,14 @@ def test_parents_and_numbers_travel_along(spark):
     got = {(r.id, r.depth, r.f, r.parent) for r in traverse.levels(roots, steps, 3, carry=("f",), parents=True).collect()}
     assert got == {(1, 0, 7, None), (2, 1, 5, 1), (3, 1, 6, 1), (4, 2, 8, 2)}
     assert got == {(r.id, r.depth, r.f, r.parent) for r in traverse.levels(roots, steps, 9, carry=("f",), parents=True).collect()}
+
+
+def test_terms_are_counted_in_their_rows(spark):
+    from graphlens.operators import postings
+
+    docs = spark.createDataFrame([(1, "b a b c b"), (2, ""), (5000, "a a")], "id bigint, text string")
+    made = postings._entries(docs)
+    got = {(r.term, r.block, r.n, r.max_tf, r.min_len, tuple(map(tuple, r.entries))) for r in made.collect()}
+    assert got == {("a", 0, 1, 1, 5, ((1, 1, 5),)), ("b", 0, 1, 3, 5, ((1, 3, 5),)), ("c", 0, 1, 1, 5, ((1, 1, 5),)), ("a", 1, 1, 2, 2, ((5000, 2, 2),))}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange rangepartitioning" in plan and "Exchange hashpartitioning" not in plan
