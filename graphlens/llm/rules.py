@@ -18,7 +18,7 @@ from . import common
 from .labelled import held_out
 from .sql import CRC_TABLE, crc32
 
-#: Buckets of n-grams; n-grams that the corpus multinomial lends to the trusted one; trusted documents.
+#: Buckets of n-grams; n-grams that the corpus multinomial lends to the trusted one; trusted documents of the SQL, which stops there.
 BUCKETS, LENT, TRUSTED = 65_536, 1000, 16_384
 #: Of the trusted documents set apart, so many in a thousand may score below the threshold; one in APART is set apart.
 PER_MILLE, APART = 5, 4
@@ -47,12 +47,12 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("words", words(F.col("text")))
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    """(doc_id, fits) of the documents labelled 1 outside the held-out fold, `most` at most, the first by a hash; one in APART fits nothing."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """(doc_id, fits) of all documents labelled 1 outside the held-out fold; one in APART, by a hash, fits nothing."""
     known = (labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id IS NOT NULL")
              .groupBy("doc_id").agg(F.max("y").alias("y")).where("y = 1").where(~held_out(F.col("doc_id"))))
     place = number(F.concat(F.lit("t"), F.col("doc_id").cast("string")))
-    return known.withColumn("place", place).orderBy("place", "doc_id").limit(most).select("doc_id", (F.col("place") % APART > 0).alias("fits"))
+    return known.select("doc_id", (place % APART > 0).alias("fits"))
 
 
 def weights(docs: DataFrame, trusted: DataFrame, most: int = BUCKETS, lent: int = LENT) -> DataFrame:
@@ -62,8 +62,8 @@ def weights(docs: DataFrame, trusted: DataFrame, most: int = BUCKETS, lent: int
     with p = (raw + 1) / (R + most): a bucket that neither has seen weighs as
     little as the corpus allows. Without trusted documents weights are 0.
     """
-    # at most TRUSTED ids: the broadcast is bounded, and no text is shuffled
-    rows = _texts(docs).join(F.broadcast(trusted.where("fits")), "doc_id", "left")
+    # ids alone: Spark broadcasts them while they are few, and no text is shuffled then
+    rows = _texts(docs).join(trusted.where("fits"), "doc_id", "left")
     pairs = rows.select("fits", F.inline(F.arrays_zip(F.col("words").alias("a"), F.slice("words", F.lit(2), F.size("words")).alias("b"))))
     pairs = pairs.select("fits", number(F.col("a")).alias("a"), number(F.col("b")).alias("b"))
     grams = pairs.select("fits", F.explode(F.array((F.col("a") % most).cast("int"), paired(F.col("a"), F.col("b"), most))).alias("bucket")).where("bucket IS NOT NULL")
@@ -125,7 +125,7 @@ def _failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr, n_grams) of each row.
 
     llr is the sum of the weights of the n_grams, in micro-nats. A document
@@ -135,14 +135,16 @@ def judge(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> DataFrame:
     Repeated rows are each judged. An empty table gives no rows; without
     labels the base rules decide. Other columns are ignored.
     """
-    trusted = common.settle(trusted_ids(labels, most))
+    trusted = common.settle(trusted_ids(labels))
     # as a table: a condition on the result must not be pushed into expressions that are costly to repeat
     t = common.settle(scored(docs, common.settle(weights(docs, trusted))))
-    apart = t.join(F.broadcast(trusted.where("NOT fits").select("doc_id")), "doc_id", "left_semi").where(~_failed())
     mean = F.floor(F.col("llr").cast("double") / F.col("n_grams")).cast("bigint")
-    ranked = apart.agg(F.sort_array(F.collect_list(mean)).alias("m"))  # rows of as many ids as are set apart
-    least = ranked.select(F.get("m", (F.size("m") * PER_MILLE / 1000).cast("int")).alias("least"))
-    t = t.withColumn("least", F.coalesce(least.scalar(), F.lit(-(2**40))))
+    apart = t.where(~_failed()).select("doc_id", mean.alias("m")).join(trusted.where("NOT fits").select("doc_id"), "doc_id", "left_semi").select("m")
+    apart = common.settle(apart)
+    n = apart.count()
+    # the least of them, as many as the threshold's rank, found by each task and merged
+    least = apart.orderBy("m").limit(n * PER_MILLE // 1000 + 1).agg(F.max("m")).first()[0] if n else -(2**40)
+    t = t.withColumn("least", F.lit(least).cast("bigint"))
     return t.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", _failed().alias("base_failed"),
                     (~_failed() & (F.col("llr") >= F.col("least") * F.col("n_grams"))).alias("kept"), "llr", "n_grams")
 

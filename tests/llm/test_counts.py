@@ -181,3 +181,16 @@ def test_probabilities_beyond_64_bits():
     count = np.array([0, 9_000_000_001, 10**13], np.int64)
     total, v = 3 * 10**13, 1000
     assert tries.probability(count, total, v).tolist() == [1 + 10**9 * (int(c) + 2) // (total + 2 * v) for c in count]
+
+
+def test_all_trusted_documents_count(spark):
+    """Not only the first 16,384: words of the trusted weigh more the more of them have it."""
+    n = 60_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "'one two three four five six seven eight nine ten' AS text")
+    lab = docs.selectExpr("doc_id", "1 AS quality")
+    trusted = rules.trusted_ids(lab)
+    want = {i for i in range(n) if zlib.crc32(str(i).encode()) % 3 != 1}
+    fits = {i for i in want if zlib.crc32(f"t{i}".encode()) % rules.APART > 0}
+    assert trusted.count() == len(want) > rules.TRUSTED and {r.doc_id for r in trusted.where("fits").collect()} == fits
+    assert rules.weights(docs, trusted).agg(F.sum("target")).first()[0] == 19 * len(fits)
+    assert rules.judge(docs, lab).where("kept").count() == n
