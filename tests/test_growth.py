@@ -61,3 +61,28 @@ def test_terms_are_counted_in_their_rows(spark):
     assert got == {("a", 0, 1, 1, 5, ((1, 1, 5),)), ("b", 0, 1, 3, 5, ((1, 3, 5),)), ("c", 0, 1, 1, 5, ((1, 1, 5),)), ("a", 1, 1, 2, 2, ((5000, 2, 2),))}
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "Exchange rangepartitioning" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_long_files_are_parsed_by_pieces(monkeypatch):
+    import ast
+
+    from graphlens.sources import python_code
+
+    text = "import os\n" + "".join(
+        f"@deco\n@deco(\n  {k})\ndef f{k}(x):\n    y = os\n    def g(z):\n        return y(z)\n    return g(f{k - 1}(x))\n\n\nclass C{k}(B):\n    def m(self):\n        return self.m(), f{k}(1)\n\n" for k in range(40))
+    whole = python_code.facts("a.py", text, len(text) + 1)
+    longest, real = [], ast.parse
+    monkeypatch.setattr(ast, "parse", lambda t, *a: longest.append(len(t)) or real(t, *a))
+    assert python_code.facts("a.py", text, 200) == whole and len(whole) > 200 and max(longest) < 600
+    # a cut inside a string doesn't compile, so the text is read whole; what doesn't compile whole is an error
+    quoted = "x = '''\ndef f(): pass\n" + "def g(): pass\n" * 9 + "'''\ndef h(): pass\n"
+    assert [f[3] for f in python_code.facts("a.py", quoted, 20)] == ["h"]
+    assert [f[1] for f in python_code.facts("a.py", text + "def (", 200)] == ["error"] and python_code.facts("a.py", "", 200) == []
+
+
+def test_sources_are_parsed_once(spark, graph, monkeypatch):
+    from graphlens.sources import python_code
+
+    made, real = [], python_code.parse
+    monkeypatch.setattr(python_code, "parse", lambda df: made.append(1) or real(df))
+    assert q.QUERIES["edges_of_files"](spark, "/root/testdata/sf0.001").count() > 0 and len(made) == 1
