@@ -86,3 +86,25 @@ def test_sources_are_parsed_once(spark, graph, monkeypatch):
     made, real = [], python_code.parse
     monkeypatch.setattr(python_code, "parse", lambda df: made.append(1) or real(df))
     assert q.QUERIES["edges_of_files"](spark, "/root/testdata/sf0.001").count() > 0 and len(made) == 1
+
+
+def test_requests_are_dealt_to_all_tasks_and_meet_few_routes(spark):
+    from graphlens.operators import routes
+
+    forms = [("a/b1/<pk>/", "a/b1/(?:[0-9]+)/", "a/b1/[^/]+/"), ("a/b2/<pk>/", "a/b2/(?:[0-9]+)/", "a/b2/[^/]+/"), ("x/?y/", "x/?y/", "x/?y/"), ("c/d|e/f", "c/d|e/f", "c/d|e/f"), ("a/", "a/", "a/")]
+    table = spark.createDataFrame([(k, d, r, w, d, "u.py", "ANY", "view", f"v{k}", None) for k, (d, r, w) in enumerate(forms)],
+                                  "ordinal int, display string, regex string, wide string, bare string, urls_file string, method string, kind string, target string, action string")
+    asked = spark.createDataFrame([(x,) for x in ("GET /a/b1/7/", "a/b2/x", "a/b2/<int:pk>/", "a", "a/b3/7/", "xy", "x/y/", "e/f", "c/d")], "request string").coalesce(1)
+    got = routes.match(table, asked)
+    assert {(r.request, r.target, r.loose) for r in got.collect()} == {
+        ("GET /a/b1/7/", "v0", False), ("a/b2/x", "v1", True), ("a/b2/<int:pk>/", "v1", False), ("a", "v4", False), ("xy", "v2", False), ("x/y/", "v2", False), ("e/f", "v3", False), ("c/d", "v3", False)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [request" in plan and "explode(" in plan
+
+
+def test_references_shuffle_no_names_with_edges(spark, graph):
+    from graphlens.operators import callers
+
+    plan = callers.references(graph)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [s_id" in plan and "Aggregate [name" not in plan
+    assert callers.references(graph, include_tests=False).count() < callers.references(graph).count()
