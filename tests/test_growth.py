@@ -102,9 +102,11 @@ def test_requests_are_dealt_to_all_tasks_and_meet_few_routes(spark):
     assert "RepartitionByExpression [request" in plan and "explode(" in plan
 
 
-def test_references_shuffle_no_names_with_edges(spark, graph):
+def test_references_shuffle_no_names_with_edges(spark, graph, monkeypatch):
     from graphlens.operators import callers
 
+    monkeypatch.setattr(callers, "PER_TASK", 100)
     plan = callers.references(graph)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [s_id" in plan and "Aggregate [name" not in plan
+    assert "RepartitionByExpression [s_id" in plan and f", {graph.edges.count() // 100}" in plan
     assert callers.references(graph, include_tests=False).count() < callers.references(graph).count()
