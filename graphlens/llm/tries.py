@@ -28,8 +28,10 @@ LEAST_DOCS, LISTED = 10, 10
 UNIT, SMOOTH = 1_000_000_000, 2
 #: Bytes of the prefixes that tries are cut at first, and leaves of a prefix that are cut deeper by so many bytes.
 PREFIX, HOT, DEEPER = 3, 2_000_000, 3
-#: Leaves (or bytes of labels, by 50) that a task's tries hold before they are cut and given on; different terms counted before they go into tries.
+#: Leaves (or bytes of labels, by 50), with a quarter of their counts by source, that a task's tries hold before they are cut and given on; different terms of sources counted before they go into tries.
 LEAVES, COUNTED = 400_000, 400_000
+#: Leaves of pieces that are given on at a time, with the piece that exceeds them.
+GIVEN = 16_384
 #: Terms of a block; entries of a matrix at a time.
 BLOCK, ENTRIES = 2048, 1 << 21
 #: Bytes of terms, A to Z as lower case; all others separate.
@@ -54,7 +56,7 @@ class Node:
 
 class RadixTrie:
     def __init__(self):
-        self.root, self.leaves, self.size = Node(b""), 0, 0
+        self.root, self.leaves, self.size, self.entries = Node(b""), 0, 0, 0
 
     def leaf(self, term: bytes) -> Node:
         """The node of a term, made if there is none."""
@@ -124,13 +126,18 @@ class _Pieces:
         self.flat: dict[str, list] = {f.name: [] for f in _PIECES}
         self.begin: dict[str, list[int]] = {f.name: [] for f in _PIECES if pa.types.is_list(f.type)}
 
-    def cut(self, lang: str, trie: RadixTrie, depth: int) -> None:
+    def cut(self, lang: str, trie: RadixTrie, depth: int) -> Iterator[pa.RecordBatch]:
+        """The trie's pieces; those that are full batches are given at once, the last ones stay."""
         flat, prefix, index, first = self.flat, None, {}, 0
         names, shared_of, rest, docs, width, source, n_of = (flat[c] for c in ("names", "shared", "rest", "docs", "width", "source", "n"))
         for shared, term, node in trie.walk():
             if prefix is None or term[:depth] != prefix:
                 if prefix is not None:
                     flat["leaves"].append(len(rest) - first)
+                if len(rest) >= GIVEN:
+                    yield from self.batches()
+                    flat = self.flat
+                    names, shared_of, rest, docs, width, source, n_of = (flat[c] for c in ("names", "shared", "rest", "docs", "width", "source", "n"))
                 prefix, shared, index, first = term[:depth], 0, {}, len(rest)
                 flat["lang"].append(lang)
                 flat["prefix"].append(prefix)
@@ -222,33 +229,33 @@ def _count(counted_most: int, leaves_most: int):
                     if where == lang:
                         for t, n in counts.items():
                             c = at[t].counts
+                            if source not in c:
+                                tries[lang].entries += 1
                             c[source] = c.get(source, 0) + n
             docs.clear()
             found.clear()
 
-        def cut() -> None:
+        def cut() -> Iterator[pa.RecordBatch]:
             pour()
-            for lang, trie in tries.items():
-                out.cut(lang, trie, PREFIX)
-            tries.clear()
+            while tries:
+                yield from out.cut(*tries.popitem(), PREFIX)
+            yield from out.batches()
 
         held = 0
         for b in batches:
-            for lang, source, text in zip(*(b.column(k).to_pylist() for k in range(3))):
+            for lang, source, text in ((x.as_py() for x in row) for row in zip(*b.columns)):
                 words = terms(text)
                 once = set(words)
                 docs[lang].update(once)
                 found[lang, source].update(words)
                 held += len(once)
                 if held > counted_most:
-                    if sum(map(len, docs.values())) > counted_most // 2:
+                    if sum(map(len, found.values())) > counted_most // 2:
                         pour()
-                        if sum(max(t.leaves, t.size // 50) for t in tries.values()) > leaves_most:
-                            cut()
-                            yield from out.batches()
+                        if sum(max(t.leaves + t.entries // 4, t.size // 50) for t in tries.values()) > leaves_most:
+                            yield from cut()
                     held = 0
-        cut()
-        yield from out.batches()
+        yield from cut()
 
     return _uncollected(run)
 
@@ -260,7 +267,7 @@ def _deepen(depth: int):
             for row in _rows(b):
                 trie = RadixTrie()
                 trie.merge(row)
-                out.cut(row["lang"], trie, depth)
+                yield from out.cut(row["lang"], trie, depth)
                 yield from out.batches()
 
     return run

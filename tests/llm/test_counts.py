@@ -194,3 +194,18 @@ def test_all_trusted_documents_count(spark):
     assert trusted.count() == len(want) > rules.TRUSTED and {r.doc_id for r in trusted.where("fits").collect()} == fits
     assert rules.weights(docs, trusted).agg(F.sum("target")).first()[0] == 19 * len(fits)
     assert rules.judge(docs, lab).where("kept").count() == n
+
+
+def test_tries_are_given_on_by_what_sources_hold_and_in_bounded_pieces(monkeypatch):
+    """Few terms of very many sources fill a task as many terms do."""
+    import pyarrow as pa
+
+    from graphlens.llm import tries
+
+    monkeypatch.setattr(tries, "GIVEN", 8)
+    words = b"aaa bbb ccc ddd eee fff ggg hhh iii jjj"
+    batches = [pa.RecordBatch.from_arrays([pa.array(["en"] * 50), pa.array([f"s{k}-{b}" for k in range(50)]), pa.array([words] * 50, pa.binary())], names=["lang", "source", "text"]) for b in range(4)]
+    out = list(tries._count(200, 100)(iter(batches)))
+    leaves = [sum(b.column(2).to_pylist()) for b in out]
+    assert len(leaves) > 8 and max(leaves) <= 8 and sum(sum(x) for b in out for x in b.column(9).to_pylist()) == 2000
+    assert sum(sum(x) for b in out for x in b.column(6).to_pylist()) == 2000  # documents of terms
