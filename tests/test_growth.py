@@ -110,3 +110,12 @@ def test_references_shuffle_no_names_with_edges(spark, graph, monkeypatch):
     assert "Aggregate [s_id" in plan and "Aggregate [name" not in plan
     assert "RepartitionByExpression [s_id" in plan and f", {graph.edges.count() // 100}" in plan
     assert callers.references(graph, include_tests=False).count() < callers.references(graph).count()
+
+
+def test_files_are_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    from graphlens.sources import tree
+
+    made, real = [], tree.dealt
+    monkeypatch.setattr(tree, "dealt", lambda df, *by: made.append(real(df, *by)) or made[-1])
+    texts = spark.createDataFrame([(f"m{k}/f{k}.py", "x = 1\n") for k in range(40)], "path string, text string").coalesce(1)
+    assert tree.write_files(texts, f"file://{tmp_path}") == 40 and made[0].rdd.getNumPartitions() >= 4
