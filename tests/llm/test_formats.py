@@ -121,6 +121,29 @@ def test_long_blank_runs(spark, tmp_path):
     assert {i: enc.decode([y for _, x in sorted(v) for y in x]) for i, v in got.items()} == dict(enumerate(texts))
 
 
+@needs_vocab
+def test_words_are_encoded_once(monkeypatch):
+    """A slice's words go to the encoder once each; the ids are those of whole texts, whatever blanks they have."""
+    import pyarrow as pa
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, packing.read_ranks(packing.RANKS).splitlines())}
+    plain, enc = (tiktoken.Encoding("t", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (packing.PATTERN, packing.FAST_PATTERN))
+    width = np.zeros(max(ranks.values()) + 1, np.int64)
+    width[list(ranks.values())] = [len(b) for b in ranks]
+    r = random.Random(7)
+    few = [" "] * 6 + ["a", "Bc", "\n", "\x1c", "\x00", "\u00e9", "\u6f22\u5b57", "7", "!", "'s", "'", "\U0001f600", "x" * 80]
+    texts = ["", " ", "a", " a", "a ", "a b ", "a  b c", "a \n b"] + ["".join(r.choices(kind, k=r.randint(0, 30))) for kind in (few, [*few, "  ", "\t", "\x85", "\u3000", "\n \n"]) for _ in range(2000)]
+    for some in (texts, texts[:1], []):
+        assert [x.tolist() for x in packing.ids_of_texts(enc, width, "<u2", pa.array(some, pa.string()))] == [plain.encode_ordinary(t) for t in some]
+    seen, real = [], packing.token_ids
+    monkeypatch.setattr(packing, "token_ids", lambda enc, t, *a: seen.append(len(t)) or real(enc, t, *a))
+    packing.ids_of_texts(enc, width, "<u2", pa.array(["some words come again and again " * 500] * 9))
+    assert sum(seen) < 300
+    parts = packing.by_bytes(pa.RecordBatch.from_arrays([pa.array(["a" * n for n in (3, 0, 9, 30, 1, 1)])], names=["t"]), 0, 8)
+    assert [p.column(0).to_pylist() for p in parts] == [["aaa", ""], ["a" * 9], ["a" * 30, "a", "a"]]
+
+
 @needs_vocab
 def test_long_words(spark):
     """A megabyte without blanks, and the one-word search against the one in step."""
