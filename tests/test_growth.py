@@ -119,3 +119,35 @@ def test_files_are_written_by_all_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tree, "dealt", lambda df, *by: made.append(real(df, *by)) or made[-1])
     texts = spark.createDataFrame([(f"m{k}/f{k}.py", "x = 1\n") for k in range(40)], "path string, text string").coalesce(1)
     assert tree.write_files(texts, f"file://{tmp_path}") == 40 and made[0].rdd.getNumPartitions() >= 4
+
+
+@pytest.fixture
+def plans(monkeypatch):
+    """Plans of the tables that steps leave, before they run."""
+    from graphlens.operators import algo
+    from graphlens.plans import stages
+    from graphlens.sources import python_code
+
+    made, real = [], stages.stage
+
+    def seen(df, *a):
+        made.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, *a)
+
+    for m in (stages, algo, answers, traverse, python_code, q):
+        monkeypatch.setattr(m, "stage", seen)
+    return made
+
+
+def test_loops_broadcast_nothing(spark, plans):
+    from graphlens.operators import algo
+
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (5, 10)] + [(s, t) for s in range(10, 17) for t in range(10, 17) if s != t], "s bigint, t bigint")
+    members = algo.components(e)
+    last = [members, algo.reading_order(e), algo.shortest_loops(e, members), answers.loops(e, members)]
+    assert {(r.id, r.component) for r in last[0].collect()} == {(k, 1) for k in (1, 2, 3)} | {(4, 4), (5, 4)} | {(k, 10) for k in range(10, 17)}
+    assert {(r.id, r.level) for r in last[1].collect()} == {(k, 2) for k in (1, 2, 3)} | {(4, 1), (5, 1)} | {(k, 0) for k in range(10, 17)}
+    assert {(r.component, r.loop) for r in last[2].collect()} == {(1, 3), (4, 2), (10, 2)}
+    assert {(r.component, tuple(r.cycle)) for r in last[3].collect()} == {(1, (1, 2, 3)), (4, (4, 5)), (10, (10, 11))}
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in last]
+    assert len(plans) > 40 and sum("SortMergeJoin" in p for p in plans) > 20 and not any("Broadcast" in p for p in plans)
