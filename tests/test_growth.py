@@ -151,3 +151,12 @@ def test_loops_broadcast_nothing(spark, plans):
     assert {(r.component, tuple(r.cycle)) for r in last[3].collect()} == {(1, (1, 2, 3)), (4, (4, 5)), (10, (10, 11))}
     plans += [df._jdf.queryExecution().executedPlan().toString() for df in last]
     assert len(plans) > 40 and sum("SortMergeJoin" in p for p in plans) > 20 and not any("Broadcast" in p for p in plans)
+
+
+def test_python_calls_broadcast_modules_and_files_alone(spark, sf, plans):
+    import re
+
+    last = q.QUERIES["python_calls_of_files"](spark, sf)
+    plans.append(last._jdf.queryExecution().executedPlan().toString())
+    sent = {k for p in plans for k in re.findall(r"BroadcastHashJoin \[(\w+)#", p)}
+    assert sent <= {"module", "whole", "file_id"} and sum("SortMergeJoin" in p for p in plans) > 4
