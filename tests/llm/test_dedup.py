@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -179,6 +180,19 @@ def test_passages_of_short_sentences(spark, tmp_path):
     assert {x.doc_id: x.n_removed for x in lines.op10_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 1}
 
 
+def test_lines_of_odd_letters_and_blanks(spark, tmp_path):
+    """The query normalises as its SQL does: vertical tabs are no blanks, spaces of any width are trimmed, letters are lowered one by one."""
+    odd = ["a b", "A \t B\r", "a\vb", "\v", " \v\n", "\u0130x", "i\u0307x", "ix", "\u039f\u03a3", "\u03bf\u03c2", "\u03bf\u03c3", "\u00a0", "\u00a0\u3000", "\u2003q\u00a0\nq", "q\u00a0q", "q q",
+           "\f", "\x1c", "\x1c", "\x85\n\x85", "\0", "\0", None, "", "\n"]
+    make(spark, list(enumerate(odd))).write.parquet(str(tmp_path / "documents.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = [tuple(x) for x in lines.op10_line_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert got == duck.sql(lines.OP10_SQL).order("doc_id").fetchall()
+    low = lines.dedup_units(make(spark, [(1, "One. Two."), (2, "Six. " + "\u00a0 " * 9), (3, "Ten. " + "\u00a0 " * 9)]), min_sentence=8)
+    assert low.where("n_removed > 0").count() == 0
+
+
 def test_runs_cover_repeats():
     r = random.Random(14)
     for _ in range(300):
