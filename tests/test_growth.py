@@ -160,3 +160,63 @@ def test_python_calls_broadcast_modules_and_files_alone(spark, sf, plans):
     plans.append(last._jdf.queryExecution().executedPlan().toString())
     sent = {k for p in plans for k in re.findall(r"BroadcastHashJoin \[(\w+)#", p)}
     assert sent <= {"module", "whole", "file_id"} and sum("SortMergeJoin" in p for p in plans) > 4
+
+
+def test_pieces_are_found_in_few_rounds(spark, plans):
+    from graphlens.operators import algo
+
+    chain = [(k, k + 1) if k % 3 else (k + 1, k) for k in range(500)]
+    e = chain + [(2000, s) for s in range(1000, 1040)] + [(1039, 999), (5001, 5000)]
+    of = algo.pieces(spark.createDataFrame(e, "s bigint, t bigint"), len(e))
+    made, got = len(plans), {r.id: r.piece for r in of.collect()}
+    assert set(got) == {k for x in e for k in x} and made <= 14
+    assert [len({got[k] for k in part}) for part in (range(501), [999, 2000, *range(1000, 1040)], (5000, 5001))] == [1, 1, 1] and len(set(got.values())) == 3
+    assert algo.pieces(spark.createDataFrame([], "s bigint, t bigint"), 0).count() == 0
+
+
+def test_betweenness_gives_a_task_its_piece_alone(spark, monkeypatch):
+    import pyarrow as pa
+
+    from graphlens.operators import algo
+
+    ring = [(300 * c + k, 300 * c + (k + d) % 100) for c in range(3) for k in range(100) for d in (1, 3)]
+    e = spark.createDataFrame(ring, "s bigint, t bigint")
+    whole = {r.id: r.betweenness for r in algo.betweenness(e).collect()}
+    assert len(whole) == 300 and min(whole.values()) > 0 and len({round(x, 6) for x in whole.values()}) == 1
+    monkeypatch.setattr(type(e), "toArrow", _never)  # nothing goes through the driver
+    monkeypatch.setattr(algo, "LITTLE", 1)
+    monkeypatch.setattr(algo, "LEAST", 5000)
+    assert {r.id: round(r.betweenness, 6) for r in algo.betweenness(e).collect()} == {k: round(x, 6) for k, x in whole.items()}
+
+    def count(rows):
+        t = pa.Table.from_batches(rows)
+        s, to = t["s"].to_pylist(), t["t"].to_pylist()
+        rows.clear()
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, b in zip(s, to) if b is None]), pa.array([float(len([b for b in to if b is not None])) for b in to if b is None])], names=["id", "b"])
+
+    monkeypatch.setattr(algo, "_shares", count)
+    nodes = spark.createDataFrame([(k, True, k // 300, 3) for k in whole], "id bigint, starts boolean, by bigint, parts int")
+    got = algo._by_arrays(e, nodes, 8).collect()
+    assert sorted(r.id for r in got) == sorted(whole) and {r.b for r in got} == {200.0}
+
+
+def test_shares_by_lists_and_by_matrices():
+    import random
+
+    import numpy as np
+
+    from graphlens.functions import paths
+    from test_whole import brandes
+
+    r = random.Random(3)
+    graphs = [{(r.randint(0, 199), r.randint(0, 199)) for _ in range(900)}, {(k, k + 1) for k in range(300)},
+              {(k, 1000) for k in range(90)} | {(1000, k) for k in range(200, 290)} | {(k, k - 150) for k in range(200, 240)}, {(1, 2)}]
+    for e in graphs:
+        e = sorted((7 * a - 50, 7 * b - 50) for a, b in e if a != b)
+        out = {}
+        for a, b in e:
+            out.setdefault(a, set()).add(b)
+            out.setdefault(b, set())
+        s, t = (np.array(x) for x in zip(*e))
+        ids, b = paths.shares(s, t, np.array(list(out)))
+        assert dict(zip(ids.tolist(), b.tolist())) == pytest.approx(brandes(out), abs=1e-9)
