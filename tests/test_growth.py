@@ -220,3 +220,8 @@ def test_shares_by_lists_and_by_matrices():
         s, t = (np.array(x) for x in zip(*e))
         ids, b = paths.shares(s, t, np.array(list(out)))
         assert dict(zip(ids.tolist(), b.tolist())) == pytest.approx(brandes(out), abs=1e-9)
+
+
+def test_chokepoints_send_no_edges_through_the_driver(spark, sf, graph, monkeypatch):
+    monkeypatch.setattr(type(graph.edges), "toArrow", _never)
+    assert q.QUERIES["health_chokepoints"](spark, sf).count() == 10
