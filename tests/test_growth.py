@@ -225,3 +225,13 @@ def test_shares_by_lists_and_by_matrices():
 def test_chokepoints_send_no_edges_through_the_driver(spark, sf, graph, monkeypatch):
     monkeypatch.setattr(type(graph.edges), "toArrow", _never)
     assert q.QUERIES["health_chokepoints"](spark, sf).count() == 10
+
+
+def test_ties_of_chokepoints_go_by_id(spark, graph, monkeypatch):
+    from graphlens.operators import reports
+
+    found = spark.createDataFrame([(5, 3 + 1e-9), (2, 3.0), (7, 1.0), (9, 1e-5)], "id bigint, betweenness double")
+    monkeypatch.setattr(reports.algo, "betweenness", lambda e: found)
+    monkeypatch.setattr(reports.algo, "components", lambda e: spark.createDataFrame([], "id bigint, component bigint, size bigint"))
+    got = [{r.subject: r.value for r in reports.project_health(graph, n).collect() if r.kind == "chokepoint"} for n in (1, 10)]
+    assert got == [{"2": 3.0}, {"2": 3.0, "5": 3.0, "7": 1.0}]
