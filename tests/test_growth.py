@@ -235,3 +235,16 @@ def test_ties_of_chokepoints_go_by_id(spark, graph, monkeypatch):
     monkeypatch.setattr(reports.algo, "components", lambda e: spark.createDataFrame([], "id bigint, component bigint, size bigint"))
     got = [{r.subject: r.value for r in reports.project_health(graph, n).collect() if r.kind == "chokepoint"} for n in (1, 10)]
     assert got == [{"2": 3.0}, {"2": 3.0, "5": 3.0, "7": 1.0}]
+
+
+def test_pairs_of_a_file_are_made_by_many_tasks(spark, graph, monkeypatch):
+    roots = q._roots(graph)
+    whole = {tuple(r) for r in modules.impact_graph(graph, roots).collect()}
+    pairs = sum(r.grp == "same_file" for r in modules.impact_graph(graph, roots).collect())
+    monkeypatch.setattr(modules, "PAIRS", 5)
+    many = modules.impact_graph(graph, roots)
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    tasks = {int(line.rsplit(", ", 1)[1]) for line in plan.splitlines() if "RepartitionByExpression [root_file" in line}
+    assert len(tasks) == 1 and min(tasks) >= pairs // 5 > 4
+    got = many.collect()
+    assert len(got) == len(whole) and {tuple(r) for r in got} == whole
